@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import portable_hash
+from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import union
 from bitloom.schemas import KEY, Batch
 
 WORD = 64
+LANE = 8
 
 # Sizes of the encoding check and its tolerance.
 EXHAUSTIVE_LIMIT = 12
@@ -21,39 +23,42 @@ PROBE_SEED_SHIFT = 0x51A7E
 def pack_samples(samples: DataFrame) -> DataFrame:
     """One row per (key, i, block of 64 samples): ``mask`` of set bits, ``known`` of all bits.
 
-    A term then meets all samples of a block in one joined row.
+    A term then meets all samples of a block in one joined row. The filter on both words keeps
+    both in every use of the table, so that a plan's several uses share one shuffle.
     """
     bit = F.expr("shiftleft(1L, CAST(pmod(sample_id, 64) AS INT))")
     return samples.groupBy(
         *KEY, F.floor(F.col("sample_id") / WORD).cast("bigint").alias("block"), "i",
     ).agg(F.bit_or(bit).alias("known"),
-          F.bit_or(F.when(F.col("x") == 1, bit).otherwise(F.lit(0).cast("bigint"))).alias("mask"))
-
-
-def _unpack(df: DataFrame, mask: str, **columns: Column) -> DataFrame:
-    """One row per set bit of ``mask``: key, sample_id and the given columns."""
-    return df.select(
-        *KEY, "block", mask, *[c.alias(n) for n, c in columns.items()],
-        F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("_bit"),
-    ).where(F.expr(f"(shiftright({mask}, _bit) & 1L) = 1L")).select(
-        *KEY, (F.col("block") * WORD + F.col("_bit")).alias("sample_id"), *columns)
+          F.bit_or(F.when(F.col("x") == 1, bit).otherwise(F.lit(0).cast("bigint"))).alias("mask"),
+          ).where("known IS NOT NULL AND mask IS NOT NULL")
 
 
 def masked_sums(weighted: DataFrame) -> DataFrame:
     """Sum ``v`` per sample over rows (key, block, known, mask, v): key, sample_id, energy.
 
-    The 64 sums of a block live side by side in one aggregation row, so summing neither unfolds
-    a term into samples nor shuffles more than one row per (task, instance, block).
+    A word is cut into lanes of a few samples whose sums live side by side in one aggregation
+    row: summing never unfolds a term into single samples and shuffles one row per (task,
+    instance, lane). Few sums per lane keep the generated loop small enough to be compiled.
     """
+    lanes = F.explode(F.array(*[F.lit(n) for n in range(WORD // LANE)]))
+    ones = (1 << LANE) - 1
+    split = weighted.select(*KEY, "block", "known", "mask", "v", lanes.alias("lane")).select(
+        *KEY, "block", "lane", "v",
+        F.expr(f"CAST(shiftright(mask, lane * {LANE}) & {ones}L AS INT)").alias("m"),
+        F.expr(f"CAST(shiftright(known, lane * {LANE}) & {ones}L AS INT)").alias("known"),
+    ).where("m <> 0 OR known <> 0")
     sums = [
-        F.sum(F.when(F.expr(f"(shiftright(mask, {b}) & 1L) = 1L"), F.col("v"))
-              .otherwise(0.0)).alias(f"s{b}")
-        for b in range(WORD)]
-    wide = weighted.groupBy(*KEY, "block").agg(F.bit_or("known").alias("known"), *sums)
-    cells = F.array(*[F.col(f"s{b}") for b in range(WORD)])
-    return wide.select(*KEY, "block", "known", F.posexplode(cells).alias("_bit", "energy")).where(
-        F.expr("(shiftright(known, _bit) & 1L) = 1L")).select(
-        *KEY, (F.col("block") * WORD + F.col("_bit")).alias("sample_id"), "energy")
+        F.sum(F.when(F.col("m").bitwiseAND(F.lit(1 << b)) != 0, F.col("v")).otherwise(0.0))
+        .alias(f"s{b}")
+        for b in range(LANE)]
+    wide = split.groupBy(*KEY, "block", "lane").agg(F.bit_or("known").alias("known"), *sums)
+    cells = F.array(*[F.col(f"s{b}") for b in range(LANE)])
+    return wide.select(
+        *KEY, "block", "lane", "known", F.posexplode(cells).alias("bit", "energy")
+    ).where("(shiftright(known, bit) & 1) = 1").select(
+        *KEY, (F.col("block") * WORD + F.col("lane") * LANE + F.col("bit")).alias("sample_id"),
+        "energy")
 
 
 def energy(batch: Batch, samples: DataFrame) -> DataFrame:
@@ -127,9 +132,7 @@ def probe_samples(instances: DataFrame, random_samples: int = RANDOM_PROBES) ->
         *KEY, "num_variables", F.coalesce("seed", F.lit(0)).alias("seed")
     ) if "seed" in instances.columns else instances.select(
         *KEY, "num_variables", F.lit(0).cast("bigint").alias("seed"))
-    grid = seeded.select(
-        *KEY, "seed", F.explode(F.expr("sequence(0L, num_variables - 1L)")).alias("i")
-    ).select(*KEY, "seed", "i", F.explode(
+    grid = spread_range(seeded, "num_variables", "i").select(*KEY, "seed", "i", F.explode(
         F.expr(f"sequence(0L, {random_samples + 2}L)")).alias("sample_id"))
     hashed = portable_hash(F.col("seed") + PROBE_SEED_SHIFT, F.col("i"), F.col("sample_id"))
     s = F.col("sample_id")

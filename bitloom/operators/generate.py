@@ -16,6 +16,7 @@ from bitloom.functions.hashing import (
     MODULUS, portable_hash, standard_normal, uniform, uniform_integer,
 )
 from bitloom.functions.pairs import pair_count, pair_unrank
+from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import index_variables, union
 from bitloom.operators.validation import WARNING_CODES
 from bitloom.schemas import KEY
@@ -33,21 +34,14 @@ PAIRS, WEIGHTS, LINEAR, MEMBERS, FALLBACK, VALUES, CLAUSES, SIGNS, PLANT, FLIP,
     SHUFFLE = (7 * n + 1 for n in range(13))
 
 
-def _each(count: Column | str) -> Column:
-    """0, 1, ..., count-1 as exploded rows (none for 0)."""
-    count = F.col(count) if isinstance(count, str) else count
-    return F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint")),
-                              lambda x: x < count))
-
-
 def seed_grid(entries: DataFrame, base_seed: int = 0) -> DataFrame:
     """Entries (batch, entry, count, optional seed, parameters) to one row per instance.
 
     An entry without a seed starts at ``base_seed + entry * 1,000,000``; instance ``n`` adds ``n``.
     """
     first = F.coalesce("seed", F.lit(base_seed) + F.col("entry") * ENTRY_STEP)
-    return entries.withColumn("seed", first.cast("bigint")).withColumn(
-        "index", _each("count")).withColumn("seed", F.col("seed") + F.col("index")).withColumn(
+    return spread_range(entries.withColumn("seed", first.cast("bigint")), "count", "index").withColumn(
+        "seed", F.col("seed") + F.col("index")).withColumn(
         "instance_id", F.concat(F.lit("seed_"), F.col("seed").cast("string")))
 
 
@@ -59,12 +53,14 @@ def sample_pairs(grid: DataFrame, n: str = "n", density: str = "density") -> Dat
     from hit to hit by geometric gaps, so absent pairs cost nothing.
     """
     total = pair_count(F.col(n))
-    blocks = grid.withColumn("_total", total).where(F.col(density) > 0).withColumn(
-        "_block", _each(F.ceil(F.col("_total") / PAIR_BLOCK).cast("bigint"))
-    ).repartition(*KEY, "_block").withColumn("_first", F.col("_block") * PAIR_BLOCK).withColumn(
+    sized = grid.withColumn("_total", total).where((F.col(density) > 0) & (F.col("_total") > 0))
+    blocks = sized.withColumn("_block", F.explode(F.expr(
+        f"sequence(0L, (_total - 1L) DIV {PAIR_BLOCK}L)"))).repartition(*KEY, "_block").withColumn(
+        "_first", F.col("_block") * PAIR_BLOCK).withColumn(
         "_size", F.least(F.lit(PAIR_BLOCK), F.col("_total") - F.col("_first")))
     direct = (F.col("_total") <= DIRECT_PAIRS) | (F.col(density) >= 1)
-    tested = blocks.where(direct).withColumn("_rank", F.col("_first") + _each("_size")).where(
+    tested = blocks.where(direct).withColumn("_rank", F.explode(F.expr(
+        "sequence(_first, _first + _size - 1L)"))).where(
         (F.col(density) >= 1)
         | (uniform(F.col("seed"), F.col("_rank"), PAIRS) < F.col(density)))
     jumped = _gap_ranks(blocks.where(~direct), density)
@@ -110,8 +106,9 @@ def _gap_ranks(blocks: DataFrame, density: str) -> DataFrame:
             lambda x: (x < F.col("_size")) & (
                 uniform(F.col("seed"), F.col("_first") + x, PAIRS + 2) < F.col(density))))
         .otherwise(F.array().cast("array<bigint>"))
-    ).withColumn("_rank", F.col("_first") + F.explode(F.concat("_hits.hits", "_tail"))).drop(
-        "_run", "_offset", "_hits", "_more", "_tail")
+    ).withColumn("_hit", F.explode(F.concat("_hits.hits", "_tail"))).withColumn(
+        "_rank", F.col("_first") + F.col("_hit")).drop(
+        "_hit", "_run", "_offset", "_hits", "_more", "_tail")
 
 
 def coefficients(df: DataFrame, distribution: str, i: Column, j: Column, low: float = -10,
@@ -137,7 +134,7 @@ def random_linear(grid: DataFrame, n: str = "n", zero_probability: float = 0.0,
                   distribution: str = "integer", low: float = -10, high: float = 10,
                   scale: float = 5.0) -> DataFrame:
     """One coefficient per variable, left out with the given probability."""
-    rows = grid.withColumn("i", _each(n))
+    rows = spread_range(grid, n, "i")
     kept = rows.where(uniform(F.col("seed"), F.col("i"), LINEAR) >= zero_probability)
     return coefficients(kept, distribution, F.col("i"), F.lit(0), low, high, scale,
                         LINEAR).select(*KEY, "i", "v")
@@ -156,7 +153,7 @@ def erdos_renyi(grid: DataFrame, n: str = "n", p: str = "density") -> DataFrame:
 
 def cycle_graph(grid: DataFrame, n: str = "n") -> DataFrame:
     """Ring of ``n`` vertices (a single edge for two): key, u, v."""
-    step = grid.select(*KEY, F.col(n).alias("n"), _each(n).alias("a"))
+    step = spread_range(grid.select(*KEY, F.col(n).alias("n")), "n", "a")
     nxt = (F.col("a") + 1) % F.col("n")
     return step.where("n > 2 OR a = 0").where("n > 1").select(
         *KEY, F.least(F.col("a"), nxt).alias("u"), F.greatest(F.col("a"), nxt).alias("v"))
@@ -189,7 +186,7 @@ def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree", attemp
         "d < n AND (d * n) % 2 = 0 AND d > 0")
     finished = None
     for attempt in range(attempts):
-        kept, stubs = None, cut(todo.withColumn("u", _each("n")).withColumn("c", _each("d")).select(
+        kept, stubs = None, cut(spread_range(spread_range(todo, "n", "u"), "d", "c").select(
             *KEY, "seed", "u", "c"))
         for step in range(rounds):
             stream = SHUFFLE + 1000 * attempt + step
@@ -224,8 +221,8 @@ def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree", attemp
 def random_sets(grid: DataFrame, sets: str = "num_sets", universe: str = "universe_size",
                 p: str = "inclusion_probability") -> DataFrame:
     """Bernoulli membership; a set left empty gets one random element: key, set_id, element."""
-    each = grid.withColumn("set_id", _each(sets))
-    rows = each.withColumn("element", _each(universe)).where(
+    each = spread_range(grid, sets, "set_id")
+    rows = spread_range(each, universe, "element").where(
         uniform(F.col("seed") + MEMBERS, F.col("set_id"), F.col("element")) < F.col(p)
     ).select(*KEY, "set_id", "element")
     empty = each.join(rows.select(*KEY, "set_id").distinct(), [*KEY, "set_id"], "left_anti")
@@ -240,7 +237,7 @@ def random_clauses(grid: DataFrame, clause_size: int, n: str = "n", m: str = "nu
     Distinct variables come from drawing position ``p`` among ``n - p`` values and stepping over
     the earlier ones in ascending order, so no draw is ever repeated.
     """
-    each = grid.where(F.col(n) >= clause_size).withColumn("clause_id", _each(m))
+    each = spread_range(grid.where(F.col(n) >= clause_size), m, "clause_id")
     draws = [uniform_integer(F.col("seed") + CLAUSES, F.col("clause_id"), p, 0, F.col(n) - 1 - p)
              for p in range(clause_size)]
     rows = each.withColumn("_v", F.array(draws[0]))
@@ -256,7 +253,7 @@ def random_clauses(grid: DataFrame, clause_size: int, n: str = "n", m: str = "nu
 
 def planted_assignment(grid: DataFrame, n: str = "n") -> DataFrame:
     """Random 0/1 assignment: key, i, x."""
-    return grid.withColumn("i", _each(n)).select(
+    return spread_range(grid, n, "i").select(
         *KEY, "i", uniform_integer(F.col("seed") + PLANT, F.col("i"), 0, 0, 1).alias("x"))
 
 
@@ -299,7 +296,7 @@ def random_couplings(edges: DataFrame, seeds: DataFrame, distribution: str = "bi
 def random_fields(grid: DataFrame, n: str = "n", probability: float = 0.0,
                   scale: float = 1.0) -> DataFrame:
     """Field +-scale with the given probability, else 0: key, i, h."""
-    rows = grid.withColumn("i", _each(n))
+    rows = spread_range(grid, n, "i")
     seed = F.col("seed") + FIELDS
     sign = F.when(portable_hash(seed, F.col("i"), 1) * 2 < MODULUS, -scale).otherwise(scale)
     return rows.select(*KEY, "i", F.when(
@@ -308,7 +305,7 @@ def random_fields(grid: DataFrame, n: str = "n", probability: float = 0.0,
 
 def random_items(grid: DataFrame, n: str = "n", weights=(1, 20), values=(1, 30)) -> DataFrame:
     """Knapsack items: key, i, weight, value."""
-    rows = grid.withColumn("i", _each(n))
+    rows = spread_range(grid, n, "i")
     rows = random_integers(rows, "weight", F.col("i"), *weights, stream=WEIGHTS)
     return random_integers(rows, "value", F.col("i"), *values, stream=VALUES).select(
         *KEY, "i", "weight", "value")

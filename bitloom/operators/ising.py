@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import accumulate_linear, index_variables, union
 from bitloom.schemas import KEY, Batch
 
@@ -105,8 +106,7 @@ def linearize(batch: Batch) -> tuple[DataFrame, DataFrame, DataFrame]:
     size = batch.instances.select(*KEY, "num_variables")
     numbered = index_variables(batch.quadratic.select(*KEY, "i", "j", "v"), ["i", "j"], name="p")
     products = numbered.join(size, KEY).withColumn("y", F.col("num_variables") + F.col("p"))
-    variables = size.select(*KEY, F.explode(F.expr(
-        "sequence(0, num_variables - 1)")).cast("bigint").alias("col")).join(
+    variables = spread_range(size, "num_variables", "col").select(*KEY, "col").join(
         batch.linear.select(*KEY, F.col("i").alias("col"), "v"), [*KEY, "col"], "left")
     columns = union(
         variables.select(*KEY, "col", F.coalesce("v", F.lit(0.0)).alias("cost"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.session import configure
+from bitloom.session import configure, cut
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -243,6 +243,12 @@ class Views:
                 self._built[name] = self.sql(VIEWS[name])
         return self._built[name]
 
+    def keep(self, *names: str) -> Views:
+        """Write views that a query uses several times once, as the tables they stand for."""
+        for name in names:
+            self._built[name] = cut(getattr(self, name))
+        return self
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(
             _series(text, True), **{n: getattr(self, n) for n in _needs(text)})

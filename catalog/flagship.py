@@ -22,6 +22,7 @@ SELECT batch, instance_id, arg_min(sample_id, (-cut, sample_id)) AS sample_id,
        -max(cut) AS energy, max(cut) AS cut_weight
 FROM e GROUP BY batch, instance_id""")
 def flagship(v: Views):
+    v.keep("edges", "samples")
     best = best_sample(energy(encode_max_cut(v.edges, v.sizes), v.samples))
     cuts = cut_energy(v.edges, v.samples).select(
         *KEY, "sample_id", (-F.col("energy")).alias("cut_weight"))

@@ -15,6 +15,7 @@ def session(cpus: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.host", "127.0.0.1").config("spark.driver.bindAddress", "127.0.0.1"))
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
