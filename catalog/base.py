@@ -271,11 +271,9 @@ def duck(sql: str) -> str:
     visit(sql)
     ctes = [f"fx_{n} AS ({fill(t)})" for n, t in chain.items()]
     body = fill(sql).strip()
-    if body[:5].upper() == "WITH ":
-        rest = body[5:]
-        recursive = rest[:10].upper() == "RECURSIVE "
-        rest = rest[10:] if recursive else rest
-        return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([*ctes, rest])
+    start = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
+    if start:
+        return f"WITH {start[1] or ''}" + ",\n".join([*ctes, body[start.end():]])
     return (f"WITH {', '.join(ctes)}\n" if ctes else "") + body
 
 

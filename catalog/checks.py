@@ -1 +1,724 @@
-"""Queries."""
+"""Validation and characteristics (D-1 .. D-25, U-2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bitloom.functions.numbers import gcd_by
+from bitloom.functions.stats import stats
+from bitloom.operators import encoders as E
+from bitloom.operators import families as D
+from bitloom.operators import graphs as G
+from bitloom.operators import validation as C
+from bitloom.operators.terms import union
+from bitloom.plans.revalidate import revalidate
+from bitloom.schemas import KEY, Batch
+from catalog.base import query
+
+
+def rounded(df):
+    """Long-form statistics with values rounded for comparison."""
+    return df.select(*KEY, "key", F.round("value", 6).alias("value"))
+
+
+def long_sql(source: str, columns: dict[str, str], before: str = "") -> str:
+    """Long form of wide SQL: one row per named expression of ``source``."""
+    parts = " UNION ALL ".join(
+        f"SELECT batch, instance_id, '{k}' AS key, round(CAST({e} AS DOUBLE), 6) AS value FROM w"
+        for k, e in columns.items())
+    return f"WITH {before} w AS ({source}) {parts}"
+
+
+def stat_sql(prefix: str, alias: str) -> dict[str, str]:
+    return {f"{prefix}.{n}": f"{alias}_{n}" for n in ("count", "min", "max", "mean", "std")}
+
+
+def stat_aggs(expr: str, alias: str) -> str:
+    return (f"count({expr}) AS {alias}_count, min({expr}) AS {alias}_min, max({expr}) AS {alias}_max, "
+            f"avg({expr}) AS {alias}_mean, stddev_pop({expr}) AS {alias}_std")
+
+
+# --- structure -------------------------------------------------------------------------------
+
+_BROKEN_N = "SELECT batch, instance_id, max(i) - 10 AS n FROM {raw_quadratic} GROUP BY ALL"
+
+
+@query("d1_term_issues", f"""
+WITH n AS ({_BROKEN_N}),
+c AS (
+ SELECT batch, instance_id, 'linear_index_out_of_range' AS code, count(*) AS k
+ FROM {{raw_linear}} JOIN n USING (batch, instance_id) WHERE i < 0 OR i >= n GROUP BY ALL
+ UNION ALL SELECT batch, instance_id, 'duplicate_linear_term', count(*) - count(DISTINCT i) FROM {{raw_linear}} GROUP BY ALL
+ UNION ALL SELECT batch, instance_id, 'invalid_quadratic_indices', count(*)
+ FROM {{raw_quadratic}} JOIN n USING (batch, instance_id) WHERE NOT (0 <= i AND i < j AND j < n) GROUP BY ALL
+ UNION ALL SELECT batch, instance_id, 'duplicate_quadratic_term', count(*) - count(DISTINCT (i, j)) FROM {{raw_quadratic}} GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, code, concat('affects ', CAST(k AS VARCHAR)) AS message
+FROM c WHERE k > 0""")
+def d1(v):
+    sizes = v.raw_quadratic.groupBy(*KEY).agg((F.max("i") - 10).alias("num_variables"))
+    return C.term_issues(Batch(E.instances_of(sizes, "raw"), v.raw_linear, v.raw_quadratic))
+
+
+@query("d2_term_stats", long_sql(f"""
+SELECT s.batch, s.instance_id, num_variables AS n, l, q, active, {', '.join(
+    f'c_{x}' for x in ('count', 'min', 'max', 'mean', 'std'))}
+FROM {{sizes}} s
+JOIN (SELECT instance_id, count(*) FILTER (WHERE kind = 'l') AS l, count(*) FILTER (WHERE kind = 'q') AS q,
+             {stat_aggs('v', 'c')} FROM t GROUP BY ALL) a USING (instance_id)
+JOIN (SELECT instance_id, count(DISTINCT u) AS active FROM {{vertices}} GROUP BY ALL) x USING (instance_id)""", {
+    "qubo_variables": "n", "qubo_linear_terms": "l", "qubo_quadratic_terms": "q",
+    "qubo_quadratic_density": "q / (n*(n - 1)/2)", "qubo_inactive_variables": "n - active",
+    **stat_sql("qubo_coefficient_statistics", "c")}, """
+t AS (SELECT instance_id, 'q' AS kind, 2*w AS v FROM {edges}
+      UNION ALL SELECT instance_id, 'l', -sum(w) FROM (
+        SELECT instance_id, u, w FROM {edges} UNION ALL SELECT instance_id, v, w FROM {edges}) e
+      GROUP BY instance_id, u),"""))
+def d2(v):
+    v.keep("edges")
+    return rounded(C.term_stats(E.encode_max_cut(v.edges, v.sizes)))
+
+
+@query("d3_stats", long_sql(
+    f"SELECT batch, instance_id, {stat_aggs('w', 'w')} FROM {{route_edges}} GROUP BY ALL",
+    stat_sql("w", "w")))
+def d3(v):
+    return rounded(stats(v.route_edges, "w"))
+
+
+# raw edge rows with every kind of fault: endpoints from prices and quantities, weights with gaps
+_FAULTY = """
+SELECT 'faulty' AS batch, CAST(year(l_shipdate) AS STRING) AS instance_id,
+       l_orderkey*10 + l_linenumber AS position,
+       CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN NULL
+            WHEN l_linenumber = 6 THEN l_discount * 10 + 0.5
+            ELSE CAST(l_suppkey AS DOUBLE) END AS u,
+       CAST(l_quantity AS DOUBLE) - 1 AS v,
+       CAST(l_linenumber AS DOUBLE) AS w
+FROM {lineitem}"""
+
+_GRADED = f"""
+e AS (SELECT *, CASE WHEN u IS NULL OR v IS NULL THEN 'malformed_edge'
+        WHEN u <> floor(u) OR v <> floor(v) THEN 'noninteger_vertex'
+        WHEN u < 0 OR v < 0 OR u >= 40 OR v >= 40 THEN 'edge_out_of_range'
+        WHEN u = v THEN 'self_loop' END AS problem FROM ({_FAULTY}) f)"""
+
+
+def _faulty(v):
+    edges = v.sql(_FAULTY)
+    sizes = edges.select(*KEY).distinct().withColumn("num_vertices", F.lit(40).cast("bigint"))
+    return edges, sizes
+
+
+@query("d4_edge_issues", f"""
+WITH {_GRADED},
+c AS (SELECT batch, instance_id, problem AS code, count(*) AS k FROM e WHERE problem IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT batch, instance_id, 'duplicate_edge', count(*) - count(DISTINCT (least(u, v), greatest(u, v)))
+  FROM e WHERE problem IS NULL GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, code, concat('affects ', CAST(k AS VARCHAR)) AS message FROM c WHERE k > 0""")
+def d4(v):
+    return C.edge_issues(*_faulty(v))
+
+
+@query("d4_valid_edges", f"""
+WITH {_GRADED}
+SELECT batch, instance_id, CAST(least(u, v) AS BIGINT) AS u, CAST(greatest(u, v) AS BIGINT) AS v, count(*) AS pairs
+FROM (SELECT DISTINCT batch, instance_id, least(u, v) AS u, greatest(u, v) AS v FROM e WHERE problem IS NULL) x GROUP BY ALL""")
+def d4_valid(v):
+    return C.valid_edges(*_faulty(v)).groupBy(*KEY, "u", "v").agg(F.count("*").alias("pairs"))
+
+
+def _degree_sql(edges: str, sizes: str) -> str:
+    return f"""
+d AS (SELECT instance_id, u, count(*) AS d FROM (
+        SELECT instance_id, u FROM {{{edges}}} UNION ALL SELECT instance_id, v FROM {{{edges}}}) e GROUP BY ALL),
+g AS (SELECT s.batch, s.instance_id, s.num_vertices AS n, coalesce(sum(d), 0)/2 AS m,
+             s.num_vertices - count(d) AS iso, coalesce(max(d), 0) AS hi, coalesce(min(d), 0) AS lo,
+             coalesce(sum(d), 0)/s.num_vertices AS mean, coalesce(sum(d*d), 0)/s.num_vertices AS sq
+      FROM {{{sizes}}} s LEFT JOIN d USING (instance_id) GROUP BY s.batch, s.instance_id, s.num_vertices),"""
+
+
+_GRAPH_KEYS = {
+    "graph_edges": "m", "graph_density": "m/(n*(n - 1)/2)", "isolated_vertices": "iso",
+    "degree_min": "CASE WHEN iso > 0 THEN 0 ELSE lo END", "degree_max": "hi", "degree_mean": "mean",
+    "degree_std": "sqrt(greatest(0, sq - mean*mean))"}
+
+
+@query("d5_graph_stats", long_sql("SELECT * FROM g", _GRAPH_KEYS, _degree_sql("edges", "sizes")))
+def d5(v):
+    v.keep("edges")
+    return rounded(C.graph_stats(v.edges, v.sizes))
+
+
+# --- components and forests ------------------------------------------------------------------
+
+_CLOSURE = """
+RECURSIVE a AS (SELECT instance_id, u, v FROM {route_edges} UNION ALL SELECT instance_id, v, u FROM {route_edges}),
+r(instance_id, u, m) AS (
+  SELECT instance_id, u, u FROM {route_vertices}
+  UNION SELECT r.instance_id, a.v, r.m FROM r JOIN a ON a.instance_id = r.instance_id AND a.u = r.u WHERE r.m < a.v),
+c AS (SELECT instance_id, u, min(m) AS label FROM r GROUP BY ALL)"""
+
+
+@query("d6_components", f"""
+WITH {_CLOSURE} SELECT 'routes' AS batch, instance_id, u, label FROM c""")
+def d6(v):
+    v.keep("route_edges")
+    return G.components(v.route_vertices, v.route_edges)
+
+
+# The same on the huge trade graphs: labels settle by repeated minimum over neighbours.
+_TRADE_LABELS = """
+RECURSIVE a AS (SELECT instance_id, u, v FROM {edges} UNION ALL SELECT instance_id, v, u FROM {edges}),
+r(instance_id, u, label) USING KEY (instance_id, u) AS (
+  SELECT instance_id, u, u FROM {vertices}
+  UNION SELECT n.instance_id, n.v, n.m FROM (
+    SELECT a.instance_id, a.v, min(r.label) AS m FROM r JOIN a ON a.instance_id = r.instance_id AND a.u = r.u
+    GROUP BY ALL) n JOIN recurring.r o ON o.instance_id = n.instance_id AND o.u = n.v WHERE n.m < o.label)"""
+
+
+@query("d6_components_trade", f"""
+WITH {_TRADE_LABELS} SELECT 'trade' AS batch, instance_id, u, label FROM r""")
+def d6_trade(v):
+    v.keep("edges")
+    return G.components(v.vertices, v.edges)
+
+
+@query("d7_topology_issues", f"""
+WITH {_CLOSURE}, {_degree_sql('route_edges', 'route_sizes')}
+k AS (SELECT instance_id, count(DISTINCT label) AS c FROM c GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, code, 'affects 1' AS message FROM (
+  SELECT batch, instance_id, CASE CAST(instance_id AS BIGINT) % 3
+    WHEN 0 THEN CASE WHEN m <> n*(n - 1)/2 THEN 'wrong_complete_topology' END
+    WHEN 1 THEN CASE WHEN m <> n OR c <> 1 THEN 'wrong_cycle_topology' END
+    ELSE CASE WHEN (CASE WHEN iso > 0 THEN 0 ELSE lo END) <> 3 OR hi <> 3 THEN 'wrong_regular_topology' END END AS code
+  FROM g JOIN k USING (instance_id)) t WHERE code IS NOT NULL""")
+def d7(v):
+    v.keep("route_edges")
+    counts = G.component_counts(G.component_labels(v.route_edges))
+    facts = C.graph_facts(v.route_edges, v.route_sizes, counts)
+    kind = F.element_at(F.array(F.lit("complete"), F.lit("cycle"), F.lit("random_regular")),
+                        (F.col("instance_id").cast("bigint") % 3 + 1).cast("int"))
+    params = v.route_sizes.select(*KEY, kind.alias("graph_type"), F.lit(3).alias("degree"))
+    return C.topology_issues(facts, params)
+
+
+@query("d8_colorable")
+def d8(v):
+    v.keep("route_edges")
+    return union(*[
+        G.colorable(v.route_vertices, v.route_edges, k).withColumn("k", F.lit(k)) for k in (2, 3)])
+
+
+@query("d8_two_colorable", """
+WITH RECURSIVE a AS (SELECT instance_id, u, v FROM {route_edges} UNION ALL SELECT instance_id, v, u FROM {route_edges}),
+r(instance_id, s, u, odd) AS (
+  SELECT instance_id, u, u, false FROM {route_vertices}
+  UNION SELECT r.instance_id, r.s, a.v, NOT r.odd FROM r JOIN a ON a.instance_id = r.instance_id AND a.u = r.u)
+SELECT 'routes' AS batch, instance_id, NOT bool_or(u = s AND odd) AS colorable FROM r GROUP BY instance_id""")
+def d8_two(v):
+    v.keep("route_edges")
+    return G.colorable(v.route_vertices, v.route_edges, 2)
+
+
+@query("d9b_perfect_partition", """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY i) AS k FROM {numbers}),
+f AS (SELECT instance_id, count(*) AS n, sum(value) AS total FROM {numbers} GROUP BY ALL),
+r(instance_id, k, s) AS (
+  SELECT DISTINCT instance_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {numbers}
+  UNION SELECT r.instance_id, o.k, r.s + CASE WHEN b.b = 1 THEN o.value ELSE 0 END
+  FROM r JOIN o ON o.instance_id = r.instance_id AND o.k = r.k + 1, (VALUES (0), (1)) b(b))
+SELECT 'months' AS batch, f.instance_id, bool_or(r.k = f.n AND 2*r.s = f.total) AS perfect_partition_exists
+FROM f JOIN r USING (instance_id) GROUP BY f.instance_id""")
+def d9b(v):
+    v.keep("numbers")
+    return G.perfect_partition(v.numbers)
+
+
+@query("d10_frustration")
+def d10(v):
+    v.keep("route_couplings")
+    return G.frustration(v.route_couplings, v.route_sizes)
+
+
+@query("d10_cycle_basis_size", f"""
+WITH {_CLOSURE},
+k AS (SELECT instance_id, count(DISTINCT label) AS c, count(*) AS n FROM c GROUP BY ALL),
+m AS (SELECT instance_id, count(*) AS m FROM {{route_edges}} GROUP BY ALL),
+b AS (  -- balanced iff the signed double cover never joins a vertex with its own negative
+  SELECT DISTINCT instance_id FROM (
+    SELECT instance_id, s, bool_or(u = s AND sign = -1) AS odd FROM walk GROUP BY ALL) w WHERE odd),
+j AS (SELECT instance_id, i, j, CASE WHEN coupling > 0 THEN -1 ELSE 1 END AS d FROM {{route_couplings}}
+      UNION ALL SELECT instance_id, j, i, CASE WHEN coupling > 0 THEN -1 ELSE 1 END FROM {{route_couplings}}),
+walk(instance_id, s, u, sign) AS (
+  SELECT instance_id, u, u, 1 FROM {{route_vertices}}
+  UNION SELECT w.instance_id, w.s, j.j, w.sign*j.d FROM walk w JOIN j ON j.instance_id = w.instance_id AND j.i = w.u)
+SELECT 'routes' AS batch, k.instance_id, coalesce(m, 0) - n + c AS cycle_basis_size,
+       b.instance_id IS NOT NULL AS frustrated
+FROM k LEFT JOIN m USING (instance_id) LEFT JOIN b USING (instance_id)""")
+def d10_size(v):
+    v.keep("route_couplings")
+    return G.frustration(v.route_couplings, v.route_sizes).select(
+        *KEY, "cycle_basis_size",
+        (F.col("frustrated_cycle_basis_count") > 0).alias("frustrated"))
+
+
+# --- families --------------------------------------------------------------------------------
+
+
+@query("u2_gcd_agg", """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY i) AS k FROM {numbers}),
+r(instance_id, k, g) AS (
+  SELECT instance_id, k, value FROM o WHERE k = 1
+  UNION ALL SELECT o.instance_id, o.k, gcd(r.g, o.value) FROM r JOIN o ON o.instance_id = r.instance_id AND o.k = r.k + 1)
+SELECT 'months' AS batch, instance_id, arg_max(g, k) AS gcd FROM r GROUP BY instance_id""")
+def u2(v):
+    v.keep("numbers")
+    return gcd_by(v.numbers, KEY, "value")
+
+
+@query("d9_partition_stats", long_sql(f"""
+SELECT batch, instance_id, {stat_aggs('value', 'v')}, sum(value) AS s, length(bin(max(value))) AS bits,
+       1 - count(DISTINCT value)/count(*) AS dup, max(value)/sum(value) AS dom, g.gcd
+FROM {{numbers}} JOIN (
+  SELECT instance_id, max(d) AS gcd FROM (
+    SELECT n.instance_id, d FROM {{numbers}} n, range(1, 101) r(d) GROUP BY n.instance_id, d
+    HAVING bool_and(n.value % d = 0)) t GROUP BY ALL) g USING (instance_id)
+GROUP BY batch, instance_id, g.gcd""", {
+    **stat_sql("number_statistics", "v"), "number_sum": "s", "number_bit_length": "bits",
+    "numbers_gcd": "gcd", "duplicate_number_fraction": "dup",
+    "largest_number_fraction_of_sum": "dom"}))
+def d9(v):
+    v.keep("numbers")
+    return rounded(D.partition_stats(v.numbers))
+
+
+@query("d9_partition_issues", """
+WITH f AS (SELECT s.batch, s.instance_id, count(value) AS n, count(*) FILTER (WHERE value > 95) AS hi
+           FROM {route_sizes} s LEFT JOIN {numbers} n USING (instance_id) GROUP BY s.batch, s.instance_id)
+SELECT 'months' AS batch, instance_id, 'error' AS severity, 'invalid_partition_numbers' AS code, 'affects 1' AS message
+FROM f WHERE n <> 12
+UNION ALL SELECT 'months', instance_id, 'error', 'partition_value_out_of_range', concat('affects ', CAST(hi AS VARCHAR))
+FROM f WHERE hi > 0""")
+def d9_issues(v):
+    params = v.route_sizes.select(
+        F.lit("months").alias("batch"), "instance_id", F.lit(12).alias("num_numbers"),
+        F.lit(1).alias("min_value"), F.lit(95).alias("max_value"))
+    return D.partition_issues(v.numbers, params)
+
+
+@query("d11_spin_stats", long_sql(f"""
+SELECT s.batch, s.instance_id, num_vertices AS n, h.*, j.* FROM {{sizes}} s
+JOIN (SELECT instance_id AS hid, {stat_aggs('h', 'h')}, count(*) FILTER (WHERE h <> 0) AS nz FROM {{fields}} GROUP BY ALL) h
+  ON hid = s.instance_id
+JOIN (SELECT instance_id AS jid, {stat_aggs('coupling', 'j')}, count(*) FILTER (WHERE coupling > 0) AS pos
+      FROM {{couplings}} GROUP BY ALL) j ON jid = s.instance_id""", {
+    **stat_sql("field_statistics", "h"), **stat_sql("coupling_statistics", "j"),
+    "nonzero_fields": "nz", "realized_field_fraction": "nz/n", "positive_coupling_fraction": "pos/j_count"}))
+def d11(v):
+    v.keep("edges")
+    return rounded(D.spin_stats(v.fields, v.couplings, v.sizes))
+
+
+def _values_sql(vertices: str) -> str:
+    return f"""v AS (SELECT batch, instance_id, {stat_aggs('value', 'v')}, count(*) AS n FROM {{{vertices}}} GROUP BY ALL),"""
+
+
+_VALUE_KEYS = {**stat_sql("vertex_value_statistics", "v"), "penalty_safe_threshold": "v_max",
+               "penalty_margin": "15 - v_max"}
+
+
+def _price(table, price: float):
+    return table.select(*KEY).distinct().withColumn("penalty", F.lit(price))
+
+
+@query("d12_independent_set_stats", long_sql("""
+SELECT v.*, m FROM v JOIN (SELECT instance_id, count(*) AS m FROM {route_edges} GROUP BY ALL) e USING (instance_id)""",
+    {**_VALUE_KEYS, "conflicting_vertex_pairs": "m"}, _values_sql("route_vertices")))
+def d12(v):
+    v.keep("route_edges")
+    return rounded(D.independent_set_stats(v.route_vertices, v.route_edges,
+                                           _price(v.route_sizes, 15.0)))
+
+
+@query("d12_value_issues", """
+WITH f AS (SELECT batch, instance_id, count(*) FILTER (WHERE value > 18) AS hi FROM {route_vertices} GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, 'vertex_value_out_of_range' AS code,
+       concat('affects ', CAST(hi AS VARCHAR)) AS message FROM f WHERE hi > 0""")
+def d12_issues(v):
+    return D.value_issues(v.route_vertices, v.route_sizes.select(
+        *KEY, "num_vertices", F.lit(True).alias("weighted_vertices"),
+        F.lit(1).alias("min_vertex_value"), F.lit(18).alias("max_vertex_value")))
+
+
+@query("d13_clique_stats", long_sql("""
+SELECT v.*, n*(n - 1)/2 - m AS k FROM v
+JOIN (SELECT instance_id, count(*) AS m FROM {route_edges} GROUP BY ALL) e USING (instance_id)""",
+    {**_VALUE_KEYS, "clique_non_edges": "k", "clique_qubo_constraint_density": "k/(n*(n - 1)/2)"},
+    _values_sql("route_vertices")))
+def d13(v):
+    v.keep("route_edges")
+    missing = E.complement(v.route_vertices, v.route_edges)
+    return rounded(D.clique_stats(v.route_vertices, missing, _price(v.route_sizes, 15.0)))
+
+
+@query("d13_clique_issues", """
+SELECT batch, instance_id, 'error' AS severity, 'invalid_non_edges' AS code, 'affects 1' AS message
+FROM (SELECT batch, instance_id, count(*) FILTER (WHERE u = 0) AS k FROM {route_edges} GROUP BY ALL) t WHERE k > 0""")
+def d13_issues(v):
+    v.keep("route_edges")
+    # edges at vertex 0 are dropped from the graph but not added to the stored non-edges
+    missing = E.complement(v.route_vertices, v.route_edges)
+    return D.clique_issues(v.route_edges.where("u <> 0"), missing, v.route_sizes)
+
+
+@query("d14_cut_stats", long_sql(
+    f"SELECT batch, instance_id, sum(w) AS s, {stat_aggs('w', 'w')} FROM {{edges}} GROUP BY ALL",
+    {"total_edge_weight": "s", **stat_sql("edge_weight_statistics", "w")}))
+def d14(v):
+    return rounded(D.cut_stats(v.edges))
+
+
+@query("d14_cut_issues", """
+SELECT batch, instance_id, 'error' AS severity, 'cut_weight_out_of_range' AS code,
+       concat('affects ', CAST(count(*) AS VARCHAR)) AS message
+FROM {route_edges} WHERE w > 2 GROUP BY ALL""")
+def d14_issues(v):
+    return D.cut_issues(v.route_edges, v.route_sizes.select(
+        *KEY, F.lit(True).alias("weighted"), F.lit(1).alias("min_edge_weight"),
+        F.lit(2).alias("max_edge_weight")))
+
+
+@query("d15_coloring_stats", long_sql("SELECT batch, instance_id, num_vertices AS n FROM {route_sizes}", {
+    "colors": "3", "coloring_variables": "n*3", "one_color_to_edge_penalty_ratio": "2.0"}))
+def d15(v):
+    return rounded(D.coloring_stats(v.route_sizes, 3, 2.0, 1.0))
+
+
+@query("d16_knapsack_stats", long_sql(f"""
+SELECT i.batch, i.instance_id, {stat_aggs('weight', 'w')}, {stat_aggs('value', 'v')}, sum(weight) AS tw,
+       sum(value) AS tv, count(*) AS n, c, count(*) FILTER (WHERE weight <= c) AS fits, b.*
+FROM {{items}} i JOIN cap USING (instance_id)
+LEFT JOIN (SELECT instance_id AS bid, {stat_aggs('v', 'b')}, sum(v) AS bs FROM {{bonuses}} GROUP BY ALL) b ON bid = i.instance_id
+GROUP BY ALL""", {
+    **stat_sql("item_weight_statistics", "w"), **stat_sql("item_value_statistics", "v"),
+    **stat_sql("quadratic_bonus_statistics", "b"), "items_fitting_individually": "fits",
+    "capacity": "c", "slack_variables": "length(bin(c))",
+    "quadratic_bonus_density": "b_count/(n*(n - 1)/2)", "capacity_fraction_of_total_weight": "c/tw",
+    "penalty_safe_threshold": "tv + bs", "penalty_margin": "500 - tv - bs"},
+    "cap AS (SELECT instance_id, CAST(greatest(1, floor(sum(weight)*0.5)) AS BIGINT) AS c FROM {items} GROUP BY ALL),"))
+def d16(v):
+    v.keep("items", "bonuses")
+    capacity = E.knapsack_capacity(v.items, 0.5)
+    slack = E.slack_weights(capacity)
+    return rounded(D.knapsack_stats(v.items, v.bonuses, capacity, slack, _price(v.items, 500.0)))
+
+
+@query("d16_knapsack_issues", """
+WITH f AS (SELECT batch, instance_id, count(*) AS n, sum(weight) AS w FROM {items} GROUP BY ALL),
+g AS (SELECT instance_id, max(i) + 1 AS top FROM {items} GROUP BY ALL),
+b AS (SELECT instance_id, count(*) AS k FROM {bonuses} JOIN g USING (instance_id) WHERE j >= 45 GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, code, message FROM (
+  SELECT batch, instance_id, 'invalid_item_weights' AS code, 'affects 1' AS message FROM f WHERE n <> 45
+  UNION ALL SELECT batch, instance_id, 'invalid_item_values', 'affects 1' FROM f WHERE n <> 45
+  UNION ALL SELECT f.batch, f.instance_id, 'invalid_quadratic_bonus', concat('affects ', CAST(k AS VARCHAR)) FROM f JOIN b USING (instance_id)
+  UNION ALL SELECT batch, instance_id, 'invalid_slack_encoding', 'affects 1' FROM f WHERE length(bin(CAST(floor(w*0.5) AS BIGINT))) > 8) t""")
+def d16_issues(v):
+    v.keep("items", "bonuses")
+    capacity = E.knapsack_capacity(v.items, 0.5)
+    # slack bits beyond the eighth are missing, so larger capacities cannot be represented
+    slack = E.slack_weights(capacity).where("k < 8")
+    params = v.items.select(*KEY).distinct().withColumn("num_items", F.lit(45).cast("bigint"))
+    return D.knapsack_issues(v.items, v.bonuses, capacity, slack, params)
+
+
+@query("d17_packing_stats", long_sql(f"""
+SELECT v.*, z.*, o.o, u.used, d.dup FROM
+(SELECT batch, instance_id, {stat_aggs('value', 'v')}, count(*) AS n FROM {{set_values}} GROUP BY ALL) v
+JOIN (SELECT instance_id AS zid, {stat_aggs('size', 's')} FROM (
+  SELECT instance_id, set_id, count(*) AS size FROM {{members}} GROUP BY ALL) t GROUP BY ALL) z ON zid = instance_id
+LEFT JOIN (SELECT instance_id AS oid, count(*) AS o FROM (
+  SELECT DISTINCT a.instance_id, a.set_id, b.set_id FROM {{members}} a JOIN {{members}} b
+  ON a.instance_id = b.instance_id AND a.element = b.element AND a.set_id < b.set_id) t GROUP BY ALL) o ON oid = instance_id
+JOIN (SELECT instance_id AS uid, count(DISTINCT element) AS used FROM {{members}} GROUP BY ALL) u ON uid = instance_id
+JOIN (SELECT instance_id AS did, count(*) - count(DISTINCT e) AS dup FROM (
+  SELECT instance_id, set_id, array_agg(element ORDER BY element) AS e FROM {{members}} GROUP BY ALL) t GROUP BY ALL) d ON did = instance_id""", {
+    **stat_sql("set_size_statistics", "s"), **stat_sql("set_value_statistics", "v"),
+    "penalty_safe_threshold": "v_max", "penalty_margin": "5 - v_max", "duplicate_sets": "dup",
+    "overlapping_set_pairs": "coalesce(o, 0)",
+    "overlap_density": "CASE WHEN n > 1 THEN coalesce(o, 0)/(n*(n - 1)/2) ELSE 0 END",
+    "unused_universe_elements": "84 - used"}))
+def d17(v):
+    v.keep("members")
+    universe = v.set_values.select(*KEY).distinct().withColumn(
+        "universe_size", F.lit(84).cast("bigint"))
+    return rounded(D.packing_stats(v.members, v.set_values, universe, _price(v.set_values, 5.0)))
+
+
+@query("d17_packing_issues", """
+WITH s AS (SELECT batch, instance_id, count(*) AS n FROM {set_values} GROUP BY ALL),
+m AS (SELECT instance_id, count(DISTINCT set_id) AS out_sets FROM {members} WHERE element >= 70 GROUP BY ALL),
+o AS (SELECT a.instance_id, count(*) AS k FROM {members} a JOIN {members} b
+      ON a.instance_id = b.instance_id AND a.element = b.element AND a.set_id < b.set_id
+      WHERE a.set_id % 5 = 0 GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, code, message FROM (
+  SELECT batch, instance_id, 'invalid_set_count' AS code, 'affects 1' AS message FROM s WHERE n <> 20
+  UNION ALL SELECT s.batch, s.instance_id, 'set_element_out_of_range', concat('affects ', CAST(out_sets AS VARCHAR)) FROM s JOIN m USING (instance_id)
+  UNION ALL SELECT s.batch, s.instance_id, 'invalid_overlap_data', concat('affects ', CAST(k AS VARCHAR)) FROM s JOIN o USING (instance_id)) t""")
+def d17_issues(v):
+    v.keep("members")
+    # stored overlaps lack those of every fifth set
+    stored = E.set_overlaps(v.members).where("a % 5 <> 0")
+    params = v.set_values.select(*KEY).distinct().select(
+        *KEY, F.lit(20).alias("num_sets"), F.lit(70).alias("universe_size"))
+    return D.packing_issues(v.members, v.set_values, stored, params)
+
+
+@query("d18_clause_stats", long_sql(f"""
+SELECT n.batch, n.instance_id, num_variables AS n, w.*, o.*, d.dup FROM {{small_clause_sizes}} n
+JOIN (SELECT instance_id AS wid, {stat_aggs('weight', 'w')} FROM {{small_clauses}} GROUP BY ALL) w ON wid = n.instance_id
+JOIN (SELECT instance_id AS oid, count(*) AS used, sum(c) AS lits, sum(p) AS pos, min(c) AS lo, max(c) AS hi, sum(c*c) AS sq
+  FROM (SELECT instance_id, variable, count(*) AS c, count(*) FILTER (WHERE NOT negated) AS p FROM {{small_literals}} GROUP BY ALL) t
+  GROUP BY ALL) o ON oid = n.instance_id
+JOIN (SELECT instance_id AS did, count(*) - count(DISTINCT (a, b, c, na, nb, nc)) AS dup FROM {{small_clauses}} GROUP BY ALL) d
+  ON did = n.instance_id""", {
+    "boolean_variables": "n", "clauses": "w_count", "clause_to_variable_ratio": "w_count/n",
+    **stat_sql("clause_weight_statistics", "w"), "variable_occurrence_statistics.count": "n",
+    "variable_occurrence_statistics.min": "CASE WHEN used < n THEN 0 ELSE lo END",
+    "variable_occurrence_statistics.max": "hi", "variable_occurrence_statistics.mean": "lits/n",
+    "variable_occurrence_statistics.std": "sqrt(greatest(0, sq/n - (lits/n)*(lits/n)))",
+    "positive_literal_fraction": "pos/lits", "duplicate_clauses": "dup",
+    "unused_boolean_variables": "n - used", "ancilla_variables": "0",
+    "has_planted_solution": "0"}))
+def d18(v):
+    v.keep("small_clauses")
+    return rounded(D.clause_stats(v.small_literals, v.small_clauses, v.small_clause_sizes, 3))
+
+
+@query("d18_clause_issues", """
+WITH c AS (SELECT *, weight - CASE WHEN c = 9 THEN 3 ELSE 0 END AS w,
+             CASE WHEN na THEN 3 ELSE 2 END AS size FROM {small_clauses}),
+f AS (SELECT batch, instance_id, count(*) FILTER (WHERE w <= 0 OR size <> 3) AS bad,
+             count(*) FILTER (WHERE w > 0 AND size = 3 AND c >= 8) AS out
+      FROM c GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity, 'invalid_clause' AS code, concat('affects ', CAST(bad AS VARCHAR)) AS message
+FROM f WHERE bad > 0
+UNION ALL SELECT batch, instance_id, 'error', 'literal_out_of_range', concat('affects ', CAST(out AS VARCHAR)) FROM f WHERE out > 0""")
+def d18_issues(v):
+    v.keep("small_clauses")
+    clauses = v.small_clauses.withColumn(
+        "weight", F.col("weight") - F.when(F.col("c") == 9, 3).otherwise(0))
+    # clauses whose first literal is not negated lose it
+    literals = v.small_literals.join(
+        v.small_clauses.select(*KEY, "clause_id", "na"), [*KEY, "clause_id"]).where(
+        "na OR pos > 0").drop("na")
+    sizes = v.small_clause_sizes.withColumn("num_variables", F.lit(8))
+    return D.clause_issues(literals, clauses, sizes, 3)
+
+
+_PLANTED = """
+SELECT batch, instance_id, i, (CAST(instance_id AS BIGINT) + i*i) % 2 + CASE WHEN i = 5 AND CAST(instance_id AS BIGINT) % 11 = 0 THEN 2 ELSE 0 END AS x
+FROM (SELECT batch, instance_id, SERIES(10) AS i FROM {small_clause_sizes}) s"""
+
+
+@query("d19_planted_issues", f"""
+WITH p AS ({_PLANTED.replace('SERIES(10)', 'unnest(generate_series(CAST(0 AS BIGINT), CAST(9 AS BIGINT)))')}),
+bad AS (SELECT DISTINCT instance_id FROM p WHERE x NOT IN (0, 1)),
+l AS (SELECT l.instance_id, l.clause_id, bool_and(p.x = CASE WHEN negated THEN 1 ELSE 0 END) AS f
+      FROM {{small_literals}} l JOIN p ON p.instance_id = l.instance_id AND p.i = l.variable GROUP BY ALL)
+SELECT 'small_sat' AS batch, instance_id, 'error' AS severity, 'invalid_planted_assignment' AS code, 'affects 1' AS message FROM bad
+UNION ALL SELECT 'small_sat', instance_id, 'error', 'broken_planted_assignment', concat('affects ', CAST(count(*) AS VARCHAR))
+FROM l WHERE f AND instance_id NOT IN (SELECT instance_id FROM bad) GROUP BY instance_id""")
+def d19(v):
+    v.keep("small_clauses")
+    return D.planted_issues(v.small_literals, v.sql(_PLANTED), v.small_clause_sizes)
+
+
+@query("d19_ancilla_issues", """
+WITH f AS (SELECT batch, instance_id, count(*) AS m, count(*) FILTER (WHERE clause_id % 5 <> 0) AS a FROM {small_clauses} GROUP BY ALL)
+SELECT batch, instance_id, 'error' AS severity,
+  CASE WHEN CAST(instance_id AS BIGINT) % 2 = 0 THEN 'invalid_ancilla_count' ELSE 'unexpected_ancillas' END AS code, 'affects 1' AS message
+FROM f WHERE CASE WHEN CAST(instance_id AS BIGINT) % 2 = 0 THEN a <> m ELSE a > 0 END""")
+def d19_ancillas(v):
+    v.keep("small_clauses")
+    # a fifth of the ancilla records is missing; odd instances claim to be 2-SAT
+    ancillas = v.small_clauses.where("clause_id % 5 <> 0").select(*KEY, "clause_id")
+    params = v.small_clause_sizes.select(*KEY, F.when(
+        F.col("instance_id").cast("bigint") % 2 == 0, 3).otherwise(2).alias("clause_size"))
+    return D.ancilla_issues(v.small_clauses, ancillas, params)
+
+
+@query("d20_satisfiable", """
+WITH m AS (SELECT DISTINCT instance_id,
+  CAST(CASE WHEN na THEN 0 ELSE 1 << a END + CASE WHEN nb THEN 0 ELSE 1 << b END + CASE WHEN nc THEN 0 ELSE 1 << c END AS BIGINT) AS pos,
+  CAST(CASE WHEN na THEN 1 << a ELSE 0 END + CASE WHEN nb THEN 1 << b ELSE 0 END + CASE WHEN nc THEN 1 << c ELSE 0 END AS BIGINT) AS neg
+  FROM {small_clauses}),
+s AS (SELECT m.instance_id, r.a, bool_or((r.a & pos) = 0 AND (r.a & neg) = neg) AS broken
+      FROM m, range(0, 1024) r(a) GROUP BY ALL)
+SELECT 'small_sat' AS batch, instance_id, bool_or(NOT broken) AS satisfiable FROM s GROUP BY instance_id""")
+def d20(v):
+    v.keep("small_clauses")
+    return D.satisfiable(v.small_literals, v.small_clause_sizes)
+
+
+@query("d21_direct_stats", long_sql(f"""
+SELECT s.batch, s.instance_id, num_variables AS n, a.*, q.q, x.active FROM {{raw_sizes}} s
+JOIN (SELECT instance_id AS aid, {stat_aggs('v', 'c')}, count(*) FILTER (WHERE v > 0) AS p, count(*) FILTER (WHERE v < 0) AS m
+      FROM t GROUP BY ALL) a ON aid = s.instance_id
+JOIN (SELECT instance_id AS qid, count(*) AS q FROM q GROUP BY ALL) q ON qid = s.instance_id
+JOIN (SELECT instance_id AS xid, count(DISTINCT i) AS active FROM (
+  SELECT instance_id, i FROM l UNION ALL SELECT instance_id, i FROM q UNION ALL SELECT instance_id, j FROM q) u GROUP BY ALL) x
+  ON xid = s.instance_id""", {
+    "realized_quadratic_density": "q/(n*(n - 1)/2)", "requested_quadratic_density": "0.5",
+    "positive_coefficient_fraction": "p/c_count", "negative_coefficient_fraction": "m/c_count",
+    "stored_zero_coefficients": "0", "inactive_random_variables": "n - active",
+    **stat_sql("random_coefficient_statistics", "c")}, """
+l AS (SELECT instance_id, i, sum(v) AS v FROM (SELECT instance_id, i, v FROM {raw_linear}
+        UNION ALL SELECT instance_id, i, v FROM {raw_quadratic} WHERE i = j) x GROUP BY ALL HAVING abs(sum(v)) > 1e-12),
+q AS (SELECT instance_id, least(i, j) AS i, greatest(i, j) AS j, sum(v) AS v FROM {raw_quadratic} WHERE i <> j
+      GROUP BY ALL HAVING abs(sum(v)) > 1e-12),
+t AS (SELECT instance_id, v FROM l UNION ALL SELECT instance_id, v FROM q),"""))
+def d21(v):
+    batch = E.encode_direct(v.raw_linear, v.raw_quadratic, v.raw_sizes)
+    requested = v.raw_sizes.select(*KEY, F.lit(0.5).alias("quadratic_density"))
+    return rounded(D.direct_stats(batch, requested))
+
+
+# --- warnings and composition ----------------------------------------------------------------
+
+
+@query("d22_warnings", f"""
+WITH {_CLOSURE}, {_degree_sql('route_edges', 'route_sizes')}
+k AS (SELECT instance_id, count(DISTINCT label) AS c FROM c GROUP BY ALL),
+v AS (SELECT instance_id, max(value) AS top FROM {{route_vertices}} GROUP BY ALL),
+f AS (SELECT g.*, k.c, v.top FROM g JOIN k USING (instance_id) JOIN v USING (instance_id)),
+p AS (SELECT instance_id, max(value)/sum(value) AS dom, count(DISTINCT value) AS dist FROM {{numbers}} GROUP BY ALL),
+s AS (SELECT instance_id, count(*) - count(DISTINCT (a, b, c, na, nb, nc)) AS dup,
+        10 - (SELECT count(DISTINCT variable) FROM {{small_literals}} l WHERE l.instance_id = q.instance_id) AS unused,
+        (count(*) FILTER (WHERE NOT na) + count(*) FILTER (WHERE NOT nb) + count(*) FILTER (WHERE NOT nc))/(3.0*count(*)) AS share
+      FROM {{small_clauses}} q GROUP BY instance_id)
+SELECT batch, instance_id, 'warning' AS severity, code, message FROM (
+  SELECT batch, instance_id, 'disconnected_graph' AS code, 'affects 1' AS message FROM f WHERE c > 1
+  UNION ALL SELECT batch, instance_id, 'isolated_vertices', 'affects 1' FROM f WHERE iso > 0
+  UNION ALL SELECT batch, instance_id, 'complete_conflict_graph', 'affects 1' FROM f WHERE m = n*(n - 1)/2
+  UNION ALL SELECT batch, instance_id, 'weak_penalty', 'affects 1' FROM f WHERE 15 <= top
+  UNION ALL SELECT 'months', instance_id, 'dominant_partition_number', 'affects 1' FROM p WHERE dom > 0.5
+  UNION ALL SELECT 'months', instance_id, 'identical_partition_numbers', 'affects 1' FROM p WHERE dist = 1
+  UNION ALL SELECT 'small_sat', instance_id, 'duplicate_clauses', 'affects 1' FROM s WHERE dup > 0
+  UNION ALL SELECT 'small_sat', instance_id, 'unused_boolean_variables', 'affects 1' FROM s WHERE unused > 0
+  UNION ALL SELECT 'small_sat', instance_id, 'literal_sign_imbalance', 'affects 1' FROM s WHERE share < 0.2 OR share > 0.8) t""")
+def d22(v):
+    from bitloom.functions.stats import melt
+
+    v.keep("route_edges", "numbers", "small_clauses")
+    counts = G.component_counts(G.component_labels(v.route_edges))
+    facts = union(
+        melt(C.graph_facts(v.route_edges, v.route_sizes, counts)),
+        melt(D.value_facts(v.route_vertices, _price(v.route_sizes, 15.0))),
+        melt(D.partition_facts(v.numbers)),
+        melt(D.clause_facts(v.small_literals, v.small_clauses, v.small_clause_sizes, 3)))
+    kinds = {"routes": "independent_set", "months": "number_partitioning",
+             "small_sat": "max_sat"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("batch"))
+    instances = facts.select(*KEY).distinct().withColumn("problem_type", kind)
+    return C.warnings(facts, instances)
+
+
+_RAW_BROKEN = """
+b AS (SELECT batch, instance_id, count(*) AS k FROM {raw_quadratic} WHERE NOT (i < j) GROUP BY ALL)"""
+
+
+@query("d23_merge_validation", f"""
+WITH {_RAW_BROKEN}
+SELECT s.batch, s.instance_id, CASE WHEN k > 0 THEN 'failed' ELSE 'passed' END AS status,
+       CAST(s.instance_id AS BIGINT) % 2 = 0 AS has_warnings, 1 AS validator_version,
+       c.n AS keys, c.top AS shared_value
+FROM {{raw_sizes}} s LEFT JOIN b USING (instance_id),
+LATERAL (SELECT CAST(2 AS BIGINT) AS n, CAST(2 AS DOUBLE) AS top) c""")
+def d23(v):
+    sizes = v.raw_sizes
+    batch = Batch(E.instances_of(sizes, "raw"), v.raw_linear, v.raw_quadratic)
+    warned = sizes.where(F.col("instance_id").cast("bigint") % 2 == 0).select(
+        *KEY, F.lit("warning").alias("severity"), F.lit("empty_graph").alias("code"),
+        F.lit("").alias("message"))
+
+    def part(key, value):
+        return sizes.select(*KEY, F.lit(key).alias("key"), F.lit(float(value)).alias("value"),
+                            F.lit(None).cast("string").alias("text"))
+
+    _, characteristics, status = C.merge_validation(
+        batch.instances, [C.term_issues(batch), warned],
+        [part("shared", 1), part("own", 5), part("shared", 2)])
+    merged = characteristics.groupBy(*KEY).agg(
+        F.count("*").alias("keys"),
+        F.max(F.when(F.col("key") == "shared", F.col("value"))).alias("shared_value"))
+    return status.join(merged, KEY)
+
+
+@query("d24_revalidate", """
+SELECT s.batch, s.instance_id, CASE WHEN bool_or(w > 6) THEN 'failed' ELSE 'passed' END AS status
+FROM {route_edges} e JOIN {route_sizes} s USING (batch, instance_id) GROUP BY ALL""")
+def d24(v):
+    v.keep("route_edges")
+    batch = E.encode_max_cut(v.route_edges, v.route_sizes.join(
+        v.route_edges.select(*KEY).distinct(), KEY, "left_semi"))
+    params = v.route_sizes.select(*KEY, F.lit(True).alias("weighted"),
+                                  F.lit(1).alias("min_edge_weight"),
+                                  F.lit(6).alias("max_edge_weight"))
+    return revalidate(batch, [D.cut_issues(v.route_edges, params)],
+                      [D.cut_stats(v.route_edges)])[2].select(*KEY, "status")
+
+
+# parameters supplied per customer: some out of range, mistyped or unknown
+_SUPPLIED = """
+SELECT batch, instance_id, name, value, kind FROM (
+  SELECT 'params' AS batch, CAST(c_custkey AS STRING) AS instance_id, SERIES(4) AS slot, c_nationkey, c_mktsegment, c_custkey
+  FROM {customer}) c,
+LATERAL (SELECT CASE slot WHEN 0 THEN 'num_vertices' WHEN 1 THEN 'edge_probability' WHEN 2 THEN 'graph_type' ELSE 'extra' END AS name,
+  CASE slot WHEN 0 THEN CAST(c_nationkey AS STRING) WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'high' ELSE '0.5' END
+    WHEN 2 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'cycle' ELSE lower(c_mktsegment) END ELSE '1' END AS value,
+  CASE slot WHEN 0 THEN 'integer' WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'string' ELSE 'number' END
+    WHEN 2 THEN 'string' ELSE 'integer' END AS kind) x"""
+
+
+def declared_parameters(spark):
+    """Declared parameters of the graph families (fixed values)."""
+    from bitloom.operators.validation import PARAMETER_SCHEMA
+
+    kinds = ["erdos_renyi", "random_regular", "cycle", "complete"]
+    rows = [
+        ("graph", "num_vertices", "integer", "20", 2.0, None, None, False),
+        ("graph", "graph_type", "choice", "erdos_renyi", None, None, kinds, False),
+        ("graph", "edge_probability", "number", "0.25", 0.0, 1.0, None, False),
+        ("graph", "degree", "integer", "3", 1.0, None, None, False),
+        ("graph", "penalty", "number", None, 0.0, None, None, True)]
+    return spark.createDataFrame(rows, PARAMETER_SCHEMA)
+
+
+def _checked_parameters(v):
+    subjects = v.customer.select(
+        F.lit("params").alias("batch"), F.col("c_custkey").cast("string").alias("instance_id"),
+        F.lit("graph").alias("owner"))
+    return C.validate_parameters(declared_parameters(v.spark), subjects, v.sql(_SUPPLIED))
+
+
+@query("d25_validate_parameters", """
+SELECT 'params' AS batch, CAST(c_custkey AS VARCHAR) AS instance_id, 'error' AS severity, code, message FROM customer,
+LATERAL (SELECT * FROM (VALUES
+  ('unknown_parameter', 'extra', true),
+  ('parameter_below_minimum', 'num_vertices', c_nationkey < 2),
+  ('invalid_parameter_type', 'edge_probability', c_custkey % 3 = 0),
+  ('invalid_parameter_type', 'graph_type', c_mktsegment <> 'BUILDING')) t(code, message, hit) WHERE hit) x""")
+def d25(v):
+    return _checked_parameters(v)[1]
+
+
+@query("d25_normalized_parameters", """
+SELECT 'params' AS batch, CAST(c_custkey AS VARCHAR) AS instance_id, name, value FROM customer,
+LATERAL (SELECT * FROM (VALUES
+  ('num_vertices', CAST(c_nationkey AS VARCHAR), c_nationkey >= 2),
+  ('edge_probability', '0.5', c_custkey % 3 <> 0), ('graph_type', 'cycle', c_mktsegment = 'BUILDING'),
+  ('degree', '3', true), ('penalty', NULL, true)) t(name, value, hit) WHERE hit) x""")
+def d25_values(v):
+    return _checked_parameters(v)[0]
+
+
