@@ -20,9 +20,9 @@ def portable_hash(seed, i, j=0) -> Column:
     """Integer in ``[0, 2147483647)``."""
     seed, i, j = _long(seed), _long(i), _long(j)
     z = (seed * 1000003 + i * 48271 + j * 69621 + 12345) % MODULUS
-    z = F.transform(F.array(z), lambda a: (a * a + a * 16807 + 11) % MODULUS)
-    z = F.transform(z, lambda a: (a * a + a * 48271 + i + 7) % MODULUS)
-    return F.transform(z, lambda a: (a * 69621 + j + 3) % MODULUS)[0]
+    z = (z * z + z * 16807 + 11) % MODULUS
+    z = (z * z + z * 48271 + i + 7) % MODULUS
+    return (z * 69621 + j + 3) % MODULUS
 
 
 def uniform(seed, i, j=0) -> Column:

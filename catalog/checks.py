@@ -244,14 +244,14 @@ def d10(v):
 WITH {_CLOSURE},
 k AS (SELECT instance_id, count(DISTINCT label) AS c, count(*) AS n FROM c GROUP BY ALL),
 m AS (SELECT instance_id, count(*) AS m FROM {{route_edges}} GROUP BY ALL),
-b AS (  -- balanced iff the signed double cover never joins a vertex with its own negative
-  SELECT DISTINCT instance_id FROM (
-    SELECT instance_id, s, bool_or(u = s AND sign = -1) AS odd FROM walk GROUP BY ALL) w WHERE odd),
 j AS (SELECT instance_id, i, j, CASE WHEN coupling > 0 THEN -1 ELSE 1 END AS d FROM {{route_couplings}}
       UNION ALL SELECT instance_id, j, i, CASE WHEN coupling > 0 THEN -1 ELSE 1 END FROM {{route_couplings}}),
 walk(instance_id, s, u, sign) AS (
   SELECT instance_id, u, u, 1 FROM {{route_vertices}}
-  UNION SELECT w.instance_id, w.s, j.j, w.sign*j.d FROM walk w JOIN j ON j.instance_id = w.instance_id AND j.i = w.u)
+  UNION SELECT w.instance_id, w.s, j.j, w.sign*j.d FROM walk w JOIN j ON j.instance_id = w.instance_id AND j.i = w.u),
+b AS (  -- balanced iff the signed double cover never joins a vertex with its own negative
+  SELECT DISTINCT instance_id FROM (
+    SELECT instance_id, s, bool_or(u = s AND sign = -1) AS odd FROM walk GROUP BY ALL) w WHERE odd)
 SELECT 'routes' AS batch, k.instance_id, coalesce(m, 0) - n + c AS cycle_basis_size,
        b.instance_id IS NOT NULL AS frustrated
 FROM k LEFT JOIN m USING (instance_id) LEFT JOIN b USING (instance_id)""")
