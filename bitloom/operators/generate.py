@@ -172,50 +172,55 @@ def degree_issues(grid: DataFrame, n: str = "n", degree: str = "degree") -> Data
             "message"))
 
 
-def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree", attempts: int = 20,
-                   rounds: int = 12) -> DataFrame:
+def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree",
+                   rounds: int = 200) -> DataFrame:
     """Random d-regular simple graphs by pairing shuffled stubs: key, u, v.
 
-    A round pairs all open stubs of all instances in hash order and keeps pairs that are no loop,
-    no repeat and not yet an edge; the rest goes to the next round. Instances that stop gaining
-    edges start again with a new seed. Impossible ones (``degree_issues``) are left out; an
-    instance that fails every attempt raises.
+    A round pairs the open stubs of all instances in hash order and keeps pairs that are no loop,
+    no repeat and not yet an edge; the other stubs stay open. An instance that gained nothing in a
+    round starts again, as a new ``attempt``. Impossible ones (``degree_issues``) are left out and
+    ``d = n - 1`` is the complete graph. Raises if some instance is still open after ``rounds``.
     """
-    todo = grid.select(*KEY, "seed", F.col(n).cast("bigint").alias("n"),
-                       F.col(degree).cast("bigint").alias("d")).where(
+    wanted = grid.select(*KEY, "seed", F.col(n).cast("bigint").alias("n"),
+                         F.col(degree).cast("bigint").alias("d")).where(
         "d < n AND (d * n) % 2 = 0 AND d > 0")
-    finished = None
-    for attempt in range(attempts):
-        kept, stubs = None, cut(spread_range(spread_range(todo, "n", "u"), "d", "c").select(
-            *KEY, "seed", "u", "c"))
-        for step in range(rounds):
-            stream = SHUFFLE + 1000 * attempt + step
-            ordered = index_variables(
-                stubs.withColumn("_o", portable_hash(
-                    F.col("seed") + stream, F.col("u"), F.col("c"))), ["_o", "u", "c"], name="at")
-            pairs = ordered.groupBy(*KEY, F.shiftright("at", 1).alias("p")).agg(
-                F.min(F.struct("u", "c", "seed")).alias("a"), F.max(F.struct("u", "c")).alias("b"))
-            pairs = pairs.where("a.u <> b.u").select(
-                *KEY, "p", F.col("a.seed").alias("seed"), F.col("a.u").alias("u"),
-                F.col("b.u").alias("v"), F.col("a.c").alias("cu"), F.col("b.c").alias("cv"))
-            one = pairs.groupBy(*KEY, "u", "v").agg(F.min(F.struct("p", "cu", "cv")).alias("s"))
-            if kept is not None:
-                one = one.join(kept, [*KEY, "u", "v"], "left_anti")
-            new = cut(one.select(*KEY, "u", "v", "s.cu", "s.cv"))
-            used = union(new.select(*KEY, "u", F.col("cu").alias("c")),
-                         new.select(*KEY, F.col("v").alias("u"), F.col("cv").alias("c")))
-            kept = cut(new.select(*KEY, "u", "v") if kept is None
-                       else kept.unionByName(new.select(*KEY, "u", "v")))
-            stubs = cut(stubs.join(used, [*KEY, "u", "c"], "left_anti"))
-            if stubs.isEmpty() or new.isEmpty():
-                break
-        open_ = stubs.select(*KEY).distinct()
-        done = kept.join(open_, KEY, "left_anti")
-        finished = done if finished is None else finished.unionByName(done)
-        todo = cut(todo.join(open_, KEY, "left_semi"))
-        if todo.isEmpty():
-            return finished
-    raise RuntimeError(f"no regular graph found within {attempts} attempts")
+    full = complete_graph(wanted.where("d = n - 1"))
+    todo = cut(wanted.where("d < n - 1").withColumn("attempt", F.lit(0).cast("bigint")))
+    state = [*KEY, "attempt"]
+
+    def fresh(instances: DataFrame) -> DataFrame:
+        return spread_range(spread_range(instances, "n", "u"), "d", "c").select(
+            *state, "seed", "u", "c")
+
+    open_, edges, restarts = fresh(todo), None, todo.select(*state)
+    for step in range(rounds):
+        ordered = index_variables(
+            open_.withColumn("_o", portable_hash(
+                F.col("seed") + SHUFFLE + step, F.col("u"), F.col("c") + 1000 * F.col("attempt"))),
+            ["_o", "u", "c"], name="at")
+        pairs = ordered.groupBy(*state, F.shiftright("at", 1).alias("p")).agg(
+            F.min(F.struct("u", "c")).alias("a"), F.max(F.struct("u", "c")).alias("b"))
+        new = pairs.where("a.u <> b.u").groupBy(
+            *state, F.col("a.u").alias("u"), F.col("b.u").alias("v")).agg(
+            F.min(F.struct("p", F.col("a.c").alias("cu"), F.col("b.c").alias("cv"))).alias("s"))
+        if edges is not None:
+            new = new.join(edges, [*state, "u", "v"], "left_anti")
+        new = cut(new.select(*state, "u", "v", "s.cu", "s.cv"))
+        found = new.select(*state, "u", "v")
+        edges = found if edges is None else edges.unionByName(found)
+        used = union(new.select(*state, "u", F.col("cu").alias("c")),
+                     new.select(*state, F.col("v").alias("u"), F.col("cv").alias("c")))
+        left = ordered.select(*state, "seed", "u", "c").join(used, [*state, "u", "c"], "left_anti")
+        stuck = cut(left.select(*state).distinct().join(
+            new.select(*KEY).distinct(), KEY, "left_anti"))
+        again = todo.drop("attempt").join(
+            stuck.withColumn("attempt", F.col("attempt") + 1), KEY)
+        restarts = restarts.unionByName(again.select(*state))
+        open_ = union(left.join(stuck.select(*KEY), KEY, "left_anti"), fresh(again))
+        if stuck.isEmpty() and left.isEmpty():
+            last = restarts.groupBy(*KEY).agg(F.max("attempt").alias("attempt"))
+            return full.unionByName(edges.join(last, state, "left_semi").select(*KEY, "u", "v"))
+    raise RuntimeError(f"no regular graph found within {rounds} rounds")
 
 
 def random_sets(grid: DataFrame, sets: str = "num_sets", universe: str = "universe_size",

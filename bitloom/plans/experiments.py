@@ -51,12 +51,17 @@ def plan_tasks(problems: DataFrame, solvers: DataFrame, results: DataFrame | Non
 
     ``problems``: key, path_dir, stem, problem_order. ``solvers``: entry, solver_type,
     instance_name, replicas, increment_seed, has_seed, default_seed, parameters (map). The solver
-    list is the few rows of one experiment configuration; it travels with every problem as one
-    array (its size is that of the plan, not of the data). ``results``: batch, result_set.
+    list is the handful of entries of one experiment configuration; it meets the problems as a
+    single row. ``results``: batch, result_set.
     """
     if order not in ("problem_first", "solver_first"):
         raise ValueError("order must be problem_first or solver_first")
-    named = run_names(solvers)
+    # one row: the entries of the configuration; replicas unfold after they met the problems
+    packed = solvers.agg(F.array_sort(F.collect_list(F.struct(
+        "entry", "solver_type", "instance_name", "replicas", "increment_seed", "has_seed",
+        "default_seed", F.map_entries("parameters").alias("parameters")))).alias("entries"))
+    rows = problems.join(packed).select(*problems.columns, F.inline("entries")).withColumn(
+        "parameters", F.map_from_entries("parameters"))
     base = F.coalesce(F.expr("try_cast(parameters['seed'] AS bigint)"), F.col("default_seed"),
                       F.lit(0).cast("bigint"))
     seeded = F.when(
@@ -65,15 +70,9 @@ def plan_tasks(problems: DataFrame, solvers: DataFrame, results: DataFrame | Non
                      F.create_map(F.lit("seed"),
                                   (base + F.col("replica") - 1).cast("string")))
     ).otherwise(F.col("parameters"))
-    configured = named.select(
-        "entry", "solver_type", "replica", F.col("run_name").alias("instance_name"),
-        seeded.alias("parameters"))
-    packed = configured.agg(F.array_sort(F.collect_list(F.struct(
-        "entry", "replica", "solver_type", "instance_name",
-        F.map_entries("parameters").alias("parameters")))).alias("runs"))
-    tasks = problems.join(F.broadcast(packed)).select(
-        *problems.columns, F.inline("runs")).withColumn(
-        "parameters", F.map_from_entries("parameters"))
+    tasks = run_names(rows).select(
+        *problems.columns, "entry", "replica", "solver_type",
+        F.col("run_name").alias("instance_name"), seeded.alias("parameters"))
     if results is not None:
         tasks = tasks.join(results.select("batch", "result_set"), "batch")
     else:

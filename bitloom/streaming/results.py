@@ -52,3 +52,22 @@ def stream_incumbent(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*KEY, "solver").agg(
         F.min(F.struct("energy", "run_id")).alias("best")).select(
         *KEY, "solver", F.col("best.energy").alias("energy"), F.col("best.run_id").alias("run_id"))
+
+
+def write_incumbents(runs: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """Log the incumbents that a micro-batch changed to ``epoch=<id>`` of the sink."""
+
+    def append(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    writer = (stream_incumbent(runs).writeStream.outputMode("update").foreachBatch(append)
+              .option("checkpointLocation", checkpoint))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_incumbents(spark: SparkSession, sink: str) -> DataFrame:
+    """Incumbents as of the latest epoch that touched them."""
+    log = spark.read.parquet(sink)
+    return log.groupBy(*KEY, "solver").agg(
+        F.max_by(F.struct("energy", "run_id"), F.col("epoch").cast("bigint")).alias("r")).select(
+        *KEY, "solver", "r.*")

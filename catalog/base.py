@@ -255,7 +255,10 @@ class Views:
 
 
 def duck(sql: str) -> str:
-    """DuckDB text of a query over views: ``{name}`` becomes a CTE or a table name."""
+    """DuckDB text of a query over views: ``{name}`` becomes a CTE or a table name.
+
+    ``@"`` stands for the ``{"`` that starts JSON text.
+    """
     chain: dict[str, str] = {}
 
     def visit(text: str) -> None:
@@ -266,7 +269,7 @@ def duck(sql: str) -> str:
 
     def fill(text: str) -> str:
         text = re.sub(r"\{(\w+)\}", lambda m: f"fx_{m[1]}" if m[1] in VIEWS else m[1], text)
-        return _series(text, False)
+        return _series(text, False).replace('@"', '{"')
 
     visit(sql)
     ctes = [f"fx_{n} AS ({fill(t)})" for n, t in chain.items()]

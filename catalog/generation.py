@@ -111,7 +111,7 @@ def g6(v):
 def g7(v):
     grid = v.customer.select(
         F.lit("regular").alias("batch"), F.col("c_custkey").cast("string").alias("instance_id"),
-        F.col("c_custkey").alias("seed"), (2 * F.col("c_nationkey") + 4).cast("bigint").alias("n"),
+        F.col("c_custkey").alias("seed"), (2 * F.col("c_nationkey") + 16).cast("bigint").alias("n"),
         F.lit(3).cast("bigint").alias("degree"))
     return G.random_regular(grid)
 
