@@ -17,9 +17,14 @@ PARTITION_COUNT_LIMIT = 24
 PARTITION_TOTAL_LIMIT = 1_000_000
 
 
-def _print_of(df: DataFrame) -> tuple:
-    """Row count and order-free fingerprint, to see whether a round changed anything."""
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first())
+def _is_settled(edges: DataFrame) -> bool:
+    """Are the (a, b) edges stars: every ``b`` has one edge and is nobody's centre?"""
+    roles = union(
+        edges.select(*KEY, F.col("b").alias("u"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
+        edges.select(*KEY, F.col("a").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return roles.groupBy(*KEY, "u").agg(
+        F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where(
+        "leaf > 1 OR (leaf = 1 AND centre = 1)").isEmpty()
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -31,26 +36,23 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """
     current = cut(edges.where("u <> v").select(
         *KEY, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    last = _print_of(current)
     for _ in range(MAX_ROUNDS):
+        if _is_settled(current):
+            leaves = current.select(*KEY, F.col("b").alias("u"), F.col("a").alias("label"))
+            roots = current.select(*KEY, F.col("a").alias("u"), F.col("a").alias("label")).distinct()
+            return union(leaves, roots)
         both = union(current.select(*KEY, F.col("b").alias("u"), F.col("a").alias("n")),
                      current.select(*KEY, F.col("a").alias("u"), F.col("b").alias("n")))
         lowest = both.groupBy(*KEY, "u").agg(
             F.least(F.col("u"), F.min("n")).alias("m"))
         large = both.where("n > u").join(lowest, [*KEY, "u"]).where("n <> m").select(
-            *KEY, F.col("m").alias("a"), F.col("n").alias("b")).distinct()
+            *KEY, F.col("m").alias("a"), F.col("n").alias("b"))
         down = large.groupBy(*KEY, "b").agg(F.min("a").alias("m"))
         small = union(
             large.join(down, [*KEY, "b"]).where("a <> m").select(
                 *KEY, F.col("m").alias("a"), F.col("a").alias("b")),
             down.select(*KEY, F.col("m").alias("a"), "b")).distinct()
         current = cut(small)
-        seen = _print_of(current)
-        if seen == last:
-            leaves = current.select(*KEY, F.col("b").alias("u"), F.col("a").alias("label"))
-            roots = current.select(*KEY, F.col("a").alias("u"), F.col("a").alias("label")).distinct()
-            return union(leaves, roots)
-        last = seen
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
 
 

@@ -12,23 +12,28 @@ def pairs_within(df: DataFrame, group: list[str], order: str, cell: int = CELL)
     """All pairs ``a.order < b.order`` of one group, columns suffixed ``_a`` and ``_b``.
 
     The pairs *are* the result here (an expanded square has one coefficient per pair), so none is
-    left out. A group of ``g`` rows is cut into ``ceil(g / cell)`` blocks and the join key is
-    ``(group, block_a, block_b)``: no task ever sees more than ``cell`` rows of a side.
+    left out. Groups of up to ``cell`` rows meet in a plain self-join whose two sides share one
+    shuffle. A larger group is cut into ``ceil(size / cell)`` blocks and joined on ``(group,
+    block_a, block_b)``, so that no task holds more than about ``cell`` rows of a side.
     """
     payload = [c for c in df.columns if c not in group]
-    sizes = df.groupBy(*group).agg(
-        F.ceil(F.count("*") / F.lit(float(cell))).cast("bigint").alias("_blocks"))
-    sized = df.join(sizes, group).withColumn(
-        "_own", F.pmod(F.xxhash64(order), F.col("_blocks")))
+    large = df.groupBy(*group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > cell).select(
+        *group, F.ceil(F.col("_rows") / cell).cast("bigint").alias("_blocks"))
+
+    def side(rows: DataFrame, suffix: str, *extra) -> DataFrame:
+        return rows.select(*group, *extra, *[F.col(c).alias(f"{c}_{suffix}") for c in payload])
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col(f"{order}_a") < F.col(f"{order}_b")).select(
+            *group, *[f"{c}_{s}" for s in ("a", "b") for c in payload])
+
+    small = df.join(large, group, "left_anti")
+    plain = ordered(side(small, "a").join(side(small, "b"), group))
+    cut_up = df.join(large, group).withColumn("_own", F.pmod(F.xxhash64(order), F.col("_blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
-    left = sized.select(
-        *group, F.col("_own").alias("_block_a"), every.alias("_block_b"),
-        *[F.col(c).alias(f"{c}_a") for c in payload])
-    right = sized.select(
-        *group, every.alias("_block_a"), F.col("_own").alias("_block_b"),
-        *[F.col(c).alias(f"{c}_b") for c in payload])
-    return (
-        left.join(right, [*group, "_block_a", "_block_b"])
-        .where(F.col(f"{order}_a") < F.col(f"{order}_b"))
-        .drop("_block_a", "_block_b")
-    )
+    own = F.col("_own")
+    cells = ordered(
+        side(cut_up, "a", own.alias("_block_a"), every.alias("_block_b")).join(
+            side(cut_up, "b", every.alias("_block_a"), own.alias("_block_b")),
+            [*group, "_block_a", "_block_b"]))
+    return plain.unionByName(cells)
