@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def gcd_agg(values: pd.Series) -> int:
     """gcd of the non-null values of a group, 0 for none."""
     return int(np.gcd.reduce(values.dropna().to_numpy(dtype="int64"), initial=0))
