@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from bitloom.operators.ising import from_ising
 from bitloom.operators.pairing import pairs_within
+from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import (
-    accumulate, accumulate_linear, accumulate_offset, drop_tiny, product_terms, slack_weights,
+    accumulate, accumulate_linear, accumulate_offset, drop_tiny, fold_diagonal, slack_weights,
     square_terms, union,
 )
 from bitloom.schemas import KEY, Batch
@@ -286,10 +287,47 @@ def encode_spin_glass(fields: DataFrame, couplings: DataFrame,
 def encode_direct(linear: DataFrame, quadratic: DataFrame, sizes: DataFrame | None = None,
                   offsets: DataFrame | None = None) -> Batch:
     """Coefficients that already are the model."""
-    from bitloom.operators.terms import fold_diagonal
-
     quadratic, linear = fold_diagonal(quadratic, linear)
     if sizes is None:
         sizes = sizes_from(union(linear.select(*KEY, "i"),
                                  quadratic.select(*KEY, F.col("j").alias("i"))), "i")
     return _finish(sizes, "random_qubo", linear, accumulate(quadratic), offsets)
+
+
+# How each family names its variables.
+VARIABLE_WORDS = {
+    "max_cut": "vertex", "independent_set": "vertex", "maximum_clique": "vertex",
+    "number_partitioning": "number", "set_packing": "set", "spin_glass": "spin",
+    "random_qubo": "binary",
+}
+
+
+def variable_table(batch: Batch, colors: int | None = None,
+                   primary: DataFrame | None = None) -> DataFrame:
+    """Readable names of all variables of a batch: key, i, name.
+
+    ``colors`` is needed for colourings; ``primary`` (key, primary: the number of items or Boolean
+    variables) for knapsacks and formulas, whose later variables are slack bits and ancillas.
+    """
+    size = batch.instances.select(*KEY, "problem_type", "num_variables")
+    size = size.withColumn("primary", F.lit(None).cast("bigint")) if primary is None else \
+        size.join(primary.select(*KEY, F.col("primary").cast("bigint").alias("primary")), KEY, "left")
+    rows = spread_range(size, "num_variables", "i")
+    i, kind, extra = F.col("i"), F.col("problem_type"), F.col("i") - F.col("primary")
+    word = F.element_at(F.create_map(*[
+        F.lit(x) for pair in VARIABLE_WORDS.items() for x in pair]), kind)
+    later = F.col("primary").isNotNull() & (extra >= 0)
+    k = colors or 1
+
+    def text(*parts):
+        return F.concat_ws("_", *[F.lit(p) if isinstance(p, str) else p.cast("string")
+                                  for p in parts])
+
+    name = (
+        F.when(kind == "graph_coloring", text("vertex", F.floor(i / k), "color", i % k))
+        .when(kind == "quadratic_knapsack",
+              F.when(later, text("capacity_slack", extra)).otherwise(text("item", i)))
+        .when(kind == "max_sat",
+              F.when(later, text("clause", extra, "ancilla")).otherwise(text("boolean", i)))
+        .otherwise(text(word, i)))
+    return rows.select(*KEY, "i", name.alias("name"))

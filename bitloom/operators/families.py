@@ -157,23 +157,24 @@ def coloring_stats(sizes: DataFrame, colors: int, one_color_penalty: float, edge
 def slack_reach(slack: DataFrame) -> DataFrame:
     """Largest ``c`` such that 0..c are all subset sums by the "no gap" rule: key, represented.
 
-    Weights are taken in order and the sum stops before the first weight above ``sum + 1`` (or
-    not positive). Rows are first summed per distinct weight: duplicates of a reached weight are
-    reached too. What remains per instance has at most as many reached weights as bits in the
-    answer, and one window row per distinct weight.
+    Weights are taken in order until one exceeds the sum so far by more than 1 (or is not
+    positive). Among weights of one bit length only the smallest can open such a gap: once it
+    fits, the sum has at least doubled it. So one row per bit length decides, at most 64 of them.
     """
     from pyspark.sql import Window
 
-    grouped = slack.groupBy(*KEY, "weight").agg(F.sum("weight").alias("amount"))
-    earlier = Window.partitionBy(*KEY).orderBy("weight").rowsBetween(
+    weight = F.col("weight")
+    bits = F.when(weight > 0, F.length(F.bin("weight"))).otherwise(0)
+    grouped = slack.groupBy(*KEY, bits.alias("bits")).agg(
+        F.min("weight").alias("low"), F.sum("weight").alias("amount"))
+    earlier = Window.partitionBy(*KEY).orderBy("bits").rowsBetween(
         Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*KEY).orderBy("weight").rowsBetween(
+    upto = Window.partitionBy(*KEY).orderBy("bits").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     reached = F.coalesce(F.sum("amount").over(earlier), F.lit(0))
     gap = grouped.withColumn(
-        "gap", ((F.col("weight") <= 0) | (F.col("weight") > reached + 1)).cast("int"))
-    open_ = gap.withColumn("gaps", F.sum("gap").over(upto))
-    return open_.groupBy(*KEY).agg(
+        "gap", ((F.col("low") <= 0) | (F.col("low") > reached + 1)).cast("int"))
+    return gap.withColumn("gaps", F.sum("gap").over(upto)).groupBy(*KEY).agg(
         F.coalesce(F.sum(F.when(F.col("gaps") == 0, F.col("amount"))), F.lit(0))
         .alias("represented"))
 

@@ -172,32 +172,33 @@ def degree_issues(grid: DataFrame, n: str = "n", degree: str = "degree") -> Data
             "message"))
 
 
-def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree",
+def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree", parallel: int = 4,
                    rounds: int = 200) -> DataFrame:
     """Random d-regular simple graphs by pairing shuffled stubs: key, u, v.
 
     A round pairs the open stubs of all instances in hash order and keeps pairs that are no loop,
-    no repeat and not yet an edge; the other stubs stay open. An instance that gained nothing in a
-    round starts again, as a new ``attempt``. Impossible ones (``degree_issues``) are left out and
-    ``d = n - 1`` is the complete graph. Raises if some instance is still open after ``rounds``.
+    no repeat and not yet an edge; the other stubs stay open. An attempt that gained nothing in a
+    round is given up; an instance without a live attempt starts ``parallel`` new ones, and the
+    first attempt to finish wins. Impossible instances (``degree_issues``) are left out and
+    ``d = n - 1`` is the complete graph. Raises if some instance is open after ``rounds``.
     """
     wanted = grid.select(*KEY, "seed", F.col(n).cast("bigint").alias("n"),
                          F.col(degree).cast("bigint").alias("d")).where(
         "d < n AND (d * n) % 2 = 0 AND d > 0")
-    full = complete_graph(wanted.where("d = n - 1"))
-    todo = cut(wanted.where("d < n - 1").withColumn("attempt", F.lit(0).cast("bigint")))
+    todo = cut(wanted.where("d < n - 1"))
     state = [*KEY, "attempt"]
 
-    def fresh(instances: DataFrame) -> DataFrame:
-        return spread_range(spread_range(instances, "n", "u"), "d", "c").select(
-            *state, "seed", "u", "c")
+    def stubs(attempts: DataFrame) -> DataFrame:
+        of = todo.join(attempts, KEY)
+        return spread_range(spread_range(of, "n", "u"), "d", "c").select(*state, "seed", "u", "c")
 
-    open_, edges, restarts = fresh(todo), None, todo.select(*state)
+    alive = todo.select(*KEY, F.lit(0).cast("bigint").alias("attempt"))
+    open_, edges, winners = stubs(alive), None, None
     for step in range(rounds):
         ordered = index_variables(
             open_.withColumn("_o", portable_hash(
                 F.col("seed") + SHUFFLE + step, F.col("u"), F.col("c") + 1000 * F.col("attempt"))),
-            ["_o", "u", "c"], name="at")
+            ["_o", "u", "c"], state, "at")
         pairs = ordered.groupBy(*state, F.shiftright("at", 1).alias("p")).agg(
             F.min(F.struct("u", "c")).alias("a"), F.max(F.struct("u", "c")).alias("b"))
         new = pairs.where("a.u <> b.u").groupBy(
@@ -211,15 +212,23 @@ def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree",
         used = union(new.select(*state, "u", F.col("cu").alias("c")),
                      new.select(*state, F.col("v").alias("u"), F.col("cv").alias("c")))
         left = ordered.select(*state, "seed", "u", "c").join(used, [*state, "u", "c"], "left_anti")
-        stuck = cut(left.select(*state).distinct().join(
-            new.select(*KEY).distinct(), KEY, "left_anti"))
-        again = todo.drop("attempt").join(
-            stuck.withColumn("attempt", F.col("attempt") + 1), KEY)
-        restarts = restarts.unionByName(again.select(*state))
-        open_ = union(left.join(stuck.select(*KEY), KEY, "left_anti"), fresh(again))
-        if stuck.isEmpty() and left.isEmpty():
-            last = restarts.groupBy(*KEY).agg(F.max("attempt").alias("attempt"))
-            return full.unionByName(edges.join(last, state, "left_semi").select(*KEY, "u", "v"))
+        unfinished = cut(left.select(*state).distinct().join(
+            new.select(*state, F.lit(True).alias("gained")).distinct(), state, "left"))
+        won = alive.join(unfinished, state, "left_anti").groupBy(*KEY).agg(
+            F.min("attempt").alias("attempt"))
+        winners = won if winners is None else winners.unionByName(won)
+        going = unfinished.where("gained").select(*state).join(won, KEY, "left_anti")
+        again = alive.select(*KEY).distinct().join(won, KEY, "left_anti").join(
+            going, KEY, "left_anti").withColumn("attempt", F.explode(F.expr(
+                f"sequence({(step + 1) * parallel}L, {(step + 2) * parallel - 1}L)")))
+        alive = cut(union(going.withColumn("fresh", F.lit(False)),
+                          again.withColumn("fresh", F.lit(True))))
+        open_ = union(left.join(alive.where("NOT fresh").select(*state), state, "left_semi"),
+                      stubs(alive.where("fresh").select(*state)))
+        alive = alive.select(*state)
+        if alive.isEmpty():
+            return complete_graph(wanted.where("d = n - 1")).unionByName(
+                edges.join(winners, state, "left_semi").select(*KEY, "u", "v"))
     raise RuntimeError(f"no regular graph found within {rounds} rounds")
 
 

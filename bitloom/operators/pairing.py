@@ -17,6 +17,9 @@ def pairs_within(df: DataFrame, group: list[str], order: str, cell: int = CELL)
     block_a, block_b)``, so that no task holds more than about ``cell`` rows of a side.
     """
     payload = [c for c in df.columns if c not in group]
+    # one filter for every use of the rows, so that a shuffle below them is shared
+    for c in [*group, order]:
+        df = df.where(F.col(c).isNotNull())
     large = df.groupBy(*group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > cell).select(
         *group, F.ceil(F.col("_rows") / cell).cast("bigint").alias("_blocks"))
 

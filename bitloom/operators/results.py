@@ -53,7 +53,8 @@ def verify_results(results: DataFrame, batch: Batch) -> DataFrame:
 
     ``results``: key, run_id, sample (array), reported_energy (NULL takes the recomputed one).
     """
-    numbered = index_variables(results, ["run_id"], name="sample_id")
+    numbered = results.join(
+        index_variables(results.select(*RUN), ["run_id"], name="sample_id"), RUN)
     checked = _recompute(numbered, batch).withColumn(
         "reported_energy", F.coalesce("reported_energy", "recomputed_energy"))
     return _graded(checked).drop("sample_id")
@@ -128,7 +129,9 @@ def verify_checkpoints(checkpoints: DataFrame, results: DataFrame, batch: Batch)
 
     ``results``: key, run_id, sample, energy. Returns (checkpoints with verdict, issue rows).
     """
-    numbered = index_variables(checkpoints, ["run_id", "idx"], name="sample_id")
+    place = [*RUN, "idx"]
+    numbered = checkpoints.join(
+        index_variables(checkpoints.select(*place), ["run_id", "idx"], name="sample_id"), place)
     checked = _graded(_recompute(numbered, batch)).drop("sample_id")
     last = checked.groupBy(*RUN).agg(F.max_by(
         F.struct("sample", "recomputed_energy"), "idx").alias("last"))

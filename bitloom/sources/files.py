@@ -84,15 +84,16 @@ NUMBER_COLUMNS = [
 
 
 def read_manifest(spark: SparkSession, paths: str | list[str],
-                  numbers: list[str] | None = None) -> DataFrame:
+                  numbers: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Manifest CSVs as text, listed numbers cast (NULL when they are none).
 
     Every path (or glob of equal headers) is read on its own, because manifests carry different
-    ``parameter.*`` and ``stat.*`` columns; the union fills the gaps with NULL.
+    ``parameter.*`` and ``stat.*`` columns; the union fills the gaps with NULL. Without
+    ``multi_line`` (no line breaks inside quotes) one large file is read by many tasks.
     """
     frames = [
         spark.read.option("header", "true").option("quote", '"').option("escape", '"')
-        .option("multiLine", "true").csv(p).withColumn("_path", F.col("_metadata.file_path"))
+        .option("multiLine", str(multi_line).lower()).csv(p).withColumn("_path", F.col("_metadata.file_path"))
         for p in ([paths] if isinstance(paths, str) else paths)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     text = F.col("_path")

@@ -17,7 +17,7 @@ def _latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(
         new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     payload = [c for c in both.columns if c not in keys and c != "_new"]
-    # a constant map-free order: newest side first, then the largest row for repeats in one side
+    # the new side wins; rows repeated within one side are settled by their largest values
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(payload)])
     picked = both.groupBy(*keys).agg(F.max(F.struct("_new", row.alias("r"))).alias("m"))
     return picked.select(*keys, *[

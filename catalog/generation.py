@@ -109,9 +109,9 @@ def g6(v):
 
 @query("g7_random_regular")
 def g7(v):
-    grid = v.customer.select(
-        F.lit("regular").alias("batch"), F.col("c_custkey").cast("string").alias("instance_id"),
-        F.col("c_custkey").alias("seed"), (2 * F.col("c_nationkey") + 16).cast("bigint").alias("n"),
+    grid = v.supplier.select(
+        F.lit("regular").alias("batch"), F.col("s_suppkey").cast("string").alias("instance_id"),
+        F.col("s_suppkey").alias("seed"), (2 * F.col("s_nationkey") + 16).cast("bigint").alias("n"),
         F.lit(3).cast("bigint").alias("degree"))
     return G.random_regular(grid)
 

@@ -74,6 +74,14 @@ def p2_issues(v):
     return P.run_name_issues(entries)
 
 
+@query("p3_seed_increments", f"""
+SELECT solver_type, instance_name, seed, count(*) AS tasks FROM ({_TASKS}) t GROUP BY ALL""")
+def p3(v):
+    tasks = P.plan_tasks(problems(v), solvers(v))
+    return tasks.groupBy("solver_type", "instance_name",
+                         F.col("parameters")["seed"].alias("seed")).agg(F.count("*").alias("tasks"))
+
+
 @query("p4_order_tasks", f"""
 SELECT batch, instance_id, instance_name, row_number() OVER (ORDER BY entry, ord, replica) - 1 AS queue_position FROM (
   SELECT p.batch, p.instance_id, r.run_name AS instance_name, r.entry, r.replica, CAST(p.stem AS BIGINT) AS ord

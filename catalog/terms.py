@@ -8,7 +8,7 @@ from bitloom.functions.pairs import pair_rank, pair_unrank
 from bitloom.operators import ising as S
 from bitloom.operators import terms as T
 from bitloom.operators.encoders import (
-    encode_max_cut, instances_of,
+    encode_max_cut, instances_of, variable_table,
 )
 from bitloom.schemas import KEY, Batch
 from catalog.base import query
@@ -147,6 +147,23 @@ def t9(v):
     return numbered.join(names, [*KEY, "i"]).select(*KEY, "vertex", "i", "name")
 
 
+@query("t9_variable_names", """
+SELECT batch, instance_id, i, concat('vertex_', CAST(i // 3 AS VARCHAR), '_color_', CAST(i % 3 AS VARCHAR)) AS name
+FROM (SELECT batch, instance_id, unnest(generate_series(CAST(0 AS BIGINT), CAST(35 AS BIGINT))) AS i FROM {route_sizes}) r
+UNION ALL
+SELECT batch, instance_id, i, CASE WHEN i < 10 THEN concat('boolean_', CAST(i AS VARCHAR))
+  ELSE concat('clause_', CAST(i - 10 AS VARCHAR), '_ancilla') END
+FROM (SELECT batch, instance_id, unnest(generate_series(CAST(0 AS BIGINT), 10 + m - 1)) AS i
+      FROM (SELECT batch, instance_id, count(*) AS m FROM {small_clauses} GROUP BY ALL) c) s""")
+def t9_names(v):
+    colored = Batch(instances_of(v.route_sizes.withColumn("num_variables", F.lit(36)),
+                                 "graph_coloring"), None, None)
+    counts = v.small_clauses.groupBy(*KEY).agg((F.count("*") + 10).alias("num_variables"))
+    formulas = Batch(instances_of(counts, "max_sat"), None, None)
+    return variable_table(colored, 3).unionByName(variable_table(
+        formulas, primary=counts.select(*KEY, F.lit(10).alias("primary"))))
+
+
 @query("t10_slack_weights", """
 WITH c AS (SELECT batch, instance_id, CAST(sum(weight) AS BIGINT) AS c FROM {items} GROUP BY ALL),
      k AS (SELECT *, unnest(generate_series(CAST(0 AS BIGINT), CAST(62 AS BIGINT))) AS k FROM c)
