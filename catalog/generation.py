@@ -219,7 +219,17 @@ def g14_bonuses(v):
     return G.random_bonuses(v.sql(GRID))
 
 
-@query("g15_generate_accepted")
+@query("g15_generate_accepted", f"""
+WITH t AS (SELECT *, seed + a*1000000000 AS s FROM ({GRID}) g, range(0, 5) r(a)),
+i AS (SELECT *, {span('n')} AS i FROM t), p AS (SELECT *, {span('n')} AS j FROM i),
+e AS (SELECT * FROM (SELECT *, i*(2*n - i - 1)//2 + j - i - 1 AS r FROM p WHERE i < j) q
+      WHERE density >= 1 OR (density > 0 AND {unit('s', 'r', str(PAIRS))} < density)),
+k AS (SELECT instance_id, a, count(DISTINCT u) AS touched FROM (
+        SELECT instance_id, a, i AS u FROM e UNION ALL SELECT instance_id, a, j FROM e) x GROUP BY ALL),
+ok AS (SELECT t.instance_id, min(t.a) AS a FROM t JOIN k ON k.instance_id = t.instance_id AND k.a = t.a
+       WHERE touched = n GROUP BY ALL)
+SELECT g.batch, g.instance_id, seed + coalesce(ok.a, 4)*1000000000 AS seed, ok.a IS NOT NULL AS accepted
+FROM ({GRID}) g LEFT JOIN ok USING (instance_id)""")
 def g15(v):
     """Random graphs regenerated until no vertex is isolated, as far as five attempts go."""
     grid = v.sql(GRID)
