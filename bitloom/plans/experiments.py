@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators.terms import canonical_json, index_variables
-from bitloom.schemas import KEY
 
 # Fixed value: characters no file name may contain.
 FORBIDDEN = '<>:"/\\|?*'

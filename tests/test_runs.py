@@ -25,7 +25,7 @@ def test_targets_round_up(spark):
 
 def test_run_names_and_seeds(spark):
     solvers = spark.createDataFrame(
-        [(0, "ocean_sa", "sa", 2, True, True, 5, {"seed": "40"}), (1, "exact", "ex", 1, True, False, None, {"a": "1"})],
+        [(0, "annealer", "sa", 2, True, True, 5, {"seed": "40"}), (1, "exact", "ex", 1, True, False, None, {"a": "1"})],
         "entry long, solver_type string, instance_name string, replicas long, increment_seed boolean, "
         "has_seed boolean, default_seed long, parameters map<string,string>")
     problems = spark.createDataFrame([("b", "i", "sub", "p", 0)], "batch string, instance_id string, path_dir string, stem string, problem_order long")
