@@ -9,14 +9,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.session import configure, cut
+from bitloom import session
 
 BATCH_BYTES = 4 << 20  # text that a task turns into arrays at a time
 WORDS_KEPT = 400_000  # distinct words whose derived values a task remembers
 
 
+# Runtime settings: shuffle files go when the query that made them ends (tables between the steps are
+# written, so nothing reads them again), and tasks hand text to Python in small batches.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    session.configure(spark)
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below ``spark.checkpoint.dir`` and go on from the table."""
+    prepare(df.sparkSession)
+    return session.cut(df)
 
 
 def column(name: str) -> Column:
@@ -147,3 +169,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def runs(batches, keys: int):
+    """Groups of equal leading ``keys`` columns in sorted Arrow batches: lists of column arrays.
+
+    Groups may cross batches. A group must fit a task, so callers bound it by tiles.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        borders = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for low, high in zip(borders, borders[1:], strict=False):
+            part = batch.slice(low, high - low)
+            if low == 0 and held:
+                same = all(held[-1].column(k)[0] == part.column(k)[0] for k in range(keys))
+                if same:
+                    held.append(part)
+                    continue
+                yield _whole(held)
+                held = []
+            if high == batch.num_rows:
+                held = [part]
+            else:
+                yield part.columns
+    if held:
+        yield _whole(held)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+    if len(parts) == 1:
+        return parts[0].columns
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import column, components, union
-from bitloom.session import cut
+from bitloom.llm.common import column, components, cut, union
 
 CHUNK = 16  # bits of a code that one table indexes
 

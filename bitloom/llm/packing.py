@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import column, number_rows, slices
-from bitloom.session import cut
+from bitloom.llm.common import column, cut, number_rows, slices
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 _WORDS_KEPT = 400_000

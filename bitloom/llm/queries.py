@@ -21,6 +21,13 @@ def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "class_id", "copies")
 
 
+def op6_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"), with_text=False).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     from bitloom.llm.sharding import shard_documents
 
@@ -30,11 +37,18 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), words=3, above=17, below=20).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from bitloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op8_kd_shards, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op6_recompression, op8_kd_shards, op9_minhash, op10_packing)}
 ORACLES: dict[str, str] = {}

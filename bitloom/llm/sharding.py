@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import column, number_rows
-from bitloom.session import cut
+from bitloom.llm.common import column, cut, number_rows
 
 POSITION_BITS, DIGIT, BINS = 28, 12, 4096
 HIGH_DIGITS, LOW_DIGITS = 5, 2  # 60 bits of position and text, 24 bits of row
+GROUP_SLACK = 20  # times the usual slack, to keep the copies of one text together
 NODES_SENT = 200_000  # splits that may be broadcast: one per open node, bounded by the shard count
 
 
@@ -27,14 +27,19 @@ def _raw(df: DataFrame, name: str) -> Column:
 
 def points(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"),
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One point per document: id, size, crc, tie, p (positions, 0 .. 2^28 - 1; null comes first)."""
+    """One point per document: id, size, crc, tie, p (positions, 0 .. 2^28 - 1; null comes first).
+
+    Copies of a text take the least of their metadata values, so that they share a position.
+    """
     text = column(text_column)
     raw = docs.select(
         column(id_column).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"),
         *[_raw(docs, name).alias(f"r{k}") for k, name in enumerate(dimensions)])
-    raw = cut(raw)
+    names = [f"r{k}" for k in range(len(dimensions))]
+    shared = raw.groupBy("crc", "size").agg(*[F.min(n).alias(n) for n in names])
+    raw = cut(raw.drop(*names).join(shared, ["crc", "size"]))
     bounds = raw.agg(*[f(f"r{k}").alias(f"{n}{k}") for k in range(len(dimensions))
                        for n, f in (("lo", F.min), ("hi", F.max))]).first()
     top = (1 << POSITION_BITS) - 1
@@ -102,7 +107,8 @@ def _splits(level: DataFrame, nodes: dict[int, tuple[int, int, float, float]]) -
             else:
                 low = low * BINS + row["bin"]
             near_before = want - before <= row["after"] - want
-            if last or min(want - before, row["after"] - want) <= slack:
+            whole_group = step == HIGH_DIGITS - 1  # the bin is one text: rather pass it than split it
+            if last or min(want - before, row["after"] - want) <= (GROUP_SLACK if whole_group else 1) * slack:
                 up = 0 if near_before else 1
                 if in_high:
                     found[node] = (dim, (high + up) << (DIGIT * (HIGH_DIGITS - 1 - step)), 0)
@@ -169,8 +175,8 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     The number of shards is given, or follows from ``target_bytes``. Returns one row per document:
     id, size (UTF-8 bytes of the text + 1), crc (CRC-32 of the text), shard, slot (gapless from 0
     in its shard). Every row counts, also with null id, text or metadata (null text: size 1, crc 0;
-    null metadata: the lowest position) and repeated rows. Equal texts with equal metadata stay side
-    by side in the tree's order, so that only a group that lies on a border is split. Fewer documents
+    null metadata: the lowest position) and repeated rows. Equal texts stay side by side in the
+    tree's order; only a group that lies on a border and outweighs a hundredth of a shard is split. Fewer documents
     than shards leave shards empty; an empty table gives no rows. Other columns are not read.
     """
     rows = cut(points(docs, dimensions, id_column, text_column))
