@@ -206,3 +206,41 @@ def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
     if len(parts) == 1:
         return parts[0].columns
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns
+
+
+class Features:
+    """Feature numbers of chunks, computed on first sight: ``derive(chunk) -> list[int]``.
+
+    ``limit`` bounds the chunks remembered; beyond it everything is forgotten between slices.
+    """
+
+    def __init__(self, derive, limit: int = WORDS_KEPT):
+        self.derive, self.limit = derive, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.flat, self.start = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk numbers of all texts in turn, and how many each text has."""
+        if len(self.words) > self.limit:
+            self.forget()
+        parts = [text.split() for text in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ids = numbered(self.words, [chunk for p in parts for chunk in p])
+        new = list(self.words)[len(self):] if len(self.words) > len(self) else []
+        if new:
+            rows = [self.derive(chunk) for chunk in new]
+            self.flat = np.concatenate([self.flat, np.array([x for row in rows for x in row], np.int32)])
+            ends = np.cumsum([len(row) for row in rows]) + self.start[-1]
+            self.start = np.concatenate([self.start, ends])
+        return ids, sizes
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Features of the numbered chunks in turn."""
+        count = self.start[ids + 1] - self.start[ids]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + count, count)]

@@ -21,6 +21,25 @@ def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "class_id", "copies")
 
 
+def op4_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.language import held_out
+    from bitloom.llm.quality import score_quality
+
+    scored = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                           lambda id_: ~held_out(id_, 5, 0))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.language import held_out, identify, learn
+
+    docs = table(spark, folder, "documents")
+    model = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    return identify(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op6_recompression(spark: SparkSession, folder: str) -> DataFrame:
     from bitloom.llm.substrings import remove_repeats
 
@@ -50,5 +69,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op6_recompression, op8_kd_shards, op9_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_nbsvm_quality, op5_language_mixture,
+                              op6_recompression, op8_kd_shards, op9_minhash, op10_packing)}
 ORACLES: dict[str, str] = {}
