@@ -209,7 +209,7 @@ def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
 
 
 class Features:
-    """Feature numbers of chunks, computed on first sight: ``derive(chunk) -> list[int]``.
+    """Feature numbers of chunks, computed on first sight: ``derive(new chunks) -> lists of numbers``.
 
     ``limit`` bounds the chunks remembered; beyond it everything is forgotten between slices.
     """
@@ -233,7 +233,7 @@ class Features:
         ids = numbered(self.words, [chunk for p in parts for chunk in p])
         new = list(self.words)[len(self):] if len(self.words) > len(self) else []
         if new:
-            rows = [self.derive(chunk) for chunk in new]
+            rows = self.derive(new)
             self.flat = np.concatenate([self.flat, np.array([x for row in rows for x in row], np.int32)])
             ends = np.cumsum([len(row) for row in rows]) + self.start[-1]
             self.start = np.concatenate([self.start, ends])

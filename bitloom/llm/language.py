@@ -38,7 +38,7 @@ def _grams(chunk: bytes) -> list[int]:
 def count_grams(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """N-gram counts of every language over all given documents: lang, gram, n."""
     def count(batches):
-        features, totals = Features(_grams), {}
+        features, totals = Features(lambda new: [_grams(c) for c in new]), {}
         for batch in batches:
             for low, high in slices(batch.column(0)):
                 texts = [t or b"" for t in batch.column(0)[low:high].to_pylist()]
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     languages, logs = model.languages, model.logs / len(ORDERS)
 
     def run(batches):
-        features = Features(_grams)
+        features = Features(lambda new: [_grams(c) for c in new])
         scores = np.zeros((0, len(languages)), np.float32)
         limit = max(1 << 18, (8 << 20) // max(1, len(languages)))
         for batch in batches:

@@ -8,6 +8,7 @@ by their rank within their length class.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -15,32 +16,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import column, cut, number_rows, slices
+from bitloom.llm.common import Features, column, cut, number_rows, slices
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-_WORDS_KEPT = 400_000
+# How the tokenizer's file splits lower-cased text before it looks at pairs.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CHUNKS_KEPT, _PIECES_KEPT = 700_000, 450_000
+_PLAIN = 0x0300  # below the first combining mark, normalisation leaves text alone
 
 
 class _Encoder:
-    """Ids of texts. No token spans white space, so a text's ids are those of its chunks in turn."""
+    """Ids of chunks between ASCII white space, which no token spans.
+
+    Chunks of plain letters are split as the tokenizer splits them, so that a word is encoded once,
+    whatever stands next to it; other chunks are encoded whole.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
+        self.tokenizer, self.split, self.seen = Tokenizer.from_file(path), regex.compile(_PIECES).findall, {}
 
-    def __call__(self, text: bytes) -> bytes:
-        """Ids of a UTF-8 text as little-endian unsigned 32-bit numbers; cut at ASCII white space."""
-        chunks, seen = text.split(), self.seen
-        new = [c for c in set(chunks) if c not in seen]
-        if new:
-            if len(seen) > _WORDS_KEPT:
-                seen.clear()
-                new = list(set(chunks))
-            for chunk, found in zip(new, self.tokenizer.encode_batch(
-                    [c.decode() for c in new], add_special_tokens=False), strict=True):
-                seen[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([seen[c] for c in chunks])
+    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+        parts = []
+        for chunk in chunks:
+            text = chunk.decode()
+            plain = text.isascii() or ord(max(text)) < _PLAIN
+            parts.append(self.split(text.lower()) if plain and "<|" not in text else [text])
+        if len(self.seen) > _PIECES_KEPT:
+            self.seen.clear()
+        new = list(dict.fromkeys(p for part in parts for p in part if p not in self.seen))
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.seen[piece] = found.ids
+        return [self.seen[part[0]] if len(part) == 1 else [x for p in part for x in self.seen[p]] for part in parts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,
@@ -52,17 +62,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """
 
     def encode(batches):
-        encoder, end = _Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        features, end = Features(_Encoder(tokenizer_path), _CHUNKS_KEPT), np.array([end_id], "<u4")
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 out = []
-                keys, texts = batch.column(0)[low:high].to_pylist(), batch.column(1)[low:high].to_pylist()
-                for key, text in zip(keys, texts, strict=True):
-                    ids = encoder(text or b"") + end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        part = ids[4 * start:4 * min(n, start + capacity)]
-                        out.append((key, start, len(part) // 4, zlib.crc32(part), n, part))
+                keys = batch.column(0)[low:high].to_pylist()
+                chunks, sizes = features.numbers([t or b"" for t in batch.column(1)[low:high].to_pylist()])
+                tokens = features.of(chunks).astype("<u4")
+                held = np.concatenate([[0], np.cumsum(features.start[chunks + 1] - features.start[chunks])])
+                borders = held[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                for key, first, last in zip(keys, borders, borders[1:], strict=False):
+                    ids = np.concatenate([tokens[first:last], end])
+                    for start in range(0, len(ids), capacity):
+                        part = ids[start:start + capacity].tobytes()
+                        out.append((key, start, len(part) // 4, zlib.crc32(part), len(ids), part))
                 cols = list(zip(*out, strict=True))
                 arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
                 if with_ids:

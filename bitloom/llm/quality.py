@@ -145,7 +145,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     edge = rows.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
 
     def features_of(batches):
-        features, totals = Features(_features), np.zeros((2, BUCKETS), np.int64)
+        features, totals = Features(lambda new: [_features(c) for c in new]), np.zeros((2, BUCKETS), np.int64)
         documents = np.zeros(2, np.int64)
         for batch in batches:
             for low, high, found in _documents(batch, 1, features):
@@ -193,7 +193,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Probability of label 1 for every document: id, score. Null and empty texts get the bias alone."""
     def run(batches):
-        features = Features(_features)
+        features = Features(lambda new: [_features(c) for c in new])
         for batch in batches:
             for low, high, found in _documents(batch, 1, features):
                 value = model.slope * model.margins(found) + model.shift
