@@ -47,6 +47,14 @@ def op6_recompression(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op7_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.lines import dedup_lines
+
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     from bitloom.llm.sharding import shard_documents
 
@@ -70,5 +78,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_nbsvm_quality, op5_language_mixture,
-                              op6_recompression, op8_kd_shards, op9_minhash, op10_packing)}
+                              op6_recompression, op7_fuzzy_lines, op8_kd_shards, op9_minhash, op10_packing)}
 ORACLES: dict[str, str] = {}
