@@ -7,7 +7,6 @@ of languages grows as long as the likelihood gains more than a further language
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 
@@ -15,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.llm.common import Features, column, slices
 
@@ -136,12 +136,15 @@ def _mixture(logs: np.ndarray, weight: np.ndarray, sizes: np.ndarray):
     return best, np.clip(score, 0, 1), chosen
 
 
-def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Language per document: id, lang_pred, score (share of that language), languages (how many).
+def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, text_column: str = "text") -> DataFrame:
+    """The documents' ``columns`` (all by default), _lang_pred, _share (of that language), _languages (how many).
 
-    ``und`` with score 0 stands for a null text, a text without a letter, or a model without
-    languages. Every row has a result, also with a null or repeated id; whole texts count.
+    ``und`` with share 0 stands for a null text, a text without a letter, or a model without
+    languages. Every row has a result, also with null or repeated ids; whole texts count. An empty
+    table gives no rows.
     """
+    columns = docs.columns if columns is None else columns
+    last = len(columns)
     languages, logs = model.languages, model.logs / len(ORDERS)
 
     def run(batches):
@@ -149,8 +152,8 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
         scores = np.zeros((0, len(languages)), np.float32)
         limit = max(1 << 18, (8 << 20) // max(1, len(languages)))
         for batch in batches:
-            for low, high in slices(batch.column(1), limit):
-                texts = [t or b"" for t in batch.column(1)[low:high].to_pylist()]
+            for low, high in slices(batch.column(last), limit):
+                texts = [t or b"" for t in batch.column(last)[low:high].to_pylist()]
                 known = len(features)
                 ids, sizes = features.numbers(texts)
                 if len(features) < known or len(scores) > len(features):
@@ -181,11 +184,13 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
                     best, score[some], many[some] = _mixture(scores[ids], weight, per[some])
                     lang[some] = np.array(languages, object)[best]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:high], pa.array(lang, pa.string()), pa.array(score), pa.array(many, pa.int32())],
-                    names=["id", "lang_pred", "score", "languages"])
+                    [*(batch.column(c)[low:high] for c in range(last)), pa.array(lang, pa.string()), pa.array(score),
+                     pa.array(many, pa.int32())], names=[*columns, "_lang_pred", "_share", "_languages"])
 
-    return docs.select(column(id_column).cast("long"), column(text_column).cast("binary")).mapInArrow(
-        run, "id long, lang_pred string, score double, languages int")
+    kept = docs.select(*[column(c) for c in columns])
+    schema = T.StructType([*kept.schema.fields, T.StructField("_lang_pred", T.StringType()),
+                           T.StructField("_share", T.DoubleType()), T.StructField("_languages", T.IntegerType())])
+    return docs.select(*[column(c) for c in columns], column(text_column).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(id_: Column, parts: int, part: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.llm import licenses
 from bitloom.llm.common import table
 
 
@@ -21,6 +22,17 @@ def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", "component_id", "kept", "class_id", "copies")
 
 
+def op2_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))[0].withColumnRenamed("id", "doc_id")
+
+
+def op3_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from bitloom.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        F.col("id").alias("doc_id"), "item_id", "windows", "first", "same_values")
+
+
 def op4_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
     from bitloom.llm.language import held_out
     from bitloom.llm.quality import score_quality
@@ -36,8 +48,9 @@ def op5_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     model = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)))
-    return identify(docs, model).select(
-        F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs, model, ["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("_lang_pred").alias("lang_pred"),
+        F.col("_share").alias("score"), F.col("_languages").alias("languages"))
 
 
 def op6_recompression(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +90,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_nbsvm_quality, op5_language_mixture,
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_license_diagonals, op3_template_leaks, op4_nbsvm_quality, op5_language_mixture,
                               op6_recompression, op7_fuzzy_lines, op8_kd_shards, op9_minhash, op10_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_license_diagonals": licenses.oracle()}

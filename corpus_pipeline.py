@@ -1,20 +1,70 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage gets (spark, docs, sf_dir) and works on all that the one before has kept; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bitloom.llm import packing
-from bitloom.llm.common import cut, table
+from bitloom.llm import decontamination, language, lines, minhash, packing
+from bitloom.llm.common import column, cut, table
 from bitloom.llm.queries import tokenizer_path
 
+LEAST_SHARE = 0.5  # of a document's words that its main language must have
+
+
+def _columns(docs: DataFrame) -> list:
+    return [column(name) for name in docs.columns]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language; those without letters or without a majority language go.
+
+    Null texts have no letters. The model learns from all rows with a language; without any, no row
+    has a language, and none stays.
+    """
+    found = language.identify(docs, language.learn(docs))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_share") >= LEAST_SHARE)).select(*_columns(docs))
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of every group of similar lines stays; a document that loses its last line goes."""
+    kept = lines.dedup_lines(docs)
+    emptied = (F.col("_n_removed") > 0) & (F.regexp_replace("text", "[\\x00-\\x20]+", "") == "")
+    return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn(
+        "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*_columns(docs))
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every component of near duplicates (five words, 0.8) stays, the one of least id.
+
+    Rows that repeat both id and text are one document; a null id is near no other row.
+    """
+    found = cut(minhash.near_duplicates(docs, words=5, above=4, below=5))
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    if not found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, with its own or with other values."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*_columns(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 4,096 tokens."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language", known_language), ("lines", unique_lines), ("near_duplicates", unique_documents),
+          ("decontamination", no_leaks), ("packing", packed)]
+
+# Trained models, MinHash and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
