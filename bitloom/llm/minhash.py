@@ -178,21 +178,38 @@ def _leader_pairs(form: Shape):
     return run
 
 
-def _cross_pairs(form: Shape):
-    """Pairs of two tiles whose rows lie in different components so far."""
+def _reaches(x: np.ndarray, y: np.ndarray, form: Shape) -> bool:
+    """Are two sorted sets similar enough: below * |A & B| >= above * |A | B|?"""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return form.below * shared >= form.above * (len(x) + len(y) - shared)
+
+
+def _cross_links(form: Shape):
+    """Confirmed links of two tiles between rows that lie in different components so far.
+
+    A pair is looked at in the first bucket that it shares, and not at all once links found here
+    have brought its ends together, so that a tile gives fewer links than it has rows.
+    """
     def search(columns):
+        key, low, high = (columns[k][0].as_py() for k in range(3))
         ids, n, sig = columns[3].to_numpy(), columns[4].to_numpy(), _packed(columns[5])
-        label, tile = columns[6].to_numpy(), columns[7].to_numpy()
-        low, high = columns[1][0].as_py(), columns[2][0].as_py()
+        label, tile = columns[6].to_numpy().copy(), columns[7].to_numpy()
+        bands = columns[8].flatten().to_numpy().reshape(len(ids), form.bands)
+        place = int((bands[0] == key).argmax())
+        sets = columns[9]
         left = np.flatnonzero(tile == low)
         right = left if low == high else np.flatnonzero(tile == high)
         for i in left:
             near = (_sizes_fit(n[right], n[i], form) & (label[right] != label[i])
+                    & ~(bands[right, :place] == bands[i, :place]).any(axis=1)
                     & (mismatches(sig[i], sig[right]) <= form.floor))
             if low == high:
                 near &= right > i
-            if near.any():
-                yield np.full(near.sum(), ids[i]), ids[right[near]]
+            mine = np.frombuffer(sets[i].as_buffer(), np.uint64)
+            for j in right[near]:
+                if label[i] != label[j] and _reaches(mine, np.frombuffer(sets[j].as_buffer(), np.uint64), form):
+                    yield ids[i:i + 1], ids[j:j + 1]
+                    label[label == label[j]] = label[i]
 
     def run(batches):
         yield from _flushed(pair for columns in runs(batches, 3) for pair in search(columns))
@@ -214,10 +231,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, form: Shape) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             xs, ys = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                x = np.frombuffer(xs[i].as_buffer(), np.uint64)
-                y = np.frombuffer(ys[i].as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = form.below * shared >= form.above * (len(x) + len(y) - shared)
+                keep[i] = _reaches(np.frombuffer(xs[i].as_buffer(), np.uint64),
+                                   np.frombuffer(ys[i].as_buffer(), np.uint64), form)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
@@ -226,7 +241,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, form: Shape) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, form: Shape, id_column: str, text_column: str) -> DataFrame:
     wanted = docs.select(column(id_column).cast("long").alias("id"), column(text_column).cast("binary").alias("t")).join(
-        ids, "id", "left_semi")
+        ids.hint("merge"), "id", "left_semi")
 
     def build(batches):
         seen = _Hashes()
@@ -269,13 +284,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, above: int = 4, below: int
     label = components(links)
     labelled = cut(members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
     apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    tiled = labelled.join(apart.select("key"), "key").join(signs, "id").withColumn(
+    tiled = labelled.join(apart.select("key"), "key").join(reps, "id").join(sets, "id").withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "id", "n", "sig",
-        "component", "tile")
-    second = _dealt(tiled, ["key", "low", "high"]).mapInArrow(_cross_pairs(form), "a long, b long").distinct()
-    fresh = cut(second.join(first, ["a", "b"], "left_anti"))
-    more = union(links, confirmed(fresh, sets, form)).distinct()
+        "component", "tile", "bands", "s")
+    second = cut(_dealt(tiled, ["key", "low", "high"]).mapInArrow(_cross_links(form), "a long, b long"))
+    more = union(links, second).distinct()
     final = components(more).withColumnRenamed("id", "class")
     named = classes.select("f1", "f2", "n", "class").join(final, "class", "left").select(
         "f1", "f2", "n", F.coalesce("component", "class").alias("component"))
