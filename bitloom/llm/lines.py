@@ -81,10 +81,10 @@ def _near(x: np.ndarray, y: np.ndarray, above: int, below: int) -> bool:
 
 
 def _crossing(above: int, below: int):
-    """Links between lines of two tiles that lie in different components so far."""
+    """Links between lines of two tiles that lie in different components so far, fewer than lines."""
     def search(columns):
         low, high = columns[1][0].as_py(), columns[2][0].as_py()
-        ids, label, tile = columns[3].to_numpy(), columns[5].to_numpy(), columns[6].to_numpy()
+        ids, label, tile = columns[3].to_numpy(), columns[5].to_numpy().copy(), columns[6].to_numpy()
         texts = columns[4].to_pylist()
         sets: dict[int, np.ndarray] = {}
 
@@ -98,8 +98,9 @@ def _crossing(above: int, below: int):
         for i in left:
             others = right[(label[right] != label[i]) & ((right > i) | (low != high))]
             for j in others:
-                if _near(shingles(i), shingles(j), above, below):
+                if label[i] != label[j] and _near(shingles(i), shingles(j), above, below):
                     yield ids[i], ids[j]
+                    label[label == label[j]] = label[i]
 
     return _searching(search, 3)
 
@@ -191,7 +192,7 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
     members = cut(banded.join(full, "key"))
     wanted = classes.join(members.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select(
         "first.*", F.col("h1").alias("id")).groupBy("doc", "k").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    texts = cut(keyed.join(wanted, ["doc", "k"]).select("text", "wanted").mapInArrow(
+    texts = cut(keyed.join(wanted.hint("merge"), ["doc", "k"]).select("text", "wanted").mapInArrow(
         _line_texts, "id long, key binary").dropDuplicates(["id"]))
     star = members.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     links = cut(confirmed(star, texts, above, below))
@@ -216,6 +217,6 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
         F.struct("doc", "k", "line") != F.col("kept")).groupBy("doc", "k").agg(F.collect_set("line").alias("__cuts"))
     names = docs.columns
     joined = docs.select(*[column(n) for n in names], place.alias("__doc"), row.alias("__k")).join(
-        gone.withColumnsRenamed({"doc": "__doc", "k": "__k"}), ["__doc", "__k"], "left")
+        gone.withColumnsRenamed({"doc": "__doc", "k": "__k"}).hint("merge"), ["__doc", "__k"], "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
     return joined.select(*[column(n) for n in names], "__cuts").mapInArrow(_without(names.index(text_column), names), schema)

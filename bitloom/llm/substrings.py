@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
     several = spans.groupBy("name").agg(F.min("span").alias("x"), F.max("span").alias("y")).where("x <> y")
     asked = spans.join(several.select("name"), "name").select("one.*", "name", "alone").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("start", "windows", "shift", "name", "alone")).alias("runs"))
-    texts = rows.select("text", "k1", "k2").join(asked, ["k1", "k2"])
+    texts = rows.select("text", "k1", "k2").join(asked.hint("merge"), ["k1", "k2"])
     windows = cut(texts.select("text", "k1", "k2", "runs").mapInArrow(
         _window_rows(rounds), "h1 long, h2 long, k1 long, k2 long, start int, alone boolean"))
     twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
@@ -268,6 +268,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
     copied = rows.groupBy("k1", "k2").agg((F.count("*") > 1).alias("copied")).where("copied")
     cuts = union(whole, single).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows")).alias("cuts"))
     decided = cut(cuts.join(copied, ["k1", "k2"], "full"))
-    return rows.join(decided, ["k1", "k2"], "left").select(
+    return rows.join(decided.hint("merge"), ["k1", "k2"], "left").select(
         "id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "cuts").mapInArrow(
         _keep_rows(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
