@@ -72,12 +72,14 @@ def test_leaks(spark, documents, small, edges):
     docs = documents(rows)
     found = find_leaks(docs, benchmark)
     pairs = {(r["id"], r["item_id"]) for r in found.collect()}
-    assert pairs == {(60_000, 1), (60_001, 2), (60_003, 1), (60_004, 3), (60_005, 3), (60_007, None)}
+    assert pairs == {(60_000, 1), (60_001, 2), (60_002, 2), (60_003, 1), (60_004, 3), (60_005, 3), (60_007, None)}
+    windows = {r["id"]: r["windows"] for r in found.collect()}
+    assert windows[60_002] < windows[60_001] == 10  # windows with both 30 and 12, or both names, do not count
     assert {r["id"]: r["same_values"] for r in found.collect()}[60_001] is False
     other = find_leaks(docs, benchmark, hashes_sent=0)
     assert sorted(map(str, found.collect())) == sorted(map(str, other.collect()))
     left = decontaminate(docs, benchmark)
-    assert left.columns == docs.columns and left.count() == len(rows) - 7
+    assert left.columns == docs.columns and left.count() == len(rows) - 8
     assert find_leaks(documents([]), benchmark).isEmpty() and find_leaks(docs, benchmark.limit(0)).isEmpty()
     assert decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
