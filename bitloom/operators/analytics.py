@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.labels import solver_label, status_class
 from bitloom.operators.terms import union
+from bitloom.operators.results import run_key
 from bitloom.schemas import KEY, Batch
 
 # Histogram bins and the tie tolerance of a win.
@@ -104,7 +105,7 @@ def incumbents(trajectories: DataFrame) -> DataFrame:
     """Checkpoints that hold a finite energy, per run."""
     finite = F.col("energy").isNotNull() & ~F.isnan("energy") & (
         F.abs("energy") < float("inf"))
-    return trajectories.groupBy(*KEY, "run_id").agg(F.count_if(finite).alias("incumbents"))
+    return trajectories.groupBy(*run_key(trajectories)).agg(F.count_if(finite).alias("incumbents"))
 
 
 def set_number(name: Column) -> Column:
@@ -142,8 +143,9 @@ def problem_detail(manifest: DataFrame, batch: Batch, instance_id: str | None =
 def result_detail(manifest: DataFrame, records: DataFrame, file: str | None = None) -> DataFrame:
     """Result manifest rows with their full records, matched by run and instance."""
     rows = manifest if file is None else manifest.where(F.col("file") == file)
-    keep = [c for c in records.columns if c not in rows.columns or c in [*KEY, "run_id"]]
-    return rows.join(records.select(*keep), [*KEY, "run_id"])
+    run = run_key(records)
+    keep = [c for c in records.columns if c not in rows.columns or c in run]
+    return rows.join(records.select(*keep), run)
 
 
 def batch_tiles(manifest: DataFrame) -> DataFrame:

@@ -109,9 +109,13 @@ def _issue_rows(df: DataFrame, extra: list[str], rules) -> DataFrame:
 
 
 def best_sample(energies: DataFrame) -> DataFrame:
-    """Lowest energy per instance, the lowest sample id among ties."""
+    """Lowest energy per instance, the lowest sample id among ties.
+
+    Missing and NaN energies never win; an instance with nothing else keeps a row of NULLs.
+    """
+    real = F.col("energy").isNotNull() & ~F.isnan("energy")
     return energies.groupBy(*KEY).agg(
-        F.min(F.struct("energy", "sample_id")).alias("b")
+        F.min(F.when(real, F.struct("energy", "sample_id"))).alias("b")
     ).select(*KEY, "b.sample_id", "b.energy")
 
 

@@ -54,15 +54,21 @@ def from_ising(fields: DataFrame, couplings: DataFrame):
     return offset, linear, quadratic
 
 
-def interaction_scale(fields: DataFrame, couplings: DataFrame) -> DataFrame:
-    """Largest ``|h_i| + sum |J_ij|`` per instance, 1 when that is 0."""
+def interaction_scale(fields: DataFrame, couplings: DataFrame, instances: DataFrame | None = None) -> DataFrame:
+    """Largest ``|h_i| + sum |J_ij|`` per instance, 1 when that is 0.
+
+    With ``instances`` every one of them has a row, also those without any term.
+    """
     bound = union(
         fields.select(*KEY, "i", F.abs("h").alias("v")),
         couplings.select(*KEY, F.explode(F.array("i", "j")).alias("i"),
                          F.abs("coupling").alias("v")))
     largest = F.max("v")
-    return accumulate_linear(bound).groupBy(*KEY).agg(
+    scales = accumulate_linear(bound).groupBy(*KEY).agg(
         F.when(largest > 0, largest).otherwise(F.lit(1.0)).alias("scale"))
+    if instances is None:
+        return scales
+    return instances.select(*KEY).join(scales, KEY, "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
 
 
 def matrix_profile(batch: Batch, threshold: float = SPARSE_THRESHOLD,

@@ -16,7 +16,10 @@ FINAL_TOLERANCE = 1e-9
 PROGRESS_TOLERANCE = 1e-12
 SCAN_BLOCK = 65_536
 
-RUN = [*KEY, "run_id"]
+
+def run_key(df: DataFrame) -> list[str]:
+    """Columns that name a run: result sets of one batch may repeat run ids, so the set belongs to it."""
+    return ["batch", *(["result_set"] if "result_set" in df.columns else []), "instance_id", "run_id"]
 
 
 def _close(a, b, tolerance: float):
@@ -53,8 +56,9 @@ def verify_results(results: DataFrame, batch: Batch) -> DataFrame:
 
     ``results``: key, run_id, sample (array), reported_energy (NULL takes the recomputed one).
     """
+    run = run_key(results)
     numbered = results.join(
-        index_variables(results.select(*RUN), ["run_id"], name="sample_id"), RUN)
+        index_variables(results.select(*run).distinct(), run[1:], name="sample_id"), run)
     checked = _recompute(numbered, batch).withColumn(
         "reported_energy", F.coalesce("reported_energy", "recomputed_energy"))
     return _graded(checked).drop("sample_id")
@@ -77,7 +81,7 @@ def normalize_results(runs: DataFrame) -> DataFrame:
         "solution": F.struct("sample", c("recomputed_energy").alias("energy")),
         "timing": F.struct("wall_seconds"), "verification": verification,
         "snapshots": c("snapshots"), "solver_metrics": c("solver_metrics")}
-    return runs.select(*KEY, *[
+    return runs.select(*[c for c in run_key(runs) if c != "run_id"], *[
         fields[f.name].cast(f.dataType).alias(f.name) for f in RESULT.fields])
 
 
@@ -88,10 +92,11 @@ def checkpoint_issues(checkpoints: DataFrame, runs: DataFrame, batch: Batch | No
     reported_energy. ``runs``: key, run_id, k (checkpoints expected). The neighbour of a checkpoint
     is found by joining on its index, so a run's checkpoints need not share a task.
     """
-    rows = checkpoints.join(runs.select(*RUN, "k"), RUN)
-    before = checkpoints.groupBy(*RUN, (F.col("idx") + 1).alias("idx")).agg(
+    run = run_key(runs)
+    rows = checkpoints.join(runs.select(*run, "k"), run)
+    before = checkpoints.groupBy(*run, (F.col("idx") + 1).alias("idx")).agg(
         F.max("progress").alias("_before"))
-    rows = rows.join(before, [*RUN, "idx"], "left")
+    rows = rows.join(before, [*run, "idx"], "left")
     if batch is not None:
         rows = rows.join(batch.instances.select(*KEY, "num_variables"), KEY, "left")
         wrong_length = F.size("sample") != F.col("num_variables")
@@ -113,15 +118,15 @@ def checkpoint_issues(checkpoints: DataFrame, runs: DataFrame, batch: Batch | No
         "wrong_sample_length": wrong_length,
         "nonbinary_sample": F.exists("sample", lambda x: ~x.isin(0, 1)),
     }
-    per_row = rows.groupBy(*RUN).agg(*[
+    per_row = rows.groupBy(*run).agg(*[
         F.count_if(F.coalesce(test, F.lit(False))).alias(code) for code, test in rules.items()])
-    repeated = checkpoints.groupBy(*RUN, "idx").agg(F.count("*").alias("c")).groupBy(*RUN).agg(
+    repeated = checkpoints.groupBy(*run, "idx").agg(F.count("*").alias("c")).groupBy(*run).agg(
         F.sum("c").alias("have"), F.sum(F.col("c") - 1).alias("repeated_index"))
-    facts = runs.select(*RUN, "k").join(repeated, RUN, "left").join(per_row, RUN, "left").withColumn(
+    facts = runs.select(*run, "k").join(repeated, run, "left").join(per_row, run, "left").withColumn(
         "wrong_checkpoint_count", (F.coalesce("have", F.lit(0)) != F.col("k")).cast("bigint"))
     codes = ["wrong_checkpoint_count", "repeated_index", *rules]
     cells = [F.struct(F.lit(c).alias("code"), F.coalesce(c, F.lit(0)).alias("rows")) for c in codes]
-    return facts.select(*RUN, F.inline(F.array(*cells))).where("rows > 0")
+    return facts.select(*run, F.inline(F.array(*cells))).where("rows > 0")
 
 
 def verify_checkpoints(checkpoints: DataFrame, results: DataFrame, batch: Batch):
@@ -129,46 +134,49 @@ def verify_checkpoints(checkpoints: DataFrame, results: DataFrame, batch: Batch)
 
     ``results``: key, run_id, sample, energy. Returns (checkpoints with verdict, issue rows).
     """
-    place = [*RUN, "idx"]
+    run = run_key(checkpoints)
+    place = [*run, "idx"]
     numbered = checkpoints.join(
-        index_variables(checkpoints.select(*place), ["run_id", "idx"], name="sample_id"), place)
+        index_variables(checkpoints.select(*place).distinct(), place[1:], name="sample_id"), place)
     checked = _graded(_recompute(numbered, batch)).drop("sample_id")
-    last = checked.groupBy(*RUN).agg(F.max_by(
+    last = checked.groupBy(*run).agg(F.max_by(
         F.struct("sample", "recomputed_energy"), "idx").alias("last"))
-    compared = results.select(*RUN, "sample", "energy").join(last, RUN)
+    compared = results.select(*run, "sample", "energy").join(last, run)
     code = F.when(F.col("last.sample").isNull(), "final_checkpoint_without_incumbent").when(
         ~(F.col("last.sample").cast("array<bigint>") == F.col("sample").cast("array<bigint>"))
         | ~_close(F.col("last.recomputed_energy"), F.col("energy"), FINAL_TOLERANCE),
         "final_checkpoint_differs")
-    return checked, compared.withColumn("code", code).where("code IS NOT NULL").select(*RUN, "code")
+    return checked, compared.withColumn("code", code).where("code IS NOT NULL").select(*run, "code")
 
 
 def incumbent_by_reads(reads: DataFrame, runs: DataFrame) -> DataFrame:
     """Best energy after equal shares of the reads: key, run_id, idx, target, energy, position.
 
     ``reads``: key, run_id, position, occurrences, energy. ``runs``: key, run_id, num_reads, k. A
-    row stands for ``occurrences`` reads. Rows before a read are counted in blocks of positions:
+    row stands for ``occurrences`` reads; missing and non-finite energies take reads but never win. Rows before a read are counted in blocks of positions:
     inside a block by a window, between blocks over one row per block. A read then belongs to the
     first target it can influence, which leaves at most ``k`` rows per run.
     """
+    run = run_key(runs)
     blocked = reads.withColumn("_block", F.floor(F.col("position") / SCAN_BLOCK))
-    sums = blocked.groupBy(*RUN, "_block").agg(F.sum("occurrences").alias("_sum"))
-    upto = Window.partitionBy(*RUN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*run, "_block").agg(F.sum("occurrences").alias("_sum"))
+    upto = Window.partitionBy(*run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*RUN, "_block").orderBy("position").rowsBetween(
+    inside = Window.partitionBy(*run, "_block").orderBy("position").rowsBetween(
         Window.unboundedPreceding, -1)
     counted = blocked.withColumn("_in", F.coalesce(F.sum("occurrences").over(inside), F.lit(0))
-                                 ).join(starts, [*RUN, "_block"]).withColumn(
+                                 ).join(starts, [*run, "_block"]).withColumn(
         "before", F.col("_start") + F.col("_in"))
-    placed = counted.join(runs.select(*RUN, "num_reads", "k"), RUN).withColumn(
+    placed = counted.join(runs.select(*run, "num_reads", "k"), run).withColumn(
         "idx", F.expr("(before * k) DIV num_reads + 1")).where("idx <= k AND occurrences > 0")
-    best = placed.groupBy(*RUN, "idx").agg(F.min(F.struct("energy", "position")).alias("b"))
+    best = placed.groupBy(*run, "idx").agg(
+        F.min(F.when(~_nonfinite(F.col("energy")), F.struct("energy", "position"))).alias("b"))
     grid = runs.where("k >= 1 AND k <= num_reads").select(
-        *RUN, "num_reads", "k", F.explode(F.expr("sequence(1L, CAST(k AS BIGINT))")).alias("idx"))
-    so_far = Window.partitionBy(*RUN).orderBy("idx").rowsBetween(
+        *run, "num_reads", "k", F.explode(F.expr("sequence(1L, CAST(k AS BIGINT))")).alias("idx"))
+    so_far = Window.partitionBy(*run).orderBy("idx").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return grid.join(best, [*RUN, "idx"], "left").withColumn("b", F.min("b").over(so_far)).select(
-        *RUN, "idx", F.expr("(idx * num_reads + k - 1) DIV k").alias("target"),
+    return grid.join(best, [*run, "idx"], "left").withColumn("b", F.min("b").over(so_far)).select(
+        *run, "idx", F.expr("(idx * num_reads + k - 1) DIV k").alias("target"),
         F.col("b.energy").alias("energy"), F.col("b.position").alias("position"))
 
 
@@ -180,20 +188,21 @@ def incumbent_asof(events: DataFrame, runs: DataFrame) -> DataFrame:
     improvement that arrives exactly on it, as a solver's callback does. Each event goes to the
     first target after it, so no event table is ever windowed.
     """
-    facts = runs.select(*RUN, "k", "total")
+    run = run_key(runs)
+    facts = runs.select(*run, "k", "total")
     progress, total, k = F.col("progress"), F.col("total"), F.col("k")
     guess = (F.floor(progress * k / total) + 1).cast("bigint")
     idx = F.when(total * (guess - 1) / k > progress, guess - 1).when(
         total * guess / k <= progress, guess + 1).otherwise(guess)
-    last = events.join(facts, RUN).withColumn("idx", idx).where("idx < k").groupBy(
-        *RUN, "idx").agg(F.max_by("energy", F.struct("progress", "seq")).alias("e"))
+    last = events.join(facts, run).withColumn("idx", idx).where("idx < k").groupBy(
+        *run, "idx").agg(F.max_by("energy", F.struct("progress", "seq")).alias("e"))
     grid = runs.where("k >= 1").withColumn(
         "idx", F.explode(F.expr("sequence(1L, CAST(k AS BIGINT))")))
-    so_far = Window.partitionBy(*RUN).orderBy("idx").rowsBetween(
+    so_far = Window.partitionBy(*run).orderBy("idx").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return grid.join(last, [*RUN, "idx"], "left").withColumn(
+    return grid.join(last, [*run, "idx"], "left").withColumn(
         "e", F.last("e", ignorenulls=True).over(so_far)).select(
-        *RUN, "idx", (F.col("total") * F.col("idx") / F.col("k")).alias("target"),
+        *run, "idx", (F.col("total") * F.col("idx") / F.col("k")).alias("target"),
         F.when(F.col("idx") == F.col("k"), F.col("final_energy")).otherwise(
             F.coalesce("e", "initial_energy")).alias("energy"))
 
@@ -203,8 +212,9 @@ def trajectory(results: DataFrame) -> DataFrame:
 
     A run without checkpoints keeps one row of NULLs.
     """
-    return results.select(*KEY, "run_id", F.explode_outer("snapshots").alias("s")).select(
-        *RUN, F.col("s.index").alias("checkpoint"),
+    run = run_key(results)
+    return results.select(*run, F.explode_outer("snapshots").alias("s")).select(
+        *run, F.col("s.index").alias("checkpoint"),
         (F.coalesce("s.progress_fraction", F.when(F.col("s").isNotNull(), 0.0)) * 100.0)
         .alias("progress"),
         F.col("s.solution.energy").alias("energy"), F.col("s.elapsed_seconds").alias("elapsed"),

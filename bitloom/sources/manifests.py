@@ -9,42 +9,48 @@ from bitloom.operators.validation import widen
 from bitloom.schemas import KEY, PROBLEM_MANIFEST_COLUMNS, RESULT_MANIFEST_COLUMNS, Batch
 
 
-def _latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def _latest(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Union in which a new row replaces the old one of its key.
 
-    The pick is an aggregate, so repeated rows of one key combine before the shuffle.
+    Within one side the row with the largest ``order`` wins (the last one, if the column numbers the
+    rows); rows of equal order, or without such a column, are settled by their largest values. The
+    pick is an aggregate, so repeated rows of one key combine before the shuffle.
     """
+    if order is not None:
+        old, new = (df.withColumn("_order", F.col(order) if order in df.columns else F.lit(None)) for df in (old, new))
+        old, new = (df.drop(order) for df in (old, new))
     both = old.withColumn("_new", F.lit(0)).unionByName(
         new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    payload = [c for c in both.columns if c not in keys and c != "_new"]
-    # the new side wins; rows repeated within one side are settled by their largest values
+    payload = [c for c in both.columns if c not in keys and c not in ("_new", "_order")]
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(payload)])
-    picked = both.groupBy(*keys).agg(F.max(F.struct("_new", row.alias("r"))).alias("m"))
+    picked = both.groupBy(*keys).agg(F.max(F.struct(
+        "_new", *(["_order"] if order else []), row.alias("r"))).alias("m"))
     return picked.select(*keys, *[
         F.col(f"m.r.c{n}").alias(c) for n, c in enumerate(payload)])
 
 
-def upsert_problem_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace rows by (batch, instance_id), keep unknown columns, sort by id.
+def upsert_problem_manifest(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace rows by (batch, instance_id), keep unknown columns, sort by id; ``order``: see ``_latest``.
 
     Rows without an id are dropped. Known columns come first, others in name order.
     """
-    rows = _latest(old, new, KEY).where("instance_id IS NOT NULL AND instance_id <> ''")
+    rows = _latest(old, new, KEY, order).where("instance_id IS NOT NULL AND instance_id <> ''")
     known = [c for c in PROBLEM_MANIFEST_COLUMNS if c in rows.columns]
     extra = sorted(c for c in rows.columns if c not in known and c != "batch")
     return rows.select("batch", *known, *[F.col(f"`{c}`") for c in extra]).orderBy(*KEY)
 
 
-def upsert_results_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace rows by run and instance within batch and result set; fixed columns."""
+def upsert_results_manifest(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace rows by run and instance within batch and result set; fixed columns; ``order``: see ``_latest``."""
     keys = ["batch", "result_set", "run_id", "instance_id"]
     fixed = ["batch", "result_set", *RESULT_MANIFEST_COLUMNS]
+    given = [*fixed, order] if order else fixed
 
     def fit(df: DataFrame) -> DataFrame:
         return df.select(*[
-            F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fixed])
+            F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in given])
 
-    return _latest(fit(old), fit(new), keys).select(*fixed).orderBy(
+    return _latest(fit(old), fit(new), keys, order).select(*fixed).orderBy(
         "batch", "result_set", "solver_type", "instance_id")
 
 

@@ -47,10 +47,11 @@ def current_manifest(spark: SparkSession, sink: str) -> DataFrame:
 def stream_incumbent(runs: DataFrame) -> DataFrame:
     """Best energy so far per instance and solver of a (streaming) run table.
 
-    State is one row per (instance, solver); write it in update mode.
+    State is one row per (instance, solver); write it in update mode. Missing and NaN energies never win.
     """
+    real = F.col("energy").isNotNull() & ~F.isnan("energy")
     return runs.groupBy(*KEY, "solver").agg(
-        F.min(F.struct("energy", "run_id")).alias("best")).select(
+        F.min(F.when(real, F.struct("energy", "run_id"))).alias("best")).select(
         *KEY, "solver", F.col("best.energy").alias("energy"), F.col("best.run_id").alias("run_id"))
 
 

@@ -192,14 +192,22 @@ SELECT 'events' AS batch, CASE WHEN day(ts) <= 15 THEN 'results' ELSE 'results_1
        -CAST(floor(value) AS DOUBLE) AS energy, CAST(event_id % 97 AS DOUBLE) / 8 AS wall_seconds,
        event_id AS position
 FROM {events}""",
+    # every run again in the other result set, with other energies
+    "reruns": """
+SELECT batch, result_set, instance_id, run_id, solver_type, file, status, energy, wall_seconds, position FROM {runs}
+UNION ALL
+SELECT batch, CASE result_set WHEN 'results' THEN 'results_1' ELSE 'results' END AS result_set, instance_id, run_id,
+       solver_type, file, status, energy - 1 AS energy, wall_seconds, position + 1 AS position FROM {runs}""",
     "reads": """
-SELECT 'events' AS batch, CAST(user_id AS STRING) AS instance_id, event_type AS run_id,
-       event_id AS position, event_id % 3 + 1 AS occurrences, -CAST(floor(value) AS DOUBLE) AS energy
+SELECT 'events' AS batch, CASE WHEN event_id % 2 = 0 THEN 'results' ELSE 'results_1' END AS result_set,
+       CAST(user_id AS STRING) AS instance_id, event_type AS run_id,
+       event_id AS position, event_id % 3 + 1 AS occurrences,
+       CASE WHEN event_id % 7 <> 0 THEN -CAST(floor(value) AS DOUBLE) END AS energy
 FROM {events}""",
     "read_runs": """
-SELECT batch, instance_id, run_id, CAST(sum(occurrences) AS BIGINT) AS num_reads,
+SELECT batch, result_set, instance_id, run_id, CAST(sum(occurrences) AS BIGINT) AS num_reads,
        least(CAST(sum(occurrences) AS BIGINT), CAST(5 AS BIGINT)) AS k
-FROM {reads} GROUP BY batch, instance_id, run_id""",
+FROM {reads} GROUP BY batch, result_set, instance_id, run_id""",
     # checkpoints: lines of an order are the checkpoints of a run
     "checkpoints": """
 SELECT 'orders' AS batch, CAST(o_custkey AS STRING) AS instance_id, CAST(l_orderkey AS STRING) AS run_id,

@@ -101,9 +101,9 @@ def a9(v):
 
 
 @query("a10_incumbents", f"""
-SELECT batch, instance_id, run_id, count(energy) AS incumbents FROM ({_TRAJECTORY}) t GROUP BY ALL""")
+SELECT batch, result_set, instance_id, run_id, count(energy) AS incumbents FROM ({_TRAJECTORY}) t GROUP BY ALL""")
 def a10(v):
-    return A.incumbents(trajectory(normalize_results(_record_rows(v))))
+    return A.incumbents(trajectory(normalize_results(_record_rows(v, v.reruns))))
 
 
 _SETS = """
@@ -133,12 +133,12 @@ def a12(v):
 
 
 @query("a12_result_detail", """
-SELECT batch, instance_id, run_id, file, energy, position % 10 <> 0 AS passed
-FROM {runs}""")
+SELECT batch, result_set, instance_id, run_id, file, energy, position % 10 <> 0 AS passed
+FROM {reruns}""")
 def a12_results(v):
-    listed = v.runs.select(*KEY, "run_id", "file", "energy")
-    return A.result_detail(listed, normalize_results(_record_rows(v))).select(
-        *KEY, "run_id", "file", "energy", "verification.passed")
+    listed = v.reruns.select(*KEY, "result_set", "run_id", "file", "energy")
+    return A.result_detail(listed, normalize_results(_record_rows(v, v.reruns))).select(
+        *KEY, "result_set", "run_id", "file", "energy", "verification.passed")
 
 
 @query("a13_batch_tiles", f"""

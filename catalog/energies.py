@@ -51,10 +51,17 @@ def v2(v):
 WITH c AS ({_by_samples('route_edges', 'route_samples', 'CASE WHEN s.x <> t.x THEN -e.w ELSE 0 END')}),
 a AS (SELECT i.*, coalesce(e, 0.0) AS e FROM (SELECT DISTINCT batch, instance_id, sample_id FROM {{route_samples}}) i
       LEFT JOIN c USING (batch, instance_id, sample_id))
-SELECT batch, instance_id, arg_min(sample_id, (e, sample_id)) AS sample_id, min(e) AS energy FROM a GROUP BY ALL""")
+SELECT batch, instance_id, arg_min(sample_id, (e, sample_id)) FILTER (e IS NOT NULL) AS sample_id, min(e) AS energy
+FROM (SELECT batch, instance_id, sample_id, CASE WHEN (CAST(instance_id AS BIGINT) + sample_id) % 3 <> 0
+        AND CAST(instance_id AS BIGINT) % 11 <> 0 THEN e END AS e FROM a) b GROUP BY ALL""")
 def v3(v):
     v.keep("route_edges")
-    return V.best_sample(V.energy(E.encode_max_cut(v.route_edges, v.route_sizes), v.route_samples))
+    scored = V.energy(E.encode_max_cut(v.route_edges, v.route_sizes), v.route_samples)
+    # some energies are missing, others are not numbers, and some instances have no energy at all
+    key = F.col("instance_id").cast("bigint")
+    gap = F.when(F.col("sample_id") % 2 == 0, F.lit(float("nan")))
+    return V.best_sample(scored.withColumn("energy", F.when(
+        ((key + F.col("sample_id")) % 3 != 0) & (key % 11 != 0), F.col("energy")).otherwise(gap)))
 
 
 _ALL = """

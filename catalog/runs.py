@@ -20,7 +20,10 @@ f AS (SELECT r.batch, r.instance_id, r.sample_id, coalesce(c.e, 0.0) AS e
 
 
 def _reported(v):
-    """Runs with reported energies: the true one, plus 1 for every fifth customer's sample 2."""
+    """Runs with reported energies: the true one, plus 1 for every fifth customer's sample 2.
+
+    Set ``results_1`` repeats the run ids of ``results``, each with the next sample.
+    """
     from bitloom.operators.energy import cut_energy
 
     cuts = cut_energy(v.route_edges, v.route_samples)
@@ -28,10 +31,12 @@ def _reported(v):
     arrays = v.route_samples.groupBy(*KEY, "sample_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias(
             "sample"))
-    return arrays.join(cuts, [*KEY, "sample_id"]).select(
-        *KEY, F.concat(F.lit("run-"), F.col("sample_id")).alias("run_id"), "sample",
+    sets = F.explode(F.array(F.struct(F.lit("results").alias("result_set"), F.col("sample_id").alias("n")),
+                             F.struct(F.lit("results_1").alias("result_set"), ((F.col("sample_id") + 3) % 4).alias("n"))))
+    return arrays.join(cuts, [*KEY, "sample_id"]).withColumn("set", sets).select(
+        *KEY, "set.result_set", F.concat(F.lit("run-"), F.col("set.n")).alias("run_id"), "sample",
         (F.col("energy") + F.when(off, 1.0).otherwise(0.0)).alias("reported_energy"),
-        F.col("energy").alias("energy"), F.col("sample_id").alias("n"))
+        "energy", "set.n")
 
 
 def _model(v):
@@ -41,17 +46,18 @@ def _model(v):
 
 @query("r1_verify_results", f"""
 WITH {_CUTS},
-r AS (SELECT *, e + CASE WHEN CAST(instance_id AS BIGINT) % 5 = 0 AND sample_id = 2 THEN 1.0 ELSE 0.0 END AS rep FROM f)
-SELECT batch, instance_id, concat('run-', CAST(sample_id AS VARCHAR)) AS run_id, rep AS reported_energy, e AS recomputed_energy,
-       abs(rep - e) AS absolute_energy_difference, abs(rep - e) <= 1e-5*greatest(1, abs(e), abs(rep)) AS passed FROM r""")
+r AS (SELECT *, e + CASE WHEN CAST(instance_id AS BIGINT) % 5 = 0 AND sample_id = 2 THEN 1.0 ELSE 0.0 END AS rep FROM f),
+s AS (SELECT *, 'results' AS result_set, sample_id AS n FROM r UNION ALL SELECT *, 'results_1', (sample_id + 3) % 4 FROM r)
+SELECT batch, result_set, instance_id, concat('run-', CAST(n AS VARCHAR)) AS run_id, rep AS reported_energy, e AS recomputed_energy,
+       abs(rep - e) AS absolute_energy_difference, abs(rep - e) <= 1e-5*greatest(1, abs(e), abs(rep)) AS passed FROM s""")
 def r1(v):
     batch = _model(v)
     return R.verify_results(_reported(v), batch).select(
-        *KEY, "run_id", "reported_energy", "recomputed_energy", "absolute_energy_difference",
+        *KEY, "result_set", "run_id", "reported_energy", "recomputed_energy", "absolute_energy_difference",
         "passed")
 
 
-def _record_rows(v):
+def _record_rows(v, runs=None):
     """Flat runs from events, with three checkpoints each, in the columns of a record."""
     steps = F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))
     snapshot = F.transform(steps, lambda k: F.struct(
@@ -66,7 +72,7 @@ def _record_rows(v):
                          "double,absolute_energy_difference:double,passed:boolean>")
         .alias("verification"),
         F.create_map(F.lit("k"), k.cast("string")).alias("solver_metrics")))
-    return v.runs.select(
+    return (v.runs if runs is None else runs).select(
         *KEY, "result_set", "run_id", "file", "status", "wall_seconds", "solver_type", "position",
         F.lit("max_cut").alias("problem_type"), F.lit(3).cast("bigint").alias("num_variables"),
         F.lit(2).cast("bigint").alias("quadratic_terms"), F.lit(None).cast("string").alias("source"),
@@ -90,7 +96,7 @@ def records(v):
     """Normalised nested records with batch, result_set and file."""
     flat = _record_rows(v)
     return R.normalize_results(flat).join(
-        flat.select(*KEY, "run_id", "result_set", "file"), [*KEY, "run_id"])
+        flat.select(*KEY, "run_id", "result_set", "file"), [*KEY, "result_set", "run_id"])
 
 
 @query("r2_normalize_results", """
@@ -106,24 +112,29 @@ def r2(v):
         "snapshots", F.when(F.col("snapshots") >= 0, F.col("snapshots")))
 
 
-@query("r3_checkpoint_issues", """
-WITH r AS (SELECT DISTINCT batch, instance_id, run_id, CAST(7 AS BIGINT) AS k FROM {checkpoints}),
-c AS (SELECT c.*, (SELECT max(progress) FROM {checkpoints} p WHERE p.run_id = c.run_id AND p.instance_id = c.instance_id
-                   AND p.idx = c.idx - 1) AS before FROM {checkpoints} c),
-n AS (SELECT batch, instance_id, run_id, count(*) AS have, count(*) - count(DISTINCT idx) AS rep FROM {checkpoints} GROUP BY ALL)
-SELECT batch, instance_id, run_id, code, count(*) AS rows FROM (
-  SELECT batch, instance_id, run_id, 'empty_target_unit' AS code FROM c WHERE unit = ''
-  UNION ALL SELECT batch, instance_id, run_id, 'target_above_total' FROM c WHERE value > total
-  UNION ALL SELECT batch, instance_id, run_id, 'invalid_elapsed_seconds' FROM c WHERE elapsed < 0
-  UNION ALL SELECT batch, instance_id, run_id, 'energy_without_sample' FROM c
-  UNION ALL SELECT batch, instance_id, run_id, 'progress_not_rising' FROM c WHERE progress <= coalesce(before, 0)
-  UNION ALL SELECT batch, instance_id, run_id, 'wrong_checkpoint_count' FROM n WHERE have <> 7) t GROUP BY ALL
-UNION ALL SELECT batch, instance_id, run_id, 'repeated_index', rep FROM n WHERE rep > 0""")
+# every run's checkpoints are shared out over two result sets
+_HALVES = "SELECT *, CASE WHEN value > 25 THEN 'results' ELSE 'results_1' END AS result_set FROM {checkpoints}"
+
+
+@query("r3_checkpoint_issues", f"""
+WITH k AS ({_HALVES}),
+c AS (SELECT c.*, (SELECT max(progress) FROM k p WHERE p.run_id = c.run_id AND p.instance_id = c.instance_id
+                   AND p.result_set = c.result_set AND p.idx = c.idx - 1) AS before FROM k c),
+n AS (SELECT batch, result_set, instance_id, run_id, count(*) AS have, count(*) - count(DISTINCT idx) AS rep FROM k GROUP BY ALL)
+SELECT batch, result_set, instance_id, run_id, code, count(*) AS rows FROM (
+  SELECT batch, result_set, instance_id, run_id, 'empty_target_unit' AS code FROM c WHERE unit = ''
+  UNION ALL SELECT batch, result_set, instance_id, run_id, 'target_above_total' FROM c WHERE value > total
+  UNION ALL SELECT batch, result_set, instance_id, run_id, 'invalid_elapsed_seconds' FROM c WHERE elapsed < 0
+  UNION ALL SELECT batch, result_set, instance_id, run_id, 'energy_without_sample' FROM c
+  UNION ALL SELECT batch, result_set, instance_id, run_id, 'progress_not_rising' FROM c WHERE progress <= coalesce(before, 0)
+  UNION ALL SELECT batch, result_set, instance_id, run_id, 'wrong_checkpoint_count' FROM n WHERE have <> 7) t GROUP BY ALL
+UNION ALL SELECT batch, result_set, instance_id, run_id, 'repeated_index', rep FROM n WHERE rep > 0""")
 def r3(v):
     v.keep("checkpoints")
-    rows = v.checkpoints.withColumnRenamed("energy", "reported_energy").withColumn(
+    halves = v.sql(_HALVES)
+    rows = halves.withColumnRenamed("energy", "reported_energy").withColumn(
         "sample", F.lit(None).cast("array<tinyint>"))
-    runs = v.checkpoints.select(*KEY, "run_id").distinct().withColumn(
+    runs = halves.select(*KEY, "result_set", "run_id").distinct().withColumn(
         "k", F.lit(7).cast("bigint"))
     return R.checkpoint_issues(rows, runs)
 
@@ -131,31 +142,34 @@ def r3(v):
 def _run_checkpoints(v):
     """The four samples of a route as the checkpoints of one run per customer."""
     rows = _reported(v)
-    checkpoints = rows.select(*KEY, F.lit("run").alias("run_id"), (F.col("n") + 1).alias("idx"),
+    checkpoints = rows.select(*KEY, "result_set", F.lit("run").alias("run_id"), (F.col("n") + 1).alias("idx"),
                               "sample", "reported_energy")
     # the run claims the last sample as its solution; every third customer claims sample 0
     claim = F.when(F.col("instance_id").cast("bigint") % 3 == 0, 0).otherwise(3)
     finals = rows.where(F.col("n") == claim).select(
-        *KEY, F.lit("run").alias("run_id"), "sample", "energy")
+        *KEY, "result_set", F.lit("run").alias("run_id"), "sample", "energy")
     return checkpoints, finals
 
 
 @query("r4_verify_checkpoints", f"""
-WITH {_CUTS}
-SELECT batch, instance_id, CAST(sample_id + 1 AS BIGINT) AS idx, e AS recomputed_energy,
-       NOT (CAST(instance_id AS BIGINT) % 5 = 0 AND sample_id = 2 AND 1 > 1e-5*greatest(1, abs(e), abs(e + 1))) AS passed FROM f""")
+WITH {_CUTS},
+s AS (SELECT *, 'results' AS result_set, sample_id AS n FROM f UNION ALL SELECT *, 'results_1', (sample_id + 3) % 4 FROM f)
+SELECT batch, result_set, instance_id, CAST(n + 1 AS BIGINT) AS idx, e AS recomputed_energy,
+       NOT (CAST(instance_id AS BIGINT) % 5 = 0 AND sample_id = 2 AND 1 > 1e-5*greatest(1, abs(e), abs(e + 1))) AS passed FROM s""")
 def r4(v):
     batch = _model(v)
     checkpoints, finals = _run_checkpoints(v)
     return R.verify_checkpoints(checkpoints, finals, batch)[0].select(
-        *KEY, "idx", "recomputed_energy", "passed")
+        *KEY, "result_set", "idx", "recomputed_energy", "passed")
 
 
 @query("r4_final_checkpoint_issues", f"""
 WITH a AS (SELECT batch, instance_id, sample_id, array_agg(x ORDER BY i) AS s FROM {{route_samples}} GROUP BY ALL)
-SELECT p.batch, p.instance_id, 'run' AS run_id, 'final_checkpoint_differs' AS code
-FROM a p JOIN a q ON q.instance_id = p.instance_id AND q.sample_id = 3
-WHERE p.sample_id = 0 AND CAST(p.instance_id AS BIGINT) % 3 = 0 AND p.s <> q.s""")
+SELECT p.batch, result_set, p.instance_id, 'run' AS run_id, 'final_checkpoint_differs' AS code
+FROM a p JOIN a q ON q.instance_id = p.instance_id
+JOIN (VALUES ('results', 0, 3), ('results_1', 1, 0)) t(result_set, claimed, last)
+  ON p.sample_id = claimed AND q.sample_id = last
+WHERE CAST(p.instance_id AS BIGINT) % 3 = 0 AND p.s <> q.s""")
 def r4_final(v):
     batch = _model(v)
     checkpoints, finals = _run_checkpoints(v)
@@ -163,36 +177,38 @@ def r4_final(v):
 
 
 @query("r5_incumbent_by_reads", """
-WITH c AS (SELECT *, coalesce(sum(occurrences) OVER (PARTITION BY instance_id, run_id ORDER BY position
+WITH c AS (SELECT *, coalesce(sum(occurrences) OVER (PARTITION BY result_set, instance_id, run_id ORDER BY position
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {reads}),
 t AS (SELECT *, unnest(generate_series(CAST(1 AS BIGINT), k)) AS idx FROM {read_runs}),
 g AS (SELECT *, CAST((idx*num_reads + k - 1)//k AS BIGINT) AS target FROM t)
-SELECT g.batch, g.instance_id, g.run_id, g.idx, g.target, min(c.energy) AS energy,
-       arg_min(c.position, (c.energy, c.position)) AS position
-FROM g JOIN c ON c.instance_id = g.instance_id AND c.run_id = g.run_id AND c.before < g.target GROUP BY ALL""")
+SELECT g.batch, g.result_set, g.instance_id, g.run_id, g.idx, g.target, min(c.energy) AS energy,
+       arg_min(c.position, (c.energy, c.position)) FILTER (c.energy IS NOT NULL) AS position
+FROM g JOIN c ON c.instance_id = g.instance_id AND c.run_id = g.run_id AND c.result_set = g.result_set
+  AND c.before < g.target GROUP BY ALL""")
 def r5(v):
     return R.incumbent_by_reads(v.reads, v.read_runs)
 
 
 # Improvement events: progress in eighths of a day since the month began, so targets are hit exactly.
 _EVENTS = """
-SELECT 'events' AS batch, CAST(user_id AS STRING) AS instance_id, event_type AS run_id,
-       CAST(day(ts)*8 + floor(hour(ts)/3) AS DOUBLE) / 8 AS progress, event_id AS seq,
+SELECT 'events' AS batch, CASE WHEN event_id % 2 = 0 THEN 'results' ELSE 'results_1' END AS result_set,
+       CAST(user_id AS STRING) AS instance_id, event_type AS run_id, CAST(day(ts)*8 + floor(hour(ts)/3) AS DOUBLE) / 8 AS progress, event_id AS seq,
        -CAST(floor(value) AS DOUBLE) AS energy FROM {events}"""
 _EVENT_RUNS = """
-SELECT 'events' AS batch, CAST(user_id AS STRING) AS instance_id, event_type AS run_id, CAST(16 AS BIGINT) AS k,
+SELECT 'events' AS batch, CASE WHEN event_id % 2 = 0 THEN 'results' ELSE 'results_1' END AS result_set,
+       CAST(user_id AS STRING) AS instance_id, event_type AS run_id, CAST(16 AS BIGINT) AS k,
        CAST(32 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS initial_energy, min(-CAST(floor(value) AS DOUBLE)) AS final_energy
-FROM {events} GROUP BY user_id, event_type"""
+FROM {events} GROUP BY user_id, event_type, event_id % 2"""
 
 
 @query("r6_incumbent_asof", f"""
 WITH e AS ({_EVENTS}), r AS ({_EVENT_RUNS}),
 t AS (SELECT *, unnest(generate_series(CAST(1 AS BIGINT), k)) AS idx FROM r),
 g AS (SELECT *, total*idx/k AS target FROM t)
-SELECT g.batch, g.instance_id, g.run_id, g.idx, g.target,
+SELECT g.batch, g.result_set, g.instance_id, g.run_id, g.idx, g.target,
   CASE WHEN g.idx = g.k THEN g.final_energy ELSE coalesce(arg_max(e.energy, (e.progress, e.seq)), g.initial_energy) END AS energy
-FROM g LEFT JOIN e ON e.instance_id = g.instance_id AND e.run_id = g.run_id AND e.progress < g.target
-GROUP BY g.batch, g.instance_id, g.run_id, g.idx, g.target, g.k, g.final_energy, g.initial_energy""")
+FROM g LEFT JOIN e ON e.instance_id = g.instance_id AND e.run_id = g.run_id AND e.result_set = g.result_set AND e.progress < g.target
+GROUP BY g.batch, g.result_set, g.instance_id, g.run_id, g.idx, g.target, g.k, g.final_energy, g.initial_energy""")
 def r6(v):
     return R.incumbent_asof(v.sql(_EVENTS), v.sql(_EVENT_RUNS))
 
@@ -217,18 +233,18 @@ def r7(v):
 
 
 _TRAJECTORY = """
-SELECT batch, instance_id, run_id, k AS checkpoint, k/3.0::DOUBLE*100 AS progress,
+SELECT batch, result_set, instance_id, run_id, k AS checkpoint, k/3.0::DOUBLE*100 AS progress,
   CASE WHEN (position + k) % 4 <> 0 THEN energy + 3.0 - k END AS energy,
   wall_seconds*k/3.0::DOUBLE AS elapsed, CAST(k AS DOUBLE) AS target, 'states' AS unit
-FROM {runs}, LATERAL (SELECT unnest(generate_series(CAST(1 AS BIGINT), CAST(3 AS BIGINT))) AS k) s WHERE position % 6 <> 0
-UNION ALL SELECT batch, instance_id, run_id, NULL, NULL, NULL, NULL, NULL, NULL FROM {runs} WHERE position % 6 = 0"""
+FROM {reruns}, LATERAL (SELECT unnest(generate_series(CAST(1 AS BIGINT), CAST(3 AS BIGINT))) AS k) s WHERE position % 6 <> 0
+UNION ALL SELECT batch, result_set, instance_id, run_id, NULL, NULL, NULL, NULL, NULL, NULL FROM {reruns} WHERE position % 6 = 0"""
 
 
 @query("r8_trajectory", f"""
-SELECT batch, instance_id, run_id, checkpoint, round(progress, 6) AS progress, energy, round(elapsed, 6) AS elapsed, target, unit
+SELECT batch, result_set, instance_id, run_id, checkpoint, round(progress, 6) AS progress, energy, round(elapsed, 6) AS elapsed, target, unit
 FROM ({_TRAJECTORY}) t""")
 def r8(v):
-    return R.trajectory(R.normalize_results(_record_rows(v))).withColumn(
+    return R.trajectory(R.normalize_results(_record_rows(v, v.reruns))).withColumn(
         "progress", F.round("progress", 6)).withColumn("elapsed", F.round("elapsed", 6))
 
 

@@ -135,7 +135,7 @@ WITH o AS (SELECT c_custkey, 'old' AS status, c_name AS note FROM customer WHERE
 SELECT 'm' AS batch, CAST(c.c_custkey AS VARCHAR) AS instance_id,
        CASE WHEN c.c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS validation_status,
        CASE WHEN c.c_custkey % 2 <> 0 THEN c.c_name END AS "parameter.note",
-       CASE WHEN c.c_custkey % 2 = 0 THEN c.c_acctbal END AS "stat.balance"
+       CASE WHEN c.c_custkey % 2 = 0 THEN c.c_acctbal - 1 END AS "stat.balance"
 FROM customer c WHERE c.c_custkey % 3 <> 0 OR c.c_custkey % 2 = 0""")
 def s8(v):
     key = F.col("c_custkey")
@@ -143,19 +143,23 @@ def s8(v):
     old = v.customer.where(key % 3 != 0).select(
         *ids, F.lit("old").alias("validation_status"), F.col("c_name").alias("parameter.note"))
     new = v.customer.where(key % 2 == 0).select(
-        *ids, F.lit("new").alias("validation_status"), F.col("c_acctbal").alias("stat.balance"))
-    return manifests.upsert_problem_manifest(old, new)
+        *ids, F.lit("new").alias("validation_status"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("row"), F.col("c_acctbal")).select(
+        *[c for c in ("batch", "instance_id", "validation_status", "row")],
+        (F.col("c_acctbal") + 1 - F.col("row")).alias("stat.balance"))  # the later row is the lower one
+    return manifests.upsert_problem_manifest(old, new, "row")
 
 
 @query("s9_upsert_results_manifest", """
 WITH o AS (SELECT *, energy AS e FROM {runs} WHERE position % 3 <> 0),
-n AS (SELECT *, energy - 1 AS e FROM {runs} WHERE position % 2 = 0)
+n AS (SELECT *, energy - 2 AS e FROM {runs} WHERE position % 2 = 0)
 SELECT batch, result_set, run_id, instance_id, solver_type, e AS energy FROM n
 UNION ALL SELECT batch, result_set, run_id, instance_id, solver_type, e FROM o WHERE position % 2 <> 0""")
 def s9(v):
     old = v.runs.where("position % 3 <> 0").drop("position")
-    new = v.runs.where("position % 2 = 0").withColumn("energy", F.col("energy") - 1).drop("position")
-    return manifests.upsert_results_manifest(old, new).select(
+    new = v.runs.where("position % 2 = 0").withColumn("row", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "energy", F.col("energy") - F.col("row")).drop("position")  # the later row is the lower one
+    return manifests.upsert_results_manifest(old, new, "row").select(
         "batch", "result_set", "run_id", "instance_id", "solver_type", "energy")
 
 
@@ -208,11 +212,12 @@ def w1(v):
 
 
 @query("w2_stream_incumbent", """
-SELECT batch, instance_id, solver_type AS solver, min(energy) AS energy, arg_min(run_id, (energy, run_id)) AS run_id
-FROM {runs} GROUP BY ALL""")
+SELECT batch, instance_id, solver_type AS solver, min(e) AS energy, arg_min(run_id, (e, run_id)) FILTER (e IS NOT NULL) AS run_id
+FROM (SELECT *, CASE WHEN position % 5 <> 0 THEN energy END AS e FROM {runs}) r GROUP BY ALL""")
 def w2(v):
     path = _folder(v)
-    rows = v.runs.select(*KEY, F.col("solver_type").alias("solver"), "energy", "run_id")
+    energy = F.when(F.col("position") % 5 != 0, F.col("energy"))
+    rows = v.runs.select(*KEY, F.col("solver_type").alias("solver"), energy.alias("energy"), "run_id")
     rows.write.parquet(f"{path}/runs")
     stream = v.spark.readStream.schema(rows.schema).parquet(f"{path}/runs")
     W.write_incumbents(stream, f"{path}/log", f"{path}/state").awaitTermination()

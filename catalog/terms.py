@@ -246,15 +246,19 @@ def t14(v):
 
 
 @query("t15_interaction_scale", """
-SELECT batch, instance_id, CASE WHEN max(b) > 0 THEN max(b) ELSE 1.0 END AS scale FROM (
+SELECT batch, instance_id, coalesce(scale, 1.0) AS scale FROM (
+  SELECT batch, instance_id FROM {sizes} UNION ALL SELECT batch, concat(instance_id, '-empty') FROM {sizes}) n
+LEFT JOIN (SELECT batch, instance_id, CASE WHEN max(b) > 0 THEN max(b) ELSE 1.0 END AS scale FROM (
   SELECT batch, instance_id, i, sum(v) AS b FROM (
     SELECT batch, instance_id, i, abs(h) AS v FROM {fields}
     UNION ALL SELECT batch, instance_id, i, abs(coupling) FROM {couplings}
     UNION ALL SELECT batch, instance_id, j, abs(coupling) FROM {couplings}) t GROUP BY ALL) s
-GROUP BY ALL""")
+GROUP BY ALL) x USING (batch, instance_id)""")
 def t15(v):
     v.keep("edges")
-    return S.interaction_scale(v.fields, v.couplings)
+    # as many instances without any term as with
+    bare = v.sizes.withColumn("instance_id", F.concat("instance_id", F.lit("-empty")))
+    return S.interaction_scale(v.fields, v.couplings, v.sizes.unionByName(bare))
 
 
 @query("t16_matrix_profile", """
