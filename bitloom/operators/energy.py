@@ -360,24 +360,29 @@ def check_encoding(batch: Batch, family_energy: DataFrame, samples: DataFrame) -
     """Compare stored energies with the family's own objective on the same samples.
 
     Returns one row per instance: method, samples_checked, intended_samples,
-    maximum_absolute_error, mismatches, first_mismatch (lowest sample id, NULL for none).
+    maximum_absolute_error, mismatches, first_mismatch (lowest sample id, NULL for none). Every
+    instance has a row; a sample without the family's energy is a mismatch, and an instance with
+    fewer samples than its method intends has the method ``incomplete``.
     """
     both = energy(batch, samples).join(
-        family_energy.withColumnRenamed("energy", "expected"), [*KEY, "sample_id"])
+        family_energy.withColumnRenamed("energy", "expected"), [*KEY, "sample_id"], "left")
     error = F.abs(F.col("energy") - F.col("expected"))
     limit = ENCODING_TOLERANCE * F.greatest(F.lit(1.0), F.abs("energy"), F.abs("expected"))
     # NaN orders above every number, so a NaN energy counts as a mismatch
-    facts = both.withColumn("error", error).withColumn("wrong", error > limit).groupBy(*KEY).agg(
+    facts = both.withColumn("error", error).withColumn(
+        "wrong", F.coalesce(error > limit, F.lit(True))).groupBy(*KEY).agg(
         F.count("*").alias("samples_checked"),
         F.max("error").alias("maximum_absolute_error"),
         F.count_if("wrong").alias("mismatches"),
         F.min(F.when(F.col("wrong"), F.col("sample_id"))).alias("first_mismatch"))
     n = F.col("num_variables")
-    return batch.instances.select(*KEY, "num_variables").join(facts, KEY).select(
+    intended = F.when(n <= EXHAUSTIVE_LIMIT, F.expr("shiftleft(1L, CAST(num_variables AS INT))")).otherwise(
+        F.lit(RANDOM_PROBES + 3)).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    return batch.instances.select(*KEY, "num_variables").join(facts, KEY, "left").withColumn(
+        "intended_samples", intended).withColumn("samples_checked", F.coalesce("samples_checked", none)).select(
         *KEY,
-        F.when(n <= EXHAUSTIVE_LIMIT, "exhaustive").otherwise("deterministic_random")
-        .alias("method"),
-        "samples_checked",
-        F.when(n <= EXHAUSTIVE_LIMIT, F.expr("shiftleft(1L, CAST(num_variables AS INT))"))
-        .otherwise(F.lit(RANDOM_PROBES + 3)).cast("bigint").alias("intended_samples"),
-        "maximum_absolute_error", "mismatches", "first_mismatch")
+        F.when(F.col("samples_checked") < F.col("intended_samples"), "incomplete")
+        .when(n <= EXHAUSTIVE_LIMIT, "exhaustive").otherwise("deterministic_random").alias("method"),
+        "samples_checked", "intended_samples", "maximum_absolute_error",
+        F.coalesce("mismatches", none).alias("mismatches"), "first_mismatch")

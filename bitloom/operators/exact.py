@@ -93,24 +93,34 @@ def _reduce(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_minimum(batch: Batch, max_n: int = MAX_VARIABLES) -> DataFrame:
-    """Minimum energy, lowest optimal assignment, number of optima and states evaluated."""
-    return _reduce(enumerate_blocks(batch, max_n), KEY).select(
+    """Minimum energy, lowest optimal assignment, number of optima and states evaluated, status.
+
+    Every instance has a row; one without variables or with more than ``max_n`` has the status
+    ``not_enumerated`` and no figures.
+    """
+    found = _reduce(enumerate_blocks(batch, max_n), KEY).select(
         *KEY, (F.col("energy") + F.col("offset")).alias("energy"), "assignment",
         F.col("ties").alias("optima"), F.col("total").alias("states_evaluated"))
+    return batch.instances.select(*KEY).join(found, KEY, "left").withColumn(
+        "status", F.when(F.col("states_evaluated").isNull(), "not_enumerated").otherwise("enumerated"))
 
 
 def exact_checkpoints(batch: Batch, snapshots: int, max_n: int = MAX_VARIABLES) -> DataFrame:
-    """Best assignment so far at equal fractions of the enumeration: key, idx, target, ...
+    """Best assignment so far at equal fractions of the enumeration: key, idx, target, ..., status.
 
-    Instances with fewer than ``snapshots`` assignments have no such checkpoints
-    (``plans.experiments.target_issues`` reports them).
+    Every instance is accounted for: one that is not enumerated (see ``exact_minimum``) or has fewer
+    than ``snapshots`` assignments has one row with a status that says so and no checkpoint.
     """
     buckets = _reduce(enumerate_blocks(batch, max_n, snapshots), [*KEY, "bucket"])
     so_far = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     best = F.min(F.struct("energy", "assignment")).over(so_far)
-    return buckets.withColumn("best", best).select(
+    curve = buckets.withColumn("best", best).select(
         *KEY, F.col("bucket").alias("idx"),
         F.expr(f"(bucket * total + {snapshots - 1}L) DIV {snapshots}L").alias("target"),
         "total", (F.col("best.energy") + F.col("offset")).alias("energy"),
         F.col("best.assignment").alias("assignment"))
+    status = F.when(F.col("idx").isNotNull(), "enumerated").when(
+        F.col("num_variables").between(1, max_n), "fewer_assignments_than_checkpoints").otherwise("not_enumerated")
+    return batch.instances.select(*KEY, "num_variables").join(curve, KEY, "left").withColumn(
+        "status", status).drop("num_variables")

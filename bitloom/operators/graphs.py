@@ -155,14 +155,15 @@ def frustration(couplings: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
-    """Exact k-colourability of instances with at most 16 vertices: key, colorable.
+    """Exact k-colourability: key, colorable, one row per instance.
 
-    Each small instance is one row; its partial colourings are folded vertex by vertex as 64-bit
-    words (4 bits per vertex), forgetting vertices whose neighbours are all coloured. Larger
-    instances are left unchecked, as the check is defined for small ones only.
+    Each instance of at most 16 vertices is one row; its partial colourings are folded vertex by
+    vertex as 64-bit words (4 bits per vertex), forgetting vertices whose neighbours are all
+    coloured. Beyond, two colours are decided by the signed forest for any size; three and more are
+    left unchecked (NULL), as the check is defined for small instances only.
     """
-    small = vertices.groupBy(*KEY).agg(F.count("*").alias("n")).where(
-        F.col("n") <= COLORING_LIMIT)
+    counted = vertices.groupBy(*KEY).agg(F.count("*").alias("n"))
+    small = counted.where(F.col("n") <= COLORING_LIMIT)
     order = Window.partitionBy(*KEY).orderBy("u")
     placed = vertices.join(small.select(*KEY), KEY, "left_semi").select(
         *KEY, "u", (F.row_number().over(order) - 1).alias("pos"))
@@ -186,8 +187,20 @@ def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
     answer = F.when(F.lit(int(colors)) >= F.col("n"), True).when(
         F.lit(int(colors)) < 1, False).otherwise(F.size(folded) > 0)
     none = "CAST(array() AS array<struct<p:int,q:int>>)"
-    return small.join(rows, KEY, "left").withColumn(
+    checked = small.join(rows, KEY, "left").withColumn(
         "e", F.coalesce("e", F.expr(none))).select(*KEY, answer.alias("colorable"))
+    large = counted.where(F.col("n") > COLORING_LIMIT).select(*KEY)
+    if colors != 2 or large.isEmpty():
+        return union(checked, large.withColumn("colorable", F.lit(None).cast("boolean")))
+    # with every edge asking for unlike ends, an odd cycle is an edge that the forest cannot satisfy
+    unlike = edges.join(large, KEY, "left_semi").select(
+        *KEY, F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("coupling"))
+    gauge = spanning_gauge(unlike.where("i <> j"))
+    ends = unlike.join(gauge.select(*KEY, F.col("u").alias("i"), F.col("sign").alias("si")), [*KEY, "i"], "left").join(
+        gauge.select(*KEY, F.col("u").alias("j"), F.col("sign").alias("sj")), [*KEY, "j"], "left")
+    odd = ends.where("i <> j AND si = sj").select(*KEY).distinct().withColumn("odd", F.lit(True))
+    return union(checked, large.join(odd, KEY, "left").select(
+        *KEY, F.col("odd").isNull().alias("colorable")))
 
 
 def perfect_partition(numbers: DataFrame) -> DataFrame:

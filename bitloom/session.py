@@ -32,18 +32,14 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder of this application below ``spark.checkpoint.dir``, which the cluster names.
 
-    Only a local session without that setting gets a folder of its own.
+    Sessions must have the setting; ``tools/spark.py`` gives tests and local runs one of their own.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir", None)
     application = context.applicationId
     if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if application not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        shared = _LOCAL_FOLDERS[application]
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/bitloom-{application}"
 
 
@@ -53,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     This ends the lineage (iterations stay short, lost executors reread files) and, unlike an RDD
     checkpoint, keeps column pruning and file statistics for the plans that follow.
     """
-    spark = df.sparkSession
+    spark = configure(df.sparkSession)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,9 +44,20 @@ def discover(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("qub
 def read_problem_json(spark: SparkSession, path: str) -> tuple[Batch, DataFrame]:
     """Import problem files: (batch, error rows path, code).
 
-    A file is one JSON document. Files that lack a required part, or have version 2 or later
-    without a validation record, become error rows.
+    A file is one JSON document. Files that lack a required part, have version 2 or later
+    without a validation record, or hold a term that is not its indices and a number, become error
+    rows; the other files are imported all the same.
     """
+    def malformed(terms: str, indices: int) -> Column:
+        def bad(term: Column) -> Column:
+            parts = [F.try_element_at(term, F.lit(k + 1)) for k in range(indices + 1)]
+            wrong = F.size(term) != indices + 1
+            for k, part in enumerate(parts):
+                wrong = wrong | part.isNull() | ((part != F.floor(part)) if k < indices else F.lit(False))
+            return F.coalesce(wrong, F.lit(True))
+
+        return F.exists(terms, bad)
+
     raw = (
         spark.read.schema(PROBLEM_JSON).option("multiLine", "true")
         .option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").json(path)
@@ -59,7 +70,9 @@ def read_problem_json(spark: SparkSession, path: str) -> tuple[Batch, DataFrame]
               | F.col("qubo.quadratic").isNull() | F.col("qubo.offset").isNull(),
               "incomplete_qubo")
         .when((F.col("schema_version") >= 2) & F.col("validation").isNull(),
-              "missing_validation"))
+              "missing_validation")
+        .when(malformed("qubo.linear", 1), "malformed_linear_term")
+        .when(malformed("qubo.quadratic", 2), "malformed_quadratic_term"))
     graded = raw.withColumn("code", code).withColumn(
         "batch", F.coalesce(path_parts(F.col("path"))["batch"], F.lit("imported")))
     good = graded.where("code IS NULL")

@@ -197,11 +197,18 @@ _G = """g AS (SELECT x.batch, x.instance_id, x.w, x.w + 1 AS p,
 
 @query("e8_max_2_sat", terms_sql(
     _product("f0", "f1", "w"), "SELECT batch, instance_id, num_variables AS n FROM {clause_sizes}",
-    "SELECT batch, instance_id, sum(w*f0.c*f1.c) AS v FROM g GROUP BY ALL", _FALSE + _G))
+    "SELECT batch, instance_id, sum(w*f0.c*f1.c) AS v FROM g GROUP BY ALL", _FALSE + """g AS (
+  SELECT x.batch, x.instance_id, x.w, struct_pack(i := x.i, a := x.a, c := x.c) AS f0, struct_pack(i := y.i, a := y.a, c := y.c) AS f1
+  FROM f x JOIN f y ON x.instance_id = y.instance_id AND x.clause_id = y.clause_id AND y.pos = x.pos + 1),"""))
 def e8(v):
     v.keep("clauses")
-    pairs = v.literals.where("pos < 2")
-    return stack(E.encode_max_sat(pairs, v.clauses, 2, sizes=v.clause_sizes)[0])
+    # the first two and the last two literals of an order line are a clause each
+    half = F.explode(F.array(F.lit(0), F.lit(1)))
+    pairs = v.literals.withColumn("half", half).where(F.col("pos").between(F.col("half"), F.col("half") + 1)).select(
+        *KEY, (2 * F.col("clause_id") + F.col("half")).alias("clause_id"), (F.col("pos") - F.col("half")).alias("pos"),
+        "variable", "negated")
+    weights = v.clauses.withColumn("half", half).withColumn("clause_id", 2 * F.col("clause_id") + F.col("half"))
+    return stack(E.encode_max_sat(pairs, weights, 2, sizes=v.clause_sizes)[0])
 
 
 @query("e9_max_3_sat", terms_sql(

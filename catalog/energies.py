@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bitloom.operators import encoders as E
 from bitloom.operators import energy as V
 from bitloom.operators.exact import exact_checkpoints, exact_minimum
+from bitloom.operators.terms import union
 from bitloom.schemas import KEY
 from catalog.base import query
 from catalog.encoders import KNAPSACK
@@ -115,17 +116,21 @@ e AS (SELECT e.instance_id, s.sample_id, sum(CASE WHEN s.x <> t.x THEN -e.w ELSE
 @query("v7_exact_minimum", _SEASON + """,
 m AS (SELECT instance_id, min(e) AS m, count(*) AS n FROM e GROUP BY ALL)
 SELECT 'season' AS batch, instance_id, CAST(m AS DOUBLE) AS energy, min(sample_id) AS assignment,
-       count(*) AS optima, n AS states_evaluated
-FROM e JOIN m USING (instance_id) WHERE e = m GROUP BY instance_id, m, n""")
+       count(*) AS optima, n AS states_evaluated, 'enumerated' AS status
+FROM e JOIN m USING (instance_id) WHERE e = m GROUP BY instance_id, m, n
+UNION ALL SELECT batch, instance_id, NULL, NULL, NULL, NULL, 'not_enumerated' FROM {sizes}""")
 def v7(v):
-    v.keep("season_edges")
-    return exact_minimum(E.encode_max_cut(v.season_edges, v.season_sizes))
+    v.keep("season_edges", "edges")
+    # the trade graphs are far too large to enumerate
+    return exact_minimum(E.encode_max_cut(
+        union(v.season_edges, v.edges), union(v.season_sizes.select(*KEY, "num_vertices", "num_variables"),
+                                                  v.sizes.select(*KEY, "num_vertices", "num_variables"))))
 
 
 @query("v8_exact_checkpoints", _SEASON + """,
 t AS (SELECT k AS idx, CAST(ceil(k*4096/7.0) AS BIGINT) AS target FROM range(1, 8) r(k))
 SELECT 'season' AS batch, instance_id, CAST(idx AS BIGINT) AS idx, target, CAST(4096 AS BIGINT) AS total,
-       CAST(min(e) AS DOUBLE) AS energy, arg_min(sample_id, (e, sample_id)) AS assignment
+       CAST(min(e) AS DOUBLE) AS energy, arg_min(sample_id, (e, sample_id)) AS assignment, 'enumerated' AS status
 FROM e JOIN t ON sample_id < target GROUP BY instance_id, idx, target""")
 def v8(v):
     v.keep("season_edges")
@@ -314,7 +319,5 @@ FROM {sizes}""")
 def v19_probes(v):
     v.keep("edges")
     batch = E.encode_max_cut(v.edges, v.sizes)
-    used = v.vertices.select(*KEY, F.col("u").alias("i"))
-    # the model's unused index gaps have no terms: probing the used variables is the whole check
-    samples = V.probe_samples(batch.instances).join(used, [*KEY, "i"], "left_semi")
+    samples = V.probe_samples(batch.instances)
     return V.check_encoding(batch, V.cut_energy(v.edges, samples), samples)

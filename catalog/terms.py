@@ -340,8 +340,7 @@ FROM (SELECT batch, instance_id, 'exact_variables' AS code, n AS amount, 24 AS l
 WHERE amount > lim""")
 def t19(v):
     v.keep("edges", "route_edges")
-    big, small = encode_max_cut(v.edges, v.sizes), encode_max_cut(v.route_edges, v.route_sizes.join(
-        v.route_edges.select(*KEY).distinct(), KEY))
+    big, small = encode_max_cut(v.edges, v.sizes), encode_max_cut(v.route_edges, v.route_sizes)
     both = Batch(T.union(big.instances, small.instances), T.union(big.linear, small.linear),
                  T.union(big.quadratic, small.quadratic))
     tasks = both.instances.select(*KEY, F.lit(32).cast("bigint").alias("reads"),

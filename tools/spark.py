@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 from bitloom.session import SETTINGS
 
 
+def with_folder(spark: SparkSession) -> SparkSession:
+    """Give a session in one process a folder for written intermediate tables if it names none.
+
+    Clusters name one in ``spark.checkpoint.dir``, which is never replaced.
+    """
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if set_ is None and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark
+
+
 def session(cpus: str = "8", partitions: int = 8) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bitloom")
@@ -21,4 +33,4 @@ def session(cpus: str = "8", partitions: int = 8) -> SparkSession:
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(os.environ.get("SPARK_LOG", "ERROR"))
-    return spark
+    return with_folder(spark)
