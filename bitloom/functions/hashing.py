@@ -16,6 +16,11 @@ def _long(value) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("bigint")
 
 
+def streamed(seed, stream) -> Column:
+    """A seed of its own for every (seed, stream): streams are below 128, so no two pairs share one."""
+    return (_long(seed) % MODULUS) * 128 + _long(stream)
+
+
 def portable_hash(seed, i, j=0) -> Column:
     """Integer in ``[0, 2147483647)``."""
     seed, i, j = _long(seed), _long(i), _long(j)

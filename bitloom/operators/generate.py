@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import (
-    MODULUS, portable_hash, standard_normal, uniform, uniform_integer,
+    MODULUS, portable_hash, standard_normal, streamed, uniform, uniform_integer,
 )
 from bitloom.functions.pairs import pair_count, pair_unrank
 from bitloom.operators.ranges import spread_range
@@ -22,14 +22,12 @@ from bitloom.operators.validation import WARNING_CODES
 from bitloom.schemas import KEY
 from bitloom.session import cut
 
-# Seed steps between entries and between attempts, and the pair count above which
-# pairs are drawn by gaps.
+# Seed steps between entries and between attempts.
 ENTRY_STEP = 1_000_000
 ATTEMPT_STEP = 1_000_000_000
-DIRECT_PAIRS = 1_000_000
 PAIR_BLOCK = 65_536
 
-# Streams keep the draws of one seed apart.
+# Streams keep the draws of one seed apart; ``streamed`` keeps them apart from those of other seeds.
 PAIRS, WEIGHTS, LINEAR, MEMBERS, FALLBACK, VALUES, CLAUSES, SIGNS, PLANT, FLIP, COUPLINGS, FIELDS, \
     SHUFFLE = (7 * n + 1 for n in range(13))
 
@@ -49,8 +47,8 @@ def sample_pairs(grid: DataFrame, n: str = "n", density: str = "density") -> Dat
     """Independent Bernoulli(density) pairs ``i < j`` of ``n`` vertices: grid columns, i, j.
 
     The pair ranks ``0..n(n-1)/2-1`` are cut into fixed blocks, which spread one huge instance over
-    the cluster. Up to a million pairs (or density 1) every rank is tested; beyond, each block jumps
-    from hit to hit by geometric gaps, so absent pairs cost nothing.
+    the cluster. Each block jumps from hit to hit by geometric gaps, at every size alike, so absent
+    pairs cost nothing; with density 1 there is nothing to draw and every rank is a pair.
     """
     total = pair_count(F.col(n))
     sized = grid.withColumn("_total", total).where((F.col(density) > 0) & (F.col("_total") > 0))
@@ -58,14 +56,11 @@ def sample_pairs(grid: DataFrame, n: str = "n", density: str = "density") -> Dat
         f"sequence(0L, (_total - 1L) DIV {PAIR_BLOCK}L)"))).repartition(*KEY, "_block").withColumn(
         "_first", F.col("_block") * PAIR_BLOCK).withColumn(
         "_size", F.least(F.lit(PAIR_BLOCK), F.col("_total") - F.col("_first")))
-    direct = (F.col("_total") <= DIRECT_PAIRS) | (F.col(density) >= 1)
-    tested = blocks.where(direct).withColumn("_rank", F.explode(F.expr(
-        "sequence(_first, _first + _size - 1L)"))).where(
-        (F.col(density) >= 1)
-        | (uniform(F.col("seed"), F.col("_rank"), PAIRS) < F.col(density)))
-    jumped = _gap_ranks(blocks.where(~direct), density)
+    every = blocks.where(F.col(density) >= 1).withColumn("_rank", F.explode(F.expr(
+        "sequence(_first, _first + _size - 1L)")))
+    jumped = _gap_ranks(blocks.where(F.col(density) < 1), density)
     drop = ["_total", "_block", "_first", "_size"]
-    ranks = union(tested.drop(*drop), jumped.drop(*drop))
+    ranks = union(every.drop(*drop), jumped.drop(*drop))
     return ranks.withColumn("_pair", pair_unrank(F.col("_rank"), F.col(n))).select(
         *grid.columns, "_pair.i", "_pair.j")
 
@@ -82,7 +77,7 @@ def _gap_ranks(blocks: DataFrame, density: str) -> DataFrame:
 
     def step(acc: Column, k: Column) -> Column:
         u = 1.0 - uniform(F.col("seed"), F.col("_first") + k, PAIRS + 1)
-        gap = F.greatest(F.lit(1.0), F.ceil(F.log(u) / F.log1p(-F.col(density)))).cast("bigint")
+        gap = F.greatest(F.lit(1.0), F.ceil(F.log(u) / F.log(1.0 - F.col(density)))).cast("bigint")
         at = acc["at"] + gap
         live = acc["at"] < F.col("_size")
         return F.struct(
@@ -116,7 +111,7 @@ def coefficients(df: DataFrame, distribution: str, i: Column, j: Column, low: fl
     """Add ``v``: integer in [low, high], uniform in [low, high) or normal(0, scale)."""
     if low > high:
         raise ValueError("the lower coefficient bound exceeds the upper one")
-    seed = F.col("seed") + stream
+    seed = streamed(F.col("seed"), stream)
     if distribution == "integer":
         if int(low) != low or int(high) != high:
             raise ValueError("integer coefficients need whole bounds")
@@ -143,7 +138,7 @@ def random_linear(grid: DataFrame, n: str = "n", zero_probability: float = 0.0,
 def random_integers(df: DataFrame, name: str, i: Column, low, high, stream: int = VALUES,
                     j: Column | int = 0) -> DataFrame:
     """Add a uniform integer column in [low, high]."""
-    return df.withColumn(name, uniform_integer(F.col("seed") + stream, i, j, low, high))
+    return df.withColumn(name, uniform_integer(streamed(F.col("seed"), stream), i, j, low, high))
 
 
 def erdos_renyi(grid: DataFrame, n: str = "n", p: str = "density") -> DataFrame:
@@ -197,7 +192,7 @@ def random_regular(grid: DataFrame, n: str = "n", degree: str = "degree", parall
     for step in range(rounds):
         ordered = index_variables(
             open_.withColumn("_o", portable_hash(
-                F.col("seed") + SHUFFLE + step, F.col("u"), F.col("c") + 1000 * F.col("attempt"))),
+                streamed(F.col("seed"), SHUFFLE) + step, F.col("u"), F.col("c") + 1000 * F.col("attempt"))),
             ["_o", "u", "c"], state, "at")
         pairs = ordered.groupBy(*state, F.shiftright("at", 1).alias("p")).agg(
             F.min(F.struct("u", "c")).alias("a"), F.max(F.struct("u", "c")).alias("b"))
@@ -237,11 +232,11 @@ def random_sets(grid: DataFrame, sets: str = "num_sets", universe: str = "univer
     """Bernoulli membership; a set left empty gets one random element: key, set_id, element."""
     each = spread_range(grid, sets, "set_id")
     rows = spread_range(each, universe, "element").where(
-        uniform(F.col("seed") + MEMBERS, F.col("set_id"), F.col("element")) < F.col(p)
+        uniform(streamed(F.col("seed"), MEMBERS), F.col("set_id"), F.col("element")) < F.col(p)
     ).select(*KEY, "set_id", "element")
     empty = each.join(rows.select(*KEY, "set_id").distinct(), [*KEY, "set_id"], "left_anti")
     single = empty.select(*KEY, "set_id", uniform_integer(
-        F.col("seed") + FALLBACK, F.col("set_id"), 0, 0, F.col(universe) - 1).alias("element"))
+        streamed(F.col("seed"), FALLBACK), F.col("set_id"), 0, 0, F.col(universe) - 1).alias("element"))
     return union(rows, single)
 
 
@@ -252,14 +247,14 @@ def random_clauses(grid: DataFrame, clause_size: int, n: str = "n", m: str = "nu
     the earlier ones in ascending order, so no draw is ever repeated.
     """
     each = spread_range(grid.where(F.col(n) >= clause_size), m, "clause_id")
-    draws = [uniform_integer(F.col("seed") + CLAUSES, F.col("clause_id"), p, 0, F.col(n) - 1 - p)
+    draws = [uniform_integer(streamed(F.col("seed"), CLAUSES), F.col("clause_id"), p, 0, F.col(n) - 1 - p)
              for p in range(clause_size)]
     rows = each.withColumn("_v", F.array(draws[0]))
     for p in range(1, clause_size):
         rows = rows.withColumn("_d", draws[p]).withColumn("_d", F.aggregate(
             F.array_sort("_v"), F.col("_d"), lambda d, used: F.when(d >= used, d + 1).otherwise(d))
         ).withColumn("_v", F.concat("_v", F.array("_d")))
-    signs = uniform_integer(F.col("seed") + SIGNS, F.col("clause_id"), F.col("pos"), 0, 1) == 1
+    signs = uniform_integer(streamed(F.col("seed"), SIGNS), F.col("clause_id"), F.col("pos"), 0, 1) == 1
     return rows.select(*KEY, "seed", "clause_id", F.posexplode("_v").alias("pos", "variable")
                        ).select(*KEY, "clause_id", F.col("pos").cast("bigint").alias("pos"),
                                 "variable", signs.alias("negated"))
@@ -268,7 +263,7 @@ def random_clauses(grid: DataFrame, clause_size: int, n: str = "n", m: str = "nu
 def planted_assignment(grid: DataFrame, n: str = "n") -> DataFrame:
     """Random 0/1 assignment: key, i, x."""
     return spread_range(grid, n, "i").select(
-        *KEY, "i", uniform_integer(F.col("seed") + PLANT, F.col("i"), 0, 0, 1).alias("x"))
+        *KEY, "i", uniform_integer(streamed(F.col("seed"), PLANT), F.col("i"), 0, 0, 1).alias("x"))
 
 
 def plant(literals: DataFrame, planted: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -284,7 +279,7 @@ def plant(literals: DataFrame, planted: DataFrame, seeds: DataFrame) -> DataFram
     chosen = status.join(seeds.select(*KEY, "seed"), KEY).select(
         *KEY, "clause_id",
         F.when(~F.col("_ok"), uniform_integer(
-            F.col("seed") + FLIP, F.col("clause_id"), 0, 0, F.col("_size") - 1)).alias("_flip"))
+            streamed(F.col("seed"), FLIP), F.col("clause_id"), 0, 0, F.col("_size") - 1)).alias("_flip"))
     return rows.join(chosen, [*KEY, "clause_id"]).select(
         *KEY, "clause_id", "pos", "variable",
         F.when(F.col("pos") == F.col("_flip"), F.col("x") == 0).otherwise(F.col("negated"))
@@ -295,7 +290,7 @@ def random_couplings(edges: DataFrame, seeds: DataFrame, distribution: str = "bi
                      scale: float = 1.0) -> DataFrame:
     """Couplings +-scale or normal(0, scale) on given edges: key, i, j, coupling."""
     rows = edges.join(seeds.select(*KEY, "seed"), KEY)
-    seed = F.col("seed") + COUPLINGS
+    seed = streamed(F.col("seed"), COUPLINGS)
     if distribution == "bimodal":
         value = F.when(portable_hash(seed, F.col("u"), F.col("v")) * 2 < MODULUS, -scale).otherwise(
             scale)
@@ -311,7 +306,7 @@ def random_fields(grid: DataFrame, n: str = "n", probability: float = 0.0,
                   scale: float = 1.0) -> DataFrame:
     """Field +-scale with the given probability, else 0: key, i, h."""
     rows = spread_range(grid, n, "i")
-    seed = F.col("seed") + FIELDS
+    seed = streamed(F.col("seed"), FIELDS)
     sign = F.when(portable_hash(seed, F.col("i"), 1) * 2 < MODULUS, -scale).otherwise(scale)
     return rows.select(*KEY, "i", F.when(
         uniform(seed, F.col("i"), 0) < probability, sign).otherwise(0.0).cast("double").alias("h"))

@@ -50,20 +50,39 @@ def g1(v):
     return G.seed_grid(entries).select(*KEY, "index", "seed")
 
 
-_PAIR_SQL = f"""
-WITH {_N}
-SELECT batch, instance_id, i, j FROM (
-  SELECT *, i*(2*n - i - 1)//2 + j - i - 1 AS r FROM (
-    SELECT a.*, {span('n')} AS j FROM a) t WHERE i < j) p
-WHERE density >= 1 OR (density > 0 AND {unit('seed', 'r', str(PAIRS))} < density)"""
-
+def pair_sql(grid: str) -> str:
+    """Pairs by running gaps: blocks of 65,536 ranks, runs of about 8 hits, up to 64 gaps each, then rank by rank."""
+    gap = f"greatest(1, CAST(ceil(ln(1.0 - {{u}}) / ln(1.0 - density)) AS BIGINT))"
+    first = gap.replace("{u}", unit("seed", "first", str(PAIRS + 1)))
+    later = gap.replace("{u}", unit("seed", "(first + k + 1)", str(PAIRS + 1)))
+    return f"""
+WITH RECURSIVE g AS (SELECT *, n*(n - 1)//2 AS total FROM ({grid}) q WHERE density > 0 AND n > 1),
+b AS (SELECT *, least(65536, total - block*65536) AS bsize,
+        CAST(greatest(1, least(CAST(least(65536, total - block*65536) AS DOUBLE), ceil(8.0 / density))) AS BIGINT) AS run
+      FROM (SELECT *, unnest(range(0, (total - 1)//65536 + 1)) AS block FROM g WHERE density < 1) x),
+r AS (SELECT batch, instance_id, seed, n, density, block*65536 + off AS first, least(run, bsize - off) AS size
+      FROM (SELECT *, unnest(range(0, bsize, run)) AS off FROM b) y),
+w AS (SELECT *, CAST(0 AS BIGINT) AS k, -1 + {first} AS pos FROM r
+      UNION ALL SELECT batch, instance_id, seed, n, density, first, size, k + 1, pos + {later} FROM w WHERE pos < size AND k < 63),
+tail AS (SELECT *, unnest(range(pos + 1, size)) AS x FROM w WHERE k = 63 AND pos < size),
+hits AS (SELECT batch, instance_id, n, first + pos AS rank FROM w WHERE pos < size
+  UNION ALL SELECT batch, instance_id, n, first + x FROM tail WHERE {unit('seed', '(first + x)', str(PAIRS + 2))} < density
+  UNION ALL SELECT batch, instance_id, n, unnest(range(0, total)) FROM g WHERE density >= 1),
+p AS (SELECT *, CAST(floor(((2*n - 1) - sqrt(CAST((2*n - 1)*(2*n - 1) - 8*rank AS DOUBLE))) / 2) AS BIGINT) AS i0 FROM hits),
+q AS (SELECT *, CASE WHEN (i0 + 1)*(2*n - i0 - 2)//2 <= rank THEN i0 + 1 WHEN i0*(2*n - i0 - 1)//2 > rank THEN i0 - 1 ELSE i0 END AS i FROM p)
+SELECT batch, instance_id, i, rank - i*(2*n - i - 1)//2 + i + 1 AS j FROM q"""
+
+
+_PAIR_SQL = pair_sql(GRID)
 
 @query("g2_sample_pairs", _PAIR_SQL)
 def g2(v):
     return G.sample_pairs(v.sql(GRID)).select(*KEY, "i", "j")
 
 
-@query("g3_sample_pairs_sparse")
+@query("g3_sample_pairs_sparse", pair_sql("""
+SELECT 'sparse' AS batch, CAST(s_suppkey AS VARCHAR) AS instance_id, s_suppkey AS seed,
+       CAST(s_nationkey + 1500 AS BIGINT) AS n, 0.0005::DOUBLE AS density FROM supplier"""))
 def g3(v):
     # 1.1 million pairs and more per instance, one in two thousand of them present
     grid = v.supplier.select(
@@ -75,7 +94,7 @@ def g3(v):
 
 @query("g4_coefficients_integer", f"""
 SELECT batch, instance_id, u AS i, v AS j,
-       CAST(-10 + {h(f'CAST(instance_id AS BIGINT) + {WEIGHTS}', 'u', 'v')} % 21 AS DOUBLE) AS v
+       CAST(-10 + {h(f'(CAST(instance_id AS BIGINT))*128 + {WEIGHTS}', 'u', 'v')} % 21 AS DOUBLE) AS v
 FROM {{edges}}""")
 def g4(v):
     rows = v.edges.select(*KEY, F.col("instance_id").cast("bigint").alias("seed"),
@@ -85,7 +104,7 @@ def g4(v):
 
 @query("g4_coefficients_uniform", f"""
 SELECT batch, instance_id, u AS i, v AS j,
-       round(-1 + 2*{unit(f'CAST(instance_id AS BIGINT) + {WEIGHTS}', 'u', 'v')}, 9) AS v
+       round(-1 + 2*{unit(f'(CAST(instance_id AS BIGINT))*128 + {WEIGHTS}', 'u', 'v')}, 9) AS v
 FROM {{edges}}""")
 def g4_uniform(v):
     rows = v.edges.select(*KEY, F.col("instance_id").cast("bigint").alias("seed"),
@@ -96,13 +115,14 @@ def g4_uniform(v):
 
 @query("g5_random_linear", f"""
 WITH {_N}
-SELECT batch, instance_id, i, CAST(-10 + {h(f'seed + {LINEAR}', 'i', '0')} % 21 AS DOUBLE) AS v
+SELECT batch, instance_id, i, CAST(-10 + {h(f'(seed)*128 + {LINEAR}', 'i', '0')} % 21 AS DOUBLE) AS v
 FROM a WHERE {unit('seed', 'i', str(LINEAR))} >= 0.3""")
 def g5(v):
     return G.random_linear(v.sql(GRID), zero_probability=0.3)
 
 
-@query("g6_erdos_renyi", _PAIR_SQL.replace("SELECT batch, instance_id, i, j FROM", "SELECT batch, instance_id, i AS u, j AS v FROM"))
+@query("g6_erdos_renyi", _PAIR_SQL.replace("SELECT batch, instance_id, i, rank - i*(2*n - i - 1)//2 + i + 1 AS j FROM q",
+                                           "SELECT batch, instance_id, i AS u, rank - i*(2*n - i - 1)//2 + i + 1 AS v FROM q"))
 def g6(v):
     return G.erdos_renyi(v.sql(GRID))
 
@@ -132,7 +152,7 @@ def g8_complete(v):
 
 @query("g9_random_integers", f"""
 WITH {_N}
-SELECT batch, instance_id, i, 1 + {h(f'seed + {VALUES}', 'i', '0')} % n AS value FROM a""")
+SELECT batch, instance_id, i, 1 + {h(f'(seed)*128 + {VALUES}', 'i', '0')} % n AS value FROM a""")
 def g9(v):
     from bitloom.operators.ranges import spread_range
 
@@ -143,9 +163,9 @@ def g9(v):
 @query("g10_random_sets", f"""
 WITH {_N},
 m AS (SELECT *, {span('20')} AS element FROM a),
-r AS (SELECT * FROM m WHERE {unit(f'seed + {MEMBERS}', 'i', 'element')} < density / 4)
+r AS (SELECT * FROM m WHERE {unit(f'(seed)*128 + {MEMBERS}', 'i', 'element')} < density / 4)
 SELECT batch, instance_id, i AS set_id, element FROM r
-UNION ALL SELECT batch, instance_id, i, {h(f'seed + {FALLBACK}', 'i', '0')} % 20
+UNION ALL SELECT batch, instance_id, i, {h(f'(seed)*128 + {FALLBACK}', 'i', '0')} % 20
 FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.instance_id = a.instance_id AND r.i = a.i)""")
 def g10(v):
     grid = v.sql(GRID).withColumn("universe_size", F.lit(20).cast("bigint")).withColumn(
@@ -155,14 +175,14 @@ def g10(v):
 
 @query("g11_random_clauses", f"""
 WITH g AS ({GRID}), a AS (SELECT batch, instance_id, seed, n + 3 AS n, {span('n + 3')} AS c FROM g),
-d AS (SELECT *, {h(f'seed + {CLAUSES}', 'c', '0')} % n AS a0, {h(f'seed + {CLAUSES}', 'c', '1')} % (n - 1) AS d1,
-             {h(f'seed + {CLAUSES}', 'c', '2')} % (n - 2) AS d2 FROM a),
+d AS (SELECT *, {h(f'(seed)*128 + {CLAUSES}', 'c', '0')} % n AS a0, {h(f'(seed)*128 + {CLAUSES}', 'c', '1')} % (n - 1) AS d1,
+             {h(f'(seed)*128 + {CLAUSES}', 'c', '2')} % (n - 2) AS d2 FROM a),
 e AS (SELECT *, CASE WHEN d1 >= a0 THEN d1 + 1 ELSE d1 END AS a1 FROM d),
 f AS (SELECT *, CASE WHEN d2 >= least(a0, a1) THEN d2 + 1 ELSE d2 END AS b2 FROM e),
 k AS (SELECT *, CASE WHEN b2 >= greatest(a0, a1) THEN b2 + 1 ELSE b2 END AS a2 FROM f),
 p AS (SELECT *, {span('3')} AS pos FROM k)
 SELECT batch, instance_id, c AS clause_id, pos, CASE pos WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END AS variable,
-       {h(f'seed + {SIGNS}', 'c', 'pos')} % 2 = 1 AS negated FROM p""")
+       {h(f'(seed)*128 + {SIGNS}', 'c', 'pos')} % 2 = 1 AS negated FROM p""")
 def g11(v):
     grid = v.sql(GRID).withColumn("n", F.col("n") + 3)
     return G.random_clauses(grid, 3, "n", "n")
@@ -173,12 +193,12 @@ _SAT_GRID = "SELECT batch, instance_id, CAST(instance_id AS BIGINT) AS seed, num
 
 @query("g12_plant", f"""
 WITH g AS ({_SAT_GRID}),
-p AS (SELECT instance_id, i, {h(f'seed + {PLANT}', 'i', '0')} % 2 AS x FROM (SELECT *, {span('n')} AS i FROM g) t),
+p AS (SELECT instance_id, i, {h(f'(seed)*128 + {PLANT}', 'i', '0')} % 2 AS x FROM (SELECT *, {span('n')} AS i FROM g) t),
 l AS (SELECT l.*, p.x, (p.x = 1) <> negated AS ok, g.seed FROM {{small_literals}} l
       JOIN p ON p.instance_id = l.instance_id AND p.i = l.variable JOIN g ON g.instance_id = l.instance_id),
 c AS (SELECT instance_id, clause_id, bool_or(ok) AS ok, count(*) AS size FROM l GROUP BY ALL)
 SELECT l.batch, l.instance_id, l.clause_id, l.pos, l.variable,
-  CASE WHEN NOT c.ok AND l.pos = {h(f'l.seed + {FLIP}', 'l.clause_id', '0')} % c.size THEN l.x = 0 ELSE l.negated END AS negated
+  CASE WHEN NOT c.ok AND l.pos = {h(f'(l.seed)*128 + {FLIP}', 'l.clause_id', '0')} % c.size THEN l.x = 0 ELSE l.negated END AS negated
 FROM l JOIN c USING (instance_id, clause_id)""")
 def g12(v):
     v.keep("small_clauses")
@@ -188,7 +208,7 @@ def g12(v):
 
 @query("g13_random_couplings", f"""
 SELECT batch, instance_id, u AS i, v AS j,
-  CASE WHEN {h(f'CAST(instance_id AS BIGINT) + {COUPLINGS}', 'u', 'v')}*2 < 2147483647 THEN -1.0::DOUBLE ELSE 1.0 END AS coupling
+  CASE WHEN {h(f'(CAST(instance_id AS BIGINT))*128 + {COUPLINGS}', 'u', 'v')}*2 < 2147483647 THEN -1.0::DOUBLE ELSE 1.0 END AS coupling
 FROM {{route_edges}}""")
 def g13(v):
     v.keep("route_edges")
@@ -198,35 +218,36 @@ def g13(v):
 
 @query("g13_random_fields", f"""
 WITH {_N}
-SELECT batch, instance_id, i, CASE WHEN {unit(f'seed + {FIELDS}', 'i', '0')} < 0.4
-  THEN CASE WHEN {h(f'seed + {FIELDS}', 'i', '1')}*2 < 2147483647 THEN -1.5::DOUBLE ELSE 1.5 END ELSE 0.0 END AS h FROM a""")
+SELECT batch, instance_id, i, CASE WHEN {unit(f'(seed)*128 + {FIELDS}', 'i', '0')} < 0.4
+  THEN CASE WHEN {h(f'(seed)*128 + {FIELDS}', 'i', '1')}*2 < 2147483647 THEN -1.5::DOUBLE ELSE 1.5 END ELSE 0.0 END AS h FROM a""")
 def g13_fields(v):
     return G.random_fields(v.sql(GRID), probability=0.4, scale=1.5)
 
 
 @query("g14_random_items", f"""
 WITH {_N}
-SELECT batch, instance_id, i, 1 + {h(f'seed + {WEIGHTS}', 'i', '0')} % 20 AS weight,
-       1 + {h(f'seed + {VALUES}', 'i', '0')} % 30 AS value FROM a""")
+SELECT batch, instance_id, i, 1 + {h(f'(seed)*128 + {WEIGHTS}', 'i', '0')} % 20 AS weight,
+       1 + {h(f'(seed)*128 + {VALUES}', 'i', '0')} % 30 AS value FROM a""")
 def g14(v):
     return G.random_items(v.sql(GRID))
 
 
 @query("g14_random_bonuses", f"""
-SELECT batch, instance_id, i, j, 1 + {h(f'CAST(instance_id AS BIGINT) + {VALUES + 1}', 'i', 'j')} % 10 AS v
+SELECT batch, instance_id, i, j, 1 + {h(f'(CAST(instance_id AS BIGINT))*128 + {VALUES + 1}', 'i', 'j')} % 10 AS v
 FROM ({_PAIR_SQL}) p""")
 def g14_bonuses(v):
     return G.random_bonuses(v.sql(GRID))
 
 
+_ATTEMPTS = f"""
+SELECT a AS batch, instance_id, seed + a*1000000000 AS seed, n, density FROM ({GRID}) g, range(0, 5) r(a)"""
+
+
 @query("g15_generate_accepted", f"""
-WITH t AS (SELECT *, seed + a*1000000000 AS s FROM ({GRID}) g, range(0, 5) r(a)),
-i AS (SELECT *, {span('n')} AS i FROM t), p AS (SELECT *, {span('n')} AS j FROM i),
-e AS (SELECT * FROM (SELECT *, i*(2*n - i - 1)//2 + j - i - 1 AS r FROM p WHERE i < j) q
-      WHERE density >= 1 OR (density > 0 AND {unit('s', 'r', str(PAIRS))} < density)),
-k AS (SELECT instance_id, a, count(DISTINCT u) AS touched FROM (
-        SELECT instance_id, a, i AS u FROM e UNION ALL SELECT instance_id, a, j FROM e) x GROUP BY ALL),
-ok AS (SELECT t.instance_id, min(t.a) AS a FROM t JOIN k ON k.instance_id = t.instance_id AND k.a = t.a
+WITH e AS ({pair_sql(_ATTEMPTS)}),
+k AS (SELECT instance_id, batch AS a, count(DISTINCT u) AS touched FROM (
+        SELECT instance_id, batch, i AS u FROM e UNION ALL SELECT instance_id, batch, j FROM e) x GROUP BY ALL),
+ok AS (SELECT g.instance_id, min(k.a) AS a FROM ({GRID}) g JOIN k ON k.instance_id = g.instance_id
        WHERE touched = n GROUP BY ALL)
 SELECT g.batch, g.instance_id, seed + coalesce(ok.a, 4)*1000000000 AS seed, ok.a IS NOT NULL AS accepted
 FROM ({GRID}) g LEFT JOIN ok USING (instance_id)""")

@@ -101,3 +101,28 @@ def test_empty_sets_get_one_element(table):
     grid = table([(*A, 1, 50, 9, 0.0)], "seed long, num_sets long, universe_size long, inclusion_probability double")
     got = G.random_sets(grid)
     assert got.count() == 50 and got.where("element BETWEEN 0 AND 8").count() == 50
+
+
+def test_streams_and_seeds_do_not_share_draws(table):
+    grid = table([("b", f"i{s}", s, 200) for s in range(100, 140)], "seed long, n long")
+    items = G.random_items(grid)
+    drawn = {}
+    for r in items.collect():
+        drawn.setdefault(r.instance_id, {})[r.i] = (r.weight, r.value)
+    series = [tuple(d[i][k] for i in range(200)) for d in drawn.values() for k in (0, 1)]
+    assert len(set(series)) == 80
+    weights, values = series[0::2], series[1::2]
+    assert all(sum(w % 20 == v % 20 for w, v in zip(a, b, strict=True)) < 60 for a in weights for b in values)
+
+
+def test_pairs_follow_one_rule_at_every_size(table):
+    grid = table([("b", "small", 5, 60, 0.1), ("b", "large", 5, 1600, 0.01), ("b", "all", 5, 30, 1.0), ("b", "none", 5, 30, 0.0)],
+                 "seed long, n long, density double")
+    pairs = {}
+    for r in G.sample_pairs(grid).collect():
+        assert 0 <= r.i < r.j
+        pairs.setdefault(r.instance_id, []).append((r.i, r.j))
+    assert all(len(p) == len(set(p)) for p in pairs.values()) and "none" not in pairs and len(pairs["all"]) == 435
+    for name, total, density in (("small", 1770, 0.1), ("large", 1600 * 1599 // 2, 0.01)):
+        expected = total * density
+        assert abs(len(pairs[name]) - expected) < 5 * expected ** 0.5

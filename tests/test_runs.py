@@ -131,13 +131,16 @@ def test_problem_files(spark, tmp_path):
     (folder / "good.json").write_text(json.dumps(good, indent=2))
     (folder / "old.json").write_text(json.dumps({**good, "validation": None}, indent=2))
     (folder / "bare.json").write_text(json.dumps({**good, "qubo": None}))
+    (folder / "short.json").write_text(json.dumps({**good, "qubo": {**good["qubo"], "linear": [[0]]}}))
+    (folder / "split.json").write_text(json.dumps({**good, "qubo": {**good["qubo"], "quadratic": [[0.5, 1, 2.0]]}}))
     (tmp_path / "stray.json").write_text("{}")
     batch, errors = files.read_problem_json(spark, str(tmp_path / "batch one"))
     assert [(r.batch, r.instance_id, r.i, r.j, r.v) for r in batch.quadratic.collect()] == [("batch one", "i", 0, 1, 2.0)]
-    assert sorted(r.code for r in errors.collect()) == ["missing_qubo", "missing_validation"]
+    assert sorted(r.code for r in errors.collect()) == [
+        "malformed_linear_term", "malformed_quadratic_term", "missing_qubo", "missing_validation"]
     found, misplaced = files.discover(spark, str(tmp_path))
     assert sorted((r.batch, r.path_dir, r.stem) for r in found.collect()) == [
-        ("batch one", "sub", n) for n in ("bare", "good", "old")]
+        ("batch one", "sub", n) for n in ("bare", "good", "old", "short", "split")]
     assert [r.path.endswith("stray.json") for r in misplaced.collect()] == [True]
 
 
@@ -174,3 +177,18 @@ def test_registry(spark):
     assert list_families(spark).count() == 10 and family("max_cut").encode is encode_max_cut
     with pytest.raises(ValueError, match="available: .*max_cut"):
         family("nothing")
+
+
+def test_runs_of_two_sets_and_missing_energies(spark, table):
+    batch = encode_max_cut(table([(*K, 0, 1, 2.0)], "u long, v long, w double"))
+    runs = table([(*K, "results", "r", [0, 1], -2.0), (*K, "results_1", "r", [0, 0], -2.0)],
+                 "result_set string, run_id string, sample array<int>, reported_energy double")
+    got = {r.result_set: (r.recomputed_energy, r.passed) for r in R.verify_results(runs, batch).collect()}
+    assert got == {"results": (-2.0, True), "results_1": (0.0, False)}
+    energies = table([(*K, 0, None), (*K, 1, float("nan")), (*K, 2, -5.0)], "sample_id long, energy double")
+    from bitloom.operators.energy import best_sample
+
+    assert best_sample(energies).first()["sample_id"] == 2
+    assert best_sample(energies.where("sample_id < 2")).first()["energy"] is None
+    rows = table([("a", "x", "5", 1), ("a", "x", "1", 2)], "validation_status string, row int")
+    assert manifests.upsert_problem_manifest(rows.limit(0), rows, "row").first()["validation_status"] == "1"
