@@ -29,6 +29,10 @@ def _grams(chunk: bytes) -> list[int]:
     """N-gram numbers of the words of a chunk, with their borders; none if it has no letter."""
     out = []
     for word in LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
+        if not word.isalpha():  # numerals such as superscripts count as word characters, not as letters
+            word = "".join(filter(str.isalpha, word))
+            if not word:
+                continue
         padded = f"^{word}$"
         for n in ORDERS:
             out += [zlib.crc32(padded[i:i + n].encode()) % BUCKETS for i in range(len(padded) - n + 1)]

@@ -106,7 +106,7 @@ def test_language_mixture(documents, edges, small):
         by_lang.setdefault(lang, []).append(" ".join(t.split()[:150]))
     model = language.learn(documents([(i, t, lang) for i, (_, t, lang) in enumerate(small)] + [(None, "x", None), (1, None, "en")]))
     assert model.languages == sorted(by_lang)
-    mixed = [(70_000, f"{by_lang['en'][0]} {by_lang['en'][1]} {by_lang['de'][0]}"), (70_001, "1234 !! 56"), (70_002, None), (70_002, None)]
+    mixed = [(70_000, f"{by_lang['en'][0]} {by_lang['en'][1]} {by_lang['de'][0]}"), (70_001, "1234 ² !! 56"), (70_002, None), (70_002, None)]
     docs = documents(mixed + edges)
     found = language.identify(docs, model)
     assert found.columns == [*docs.columns, "_lang_pred", "_share", "_languages"]
