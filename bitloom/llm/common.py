@@ -209,9 +209,9 @@ def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
 
 
 class Features:
-    """Feature numbers of chunks, computed on first sight: ``derive(new chunks) -> lists of numbers``.
+    """Feature numbers of chunks, computed on first sight.
 
-    ``limit`` bounds the chunks remembered; beyond it everything is forgotten between slices.
+    ``derive(new chunks)`` gives all their numbers in turn and how many each chunk has. ``limit`` bounds the chunks remembered; beyond it everything is forgotten between slices.
     """
 
     def __init__(self, derive, limit: int = WORDS_KEPT):
@@ -233,10 +233,9 @@ class Features:
         ids = numbered(self.words, [chunk for p in parts for chunk in p])
         new = list(self.words)[len(self):] if len(self.words) > len(self) else []
         if new:
-            rows = self.derive(new)
-            self.flat = np.concatenate([self.flat, np.array([x for row in rows for x in row], np.int32)])
-            ends = np.cumsum([len(row) for row in rows]) + self.start[-1]
-            self.start = np.concatenate([self.start, ends])
+            flat, counts = self.derive(new)
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.start = np.concatenate([self.start, np.cumsum(counts) + self.start[-1]])
         return ids, sizes
 
     def of(self, ids: np.ndarray) -> np.ndarray:
@@ -244,3 +243,28 @@ class Features:
         count = self.start[ids + 1] - self.start[ids]
         ends = np.cumsum(count)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + count, count)]
+
+
+def listed(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers in the form that ``Features`` takes."""
+    return np.array([x for row in rows for x in row], np.int64), np.array([len(row) for row in rows], np.int64)
+
+
+def gram_numbers(words: list[str], owner: list[int], owners: int, buckets: int,
+                 orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
+    """Hash numbers of all character n-grams (orders 1, 2, ... in a row) of words, grouped by owner.
+
+    ``owner`` says, in ascending order, to which of ``owners`` items a word belongs.
+    """
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    last, item = np.repeat(np.cumsum(lengths), lengths), np.repeat(np.array(owner, np.int64), lengths)
+    total, found, items = np.zeros(len(codes), np.uint64), [], []
+    for n in orders:
+        count = max(0, len(codes) - n + 1)
+        total = total[:count] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1:]
+        inside = np.arange(count) + n <= last[:count]
+        found.append(mixed(total[inside] + np.uint64(n)) % np.uint64(buckets))
+        items.append(item[:count][inside])
+    items_, flat = np.concatenate(items), np.concatenate(found).astype(np.int64)
+    return flat[np.argsort(items_, kind="stable")], np.bincount(items_, minlength=owners)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Features, column, cut, mixed, prepare, slices
+from bitloom.llm.common import Features, column, cut, listed, mixed, prepare, slices
 
 WINDOW = 13  # canonical tokens; a shorter item is one window of its own length
 LITERALS = 4  # words that a window must hold besides its slots
@@ -71,12 +71,12 @@ class _Tokens(Features):
             self.rows.append((*hashes, value, *(k is not None for k in kinds)))
         return self.known[token]
 
-    def _derive(self, new: list[bytes]) -> list[list[int]]:
+    def _derive(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [[self._token(t) for t in _TOKEN.findall(c.decode("utf-8", "replace"))] for c in new]
         fresh = self.rows[len(self.table):]
         if fresh:
             self.table = np.concatenate([self.table, np.array(fresh, np.uint64).reshape(-1, 5)])
-        return found
+        return listed(found)
 
 
 def _windows(hashes: np.ndarray, length: int, view: int) -> np.ndarray:

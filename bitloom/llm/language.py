@@ -8,7 +8,6 @@ of languages grows as long as the likelihood gains more than a further language
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import Features, column, slices
+from bitloom.llm.common import Features, column, gram_numbers, slices
 
 BUCKETS = 1 << 16  # n-grams are counted by hash
 ORDERS = (1, 2, 3)
@@ -25,24 +24,23 @@ COST = 3.0  # log-likelihood per log word that a further language must gain
 STEPS = 12
 
 
-def _grams(chunk: bytes) -> list[int]:
-    """N-gram numbers of the words of a chunk, with their borders; none if it has no letter."""
-    out = []
-    for word in LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
-        if not word.isalpha():  # numerals such as superscripts count as word characters, not as letters
-            word = "".join(filter(str.isalpha, word))
-            if not word:
-                continue
-        padded = f"^{word}$"
-        for n in ORDERS:
-            out += [zlib.crc32(padded[i:i + n].encode()) % BUCKETS for i in range(len(padded) - n + 1)]
-    return out
+def _grams(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram numbers of the words of every chunk, with their borders; none if it has no letter."""
+    words, owner = [], []
+    for k, chunk in enumerate(chunks):
+        for word in LETTERS.findall(chunk.decode("utf-8", "replace").lower()):
+            if not word.isalpha():  # numerals such as superscripts count as word characters, not as letters
+                word = "".join(filter(str.isalpha, word))
+            if word:
+                words.append(f"^{word}$")
+                owner.append(k)
+    return gram_numbers(words, owner, len(chunks), BUCKETS, ORDERS)
 
 
 def count_grams(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """N-gram counts of every language over all given documents: lang, gram, n."""
     def count(batches):
-        features, totals = Features(lambda new: [_grams(c) for c in new]), {}
+        features, totals = Features(_grams), {}
         for batch in batches:
             for low, high in slices(batch.column(0)):
                 texts = [t or b"" for t in batch.column(0)[low:high].to_pylist()]
@@ -152,7 +150,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, te
     languages, logs = model.languages, model.logs / len(ORDERS)
 
     def run(batches):
-        features = Features(lambda new: [_grams(c) for c in new])
+        features = Features(_grams)
         scores = np.zeros((0, len(languages)), np.float32)
         limit = max(1 << 18, (8 << 20) // max(1, len(languages)))
         for batch in batches:

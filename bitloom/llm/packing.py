@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Features, column, cut, number_rows, slices
+from bitloom.llm.common import Features, column, cut, listed, number_rows, slices
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 # How the tokenizer's file splits lower-cased text before it looks at pairs.
@@ -39,7 +39,7 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         self.tokenizer, self.split, self.seen = Tokenizer.from_file(path), regex.compile(_PIECES).findall, {}
 
-    def __call__(self, chunks: list[bytes]) -> list[list[int]]:
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = []
         for chunk in chunks:
             text = chunk.decode()
@@ -50,7 +50,7 @@ class _Encoder:
         new = list(dict.fromkeys(p for part in parts for p in part if p not in self.seen))
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.seen[piece] = found.ids
-        return [self.seen[part[0]] if len(part) == 1 else [x for p in part for x in self.seen[p]] for part in parts]
+        return listed([self.seen[part[0]] if len(part) == 1 else [x for p in part for x in self.seen[p]] for part in parts])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,

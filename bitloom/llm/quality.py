@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Features, column, cut, mixed, slices
+from bitloom.llm.common import Features, column, cut, gram_numbers, mixed, slices
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 8_000  # labelled documents that the hinge-loss fit may use
@@ -29,40 +29,44 @@ def _shape(chunk: str) -> str:
     return _RUN.sub(lambda m: m[1] if m[1] in "Aa9" else m[1] * 2, signs)
 
 
-def _features(chunk: bytes) -> list[int]:
-    """The shape's number first, then character 1- to 3-grams (case kept, borders marked)."""
-    text = chunk.decode("utf-8", "replace")
-    padded = f" {text} "
-    grams = {padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
-    return [zlib.crc32(f"shape {_shape(text)}".encode()) >> 1, *(zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams))]
+class _Chunks(Features):
+    """Character 1- to 3-grams of chunks (case kept, borders marked), and a number for each one's shape."""
 
+    def __init__(self):
+        super().__init__(self._derive)
 
-def _indicators(features: Features, ids: np.ndarray) -> np.ndarray:
+    def forget(self) -> None:
+        super().forget()
+        self.shape = np.zeros(0, np.uint64)
+
+    def _derive(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        shapes = [zlib.crc32(_shape(t).encode()) for t in texts]
+        self.shape = np.concatenate([self.shape, np.array(shapes, np.uint64)])
+        return gram_numbers([f" {t} " for t in texts], list(range(len(texts))), len(texts), BUCKETS)
+
+
+def _indicators(features: _Chunks, ids: np.ndarray) -> np.ndarray:
     """Distinct feature numbers of one document from its chunks in order.
 
     Shape n-grams also say whether a chunk repeats the one before.
     """
     if not len(ids):
         return np.zeros(0, np.int64)
-    used = np.unique(ids)
-    first = features.start[used]
-    chars = features.of(used)
-    inner = np.ones(len(chars), bool)
-    count = features.start[used + 1] - first
-    inner[np.cumsum(count) - count] = False
-    shape = features.flat[features.start[ids]].astype(np.uint64)
+    shape = features.shape[ids]
     shape[1:] += (ids[1:] == ids[:-1]).astype(np.uint64) << np.uint64(40)
-    found = [chars[inner].astype(np.int64)]
+    seen = np.zeros(BUCKETS, bool)
+    seen[features.of(np.unique(ids))] = True
     total = np.zeros(len(ids), np.uint64)
     for n in (1, 2, 3):
         if len(ids) < n:
             break
         total = mixed(total[:len(ids) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + shape[n - 1:] + np.uint64(n))
-        found.append((np.unique(total) % np.uint64(BUCKETS)).astype(np.int64))
-    return np.unique(np.concatenate(found))
+        seen[(total % np.uint64(BUCKETS)).astype(np.int64)] = True
+    return np.flatnonzero(seen)
 
 
-def _documents(batch: pa.RecordBatch, k: int, features: Features):
+def _documents(batch: pa.RecordBatch, k: int, features: _Chunks):
     """(low, high, indicator arrays) of slices of a batch whose texts are column ``k``."""
     for low, high in slices(batch.column(k)):
         ids, sizes = features.numbers([t or b"" for t in batch.column(k)[low:high].to_pylist()])
@@ -145,7 +149,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     edge = rows.select("draw").orderBy("draw").limit(sample_rows).agg(F.max("draw")).first()[0]
 
     def features_of(batches):
-        features, totals = Features(lambda new: [_features(c) for c in new]), np.zeros((2, BUCKETS), np.int64)
+        features, totals = _Chunks(), np.zeros((2, BUCKETS), np.int64)
         documents = np.zeros(2, np.int64)
         for batch in batches:
             for low, high, found in _documents(batch, 1, features):
@@ -193,7 +197,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Probability of label 1 for every document: id, score. Null and empty texts get the bias alone."""
     def run(batches):
-        features = Features(lambda new: [_features(c) for c in new])
+        features = _Chunks()
         for batch in batches:
             for low, high, found in _documents(batch, 1, features):
                 value = model.slope * model.margins(found) + model.shift
