@@ -31,10 +31,27 @@ def line_shingles(key: bytes) -> np.ndarray:
     """Every 8 bytes of a key as a number; a shorter key is one shingle, an empty one has none."""
     if not key:
         return np.zeros(0, np.uint64)
-    if len(key) < SHINGLE:
-        return np.frombuffer(key.ljust(SHINGLE, b"\0"), "<u8")
-    text = np.frombuffer(key, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(text, SHINGLE).copy().view("<u8")[:, 0]
+    padded = key.ljust(SHINGLE, b"\0")
+    return np.ndarray((len(padded) - SHINGLE + 1,), "<u8", padded, strides=(1,)).copy()
+
+
+def line_set(key: bytes) -> np.ndarray:
+    """Sorted distinct shingles of a key."""
+    values = np.sort(line_shingles(key))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _batch_shingles(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all keys (none empty) in turn, and where each key's begin."""
+    padded = [k.ljust(SHINGLE, b"\0") for k in keys]
+    text = b"".join(padded) + b"\0" * SHINGLE
+    lengths = np.array([len(k) for k in padded])
+    windows = np.ndarray((len(text) - SHINGLE,), "<u8", text, strides=(1,))
+    inside = np.ones(len(windows), bool)
+    ends = np.cumsum(lengths)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    return windows[inside], np.cumsum(lengths - SHINGLE + 1) - (lengths - SHINGLE + 1)
 
 
 def _signed_lines(batches):
@@ -43,7 +60,7 @@ def _signed_lines(batches):
     flips = random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
     factors = random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
     for batch in batches:
-        for low, high in slices(batch.column(2), 1 << 20):
+        for low, high in slices(batch.column(2), 1 << 18):
             docs, rows, numbers, keys = [], [], [], []
             for doc, row, text in zip(*(batch.column(c)[low:high].to_pylist() for c in range(3)), strict=True):
                 for k, line in enumerate((text or b"").split(b"\n")):
@@ -55,14 +72,15 @@ def _signed_lines(batches):
                         keys.append(key)
             if not keys:
                 continue
-            found = [line_shingles(k) for k in keys]
-            begin = np.cumsum([0] + [len(f) for f in found[:-1]])
-            x = (mixed(np.concatenate(found)) >> np.uint64(32)).astype(np.uint32)
+            shingles, begin = _batch_shingles(keys)
+            x = (mixed(shingles) >> np.uint64(32)).astype(np.uint32)
+            moved = np.empty_like(x)
             band = np.empty((len(keys), BANDS), np.uint64)
             for b in range(BANDS):
                 name = np.full(len(keys), b + 1, np.uint64)
                 for r in range(b * ROWS, (b + 1) * ROWS):
-                    least = np.minimum.reduceat((x ^ flips[r]) * factors[r], begin)
+                    np.multiply(np.bitwise_xor(x, flips[r], out=moved), factors[r], out=moved)
+                    least = np.minimum.reduceat(moved, begin)
                     name = mixed(name * np.uint64(0x9E3779B97F4A7C15) + least)
                 band[:, b] = name
             hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), "<i8").reshape(-1, 2)
@@ -76,13 +94,21 @@ def _signed_lines(batches):
 def _near(x: np.ndarray, y: np.ndarray, above: int, below: int) -> bool:
     if below * min(len(x), len(y)) < above * max(len(x), len(y)):
         return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
     return below * shared >= above * (len(x) + len(y) - shared)
 
 
 def _crossing(above: int, below: int):
-    """Links between lines of two tiles that lie in different components so far, fewer than lines."""
+    """Links between lines of two tiles that lie in different components so far, fewer than lines.
+
+    A pair is compared in the first bucket that it shares; pairs with a bucket's leader already were.
+    """
     def search(columns):
+        key, lead = columns[0][0].as_py(), columns[7][0].as_py()
+        bands = columns[8].flatten().to_numpy().reshape(-1, BANDS)
+        place = int((bands[0] == key).argmax())
         low, high = columns[1][0].as_py(), columns[2][0].as_py()
         ids, label, tile = columns[3].to_numpy(), columns[5].to_numpy().copy(), columns[6].to_numpy()
         texts = columns[4].to_pylist()
@@ -90,13 +116,16 @@ def _crossing(above: int, below: int):
 
         def shingles(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = np.unique(line_shingles(texts[i]))
+                sets[i] = line_set(texts[i])
             return sets[i]
 
         left = np.flatnonzero(tile == low)
         right = left if low == high else np.flatnonzero(tile == high)
         for i in left:
-            others = right[(label[right] != label[i]) & ((right > i) | (low != high))]
+            if ids[i] == lead:
+                continue
+            others = right[(label[right] != label[i]) & ((right > i) | (low != high)) & (ids[right] != lead)
+                           & ~(bands[right, :place] == bands[i, :place]).any(axis=1)]
             for j in others:
                 if label[i] != label[j] and _near(shingles(i), shingles(j), above, below):
                     yield ids[i], ids[j]
@@ -162,7 +191,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, above: int, below: int) -> Dat
     def check(batches):
         for batch in batches:
             xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([_near(np.unique(line_shingles(x)), np.unique(line_shingles(y)), above, below)
+            keep = pa.array([_near(line_set(x), line_set(y), above, below)
                              for x, y in zip(xs, ys, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -200,12 +229,13 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
     labelled = cut(members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
     apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
         "x <> y").select("key")
-    tiled = labelled.join(apart, "key").join(texts.withColumnRenamed("key", "words"), "id").withColumn(
+    tiled = labelled.join(apart, "key").join(texts.withColumnRenamed("key", "words"), "id").join(
+        classes.select(F.col("h1").alias("id"), "bands"), "id").withColumn(
         "tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "id",
-        F.col("words"), "component", "tile")
+        "words", "component", "tile", "lead", "bands")
     crossing = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id").mapInArrow(
         _crossing(above, below), "a long, b long")
     final = components(union(links, cut(crossing.distinct())))
