@@ -1,8 +1,10 @@
 """Generated data: shape, distribution, determinism."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import generate as G
+from bitloom.plans.generation import PARAMETERS, check_parameters, declared_parameters, generate_batch
 from bitloom.schemas import KEY
 
 A = ("a", "x")
@@ -126,3 +128,26 @@ def test_pairs_follow_one_rule_at_every_size(table):
     for name, total, density in (("small", 1770, 0.1), ("large", 1600 * 1599 // 2, 0.01)):
         expected = total * density
         assert abs(len(pairs[name]) - expected) < 5 * expected ** 0.5
+
+
+@pytest.mark.parametrize("name, given, code", [
+    ("max_cut", {"num_vertices": 1}, "parameter_below_minimum"), ("max_cut", {"edge_probability": 1.5}, "parameter_above_maximum"),
+    ("max_cut", {"weighted": 1}, "invalid_parameter_type"), ("max_cut", {"graph_type": "star"}, "invalid_parameter_type"),
+    ("max_cut", {"colors": 3}, "unknown_parameter"), ("max_cut", {"min_edge_weight": 5, "max_edge_weight": 4}, "invalid_parameter_range"),
+    ("spin_glass", {"graph_type": "random_regular", "num_vertices": 5}, "invalid_degree"),
+    ("max_sat", {"num_variables": 2}, "too_few_variables"), ("random_qubo", {"coefficient_min": -1.5}, "noninteger_bound"),
+    ("independent_set", {"penalty": None}, None), ("set_packing", {}, None)])
+def test_parameters_of_families(name, given, code):
+    values, wrong = check_parameters(name, given)
+    assert [c for c, _ in wrong] == ([code] if code else [])
+    assert set(values) == {row[0] for row in PARAMETERS[name]}
+
+
+def test_wrong_parameters_fail_their_instances_only(spark, table):
+    grid = table([("b", "x", 1), ("b", "y", 2)], "seed long")
+    got = generate_batch(grid, "number_partitioning", {"num_numbers": 1})
+    assert got.domain is None and {r.status for r in got.status.collect()} == {"failed"} and got.issues.count() == 2
+    made = generate_batch(grid, "number_partitioning", {"num_numbers": 5})
+    assert [(r.method, r.samples_checked, r.mismatches) for r in made.encoding.collect()] == [("exhaustive", 32, 0)] * 2
+    assert {r.status for r in made.status.collect()} == {"passed"} and made.domain.batch.quadratic.count() == 20
+    assert declared_parameters(spark).select("owner").distinct().count() == 10
