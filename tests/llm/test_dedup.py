@@ -151,6 +151,28 @@ def test_vectors(spark):
     assert embedding_duplicates(df.where("vec_id IN (1002, 1003)")).count() == 2
 
 
+@pytest.mark.parametrize("width, shift", [(64, 0.0), (64, 0.5), (48, 0.85)])
+def test_vectors_near_the_threshold(spark, width, shift):
+    """Pairs at cosines from 0.95 to 0.97 around a mean of squared norm ``shift``."""
+    draw = np.random.default_rng(width)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    mean = unit(draw.normal(size=(1, width))) * math.sqrt(shift)
+    x = unit(mean + unit(draw.normal(size=(1500, width))) * math.sqrt(1 - shift))
+    aside = draw.normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    near = draw.uniform(0.9501, 0.97, (len(x), 1))
+    both = np.stack([x, near * x + np.sqrt(1 - near ** 2) * aside], axis=1).reshape(-1, width)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    expected = (both @ both.T >= 0.95).sum(axis=1) - 1
+    found = {r["id"]: r["n_links"] for r in embedding_duplicates(df).collect()}
+    assert all(found[i] <= n for i, n in enumerate(expected))
+    print("recall", sum(found.values()) / expected.sum())
+    assert sum(found.values()) >= 0.999 * expected.sum() and expected.sum() >= 2 * len(x)
+
+
 def test_rotation_balances_codes():
     points = np.random.default_rng(1).normal(size=(2000, 16)) @ np.diag(np.linspace(0.2, 3, 16))
     mean, projection = learn_rotation(points, 16)
