@@ -1,9 +1,9 @@
 """Packing token sequences by column generation for the cutting-stock problem.
 
-Documents become pieces of at most the capacity. Piece lengths, rounded up to a unit, form a
-histogram; a linear program over patterns (what fits in one sequence) covers it with few sequences,
-a knapsack by dynamic programming prices new patterns, and the rounded plan is dealt to the pieces
-by their rank within their length class.
+Documents become pieces of at most the capacity. Short pieces are bundled by their exact lengths;
+the lengths of bundles and of long pieces, rounded up to a unit, form a histogram; a linear program
+over patterns (what fits in one sequence) covers it with few sequences, a knapsack by dynamic
+programming prices new patterns, and the rounded plan is dealt to bundles and pieces by their rank.
 """
 
 from __future__ import annotations
@@ -161,14 +161,62 @@ def column_generation(weights: np.ndarray, demand: np.ndarray, room: int,
     return plan
 
 
+def bundles(histogram: list[tuple[int, int]], capacity: int, unit: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Pieces put together by their exact lengths, so that rounding a bundle up to ``unit`` wastes little.
+
+    ``histogram``: (length, pieces). Returns runs (length, low, high, each, class, base): pieces of a
+    length with ranks from low to high, ``each`` of them in a bundle of ``class`` units, bundles of a
+    class numbered from ``base``. Pieces of one length up to an eighth of the capacity form equal
+    bundles of at most that many tokens; those left over from all lengths are bundled together.
+    """
+    most = max(unit, capacity // 8)
+    runs, used, left = [], {}, []
+
+    def number(size: int, count: int) -> tuple[int, int]:
+        kind = -(-size // unit)
+        used[kind] = used.get(kind, 0) + count
+        return kind, used[kind] - count
+
+    for length, count in sorted(histogram):
+        each = min(range(1, max(1, min(most // length, unit)) + 1), key=lambda n: (-(n * length) % unit / (n * length), n))
+        whole = count // each
+        if whole:
+            runs.append((length, 0, whole * each, each, *number(each * length, whole)))
+        if count > whole * each:
+            left.append((length, whole * each, count))
+    held, size = [], 0
+
+    def close() -> None:
+        kind, base = number(size, 1)
+        runs.extend((length, low, high, high - low, kind, base) for length, low, high in held)
+
+    for length, low, high in left:
+        while low < high:
+            fit = min(high - low, (most - size) // length)
+            if not fit:
+                close()
+                held, size = [], 0
+                continue
+            held.append((length, low, low + fit))
+            size, low = size + fit * length, low + fit
+    if held:
+        close()
+    return runs
+
+
 def pack(parts: DataFrame, capacity: int = 4096, unit: int = 16) -> DataFrame:
     """Add ``sequence_id`` (gapless from 0) and ``offset`` to pieces with doc_id, start and length.
 
-    Only the length histogram (at most ``capacity / unit`` classes) comes to the driver; the plan
-    that goes back has a row per class and pattern, however many pieces there are.
+    Only the length histogram (at most ``capacity`` rows) comes to the driver; the linear program has
+    at most ``capacity / unit`` classes of bundles. What goes back has a row per run of a length and
+    per class and pattern, however many pieces there are.
     """
-    parts = parts.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
-    found = sorted((r["class"], r["n"]) for r in parts.groupBy("class").agg(F.count("*").alias("n")).collect())
+    histogram = [(r["length"], r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()]
+    runs = bundles(histogram, capacity, unit)
+    wanted: dict[int, int] = {}
+    for kind, base, count in {(r[4], r[5], (r[2] - r[1]) // r[3]) for r in runs}:
+        wanted[kind] = max(wanted.get(kind, 0), base + count)
+    found = sorted(wanted.items())
     weights, demand = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
     rows, taken, first = [], dict.fromkeys(weights.tolist(), 0), 0
     for times, pattern in column_generation(weights, demand, capacity // unit):
@@ -181,15 +229,19 @@ def pack(parts: DataFrame, capacity: int = 4096, unit: int = 16) -> DataFrame:
         first += times
     plan = parts.sparkSession.createDataFrame(
         rows, "class int, low long, high long, first long, each long, place long")
-    # the plan is bounded by the number of classes times the number of patterns
-    ranked = number_rows(parts, ["class"], ["doc_id", "start"]).join(F.broadcast(plan), "class").where(
-        "rank >= low AND rank < high")
+    held = parts.sparkSession.createDataFrame(
+        runs, "length long, _low long, _high long, _each long, class int, _base long")
+    # runs are bounded by the capacity, the plan by the number of classes times the number of patterns
+    ranked = number_rows(parts, ["length"], ["doc_id", "start"]).join(F.broadcast(held), "length").where(
+        "rank >= _low AND rank < _high").withColumn("_bundle", F.expr("_base + (rank - _low) DIV _each")).join(
+        F.broadcast(plan), "class").where("_bundle >= low AND _bundle < high")
     placed = ranked.select(
-        *[c for c in parts.columns if c != "class"],
-        (F.col("first") + F.expr("(rank - low) DIV each")).alias("sequence_id"),
-        (F.col("place") + F.expr("(rank - low) % each")).alias("_place"))
-    before = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_place")
+        *parts.columns, "rank",
+        (F.col("first") + F.expr("(_bundle - low) DIV each")).alias("sequence_id"),
+        (F.col("place") + F.expr("(_bundle - low) % each")).alias("_place"))
+    before = Window.partitionBy("sequence_id").orderBy("_place", "length", "rank").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_place", "rank")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from bitloom.llm.packing import column_generation, pack_documents, sequences
+from bitloom.llm.packing import column_generation, pack, pack_documents, sequences
 from bitloom.llm.queries import tokenizer_path
 from bitloom.llm.sharding import shard_documents, write_shards
 from tests.llm import brute
@@ -88,6 +88,23 @@ def test_packing(documents, small, edges):
     assert sum(r["used"] for r in whole) == sum(len(ids[d]) for d, _ in rows[:30])
 
 
+def test_short_pieces_leave_little_padding(spark):
+    """A third of the pieces is empty or a few tokens long, as is every piece of a second table."""
+    draw = np.random.default_rng(3)
+    short = [1] * 3000 + draw.integers(2, 40, 1000).tolist() + [17] * 1500
+    for lengths in (short + draw.integers(41, 4097, 9000).tolist(), short, [1] * 5000, [17] * 1000):
+        parts = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, start long, length long")
+        found = pack(parts).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in found) == list(enumerate(lengths))
+        filled = {}
+        for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert filled.get(r["sequence_id"], 0) == r["offset"]
+            filled[r["sequence_id"]] = r["offset"] + r["length"]
+        assert sorted(filled) == list(range(len(filled))) and max(filled.values()) <= 4096
+        print("fill", len(lengths), sum(lengths) / (4096 * len(filled)), "in", len(filled))
+        assert len(filled) <= 1.02 * sum(lengths) / 4096 + 2
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     extra = [(None, None, None, None, None), (990_001, "", "en", "s", 0), (990_002, "12 !!", "en", "s", 5),
