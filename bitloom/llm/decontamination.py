@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so that a question with other values has the same
 template. Windows of canonical tokens are joined by hash, and a window counts if its slot values map
-one to one onto the item's.
+one to one onto the item's. Exact copies are also compared as they stand, token by token.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import Features, column, cut, listed, mixed, prepare, slices
 
 WINDOW = 13  # canonical tokens; a shorter item is one window of its own length
-LITERALS = 4  # words that a window must hold besides its slots
+LITERALS = 4  # words that a window with slots must hold besides them
 HASHES_SENT = 2_000_000  # template windows up to which their hashes (16 MB) go to the tasks
 
-_TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)*|[%$€£°]")
+# Scripts written without spaces between words (and the Japanese length mark); a letter is a token.
+_DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\u30FC\uFF70"
+_LETTER = rf"(?:(?![{_DENSE}])\p{{L}})"
+_TOKEN = regex.compile(rf"\p{{N}}+(?:[.,]\p{{N}}+)*|(?:(?=[{_DENSE}])\p{{L}})\p{{M}}*"
+                       rf"|{_LETTER}(?:{_LETTER}|\p{{M}})*(?:['’]{_LETTER}+)*|[%$€£°]")
 _NUMBER = regex.compile(r"\p{N}")
 
 # Units that a question may swap.
@@ -38,7 +42,8 @@ for from to with by and or but not is are was were do does did can could will wo
 all some any no one two three find given let suppose there after before then
 """.split())
 
-VIEWS = 2  # names as slots; names as words (catches copies in another case)
+VIEWS = 3  # names as slots; names as words (catches copies in another case); no slots at all
+EXACT = 2  # the view without slots, in which windows need no words
 ROWS = "row long, view int, length int, pos int, hash long, slots array<long>"
 
 
@@ -52,7 +57,7 @@ class _Tokens(Features):
         super().forget()
         self.known: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 5), np.uint64)
+        self.table = np.zeros((0, 6), np.uint64)
 
     def _token(self, token: str) -> int:
         if token not in self.known:
@@ -68,14 +73,14 @@ class _Tokens(Features):
                 kinds = (None, None)
             hashes = [xxhash.xxh64_intdigest(k if k else "word " + low) for k in kinds]
             self.known[token] = len(self.rows)
-            self.rows.append((*hashes, value, *(k is not None for k in kinds)))
+            self.rows.append((*hashes, value, *(k is not None for k in kinds), False))
         return self.known[token]
 
     def _derive(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [[self._token(t) for t in _TOKEN.findall(c.decode("utf-8", "replace"))] for c in new]
         fresh = self.rows[len(self.table):]
         if fresh:
-            self.table = np.concatenate([self.table, np.array(fresh, np.uint64).reshape(-1, 5)])
+            self.table = np.concatenate([self.table, np.array(fresh, np.uint64).reshape(-1, 6)])
         return listed(found)
 
 
@@ -88,11 +93,15 @@ def _windows(hashes: np.ndarray, length: int, view: int) -> np.ndarray:
     return mixed(total)
 
 
-def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_only: bool):
+def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole_only: bool):
     """Windows of every row (row, text): all of them, or those whose hash is among ``wanted``.
 
+    ``shapes``: the lengths and views to make windows of.
     ``whole_only`` is for items: a length below ``WINDOW`` applies to items of just that length.
     """
+    views: dict[int, list[int]] = {}
+    for length, view in shapes:
+        views.setdefault(length, []).append(view)
     sieve = None
     if wanted is not None:
         sieve = np.zeros(1 << 22, bool)
@@ -111,16 +120,18 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_only: bool
                 if len(stream):
                     owner = np.repeat(np.arange(len(keys)), np.diff(border))
                     facts = tokens.table[stream]
-                    for length in lengths:
+                    for length in views:
                         if len(stream) < length:
                             continue
                         inside = owner[:len(owner) - length + 1] == owner[length - 1:]
                         if whole_only and length < WINDOW:
                             inside &= np.diff(border)[owner[:len(inside)]] == length
-                        for view in range(VIEWS):
+                        for view in views[length]:
                             hashes = _windows(facts[:, view], length, view)
-                            literal = np.concatenate([[0], np.cumsum(facts[:, 3 + view] == 0)])
-                            good = inside & (literal[length:] - literal[:-length] >= LITERALS)
+                            good = inside.copy()
+                            if view != EXACT:
+                                literal = np.concatenate([[0], np.cumsum(facts[:, 3 + view] == 0)])
+                                good &= literal[length:] - literal[:-length] >= LITERALS
                             if sieve is not None:
                                 good &= sieve[(hashes >> np.uint64(42)).astype(np.int64)]
                             at = np.flatnonzero(good)
@@ -150,10 +161,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     """Which documents hold which benchmark items: row, id, item_id, windows, first, same_values.
 
     ``row`` is the hash of a document's id and text, ``windows`` counts its windows (13 canonical
-    tokens; a shorter item in full) that occur in the item with consistent slots, ``first`` is the
+    tokens; a shorter item in full) that occur in the item as they stand or with consistent slots, ``first`` is the
     least token position, ``same_values`` says whether a window agrees in its values too. Equal item
-    texts count as the item of least id. Items with fewer than four words besides slots, and null
-    texts on either side, match nothing; null ids are reported as null. Empty tables give no rows;
+    texts count as the item of least id. Windows with fewer than four words besides slots,
+    and items of fewer than four tokens, only match their exact copies (in any case; a letter of a
+    script without spaces is a token). Null texts on either side and items without tokens match nothing; null ids are reported as null. Empty tables give no rows;
     other columns are not read. Template hashes go to the tasks only up to ``hashes_sent``; beyond
     that all document windows are joined by shuffle, with the same result.
     """
@@ -162,10 +174,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         "text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("row", F.xxhash64("text"))
     items = cut(items)
     plain = items.select("row", F.col("text").cast("binary"))
-    lengths = list(range(LITERALS, WINDOW + 1))
-    named = cut(plain.mapInArrow(_window_rows(lengths, None, True), ROWS).withColumnsRenamed(
+    shapes = [(n, view) for n in range(1, WINDOW + 1) for view in range(VIEWS) if view == EXACT or n >= LITERALS]
+    named = cut(plain.mapInArrow(_window_rows(shapes, None, True), ROWS).withColumnsRenamed(
         {"row": "item", "pos": "item_pos", "slots": "item_slots"}).distinct())
-    used = sorted(r["length"] for r in named.select("length").distinct().collect())
+    used = sorted((r["length"], r["view"]) for r in named.select("length", "view").distinct().collect())
     wanted = None
     hashes = named.select("hash").distinct()
     if hashes.count() <= hashes_sent:

@@ -86,6 +86,25 @@ def test_leaks(spark, documents, small, edges):
     assert decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_exact_copies_of_any_item_leak(spark, documents):
+    """Short items, numbers, and passages of scripts without spaces."""
+    items = {1: "What is 17 + 25?", 2: "3 4 5 6 7 8 9 10 11 12 13 14 15 16", 3: "Solve x", 4: "中国的首都是哪里", 5: "ประเทศไทย",
+             6: "3.5 7.25 | 9 10 | 11 12 | 13 14 | 15 16 | 17 18 Total", 7: "東京タワーの高さは何メートルですか。答えを書いてください", 8: "x", 9: "?!"}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(100 + i, f"before {t} after") for i, t in items.items() if i != 9]
+    rows += [(200 + i, f"前{t}後" if i == 7 else f"这是{t}呢" if i == 4 else t.upper()) for i, t in items.items()]
+    rows += [(301, "What is 18 + 25?"), (302, "4 5 6 7 8 9 10 11 12 13 14 15 16 17"), (303, "Solve y"), (304, "中国的首都是"),
+             (305, "17 25"), (306, "none of this")]
+    docs = documents(rows)
+    expected = {(base + i, i) for base in (100, 200) for i in items if i != 9} | {(103, 8), (203, 8)}
+    expected.add((302, 2))  # it shares 13 numbers in a row with the item
+    for sent in (2_000_000, 0):
+        found = find_leaks(docs, benchmark, hashes_sent=sent).collect()
+        assert {(r["id"], r["item_id"]) for r in found} == expected
+        assert all(r["same_values"] for r in found)
+    assert {r["doc_id"] for r in decontaminate(docs, benchmark).collect()} >= {209, 301, 303, 304, 305, 306}
+
+
 def test_leaks_in_the_table(spark, small):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     found = find_leaks(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet"))
