@@ -268,3 +268,30 @@ def gram_numbers(words: list[str], owner: list[int], owners: int, buckets: int,
         items.append(item[:count][inside])
     items_, flat = np.concatenate(items), np.concatenate(found).astype(np.int64)
     return flat[np.argsort(items_, kind="stable")], np.bincount(items_, minlength=owners)
+
+
+# CRC-32 in DuckDB SQL, for SQL twins: a table of the 256 remainders as CTE ``crc``, and an expression over it.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a SQL text expression, where ``crc`` is joined."""
+    return f"""xor(list_reduce([4294967295] || list_transform(range(octet_length(encode({text}))),
+    lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295)"""
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Gapless numbers from 1 over all rows in ``order``, as column ``name``.
+
+    Rows are sorted by range over the cluster and written with their places; a place plus the rows of the
+    partitions before it is the number. Only the partitions' row counts are brought together.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_start", "_place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import licenses
+from bitloom.llm import conversations, licenses, resampling, urls
 from bitloom.llm.common import table
 
 
@@ -90,6 +90,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_survivor_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired(table(spark, folder, "conversations"))
+
+
+def op13_link_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filter_urls(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_license_diagonals, op3_template_leaks, op4_nbsvm_quality, op5_language_mixture,
-                              op6_recompression, op7_fuzzy_lines, op8_kd_shards, op9_minhash, op10_packing)}
-ORACLES = {"op2_license_diagonals": licenses.oracle()}
+                              op6_recompression, op7_fuzzy_lines, op8_kd_shards, op9_minhash, op10_packing, op11_importance_resampling, op12_survivor_viterbi,
+                              op13_link_propagation)}
+ORACLES = {"op2_license_diagonals": licenses.oracle(), "op11_importance_resampling": resampling.oracle(),
+           "op12_survivor_viterbi": conversations.oracle(), "op13_link_propagation": urls.oracle()}
