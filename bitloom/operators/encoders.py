@@ -141,11 +141,8 @@ def knapsack_capacity(items: DataFrame, ratio: float) -> DataFrame:
             "bigint").alias("capacity"))
 
 
-def encode_knapsack(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, penalty=None):
-    """Quadratic knapsack; returns (batch, capacity, slack).
-
-    Items are variables ``0..n-1``; slack weight ``k`` is variable ``n + k``.
-    """
+def knapsack_square(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, penalty=None):
+    """The penalised capacity square in unexpanded form: (constraints, members, capacity, slack, sizes)."""
     capacity = knapsack_capacity(items, ratio)
     slack = slack_weights(capacity)
     counts = items.groupBy(*KEY).agg((F.max("i") + 1).alias("n"), F.sum("value").alias("total"))
@@ -162,14 +159,23 @@ def encode_knapsack(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, pe
         slack.join(counts, KEY).select(*KEY, (F.col("n") + F.col("k")).alias("i"),
                                        F.col("weight").cast("double").alias("a")),
     ).withColumn("constraint_id", F.lit(0).cast("bigint"))
+    slots = slack.groupBy(*KEY).agg(F.count("*").alias("slots"))
+    sizes = counts.join(slots, KEY, "left").select(
+        *KEY, (F.col("n") + F.coalesce("slots", F.lit(0))).alias("num_variables"))
+    return constraints, members, capacity, slack, sizes
+
+
+def encode_knapsack(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, penalty=None):
+    """Quadratic knapsack; returns (batch, capacity, slack).
+
+    Items are variables ``0..n-1``; slack weight ``k`` is variable ``n + k``.
+    """
+    constraints, members, capacity, slack, sizes = knapsack_square(items, bonuses, ratio, penalty)
     offset, square_linear, square_pairs = square_terms(constraints, members)
     linear = accumulate_linear(union(square_linear, items.select(
         *KEY, "i", (-F.col("value")).cast("double").alias("v"))))
     quadratic = accumulate(union(square_pairs, bonuses.select(
         *KEY, "i", "j", (-F.col("v")).cast("double").alias("v"))))
-    slots = slack.groupBy(*KEY).agg(F.count("*").alias("slots"))
-    sizes = counts.join(slots, KEY, "left").select(
-        *KEY, (F.col("n") + F.coalesce("slots", F.lit(0))).alias("num_variables"))
     return _finish(sizes, "quadratic_knapsack", linear, quadratic, offset), capacity, slack
 
 
