@@ -96,23 +96,35 @@ def encode_clique(vertices: DataFrame, edges: DataFrame, penalty=None,
     return _finish(sizes, "maximum_clique", _reward(vertices), quadratic), missing
 
 
-def encode_coloring(vertices: DataFrame, edges: DataFrame, colors: int = 3,
+def coloring_settings(table: DataFrame, colors: int | DataFrame, one_color_penalty: float = 2.0,
+                      edge_penalty: float = 1.0) -> DataFrame:
+    """``table`` with num_colors, one_color_penalty and edge_penalty; ``colors`` may be a table of all three by key."""
+    if isinstance(colors, DataFrame):
+        return table.join(colors.select(*KEY, "num_colors", "one_color_penalty", "edge_penalty"), KEY)
+    return table.withColumns({"num_colors": F.lit(colors).cast("bigint"), "one_color_penalty": F.lit(float(one_color_penalty)),
+                              "edge_penalty": F.lit(float(edge_penalty))})
+
+
+def encode_coloring(vertices: DataFrame, edges: DataFrame, colors: int | DataFrame = 3,
                     one_color_penalty: float = 2.0, edge_penalty: float = 1.0,
                     sizes: DataFrame | None = None) -> Batch:
     """Variable ``v * colors + c``; exactly one colour per vertex, different ones on an edge."""
     sizes = sizes if sizes is not None else sizes_from(vertices)
-    palette = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(colors - 1).cast("bigint")))
-    members = vertices.select(*KEY, F.col("u").alias("constraint_id"), palette.alias("c")).select(
-        *KEY, "constraint_id", (F.col("constraint_id") * colors + F.col("c")).alias("i"),
-        F.lit(1.0).alias("a"))
-    constraints = vertices.select(*KEY, F.col("u").alias("constraint_id"),
-                                  F.lit(float(one_color_penalty)).alias("weight"),
-                                  F.lit(-1.0).alias("constant"))
+
+    def painted(table: DataFrame) -> DataFrame:
+        return coloring_settings(table, colors, one_color_penalty, edge_penalty)
+
+    k = F.col("num_colors")
+    palette = F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))
+    members = painted(vertices).select(*KEY, F.col("u").alias("constraint_id"), "num_colors", palette.alias("c")).select(
+        *KEY, "constraint_id", (F.col("constraint_id") * k + F.col("c")).alias("i"), F.lit(1.0).alias("a"))
+    constraints = painted(vertices).select(*KEY, F.col("u").alias("constraint_id"),
+                                           F.col("one_color_penalty").alias("weight"), F.lit(-1.0).alias("constant"))
     offset, linear, one_hot = square_terms(constraints, members)
-    same = edges.select(*KEY, "u", "v", palette.alias("c")).select(
-        *KEY, (F.col("u") * colors + F.col("c")).alias("i"),
-        (F.col("v") * colors + F.col("c")).alias("j"), F.lit(float(edge_penalty)).alias("v"))
-    return _finish(sizes.withColumn("num_variables", F.col("num_variables") * colors),
+    same = painted(edges).select(*KEY, "u", "v", "num_colors", "edge_penalty", palette.alias("c")).select(
+        *KEY, (F.col("u") * k + F.col("c")).alias("i"), (F.col("v") * k + F.col("c")).alias("j"),
+        F.col("edge_penalty").alias("v"))
+    return _finish(painted(sizes).withColumn("num_variables", F.col("num_variables") * k),
                    "graph_coloring", linear, accumulate(union(one_hot, same)), offset)
 
 
@@ -134,14 +146,18 @@ def encode_partition(numbers: DataFrame, sizes: DataFrame | None = None) -> Batc
     return _finish(sizes, "number_partitioning", linear, quadratic, offset)
 
 
-def knapsack_capacity(items: DataFrame, ratio: float) -> DataFrame:
-    """``max(1, int(ratio * total weight))`` per instance."""
-    return items.groupBy(*KEY).agg(F.sum("weight").alias("_w")).select(
-        *KEY, F.greatest(F.lit(1), F.floor(F.col("_w") * F.lit(float(ratio)))).cast(
-            "bigint").alias("capacity"))
+def knapsack_capacity(items: DataFrame, ratio: float | DataFrame) -> DataFrame:
+    """``max(1, int(ratio * total weight))`` per instance; ``ratio`` may be a table key, capacity_ratio."""
+    totals = items.groupBy(*KEY).agg(F.sum("weight").alias("_w"))
+    if isinstance(ratio, DataFrame):
+        totals = totals.join(ratio.select(*KEY, "capacity_ratio"), KEY)
+    else:
+        totals = totals.withColumn("capacity_ratio", F.lit(float(ratio)))
+    return totals.select(*KEY, F.greatest(F.lit(1), F.floor(F.col("_w") * F.col("capacity_ratio"))).cast(
+        "bigint").alias("capacity"))
 
 
-def knapsack_square(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, penalty=None):
+def knapsack_square(items: DataFrame, bonuses: DataFrame, ratio: float | DataFrame = 0.5, penalty=None):
     """The penalised capacity square in unexpanded form: (constraints, members, capacity, slack, sizes)."""
     capacity = knapsack_capacity(items, ratio)
     slack = slack_weights(capacity)
@@ -165,7 +181,7 @@ def knapsack_square(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, pe
     return constraints, members, capacity, slack, sizes
 
 
-def encode_knapsack(items: DataFrame, bonuses: DataFrame, ratio: float = 0.5, penalty=None):
+def encode_knapsack(items: DataFrame, bonuses: DataFrame, ratio: float | DataFrame = 0.5, penalty=None):
     """Quadratic knapsack; returns (batch, capacity, slack).
 
     Items are variables ``0..n-1``; slack weight ``k`` is variable ``n + k``.
@@ -225,12 +241,13 @@ def _affine_clauses(literals: DataFrame, size: int) -> DataFrame:
 
 
 def encode_max_sat(literals: DataFrame, clauses: DataFrame, clause_size: int = 3,
-                   ancilla_penalty: float | None = None, sizes: DataFrame | None = None):
+                   ancilla_penalty: float | DataFrame | None = None, sizes: DataFrame | None = None):
     """Max-2-SAT or Max-3-SAT; returns (batch, ancillas).
 
     ``literals``: key, clause_id, pos (0-based), variable, negated. ``clauses``: key, clause_id,
     weight. With three literals, clause ``c`` adds the variable ``n + c`` that stands for "the
     first two literals are false". ``clause_id`` must be ``0..m-1`` for a gapless model.
+    ``ancilla_penalty`` may be a table key, ancilla_penalty (NULL for the default).
     """
     sizes = sizes if sizes is not None else sizes_from(literals, "variable")
     wide = _affine_clauses(literals, clause_size).join(
@@ -251,9 +268,12 @@ def encode_max_sat(literals: DataFrame, clauses: DataFrame, clause_size: int = 3
         ancillas = None
         total = sizes
     else:
+        given = F.lit(None if ancilla_penalty is None or isinstance(ancilla_penalty, DataFrame) else float(ancilla_penalty))
+        if isinstance(ancilla_penalty, DataFrame):
+            wide, given = wide.join(ancilla_penalty.select(*KEY, "ancilla_penalty"), KEY), F.col("ancilla_penalty")
         wide = wide.join(sizes, KEY).withColumn(
             "z", F.col("num_variables") + F.col("clause_id")).withColumn(
-            "p", F.col("w") + 1.0 if ancilla_penalty is None else F.lit(float(ancilla_penalty)))
+            "p", F.coalesce(given.cast("double"), F.col("w") + 1.0))
         z = F.struct(F.col("z").alias("i"), F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
         p = F.col("p")
         rows = F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import portable_hash
+from bitloom.operators.encoders import coloring_settings
 from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import union
 from bitloom.schemas import KEY, Batch
@@ -228,24 +229,26 @@ def clique_energy(vertices: DataFrame, edges: DataFrame, penalty: DataFrame,
                 .alias("energy")))
 
 
-def coloring_energy(vertices: DataFrame, edges: DataFrame, samples: DataFrame, colors: int,
+def coloring_energy(vertices: DataFrame, edges: DataFrame, samples: DataFrame, colors: int | DataFrame,
                     one_color_penalty: float = 2.0, edge_penalty: float = 1.0) -> DataFrame:
     """``A * sum (assigned - 1)^2 + B * same-coloured edges``; samples over ``v*colors + c``.
 
-    The bits of one vertex meet in one aggregation; edges use the packed words per colour.
+    The bits of one vertex meet in one aggregation; edges use the packed words per colour. ``colors`` may be a
+    table of all three settings by key.
     """
-    assigned = samples.groupBy(
-        *KEY, "sample_id", F.floor(F.col("i") / colors).cast("bigint").alias("u")
+    def painted(table: DataFrame) -> DataFrame:
+        return coloring_settings(table, colors, one_color_penalty, edge_penalty)
+
+    k, one = F.col("num_colors"), F.col("one_color_penalty")
+    assigned = painted(samples).groupBy(
+        *KEY, "sample_id", "one_color_penalty", F.floor(F.col("i") / k).cast("bigint").alias("u")
     ).agg(F.sum("x").alias("n"))
     spread = assigned.groupBy(*KEY, "sample_id").agg(
-        F.sum((F.col("n") - 1) * (F.col("n") - 1) * F.lit(float(one_color_penalty))).alias("one"))
-    palette = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(colors - 1).cast("bigint")))
-    same = edges.select(*KEY, "u", "v", palette.alias("c")).select(
-        *KEY, (F.col("u") * colors + F.col("c")).alias("a"),
-        (F.col("v") * colors + F.col("c")).alias("b"))
-    clash = masked_sums(union(
-        _both(_with_ends(same, samples, "a", "b"), F.lit(float(edge_penalty))),
-        _zero_rows(samples)))
+        F.sum((F.col("n") - 1) * (F.col("n") - 1) * one).alias("one"))
+    palette = F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))
+    same = painted(edges).select(*KEY, "u", "v", "num_colors", "edge_penalty", palette.alias("c")).select(
+        *KEY, (F.col("u") * k + F.col("c")).alias("a"), (F.col("v") * k + F.col("c")).alias("b"), "edge_penalty")
+    clash = masked_sums(union(_both(_with_ends(same, samples, "a", "b"), F.col("edge_penalty")), _zero_rows(samples)))
     return clash.join(spread, [*KEY, "sample_id"]).select(
         *KEY, "sample_id", (F.col("energy") + F.col("one")).alias("energy"))
 

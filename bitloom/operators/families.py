@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bitloom.functions.numbers import gcd_by
 from bitloom.functions.pairs import pair_count
 from bitloom.functions.stats import melt, stat_columns
-from bitloom.operators.encoders import overlapping_pairs
+from bitloom.operators.encoders import coloring_settings, overlapping_pairs
 from bitloom.operators.terms import union
 from bitloom.operators.validation import _nonfinite, issues, ratio
 from bitloom.schemas import KEY, Batch
@@ -133,20 +133,20 @@ def clique_issues(edges: DataFrame, non_edges: DataFrame, sizes: DataFrame) -> D
                            F.col("m") + F.col("k") != pair_count(F.col("num_vertices")))])
 
 
-def coloring_facts(sizes: DataFrame, colors: int, one_color_penalty: float,
-                   edge_penalty: float, colorable: DataFrame | None = None) -> DataFrame:
-    facts = sizes.select(
-        *KEY, F.lit(colors).cast("bigint").alias("colors"),
-        (F.col("num_vertices") * colors).alias("coloring_variables"),
-        F.try_divide(F.lit(float(one_color_penalty)), F.nullif(
-            F.lit(float(edge_penalty)), F.lit(0.0))).alias("one_color_to_edge_penalty_ratio"))
+def coloring_facts(sizes: DataFrame, colors: int | DataFrame, one_color_penalty: float = 2.0,
+                   edge_penalty: float = 1.0, colorable: DataFrame | None = None) -> DataFrame:
+    """``colors`` may be a table of all three settings by key."""
+    facts = coloring_settings(sizes, colors, one_color_penalty, edge_penalty).select(
+        *KEY, F.col("num_colors").alias("colors"),
+        (F.col("num_vertices") * F.col("num_colors")).alias("coloring_variables"),
+        F.try_divide("one_color_penalty", F.nullif("edge_penalty", F.lit(0.0))).alias("one_color_to_edge_penalty_ratio"))
     if colorable is not None:
         facts = facts.join(colorable.withColumnRenamed("colorable", "colorable_when_checked"),
                            KEY, "left")
     return facts
 
 
-def coloring_stats(sizes: DataFrame, colors: int, one_color_penalty: float, edge_penalty: float,
+def coloring_stats(sizes: DataFrame, colors: int | DataFrame, one_color_penalty: float = 2.0, edge_penalty: float = 1.0,
                    colorable: DataFrame | None = None) -> DataFrame:
     return long_stats(coloring_facts(sizes, colors, one_color_penalty, edge_penalty, colorable))
 

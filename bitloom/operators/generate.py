@@ -106,16 +106,17 @@ def _gap_ranks(blocks: DataFrame, density: str) -> DataFrame:
         "_hit", "_run", "_offset", "_hits", "_more", "_tail")
 
 
-def coefficients(df: DataFrame, distribution: str, i: Column, j: Column, low: float = -10,
-                 high: float = 10, scale: float = 5.0, stream: int = WEIGHTS) -> DataFrame:
-    """Add ``v``: integer in [low, high], uniform in [low, high) or normal(0, scale)."""
-    if low > high:
+def coefficients(df: DataFrame, distribution: str, i: Column, j: Column, low: float | Column = -10,
+                 high: float | Column = 10, scale: float | Column = 5.0, stream: int = WEIGHTS) -> DataFrame:
+    """Add ``v``: integer in [low, high], uniform in [low, high) or normal(0, scale); columns are not checked."""
+    plain = not isinstance(low, Column) and not isinstance(high, Column)
+    if plain and low > high:
         raise ValueError("the lower coefficient bound exceeds the upper one")
     seed = streamed(F.col("seed"), stream)
     if distribution == "integer":
-        if int(low) != low or int(high) != high:
+        if plain and (int(low) != low or int(high) != high):
             raise ValueError("integer coefficients need whole bounds")
-        value = uniform_integer(seed, i, j, int(low), int(high)).cast("double")
+        value = uniform_integer(seed, i, j, low, high).cast("double")
     elif distribution == "uniform":
         value = low + (high - low) * uniform(seed, i, j)
     elif distribution == "normal":

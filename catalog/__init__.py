@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["flagship", "terms", "encoders", "energies", "checks", "generation", "planning",
-           "runs", "comparison", "storage", "factored"]
+           "runs", "comparison", "storage", "factored", "making"]
 
 
 def load():

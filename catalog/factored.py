@@ -30,7 +30,7 @@ def _every_third(members):
 
 
 @query("e5_partition_factored", f"""
-WITH n AS ({_LINES}), s AS (SELECT unnest([0, 1]) AS sample_id)
+WITH n AS ({_LINES}), s AS (SELECT unnest([CAST(0 AS BIGINT), 1]) AS sample_id)
 SELECT batch, instance_id, sample_id, CAST(pow(sum(CASE WHEN (i + sample_id) % 3 = 0 THEN value ELSE -value END), 2) AS DOUBLE) AS energy
 FROM n, s GROUP BY ALL""")
 def e5_factored(v):
@@ -39,7 +39,7 @@ def e5_factored(v):
 
 
 @query("e3_clique_factored", """
-WITH s AS (SELECT unnest([0, 1]) AS sample_id),
+WITH s AS (SELECT unnest([CAST(0 AS BIGINT), 1]) AS sample_id),
 p AS (SELECT batch, instance_id, max(value) + 1 AS p FROM {vertices} GROUP BY ALL),
 c AS (SELECT batch, instance_id, sample_id, count(*) AS n, sum(value) AS value FROM {vertices}, s WHERE (u + sample_id) % 3 = 0 GROUP BY ALL),
 e AS (SELECT batch, instance_id, sample_id, count(*) AS m FROM {edges}, s WHERE (u + sample_id) % 3 = 0 AND (v + sample_id) % 3 = 0 GROUP BY ALL)
@@ -52,7 +52,7 @@ def e3_factored(v):
 
 
 @query("e6_knapsack_factored", f"""
-WITH {KNAPSACK}s2 AS (SELECT unnest([0, 1]) AS sample_id),
+WITH {KNAPSACK}s2 AS (SELECT unnest([CAST(0 AS BIGINT), 1]) AS sample_id),
 u AS (SELECT m.instance_id, sample_id, sum(a) AS used FROM m, s2 WHERE (i + sample_id) % 3 = 0 GROUP BY ALL),
 r AS (SELECT instance_id, sample_id, sum(value) AS value FROM {{items}}, s2 WHERE (i + sample_id) % 3 = 0 GROUP BY ALL),
 o AS (SELECT instance_id, sample_id, sum(v) AS bonus FROM {{bonuses}}, s2 WHERE (i + sample_id) % 3 = 0 AND (j + sample_id) % 3 = 0 GROUP BY ALL)

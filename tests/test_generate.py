@@ -146,8 +146,8 @@ def test_parameters_of_families(name, given, code):
 def test_wrong_parameters_fail_their_instances_only(spark, table):
     grid = table([("b", "x", 1), ("b", "y", 2)], "seed long")
     got = generate_batch(grid, "number_partitioning", {"num_numbers": 1})
-    assert got.domain is None and {r.status for r in got.status.collect()} == {"failed"} and got.issues.count() == 2
+    assert got.batch is None and {r.status for r in got.status.collect()} == {"failed"} and got.issues.count() == 2
     made = generate_batch(grid, "number_partitioning", {"num_numbers": 5})
     assert [(r.method, r.samples_checked, r.mismatches) for r in made.encoding.collect()] == [("exhaustive", 32, 0)] * 2
-    assert {r.status for r in made.status.collect()} == {"passed"} and made.domain.batch.quadratic.count() == 20
+    assert {r.status for r in made.status.collect()} == {"passed"} and made.batch.quadratic.count() == 20
     assert declared_parameters(spark).select("owner").distinct().count() == 10
