@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import (
@@ -26,6 +26,8 @@ from bitloom.session import cut
 ENTRY_STEP = 1_000_000
 ATTEMPT_STEP = 1_000_000_000
 PAIR_BLOCK = 65_536
+ROW_GAPS = 16  # gaps of a run that are drawn as rows
+GAPS = 64
 
 # Streams keep the draws of one seed apart; ``streamed`` keeps them apart from those of other seeds.
 PAIRS, WEIGHTS, LINEAR, MEMBERS, FALLBACK, VALUES, CLAUSES, SIGNS, PLANT, FLIP, COUPLINGS, FIELDS, \
@@ -69,16 +71,16 @@ def _gap_ranks(blocks: DataFrame, density: str) -> DataFrame:
     """Hit positions of one block: running sums of geometric gaps from hashed uniforms.
 
     A block is split into runs of about 8 expected hits; gaps have no memory, so they may restart
-    at every run. A run folds 64 gaps, which all but never falls short; a run that does is
-    finished position by position, so no position is ever left undrawn.
+    at every run. The first gaps are rows, drawn by compiled code and added up within their run, where they already lie;
+    the few runs that need more fold up to ``GAPS`` of them, and one that still falls short is finished
+    position by position, so no position is ever left undrawn.
     """
-    state = F.struct(F.lit(-1).cast("bigint").alias("at"),
-                     F.array().cast("array<bigint>").alias("hits"))
+    def gap(k: Column) -> Column:
+        u = 1.0 - uniform(F.col("seed"), F.col("_first") + k, PAIRS + 1)
+        return F.greatest(F.lit(1.0), F.ceil(F.log(u) / F.log(1.0 - F.col(density)))).cast("bigint")
 
     def step(acc: Column, k: Column) -> Column:
-        u = 1.0 - uniform(F.col("seed"), F.col("_first") + k, PAIRS + 1)
-        gap = F.greatest(F.lit(1.0), F.ceil(F.log(u) / F.log(1.0 - F.col(density)))).cast("bigint")
-        at = acc["at"] + gap
+        at = acc["at"] + gap(k)
         live = acc["at"] < F.col("_size")
         return F.struct(
             F.when(live, at).otherwise(acc["at"]).alias("at"),
@@ -87,23 +89,23 @@ def _gap_ranks(blocks: DataFrame, density: str) -> DataFrame:
 
     run = F.greatest(F.lit(1.0), F.least(F.col("_size").cast("double"),
                                          F.ceil(8.0 / F.col(density)))).cast("bigint")
-    runs = blocks.withColumn("_run", run).withColumn(
-        "_offset", F.explode(F.filter(
-            F.sequence(F.lit(0).cast("bigint"), F.col("_size"), F.col("_run")),
-            lambda x: x < F.col("_size")))).withColumn(
+    rows = blocks.withColumn("_run", run).withColumn(
+        "_offset", F.explode(F.expr("sequence(0L, _size - 1L, _run)"))).withColumn(
         "_first", F.col("_first") + F.col("_offset")).withColumn(
         "_size", F.least(F.col("_run"), F.col("_size") - F.col("_offset")))
-    return runs.withColumn("_hits", F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint")), state, step)
-    ).withColumn("_more", F.col("_hits.at") < F.col("_size")).withColumn(
-        "_tail", F.when(F.col("_more"), F.filter(
-            F.sequence(F.col("_hits.at") + 1, F.col("_size")),
-            lambda x: (x < F.col("_size")) & (
-                uniform(F.col("seed"), F.col("_first") + x, PAIRS + 2) < F.col(density))))
-        .otherwise(F.array().cast("array<bigint>"))
-    ).withColumn("_hit", F.explode(F.concat("_hits.hits", "_tail"))).withColumn(
-        "_rank", F.col("_first") + F.col("_hit")).drop(
-        "_hit", "_run", "_offset", "_hits", "_more", "_tail")
+    within = Window.partitionBy(*KEY, "_block", "_offset").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = rows.withColumn("_k", F.explode(F.expr(f"sequence(0L, {ROW_GAPS - 1}L)"))).withColumn("_gap", gap(F.col("_k"))).withColumn(
+        "_at", F.sum("_gap").over(within) - 1).where("_at < _size")
+    none = F.array().cast("array<bigint>")
+    folded = F.aggregate(F.sequence(F.lit(ROW_GAPS).cast("bigint"), F.lit(GAPS - 1).cast("bigint")),
+                         F.struct(F.col("_at").alias("at"), none.alias("hits")), step)
+    tail = F.when(F.col("_fold.at") < F.col("_size"), F.filter(
+        F.sequence(F.col("_fold.at") + 1, F.col("_size")),
+        lambda x: (x < F.col("_size")) & (uniform(F.col("seed"), F.col("_first") + x, PAIRS + 2) < F.col(density)))).otherwise(none)
+    ended = drawn.withColumn("_fold", F.when(F.col("_k") == ROW_GAPS - 1, folded)).withColumn("_hit", F.explode(
+        F.when(F.col("_k") == ROW_GAPS - 1, F.concat(F.array("_at"), "_fold.hits", tail)).otherwise(F.array("_at"))))
+    return ended.withColumn("_rank", F.col("_first") + F.col("_hit")).drop(
+        "_hit", "_run", "_offset", "_k", "_gap", "_at", "_fold")
 
 
 def coefficients(df: DataFrame, distribution: str, i: Column, j: Column, low: float | Column = -10,

@@ -52,12 +52,15 @@ l AS ({_L}), b AS (SELECT batch, result_set, instance_id, min(energy) AS best FR
 d AS (SELECT l.*, best, energy - best AS gap FROM l JOIN b USING (batch, result_set, instance_id))"""
 
 
-@query("a6_leaderboard", f"""
+LEADERBOARD = f"""
 WITH {_BEST},
 s AS (SELECT batch, result_set, solver, count(*) FILTER (WHERE abs(gap) < 1e-9) AS wins, avg(gap) AS g, avg(wall_seconds) AS t
       FROM d GROUP BY ALL)
 SELECT batch, result_set, solver, wins, round(g, 6) AS mean_gap, round(t, 6) AS mean_time,
-       CAST(row_number() OVER (PARTITION BY batch, result_set ORDER BY wins DESC, g, solver) AS INTEGER) AS rank FROM s""")
+       CAST(row_number() OVER (PARTITION BY batch, result_set ORDER BY wins DESC, g, solver) AS INTEGER) AS rank FROM s"""
+
+
+@query("a6_leaderboard", LEADERBOARD)
 def a6(v):
     return A.leaderboard(v.runs).withColumn("mean_gap", F.round("mean_gap", 6)).withColumn(
         "mean_time", F.round("mean_time", 6))

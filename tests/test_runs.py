@@ -12,6 +12,7 @@ from bitloom.operators.encoders import encode_max_cut
 from bitloom.plans import experiments as P
 from bitloom.plans.registry import family, list_families
 from bitloom.sources import files, manifests, tables
+from bitloom.streaming import results as W
 
 K = ("a", "x")
 
@@ -192,3 +193,31 @@ def test_runs_of_two_sets_and_missing_energies(spark, table):
     assert best_sample(energies.where("sample_id < 2")).first()["energy"] is None
     rows = table([("a", "x", "5", 1), ("a", "x", "1", 2)], "validation_status string, row int")
     assert manifests.upsert_problem_manifest(rows.limit(0), rows, "row").first()["validation_status"] == "1"
+
+
+def test_live_leaderboard(spark, tmp_path):
+    """Late, rewritten and repeated runs, missing energies, ties, and snapshots taken on the way."""
+    schema = ("batch string, result_set string, instance_id string, solver string, run_id string, version long, "
+              "energy double, wall_seconds double")
+    waves = [[("b", "results", "i", "s", "r1", 1, -3.0, 1.0), ("b", "results", "i", "t", "r2", 1, -3.0, None)],
+             [("b", "results", "i", "s", "r1", 2, -1.0, 2.0), ("b", "results", "j", "s", "r3", 1, None, 4.0),
+              ("b", "results", "j", "t", "r4", 1, float("nan"), 1.0)],
+             [("b", "results", "i", "s", "r1", 1, -9.0, 9.0), ("b", "results", "i", "s", "r5", 1, -3.0 - 1e-12, 3.0)]]
+    sink, newest = str(tmp_path / "log"), {}
+    for k, wave in enumerate(waves):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "runs"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
+        W.stream_leaderboard(stream, sink, str(tmp_path / "state")).awaitTermination()
+        for row in wave:
+            if row[4] not in newest or newest[row[4]][5] <= row[5]:
+                newest[row[4]] = row
+        if k < 2:
+            assert W.compact(spark, sink, W.BOARD_KEYS) == W.compact(spark, sink, W.BOARD_KEYS)
+        rows = [(*r[:5], None if r[6] != r[6] else r[6], r[7]) for r in newest.values()]
+        runs = spark.createDataFrame(rows, "batch string, result_set string, instance_id string, solver_type string, run_id string, "
+                                           "energy double, wall_seconds double").withColumn("file", F.lit("x"))
+        got = W.current_leaderboard(spark, sink).collect()
+        want = {r["solver"]: r for r in A.leaderboard(runs).collect()}
+        assert {r["solver"]: (r["wins"], r["mean_time"], r["rank"]) for r in got} == {
+            s: (r["wins"], r["mean_time"], r["rank"]) for s, r in want.items()}
+        assert {r["solver"]: r["mean_gap"] for r in got} == pytest.approx({s: r["mean_gap"] for s, r in want.items()})
