@@ -34,3 +34,12 @@ def melt(df: DataFrame, *, text: tuple[str, ...] = ()) -> DataFrame:
 def stats(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
     """Statistics of ``column`` per instance, long form."""
     return melt(df.groupBy(*KEY).agg(*stat_columns(column, prefix or column)))
+
+
+def std_with_zeros(variance: Column, mean: Column, count: Column, total: Column) -> Column:
+    """Population deviation of ``total`` values: ``count`` of known variance and mean, the others 0.
+
+    The variance comes from mergeable moments (``var_pop``), so equal values deviate by exactly 0 and no sum of squares overflows.
+    """
+    spread = count * variance + count * (total - count) / total * mean * mean
+    return F.when(total > 0, F.coalesce(F.sqrt(spread / total), F.lit(0.0))).otherwise(0.0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.numbers import gcd_by
 from bitloom.functions.pairs import pair_count
-from bitloom.functions.stats import melt, stat_columns
+from bitloom.functions.stats import melt, stat_columns, std_with_zeros
 from bitloom.operators.encoders import coloring_settings, overlapping_pairs
 from bitloom.operators.terms import union
 from bitloom.operators.validation import _nonfinite, issues, ratio
@@ -374,7 +374,7 @@ def clause_facts(literals: DataFrame, clauses: DataFrame, sizes: DataFrame, clau
         F.count("*").alias("c"), F.count_if(~F.col("negated")).alias("positive")
     ).groupBy(*KEY).agg(
         F.count("*").alias("used"), F.sum("c").alias("total_literals"),
-        F.sum(F.col("c") * F.col("c")).alias("squares"), F.min("c").alias("low"),
+        F.var_pop("c").alias("variance"), F.min("c").alias("low"),
         F.max("c").alias("high"), F.sum("positive").alias("positive"))
     base = (sizes.select(*KEY, "num_variables").join(weights, KEY, "left")
             .join(distinct, KEY, "left").join(occurrences, KEY, "left"))
@@ -392,7 +392,7 @@ def clause_facts(literals: DataFrame, clauses: DataFrame, sizes: DataFrame, clau
                                                                     F.lit(True)), KEY, "left")
     else:
         base = base.withColumn("has_planted_solution", F.lit(False))
-    base = base.fillna(0, ["clauses", "duplicate_clauses", "used", "total_literals", "squares",
+    base = base.fillna(0, ["clauses", "duplicate_clauses", "used", "total_literals", "variance",
                            "low", "high", "positive", "ancilla_variables", "weak_ancillas"])
     n = F.col("num_variables")
     mean = ratio(F.col("total_literals"), n)
@@ -405,8 +405,7 @@ def clause_facts(literals: DataFrame, clauses: DataFrame, sizes: DataFrame, clau
         n.alias(f"{prefix}.count"),
         F.when(unused > 0, 0).otherwise(F.col("low")).alias(f"{prefix}.min"),
         F.col("high").alias(f"{prefix}.max"), mean.alias(f"{prefix}.mean"),
-        F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("squares"), n) - mean * mean))
-        .alias(f"{prefix}.std"),
+        std_with_zeros(F.col("variance"), ratio(F.col("total_literals"), F.col("used")), F.col("used"), n).alias(f"{prefix}.std"),
         ratio(F.col("positive"), F.col("total_literals")).alias("positive_literal_fraction"),
         "duplicate_clauses", unused.alias("unused_boolean_variables"), "ancilla_variables",
         F.coalesce("has_planted_solution", F.lit(False)).alias("has_planted_solution"),

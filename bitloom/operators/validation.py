@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitloom.functions.pairs import pair_count
-from bitloom.functions.stats import melt, stat_columns
+from bitloom.functions.stats import melt, stat_columns, std_with_zeros
 from bitloom.operators.terms import union
 from bitloom.schemas import KEY, Batch
 
@@ -165,10 +165,9 @@ def graph_facts(edges: DataFrame, sizes: DataFrame, components: DataFrame | None
         *KEY, "u").agg(F.count("*").alias("d"))
     sums = degrees.groupBy(*KEY).agg(
         F.count("*").alias("touched"), F.sum("d").alias("ends"),
-        F.sum(F.col("d") * F.col("d")).alias("squares"), F.min("d").alias("low"),
-        F.max("d").alias("high"))
+        F.var_pop("d").alias("variance"), F.min("d").alias("low"), F.max("d").alias("high"))
     base = sizes.select(*KEY, "num_vertices").join(sums, KEY, "left").fillna(
-        0, ["touched", "ends", "squares", "low", "high"])
+        0, ["touched", "ends", "variance", "low", "high"])
     n = F.col("num_vertices")
     isolated = n - F.col("touched")
     mean = ratio(F.col("ends"), n)
@@ -178,8 +177,7 @@ def graph_facts(edges: DataFrame, sizes: DataFrame, components: DataFrame | None
         isolated.alias("isolated_vertices"),
         F.when(isolated > 0, 0).otherwise(F.col("low")).cast("bigint").alias("degree_min"),
         F.col("high").alias("degree_max"), mean.alias("degree_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("squares"), n) - mean * mean))
-        .alias("degree_std")]
+        std_with_zeros(F.col("variance"), ratio(F.col("ends"), F.col("touched")), F.col("touched"), n).alias("degree_std")]
     if components is not None:
         base = base.join(components, KEY, "left")
         columns.append((F.coalesce("components", F.lit(0)) + isolated).cast("bigint")

@@ -456,6 +456,17 @@ TABLES_OF = {
 }
 
 
+# Columns of the domain tables besides the key.
+DOMAIN_COLUMNS = {
+    "edges": "u long, v long, w double", "vertices": "u long, value long", "non_edges": "i long, j long",
+    "numbers": "i long, value long", "items": "i long, weight long, value long", "bonuses": "i long, j long, v long",
+    "capacity": "capacity long", "slack": "k long, weight long", "members": "set_id long, element long",
+    "overlaps": "a long, b long, shared array<long>", "set_values": "set_id long, value long",
+    "literals": "clause_id long, pos long, variable long, negated boolean", "clauses": "clause_id long, weight long",
+    "planted": "i long, x long", "fields": "i long, h double", "couplings": "i long, j long, coupling double",
+}
+
+
 @dataclass
 class Generated:
     """A generated table of entries: seeds and parameters (``grid``), models, domain tables and their validation."""
@@ -559,7 +570,8 @@ def seed_grid_of(entries: DataFrame, base_seed: int = 0) -> DataFrame:
 def read_domain(spark: SparkSession, path: str, families: list[str] | tuple[str, ...] = FAMILIES) -> dict[str, DataFrame]:
     """The domain tables of families that ``generate_entries`` stored below ``path``."""
     names = sorted({n for family in families for n in TABLES_OF[family]})
-    return {name: spark.read.parquet(f"{path}/domain/{name}") for name in names}
+    return {name: spark.read.schema(f"batch string, instance_id string, {DOMAIN_COLUMNS[name]}").parquet(f"{path}/domain/{name}")
+            for name in names}
 
 
 def generate_batch(grid: DataFrame, name: str, parameters: dict | None = None) -> Generated:

@@ -151,3 +151,53 @@ def test_wrong_parameters_fail_their_instances_only(spark, table):
     assert [(r.method, r.samples_checked, r.mismatches) for r in made.encoding.collect()] == [("exhaustive", 32, 0)] * 2
     assert {r.status for r in made.status.collect()} == {"passed"} and made.batch.quadratic.count() == 20
     assert declared_parameters(spark).select("owner").distinct().count() == 10
+
+
+def test_mixed_table_is_generated_stored_and_checked_again(spark, tmp_path):
+    """Families and parameters side by side, a regular graph, a redraw, wrong entries; then stored files, some spoilt."""
+    from bitloom.plans import generation as P
+    from bitloom.schemas import Batch
+    from bitloom.sources.tables import read_batch
+
+    rows = [("b", 0, 2, None, "max_cut", {"num_vertices": "6", "graph_type": "random_regular", "degree": "3", "weighted": "true"}),
+            ("b", 1, 1, 77, "max_cut", {"num_vertices": "4", "edge_probability": "0.0"}),
+            ("b", 2, 1, None, "number_partitioning", {"num_numbers": "5", "max_value": "9"}),
+            ("b", 3, 1, None, "number_partitioning", {"num_numbers": "3", "min_value": "9", "max_value": "2"}),
+            ("b", 4, 1, None, "max_sat", {"num_variables": "4", "num_clauses": "3", "clause_size": "2", "planted_solution": "false"}),
+            ("b", 5, 1, None, "chess", {}), ("b", 6, 1, None, "max_cut", {"colour": "red"})]
+    entries = spark.createDataFrame(
+        rows, "batch string, entry long, count long, seed long, problem_type string, parameters map<string,string>")
+    path = str(tmp_path / "made")
+    made = P.generate_entries(entries, reject=["empty_graph"], max_attempts=2, path=path)
+    status = {r.instance_id: r.status for r in made.status.collect()}
+    good = {"seed_0", "seed_1", "seed_77", "seed_2000000", "seed_4000000"}
+    assert {k for k, v in status.items() if v == "passed"} == good and len(status) == 8
+    codes = {(r.instance_id, r.code) for r in made.issues.where("severity = 'error'").collect()}
+    assert codes == {("seed_3000000", "invalid_parameter_range"), ("seed_5000000", "unknown_family"), ("seed_6000000", "unknown_parameter")}
+    seeds = {r.instance_id: r.seed for r in made.grid.collect()}
+    assert seeds["seed_77"] == 77 + 1_000_000_000 and seeds["seed_0"] == 0  # the edgeless graph was drawn again
+    assert {r.mismatches for r in made.encoding.collect()} == {0} and made.encoding.count() == 5
+    degrees = made.tables["edges"].where("instance_id = 'seed_0'").selectExpr("explode(array(u, v)) AS u").groupBy("u").count()
+    assert {r["count"] for r in degrees.collect()} == {3} and degrees.count() == 6
+    stored = read_batch(spark, path)
+    spoilt = stored.linear.withColumn("v", F.when(F.col("instance_id") == "seed_1", F.col("v") + 1).otherwise(F.col("v")))
+    tables = P.read_domain(spark, path, ["max_cut", "number_partitioning", "max_sat"])
+    again = P.validate_stored(stored.instances, Batch(stored.instances, spoilt, stored.quadratic), tables)
+    assert {r.instance_id: r.status for r in again[2].collect()} == {k: "failed" if k == "seed_1" else "passed" for k in good}
+    bare = P.validate_stored(stored.instances, Batch(stored.instances, spoilt, stored.quadratic), {})
+    assert {r.status for r in bare[2].collect()} == {"passed"} and bare[3] is None
+
+
+def test_rows_and_dictionaries_agree_on_parameters(spark):
+    from bitloom.plans import generation as P
+
+    cases = [("max_cut", {"num_vertices": "1"}), ("max_cut", {"edge_probability": "1.5"}), ("max_cut", {"graph_type": "star"}),
+             ("max_cut", {"weighted": "1"}), ("spin_glass", {"graph_type": "random_regular", "num_vertices": "5"}),
+             ("max_sat", {"num_variables": "2"}), ("random_qubo", {"coefficient_min": "-1.5"}), ("set_packing", {}),
+             ("independent_set", {"penalty": None}), ("quadratic_knapsack", {"min_value": "40"})]
+    rows = [("b", str(k), *case) for k, case in enumerate(cases)]
+    found = P.parameter_issues(spark.createDataFrame(
+        rows, "batch string, instance_id string, problem_type string, parameters map<string,string>")).collect()
+    assert sorted((int(r.instance_id), r.code) for r in found) == [
+        (0, "parameter_below_minimum"), (1, "parameter_above_maximum"), (2, "invalid_parameter_type"), (3, "invalid_parameter_type"),
+        (4, "invalid_degree"), (5, "too_few_variables"), (6, "noninteger_bound"), (9, "invalid_parameter_range")]
