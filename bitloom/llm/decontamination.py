@@ -42,6 +42,7 @@ for from to with by and or but not is are was were do does did can could will wo
 all some any no one two three find given let suppose there after before then
 """.split())
 
+SLICE = 1 << 20  # bytes of text whose windows are in arrays at a time
 VIEWS = 3  # names as slots; names as words (catches copies in another case); no slots at all
 EXACT = 2  # the view without slots, in which windows need no words
 ROWS = "row long, view int, length int, pos int, hash long, slots array<long>"
@@ -56,7 +57,7 @@ class _Tokens(Features):
     def forget(self) -> None:
         super().forget()
         self.known: dict[str, int] = {}
-        self.rows: list[tuple] = []
+        self.fresh: list[tuple] = []
         self.table = np.zeros((0, 6), np.uint64)
 
     def _token(self, token: str) -> int:
@@ -72,15 +73,15 @@ class _Tokens(Features):
             else:
                 kinds = (None, None)
             hashes = [xxhash.xxh64_intdigest(k if k else "word " + low) for k in kinds]
-            self.known[token] = len(self.rows)
-            self.rows.append((*hashes, value, *(k is not None for k in kinds), False))
+            self.known[token] = len(self.table) + len(self.fresh)
+            self.fresh.append((*hashes, value, *(k is not None for k in kinds), False))
         return self.known[token]
 
     def _derive(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [[self._token(t) for t in _TOKEN.findall(c.decode("utf-8", "replace"))] for c in new]
-        fresh = self.rows[len(self.table):]
-        if fresh:
-            self.table = np.concatenate([self.table, np.array(fresh, np.uint64).reshape(-1, 6)])
+        if self.fresh:
+            self.table = np.concatenate([self.table, np.array(self.fresh, np.uint64).reshape(-1, 6)])
+            self.fresh = []
         return listed(found)
 
 
@@ -110,7 +111,7 @@ def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole
     def run(batches):
         tokens = _Tokens()
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), SLICE):
                 keys = batch.column(0)[low:high].to_numpy()
                 chunks, sizes = tokens.numbers([t or b"" for t in batch.column(1)[low:high].to_pylist()])
                 stream = tokens.of(chunks)
