@@ -1,7 +1,8 @@
-"""Components, signed spanning forests, small exact colourability and reachability."""
+"""Components, signed spanning forests, exact colourability and reachable sums."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,11 @@ from bitloom.session import cut
 
 MAX_ROUNDS = 100
 
-# Limits of the small exact checks.
-COLORING_LIMIT = 16
-PARTITION_COUNT_LIMIT = 24
-PARTITION_TOTAL_LIMIT = 1_000_000
+COLORING_LIMIT = 16  # vertices whose colours fit one word
+COMPONENT_EDGES = 200_000  # edges of a component that one task may colour
+FRONTIER_STATES = 50_000  # partial colourings kept at a time
+SUM_BITS = 1 << 28  # half sums that fit the bit set of one instance (32 MB)
+HALVES_LIMIT = 40  # numbers whose sums are listed by halves, a million rows each
 
 
 def _is_settled(edges: DataFrame) -> bool:
@@ -159,8 +161,8 @@ def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
 
     Each instance of at most 16 vertices is one row; its partial colourings are folded vertex by
     vertex as 64-bit words (4 bits per vertex), forgetting vertices whose neighbours are all
-    coloured. Beyond, two colours are decided by the signed forest for any size; three and more are
-    left unchecked (NULL), as the check is defined for small instances only.
+    coloured. Beyond, two colours are decided by the signed forest and more by ``coloring_widths``,
+    NULL where a component is too dense for it.
     """
     counted = vertices.groupBy(*KEY).agg(F.count("*").alias("n"))
     small = counted.where(F.col("n") <= COLORING_LIMIT)
@@ -190,8 +192,11 @@ def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
     checked = small.join(rows, KEY, "left").withColumn(
         "e", F.coalesce("e", F.expr(none))).select(*KEY, answer.alias("colorable"))
     large = counted.where(F.col("n") > COLORING_LIMIT).select(*KEY)
-    if colors != 2 or large.isEmpty():
-        return union(checked, large.withColumn("colorable", F.lit(None).cast("boolean")))
+    if large.isEmpty():
+        return checked
+    if colors != 2:
+        return union(checked, coloring_widths(vertices.join(large, KEY, "left_semi"), edges, colors).select(
+            *KEY, "colorable"))
     # with every edge asking for unlike ends, an odd cycle is an edge that the forest cannot satisfy
     unlike = edges.join(large, KEY, "left_semi").select(
         *KEY, F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("coupling"))
@@ -203,20 +208,166 @@ def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
         *KEY, F.col("odd").isNull().alias("colorable")))
 
 
+def _core(edges: DataFrame, colors: int) -> DataFrame:
+    """Edges (u < v) left once vertices with fewer than ``colors`` neighbours are gone, again and again.
+
+    Such a vertex can always be coloured last. After ``MAX_ROUNDS`` rounds the rest stays as it is,
+    which costs time but no correctness.
+    """
+    for _ in range(MAX_ROUNDS):
+        ends = union(edges.select(*KEY, "u"), edges.select(*KEY, F.col("v").alias("u")))
+        low = cut(ends.groupBy(*KEY, "u").count().where(F.col("count") < colors).select(*KEY, "u"))
+        if low.isEmpty():
+            break
+        edges = cut(edges.join(low, [*KEY, "u"], "left_anti").join(
+            low.withColumnRenamed("u", "v"), [*KEY, "v"], "left_anti").select(*KEY, "u", "v"))
+    return edges
+
+
+def frontier_coloring(pairs: list[tuple[int, int]], colors: int, most: int = FRONTIER_STATES) -> tuple[bool | None, int]:
+    """Can the connected graph be coloured, and how many vertices were open at most?
+
+    Vertices are coloured in an order that closes others early. A state holds the colours of vertices
+    that still have uncoloured neighbours, named by first occurrence, so states that later vertices
+    cannot tell apart are one. More than ``most`` states give no answer.
+    """
+    near: dict[int, set[int]] = {}
+    for u, v in pairs:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    waiting = {u: len(n) for u, n in near.items()}  # neighbours without a colour
+    placed: set[int] = set()
+    front: list[int] = []
+    states, width = {()}, 0
+    while len(placed) < len(near):
+        reach = {v for u in front for v in near[u] if v not in placed} or {min(near, key=lambda u: (len(near[u]), u))}
+        new = min(reach, key=lambda v: ((waiting[v] > 0) - sum(waiting[u] == 1 for u in near[v] if u in placed),
+                                        waiting[v], v))
+        placed.add(new)
+        for u in near[new]:
+            waiting[u] -= 1
+        clash = [k for k, u in enumerate(front) if u in near[new]]
+        stay = [k for k, u in enumerate([*front, new]) if waiting[u]]
+        front = [[*front, new][k] for k in stay]
+        width, grown = max(width, len(front)), set()
+        for state in states:
+            taken = {state[k] for k in clash}
+            for color in range(min(colors, max(state, default=-1) + 2)):
+                if color not in taken:
+                    names: dict[int, int] = {}
+                    both = (*state, color)
+                    grown.add(tuple([names.setdefault(both[k], len(names)) for k in stay]))
+            if len(grown) > most:
+                return None, width
+        if not grown:
+            return False, width
+        states = grown
+    return True, width
+
+
+def coloring_widths(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
+    """Exact k-colourability of sparse graphs of any size: key, colorable, width.
+
+    The graph is peeled to its core, whose components are coloured one by one (``frontier_coloring``).
+    ``width`` is the widest frontier met (0 without a core). An instance is not colourable if one
+    component is not; it is NULL if none is known not to be and one has more than
+    ``COMPONENT_EDGES`` edges (width NULL too) or needs more than ``FRONTIER_STATES`` states.
+    """
+    keys = vertices.select(*KEY).distinct()
+    simple = cut(edges.where("u <> v").join(keys, KEY, "left_semi").select(
+        *KEY, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if colors < 1:
+        return keys.select(*KEY, F.lit(False).alias("colorable"), F.lit(0).alias("width"))
+    core = _core(simple, colors)
+    parted = core.join(component_labels(core), [*KEY, "u"])
+    counts = cut(parted.groupBy(*KEY, "label").agg(F.count("*").alias("m")))
+    fits = counts.where(F.col("m") <= COMPONENT_EDGES)
+    types = {f.name: f.dataType.simpleString() for f in core.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in KEY) + ", colorable boolean, width int"
+
+    def colored(group: pd.DataFrame) -> pd.DataFrame:
+        found, width = frontier_coloring(list(zip(group["u"], group["v"], strict=True)), colors)
+        out = group.iloc[:1][list(KEY)].copy()
+        out["colorable"], out["width"] = pd.array([found], dtype="boolean"), width
+        return out
+
+    known = parted.join(fits.drop("m"), [*KEY, "label"], "left_semi").groupBy(*KEY, "label").applyInPandas(
+        colored, schema)
+    unknown = counts.where(F.col("m") > COMPONENT_EDGES).select(
+        *KEY, F.lit(None).cast("boolean").alias("colorable"), F.lit(None).cast("int").alias("width"))
+    worst = union(known, unknown).groupBy(*KEY).agg(
+        F.count_if(F.col("colorable") == F.lit(False)).alias("bad"), F.count_if(F.col("colorable").isNull()).alias("open"),
+        F.count_if(F.col("width").isNull()).alias("unseen"), F.max("width").alias("width"))
+    answer = F.when(F.coalesce("bad", F.lit(0)) > 0, False).when(F.coalesce("open", F.lit(0)) > 0, None).otherwise(True)
+    return keys.join(worst, KEY, "left").select(
+        *KEY, answer.alias("colorable"),
+        F.when(F.coalesce("unseen", F.lit(0)) == 0, F.coalesce("width", F.lit(0))).alias("width"))
+
+
+def _reaches_half(group: pd.DataFrame) -> pd.DataFrame:
+    """Is half the total a sum of some values? Bit s of an integer says whether s can be reached."""
+    half = int(group["total"].iloc[0]) // 2
+    reached, mask = 1, (1 << (half + 1)) - 1
+    for value, count in sorted(zip(group["value"].tolist(), group["c"].tolist(), strict=True)):
+        step = 1
+        while count:  # count copies as 1, 2, 4, ... and the rest of them
+            step = min(step, count)
+            reached = (reached | (reached << (value * step))) & mask
+            count, step = count - step, 2 * step
+        if reached >> half & 1:
+            break
+    out = group.iloc[:1][list(KEY)].copy()
+    out["found"] = bool(reached >> half & 1)
+    return out
+
+
+def _sums(numbers: str) -> str:
+    return f"aggregate({numbers}, array(0L), (s, x) -> concat(s, transform(s, y -> y + x)))"
+
+
+def _halves(numbers: DataFrame) -> DataFrame:
+    """Keys of instances (key, half, a: at most 40 values) with a subset that sums to ``half``.
+
+    The sums of either half of the values are rows and meet in a join on the sum.
+    """
+    quarter = HALVES_LIMIT // 4
+
+    def side(first: int) -> DataFrame:
+        one, two = (_sums(f"slice(a, {first + k * quarter + 1}, {quarter})") for k in (0, 1))
+        return numbers.select(*KEY, "half", F.expr(two).alias("two"), F.explode(F.expr(one)).alias("x")).select(
+            *KEY, "half", "x", F.explode("two").alias("y")).select(*KEY, "half", (F.col("x") + F.col("y")).alias("s"))
+
+    right = side(2 * quarter).select(*KEY, (F.col("half") - F.col("s")).alias("s"))
+    return side(0).join(right, [*KEY, "s"], "left_semi").select(*KEY).distinct()
+
+
 def perfect_partition(numbers: DataFrame) -> DataFrame:
     """Can the numbers be split into equal sums?  key, perfect_partition_exists.
 
-    Only for at most 24 numbers with a total of at most 1,000,000 (NULL beyond); reachable sums up
-    to half the total are folded number by number inside the instance's row.
+    Equal numbers are counted first, which leaves at most sqrt(2 total) rows of an instance. Totals up
+    to 2 ``SUM_BITS`` are decided by a bit set of reachable sums whatever the count, larger ones of at
+    most ``HALVES_LIMIT`` numbers by joining the sums of two halves. An odd total, or a number above the
+    rest's sum, is answered at any size; NULL is left for longer instances of larger totals, and
+    for totals beyond 64 bits. Signs do not matter, as either side may take a number.
     """
-    facts = numbers.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    small = facts.where(
-        (F.col("n") <= PARTITION_COUNT_LIMIT) & (F.col("total") <= PARTITION_TOTAL_LIMIT))
-    rows = numbers.join(small, KEY).groupBy(*KEY, "total").agg(
-        F.collect_list("value").alias("a"))
-    reach = F.expr("""
-        array_contains(aggregate(a, array(0L), (r, x) -> array_distinct(concat(
-          r, filter(transform(r, s -> s + x), s -> 2 * s <= total)))), total DIV 2)""")
-    checked = rows.select(*KEY, (F.expr("total % 2 = 0") & reach).alias("found"))
-    return facts.join(checked, KEY, "left").select(
-        *KEY, F.col("found").alias("perfect_partition_exists"))
+    counted = cut(numbers.select(*KEY, F.abs(F.col("value").cast("long")).alias("value")).groupBy(*KEY, "value").agg(
+        F.count("*").alias("c")))
+    facts = cut(counted.groupBy(*KEY).agg(
+        F.sum("c").alias("n"), F.expr("try_sum(try_multiply(value, c))").alias("total"),
+        F.count_if(F.expr("try_multiply(value, c) IS NULL AND value IS NOT NULL")).alias("wide"), F.max("value").alias("top")))
+    total = F.when(F.col("wide") == 0, F.col("total"))
+    facts = facts.withColumn("total", total)
+    impossible = F.expr("total % 2 = 1 OR top > total - top")
+    open_ = facts.where(~impossible)
+    types = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
+    small = counted.where("value > 0").join(open_.where(F.col("total") <= 2 * SUM_BITS).select(*KEY, "total"), KEY)
+    by_bits = small.groupBy(*KEY).applyInPandas(
+        _reaches_half, ", ".join(f"{k} {types[k]}" for k in KEY) + ", found boolean")
+    few = open_.where((F.col("total") > 2 * SUM_BITS) & (F.col("n") <= HALVES_LIMIT)).select(
+        *KEY, F.expr("total DIV 2").alias("half"))
+    listed = cut(counted.join(few, KEY).groupBy(*KEY, "half").agg(
+        F.flatten(F.collect_list(F.array_repeat("value", F.col("c").cast("int")))).alias("a")))
+    by_halves = listed.select(*KEY).join(_halves(listed).withColumn("yes", F.lit(True)), KEY, "left").select(
+        *KEY, F.coalesce("yes", F.lit(False)).alias("found"))
+    answer = F.when(impossible, False).when(F.col("total") == 0, True).otherwise(F.col("found"))
+    return facts.join(union(by_bits, by_halves), KEY, "left").select(*KEY, answer.alias("perfect_partition_exists"))

@@ -9,6 +9,8 @@ from bitloom.operators.ranges import spread_range
 from bitloom.operators.terms import accumulate_linear, index_variables, union
 from bitloom.schemas import KEY, Batch
 
+STATE_LANE = 8  # states summed side by side
+
 # Solver capability limits and the dense/sparse switch.
 SPARSE_THRESHOLD = 0.15
 LIMITS = {
@@ -90,17 +92,22 @@ def coupling_product(couplings: DataFrame, states: DataFrame) -> DataFrame:
     """``J . X`` for many state vectors at once: key, i, state, value.
 
     ``states`` holds one row per (key, i) with the array ``values``, one entry per state, so a
-    coupling carries all states through a single shuffle and is unfolded only while summing.
+    coupling carries all states through a single shuffle. Sums of ``STATE_LANE`` states live side by
+    side in one aggregation row; single states appear once they are summed.
     """
     both = union(
         couplings.select(*KEY, "i", "j", "coupling"),
         couplings.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j"), "coupling"))
-    carried = both.join(states.select(*KEY, F.col("i").alias("j"), "values"), [*KEY, "j"])
-    return carried.select(
-        *KEY, "i", "coupling", F.posexplode("values").alias("state", "x")
-    ).groupBy(*KEY, "i", "state").agg(
-        F.sum(F.col("coupling") * F.col("x")).alias("value")
-    ).select(*KEY, "i", F.col("state").cast("bigint").alias("state"), "value")
+    carried = both.join(states.where(F.size("values") > 0).select(*KEY, F.col("i").alias("j"), "values"), [*KEY, "j"])
+    lanes = carried.select(*KEY, "i", "coupling", "values", F.explode(F.sequence(
+        F.lit(0), F.expr(f"(size(values) - 1) DIV {STATE_LANE}").cast("int"))).alias("lane"))
+    place = F.col("lane") * STATE_LANE
+    sums = [F.sum(F.col("coupling") * F.get("values", place + b)).alias(f"s{b}") for b in range(STATE_LANE)]
+    wide = lanes.groupBy(*KEY, "i", "lane").agg(F.max(F.size("values")).alias("count"), *sums)
+    cells = F.array(*[F.col(f"s{b}") for b in range(STATE_LANE)])
+    return wide.select(*KEY, "i", "lane", "count", F.posexplode(cells).alias("bit", "value")).where(
+        F.col("bit") < F.col("count") - place).select(
+        *KEY, "i", (place + F.col("bit")).cast("bigint").alias("state"), "value")
 
 
 def linearize(batch: Batch) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.operators.terms import canonical_json, index_variables
 
+ENTRY_BLOCK = 64  # solver entries that a problem meets at a time
+
 # Fixed value: characters no file name may contain.
 FORBIDDEN = '<>:"/\\|?*'
 
@@ -49,17 +53,23 @@ def plan_tasks(problems: DataFrame, solvers: DataFrame, results: DataFrame | Non
     """Problems x solver entries x replicas.
 
     ``problems``: key, path_dir, stem, problem_order. ``solvers``: entry, solver_type,
-    instance_name, replicas, increment_seed, has_seed, default_seed, parameters (map). The solver
-    list is the handful of entries of one experiment configuration; it meets the problems as a
-    single row. ``results``: batch, result_set.
+    instance_name, replicas, increment_seed, has_seed, default_seed, parameters (map). Entries are
+    dealt into blocks of about ``ENTRY_BLOCK``; a problem is expanded to one row per block and meets
+    its entries there, on keys salted so that few blocks still use every task.
+    ``results``: batch, result_set.
     """
     if order not in ("problem_first", "solver_first"):
         raise ValueError("order must be problem_first or solver_first")
-    # one row: the entries of the configuration; replicas unfold after they met the problems
-    packed = solvers.agg(F.array_sort(F.collect_list(F.struct(
+    blocks = max(1, math.ceil(solvers.count() / ENTRY_BLOCK))
+    salts = max(1, int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    block = F.pmod(F.xxhash64("entry", "instance_name"), F.lit(blocks)).cast("int")
+    packed = solvers.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(
         "entry", "solver_type", "instance_name", "replicas", "increment_seed", "has_seed",
-        "default_seed", F.map_entries("parameters").alias("parameters")))).alias("entries"))
-    rows = problems.join(packed).select(*problems.columns, F.inline("entries")).withColumn(
+        "default_seed", F.map_entries("parameters").alias("parameters"))).alias("entries")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = problems.withColumn("_salt", F.pmod(F.xxhash64("batch", "stem", "problem_order"), F.lit(salts)).cast("int")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = dealt.join(packed, ["_block", "_salt"]).select(*problems.columns, F.inline("entries")).withColumn(
         "parameters", F.map_from_entries("parameters"))
     base = F.coalesce(F.expr("try_cast(parameters['seed'] AS bigint)"), F.col("default_seed"),
                       F.lit(0).cast("bigint"))

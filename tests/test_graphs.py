@@ -114,7 +114,67 @@ def test_gcd_and_perfect_partition(table, rows):
     assert rows(G.perfect_partition(numbers), "perfect_partition_exists", key=True) == [
         ("a", "x", True), ("a", "y", False)]
     many = table([("a", "x", i, 1) for i in range(25)], "i long, value long")
-    assert rows(G.perfect_partition(many), "perfect_partition_exists") == [(None,)]
+    assert rows(G.perfect_partition(many), "perfect_partition_exists") == [(False,)]
+
+
+def test_perfect_partition_of_any_count(table, rows):
+    import itertools
+    import random
+
+    rng = random.Random(11)
+    groups = {f"r{g}": [rng.randrange(0, 40) for _ in range(rng.randrange(1, 11))] for g in range(30)}
+    groups |= {f"big{g}": [rng.randrange(-9, 10) << 50 for _ in range(7)] for g in range(8)}
+    want = {g: any(sum(c) * 2 == sum(map(abs, v)) for n in range(len(v) + 1) for c in itertools.combinations(map(abs, v), n))
+            for g, v in groups.items()}
+    groups["long"], want["long"] = [rng.randrange(1, 1_000_000) for _ in range(199)], True
+    groups["long"].append(2 - sum(groups["long"]) % 2)
+    groups["copies"], want["copies"] = [3] * 500 + [1000], False  # neither 1250 nor 250 is a multiple of 3
+    groups["halves"], want["halves"] = [(1 << 40) + 3 * i for i in range(39)] + [(1 << 40) + 3 * 39 + 2], False
+    groups["halves2"], want["halves2"] = [(1 << 40) + 7 * (i // 2) for i in range(40)], True
+    groups["open"], want["open"] = [(1 << 45) + 2 * i for i in range(42)], None
+    groups["beyond"], want["beyond"] = [(1 << 62)] * 4, None
+    numbers = table([("a", g, i, x) for g, v in groups.items() for i, x in enumerate(v)], "i long, value long")
+    got = {k: v for _, k, v in rows(G.perfect_partition(numbers), "perfect_partition_exists", key=True)}
+    assert sum(groups["long"]) > 5e7 and got == want
+
+
+def test_colours_of_sparse_graphs_of_any_size(table):
+    import random
+
+    def ring(n):  # each vertex with the next two: three colours only if 3 divides n
+        return [(u, (u + d) % n) for u in range(n) for d in (1, 2)]
+
+    rng = random.Random(3)
+    graphs = {"ring300": (300, ring(300), True, 4), "ring301": (301, ring(301), False, 4),
+              "tree": (200, [(rng.randrange(u), u) for u in range(1, 200)], True, 0), "empty": (30, [], True, 0),
+              "both": (60, ring(30) + [(30 + u, 30 + v) for u in range(4) for v in range(u)], False, None)}
+    graphs["dense"] = (400, [(u, 200 + v) for u in range(200) for v in range(200) if rng.random() < 0.5], None, None)
+    vertices = table([("a", g, u) for g, (n, *_) in graphs.items() for u in range(n)], "u long")
+    edges = table([("a", g, *e) for g, (_, es, *_) in graphs.items() for e in es], "u long, v long")
+    got = {r.instance_id: (r.colorable, r.width) for r in G.coloring_widths(vertices, edges, 3).collect()}
+    assert {g: v[0] for g, v in got.items()} == {g: v[2] for g, v in graphs.items()}
+    assert all(got[g][1] == v[3] for g, v in graphs.items() if v[3] is not None) and got["dense"][1] > 4
+    assert {r.instance_id: r.colorable for r in G.colorable(vertices, edges, 3).collect()} == {g: v[2] for g, v in graphs.items()}
+
+
+def test_frontier_coloring_against_search():
+    import random
+
+    def search(n, near, k, colors=()):
+        u = len(colors)
+        return u == n or any(search(n, near, k, (*colors, c)) for c in range(min(k, max(colors, default=-1) + 2))
+                             if all(colors[v] != c for v in near[u] if v < u))
+
+    rng, seen = random.Random(8), set()
+    for _ in range(150):
+        n, p = rng.randrange(5, 13), rng.choice((0.3, 0.5, 0.7))
+        pairs = [(u, v) for v in range(1, n) for u in range(v) if u == v - 1 or rng.random() < p]
+        near = [{a for e in pairs for a in e if u in e and a != u} for u in range(n)]
+        for k in (3, 4):
+            truth = search(n, near, k)
+            seen.add((k, truth))
+            assert G.frontier_coloring(pairs, k)[0] == truth
+    assert len(seen) == 4
 
 
 def test_slack_gap_and_duplicate_sets(table, rows):

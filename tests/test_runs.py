@@ -35,6 +35,20 @@ def test_run_names_and_seeds(spark):
                      ("sa_replica_2", "41", "b/results/sub/p--sa_replica_2.json")]
 
 
+def test_every_problem_meets_every_entry_across_blocks(spark):
+    n, m = 37, 3 * P.ENTRY_BLOCK + 5
+    solvers = spark.range(m).selectExpr(
+        "id AS entry", "'exact' AS solver_type", "concat('s', id) AS instance_name", "CAST(1 + id % 2 AS BIGINT) AS replicas",
+        "false AS increment_seed", "false AS has_seed", "CAST(NULL AS BIGINT) AS default_seed", "map('a', CAST(id AS STRING)) AS parameters")
+    problems = spark.range(n).selectExpr("'b' AS batch", "CAST(id AS STRING) AS instance_id", "'' AS path_dir",
+                                         "concat('p', id) AS stem", "id AS problem_order")
+    tasks = P.plan_tasks(problems, solvers)
+    got = sorted((r.problem_order, r.entry, r.replica, r.parameters["a"]) for r in tasks.collect())
+    assert got == [(p, e, k, str(e)) for p in range(n) for e in range(m) for k in range(1, 2 + e % 2)]
+    assert "NestedLoop" not in tasks._jdf.queryExecution().toString() and "Cartesian" not in tasks._jdf.queryExecution().toString()
+    assert P.plan_tasks(problems, solvers.limit(0)).count() == P.plan_tasks(problems.limit(0), solvers).count() == 0
+
+
 def test_run_id_ignores_zero_snapshots(spark):
     schema = "instance_id string, solver_type string, instance_name string, parameters map<string,string>"
     rows = [("i", "exact", None, {"b": "1", "a": "2", "num_snapshots": "0"}), ("i", "exact", None, {"a": "2", "b": "1"}),

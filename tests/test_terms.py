@@ -156,3 +156,16 @@ def test_linearized_rows_force_products(table, rows):
                    for r, (lo, hi) in bounds.items()):
                 feasible.append(y)
         assert feasible == [x0 * x1]
+
+
+def test_coupling_products_of_many_states(table, rows):
+    from bitloom.operators.ising import coupling_product
+
+    couplings = table([("a", "x", 0, 1, 2.0), ("a", "x", 1, 2, -3.0), ("a", "x", 0, 2, 0.5)], "i long, j long, coupling double")
+    values = [[((7 * i + 3 * s) % 5) - 2.0 for s in range(19)] for i in range(3)]
+    values[2][4] = None
+    states = table([("a", "x", i, v) for i, v in enumerate(values)] + [("a", "y", 0, [])], "i long, values array<double>")
+    matrix = [[0, 2.0, 0.5], [2.0, 0, -3.0], [0.5, -3.0, 0]]
+    want = [(i, s, sum(matrix[i][j] * values[j][s] for j in range(3) if j != i and values[j][s] is not None))
+            for i in range(3) for s in range(19)]
+    assert rows(coupling_product(couplings, states), "i", "state", "value") == want
