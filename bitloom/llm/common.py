@@ -46,6 +46,18 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where ``df`` has a column of that name (in any case)."""
+    taken = {n.lower() for n in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def union(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

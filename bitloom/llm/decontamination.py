@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Features, column, cut, listed, mixed, prepare, slices
+from bitloom.llm.common import Features, column, cut, listed, mixed, prepare, slices, unused
 
 WINDOW = 13  # canonical tokens; a shorter item is one window of its own length
 LITERALS = 4  # words that a window with slots must hold besides them
@@ -200,6 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they are (see ``find_leaks``)."""
-    leaks = find_leaks(docs, benchmark, id_column, text_column, **options).select(F.col("row").alias("__row")).distinct()
+    (name,) = unused(docs, "__row")
+    leaks = find_leaks(docs, benchmark, id_column, text_column, **options).select(F.col("row").alias(name)).distinct()
     row = F.xxhash64(column(id_column).cast("long"), column(text_column).cast("string"))
-    return docs.withColumn("__row", row).join(cut(leaks), "__row", "left_anti").drop("__row")
+    return docs.withColumn(name, row).join(cut(leaks), name, "left_anti").drop(name)

@@ -192,6 +192,12 @@ def plane_candidates(vectors: DataFrame, width: int, threshold: float, missed: f
         "a", F.col("id").alias("b")).distinct()
 
 
+def tamed(v: Column) -> Column:
+    """The vector, divided by its largest entry where squares might leave the range of doubles."""
+    top = F.array_max(F.transform(v, F.abs))
+    return F.when(top.between(1e-100, 1e100), v).otherwise(F.transform(v, lambda e: e / top))
+
+
 def cosine(x: Column, y: Column) -> Column:
     """Cosine in double precision of two arrays of doubles."""
     def dot(p: Column, q: Column) -> Column:
@@ -220,8 +226,9 @@ def embedding_duplicates(table: DataFrame, threshold: float = 0.95, radius: int
         reps = classes.where(F.col("width") == width).select(F.col("class_id").alias("id"), "v")
         near = union(candidates(cut(codes(reps, width, sample_rows)), min(width, 64), radius),
                      plane_candidates(reps, width, threshold, missed, sample_rows)).distinct()
-        pairs = near.join(reps.withColumnsRenamed({"id": "a", "v": "x"}), "a").join(
-            reps.withColumnsRenamed({"id": "b", "v": "y"}), "b")
+        whole = reps.select("id", tamed(F.col("v")).alias("v"))
+        pairs = near.join(whole.withColumnsRenamed({"id": "a", "v": "x"}), "a").join(
+            whole.withColumnsRenamed({"id": "b", "v": "y"}), "b")
         found = pairs.where(cosine(F.col("x"), F.col("y")) >= threshold).select("a", "b")
         links = found if links is None else union(links, found)
     if links is None:

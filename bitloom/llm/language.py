@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import Features, column, gram_numbers, slices
+from bitloom.llm.common import Features, column, gram_numbers, slices, unused
 
 BUCKETS = 1 << 16  # n-grams are counted by hash
 ORDERS = (1, 2, 3)
@@ -138,14 +138,16 @@ def _mixture(logs: np.ndarray, weight: np.ndarray, sizes: np.ndarray):
     return best, np.clip(score, 0, 1), chosen
 
 
-def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, text_column: str = "text",
+             outputs: tuple[str, str, str] = ("_lang_pred", "_share", "_languages")) -> DataFrame:
     """The documents' ``columns`` (all by default), _lang_pred, _share (of that language), _languages (how many).
 
     ``und`` with share 0 stands for a null text, a text without a letter, or a model without
     languages. Every row has a result, also with null or repeated ids; whole texts count. An empty
-    table gives no rows.
+    table gives no rows. ``outputs`` names the new columns; columns of ``docs`` with these names give way.
     """
-    columns = docs.columns if columns is None else columns
+    gone = {name.lower() for name in outputs}
+    columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in gone]
     last = len(columns)
     languages, logs = model.languages, model.logs / len(ORDERS)
 
@@ -187,12 +189,12 @@ def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, te
                     lang[some] = np.array(languages, object)[best]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c)[low:high] for c in range(last)), pa.array(lang, pa.string()), pa.array(score),
-                     pa.array(many, pa.int32())], names=[*columns, "_lang_pred", "_share", "_languages"])
+                     pa.array(many, pa.int32())], names=[*columns, *outputs])
 
     kept = docs.select(*[column(c) for c in columns])
-    schema = T.StructType([*kept.schema.fields, T.StructField("_lang_pred", T.StringType()),
-                           T.StructField("_share", T.DoubleType()), T.StructField("_languages", T.IntegerType())])
-    return docs.select(*[column(c) for c in columns], column(text_column).cast("binary").alias("__text")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField(outputs[0], T.StringType()),
+                           T.StructField(outputs[1], T.DoubleType()), T.StructField(outputs[2], T.IntegerType())])
+    return docs.select(*[column(c) for c in columns], column(text_column).cast("binary").alias(unused(docs, "__text")[0])).mapInArrow(run, schema)
 
 
 def held_out(id_: Column, parts: int, part: int) -> Column:

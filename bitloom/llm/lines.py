@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import column, components, cut, mixed, prepare, runs, slices, union
+from bitloom.llm.common import column, components, cut, mixed, prepare, runs, slices, union, unused
 
 SHINGLE = 8  # bytes of UTF-8 text: a shingle is a 64-bit number, exactly
 BANDS, ROWS = 12, 4  # a pair at similarity 0.8 shares no band with a chance of 2e-3, at 0.9 of 4e-6
@@ -162,7 +162,7 @@ def _line_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
 
 
-def _without(place: int, names: list[str]):
+def _without(place: int, names: list[str], outputs: tuple[str, str]):
     """All columns of the documents, without the removed lines in column ``place``; two counts."""
     def run(batches):
         for batch in batches:
@@ -178,7 +178,7 @@ def _without(place: int, names: list[str]):
                 columns[place] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())],
-                    names=[*names, "_n_lines", "_n_removed"])
+                    names=[*names, *outputs])
 
     return run
 
@@ -199,9 +199,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, above: int, below: int) -> Dat
 
 
 def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str = "doc_id",
-                text_column: str = "text") -> DataFrame:
+                text_column: str = "text", outputs: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
     """Keep one line of every component of similar lines: the columns of ``docs``, _n_lines, _n_removed.
 
+    ``outputs`` names the two new columns; columns of ``docs`` with these names give way.
+
     Lines end at a line feed and are compared in lower case with single spaces; similarity is the
     Jaccard similarity of their 8-byte shingles, >= above / below. The line kept is the first by
     document id (null last), then by the text's hash, then by line number. Blank lines are neither
@@ -209,18 +211,19 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
     Null texts stay null. An empty table gives no rows; other columns are passed on as they are.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop(*outputs)
     text = column(text_column).cast("string")
     place = F.coalesce(column(id_column).cast("long"), F.lit((1 << 63) - 1))
     row = F.xxhash64(place, text)
     keyed = docs.select(place.alias("doc"), row.alias("k"), text.cast("binary").alias("text"))
     signed = cut(keyed.mapInArrow(_signed_lines, LINES))
     classes = cut(signed.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "k", "line")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    banded = classes.select(F.col("h1").alias("id"), F.explode("bands").alias("key"))
+        F.min(F.struct("doc", "k", "line")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")).withColumn(
+        "id", F.monotonically_increasing_id()))  # a number of its own per class: 128 bits name a line, fewer might not
+    banded = classes.select("id", F.explode("bands").alias("key"))
     full = cut(banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"))
     members = cut(banded.join(full, "key"))
-    wanted = classes.join(members.select(F.col("id").alias("h1")).distinct(), "h1", "left_semi").select(
-        "first.*", F.col("h1").alias("id")).groupBy("doc", "k").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("first.*", "id").groupBy("doc", "k").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
     texts = cut(keyed.join(wanted.hint("merge"), ["doc", "k"]).select("text", "wanted").mapInArrow(
         _line_texts, "id long, key binary").dropDuplicates(["id"]))
     star = members.where("id <> lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
@@ -230,7 +233,7 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
     apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
         "x <> y").select("key")
     tiled = labelled.join(apart, "key").join(texts.withColumnRenamed("key", "words"), "id").join(
-        classes.select(F.col("h1").alias("id"), "bands"), "id").withColumn(
+        classes.select("id", "bands"), "id").withColumn(
         "tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
@@ -239,14 +242,16 @@ def dedup_lines(docs: DataFrame, above: int = 4, below: int = 5, id_column: str
     crossing = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id").mapInArrow(
         _crossing(above, below), "a long, b long")
     final = components(union(links, cut(crossing.distinct())))
-    named = classes.join(final.withColumnRenamed("id", "h1"), "h1", "left").where(
-        "n > 1 OR component IS NOT NULL").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
+    named = classes.join(final, "id", "left").where(
+        "n > 1 OR component IS NOT NULL").select("h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("kept"))
     repeated = cut(named.join(kept, "component").select("h1", "h2", "kept"))
     gone = signed.select("doc", "k", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(
-        F.struct("doc", "k", "line") != F.col("kept")).groupBy("doc", "k").agg(F.collect_set("line").alias("__cuts"))
+        F.struct("doc", "k", "line") != F.col("kept")).groupBy("doc", "k").agg(F.collect_set("line").alias("cuts"))
     names = docs.columns
-    joined = docs.select(*[column(n) for n in names], place.alias("__doc"), row.alias("__k")).join(
-        gone.withColumnsRenamed({"doc": "__doc", "k": "__k"}).hint("merge"), ["__doc", "__k"], "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return joined.select(*[column(n) for n in names], "__cuts").mapInArrow(_without(names.index(text_column), names), schema)
+    doc, k, cuts = unused(docs, "__doc", "__k", "__cuts")
+    joined = docs.select(*[column(n) for n in names], place.alias(doc), row.alias(k)).join(
+        gone.withColumnsRenamed({"doc": doc, "k": k, "cuts": cuts}).hint("merge"), [doc, k], "left")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in outputs]])
+    return joined.select(*[column(n) for n in names], cuts).mapInArrow(
+        _without(names.index(text_column), names, outputs), schema)

@@ -25,7 +25,7 @@ _RUN = re.compile(r"(.)\1+")
 
 def _shape(chunk: str) -> str:
     """Letters by case, digits as 9, anything else as it is; repeats of a sign shortened to two."""
-    signs = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in chunk[:64])
+    signs = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in chunk)
     return _RUN.sub(lambda m: m[1] if m[1] in "Aa9" else m[1] * 2, signs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import column, cut, number_rows
+from bitloom.llm.common import column, cut, number_rows, ranked, unused
 
 POSITION_BITS, DIGIT, BINS = 28, 12, 4096
 HIGH_DIGITS, LOW_DIGITS = 5, 2  # 60 bits of position and text, 24 bits of row
@@ -17,18 +17,25 @@ NODES_SENT = 200_000  # splits that may be broadcast: one per open node, bounded
 
 
 def _raw(df: DataFrame, name: str) -> Column:
-    """A metadata column as a number: text by its first six bytes, anything else as a double."""
+    """A metadata column: text as it is, anything else as a finite double."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        first = F.hex(F.substring(column(name).cast("binary"), 1, 6))
-        return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("double")
+        return column(name)
     value = column(name).cast("double")
     return F.when(F.isnan(value) | (F.abs(value) == math.inf), None).otherwise(value)
 
 
+def _ranked_text(rows: DataFrame, stored: DataFrame, name: str) -> DataFrame:
+    """Replace a text column by the rank of its value among all ``stored`` ones (null stays null)."""
+    values = ranked(stored.select(name).where(F.col(name).isNotNull()).distinct(), [F.col(name)], "_rank")
+    return rows.join(values, name, "left").withColumn(name, F.col("_rank").cast("double")).drop("_rank")
+
+
 def points(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"),
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One point per document: id, size, crc, tie, p (positions, 0 .. 2^28 - 1; null comes first).
 
+    A text dimension's position is the rank of its whole value among the distinct ones.
+
     Copies of a text take the least of their metadata values, so that they share a position.
     """
     text = column(text_column)
@@ -40,6 +47,12 @@ def points(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "n_
     names = [f"r{k}" for k in range(len(dimensions))]
     shared = raw.groupBy("crc", "size").agg(*[F.min(n).alias(n) for n in names])
     raw = cut(raw.drop(*names).join(shared, ["crc", "size"]))
+    texts = [n for n in names if isinstance(raw.schema[n].dataType, T.StringType)]
+    stored = raw
+    for n in texts:
+        raw = _ranked_text(raw, stored, n)
+    if texts:
+        raw = cut(raw)
     bounds = raw.agg(*[f(f"r{k}").alias(f"{n}{k}") for k in range(len(dimensions))
                        for n, f in (("lo", F.min), ("hi", F.max))]).first()
     top = (1 << POSITION_BITS) - 1
@@ -188,7 +201,12 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id") -> None:
-    """Write the documents as Parquet, one folder per shard, sorted by slot (ids must be unique)."""
-    where = placed.select(F.col("id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    docs.join(where, column(id_column).eqNullSafe(F.col("_id"))).repartition("_shard").sortWithinPartitions(
-        "_shard", "_slot").drop("_id", "_slot").write.partitionBy("_shard").parquet(path)
+    """Write the documents as Parquet, one folder per shard, sorted by slot (ids must be unique).
+
+    The folder column is ``_shard``, with underscores added if the documents have one. Null ids match each
+    other; null texts are written as they are; an empty table writes no folder.
+    """
+    id_, shard, slot = unused(docs, "_id", "_shard", "_slot")
+    where = placed.select(F.col("id").alias(id_), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    docs.join(where, column(id_column).eqNullSafe(F.col(id_))).repartition(shard).sortWithinPartitions(
+        shard, slot).drop(id_, slot).write.partitionBy(shard).parquet(path)

@@ -2,14 +2,15 @@ import pytest
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, id string, k string, row string, "
-          "name string, component string, class string, size string, node string, label string")
+          "name string, component string, class string, size string, node string, label string, __row string, __doc string, "
+          "__k string, __cuts string, _n_lines string, __x string, __text string, _id string, _slot string")
 
 
 @pytest.fixture(scope="session")
 def documents(spark):
     """Rows (doc_id, text[, lang, source, n_chars]) with further columns whose names operators use inside."""
     def make(rows):
-        full = [(*r, *([None] * (5 - len(r))), *("x",) * 9) for r in rows]
+        full = [(*r, *([None] * (5 - len(r))), *("x",) * 18) for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

@@ -180,3 +180,12 @@ def test_rotation_balances_codes():
     assert np.allclose(projection.T @ projection, np.eye(16), atol=1e-8)
     assert np.abs((turned >= 0).mean(axis=0) - 0.5).max() < 0.06
     assert turned.std(axis=0).max() / turned.std(axis=0).min() < 3
+
+
+def test_vectors_of_extreme_scale(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(i, [x * scale for x in base]) for i, scale in enumerate((1.0, 1e-200, 1e200, 1e-300, 1e300))]
+    rows += [(10, [-3e200, 1e200, 1e200, 1e200]), (11, [0.0, 0.0, 0.0, 1e-320])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_duplicates(df).collect()}
+    assert found == {**{i: (4, 0) for i in range(5)}, 10: (0, 10), 11: (0, 11)}

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from bitloom.llm.packing import column_generation, pack, pack_documents, sequences
 from bitloom.llm.queries import tokenizer_path
@@ -143,3 +145,38 @@ def test_pipeline_of_nothing(spark, tmp_path):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.isEmpty() and "sequence_id" in docs.columns
+
+
+def test_pipeline_tells_documents_of_one_id_apart(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    near = " ".join(f"alpha{i} beta{i % 7}" for i in range(80))
+    clean = " ".join(f"gamma{i} delta{i % 5}" for i in range(80))
+    rows = [(1, near), (2, near + " end"), (2, clean), (None, near), (None, near), (None, near), (7, "seven"), (7, "seven"), (3, None), (3, None)]
+    table = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], docs.schema)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.unique_documents(spark, table, SMALL).collect()), key=str)
+    assert kept == sorted([(1, near), (2, clean), (None, near), (None, near), (None, near), (7, "seven"), (3, None)], key=str)
+    apart = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows[:6] if (d, t) != (2, clean)], docs.schema)
+    assert corpus_pipeline.unique_documents(spark, apart, SMALL).count() == 4  # null ids stay as often as they come
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    extra = ["_n_lines", "_n_removed", "_lang_pred", "_share", "_languages", "_node", "__row", "__text"]
+    for name in extra:
+        docs = docs.withColumn(name, F.lit("mine"))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == names
+    kept = docs.select(*extra).distinct().collect()
+    assert [tuple(r) for r in kept] == [("mine",) * len(extra)]
+
+
+def test_shards_follow_whole_metadata(spark):
+    rows = [(i, f"text {i} " * 20, "en", f"https://{'ab'[i % 2]}.org/a/long/common/path", 10) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    placed = shard_documents(docs, shards=2).collect()
+    sides = {s: {r["id"] % 2 for r in placed if r["shard"] == s} for s in (0, 1)}
+    assert sorted(map(len, sides.values())) == [1, 1] or sum(len({r["id"] % 2 for r in placed if r["shard"] == s}) for s in (0, 1)) <= 3
+    sizes = [sum(r["size"] for r in placed if r["shard"] == s) for s in (0, 1)]
+    assert abs(sizes[0] - sizes[1]) < 400

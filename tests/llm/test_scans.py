@@ -131,6 +131,8 @@ def test_language_mixture(documents, edges, small):
     docs = documents(mixed + edges)
     found = language.identify(docs, model)
     assert found.columns == [*docs.columns, "_lang_pred", "_share", "_languages"]
+    clashing = docs.select("*", docs["lang"].alias("_lang_pred"))
+    assert language.identify(clashing, model).columns == found.columns
     rows = {r["doc_id"]: r for r in found.collect()}
     assert found.count() == len(mixed) + len(edges)
     assert rows[70_000]["_lang_pred"] == "en" and rows[70_000]["_languages"] == 2
@@ -202,3 +204,9 @@ def test_dual_descent_reaches_the_optimum():
 
     best = objective(np.append(w, b))
     assert all(objective(np.append(w, b) + draw.normal(size=13) * s) >= best - 1e-3 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
+
+
+def test_shape_of_a_whole_chunk():
+    from bitloom.llm.quality import _shape
+
+    assert _shape("x" * 100 + "9!!!!?") == "a9!!?" and _shape("ab" * 40 + "CD7") == "aA9"
