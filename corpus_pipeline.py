@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import decontamination, language, lines, minhash, packing
-from bitloom.llm.common import column, cut, table
+from bitloom.llm.common import column, cut, table, unused
 from bitloom.llm.queries import tokenizer_path
 
 LEAST_SHARE = 0.5  # of a document's words that its main language must have
@@ -26,14 +26,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts have no letters. The model learns from all rows with a language; without any, no row
     has a language, and none stays.
     """
-    found = language.identify(docs, language.learn(docs))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_share") >= LEAST_SHARE)).select(*_columns(docs))
+    names = unused(docs, "_lang_pred", "_share", "_languages")
+    found = language.identify(docs, language.learn(docs), outputs=tuple(names))
+    return found.where((column(names[0]) != "und") & (column(names[1]) >= LEAST_SHARE)).select(*_columns(docs))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of every group of similar lines stays; a document that loses its last line goes."""
-    kept = lines.dedup_lines(docs)
-    emptied = (F.col("_n_removed") > 0) & (F.regexp_replace("text", "[\\x00-\\x20]+", "") == "")
+    count, removed = unused(docs, "_n_lines", "_n_removed")
+    kept = lines.dedup_lines(docs, outputs=(count, removed))
+    emptied = (column(removed) > 0) & (F.regexp_replace("text", "[\\x00-\\x20]+", "") == "")
     return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn(
         "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*_columns(docs))
 
@@ -41,13 +43,22 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every component of near duplicates (five words, 0.8) stays, the one of least id.
 
-    Rows that repeat both id and text are one document; a null id is near no other row.
+    A document is its id and text: rows that repeat both are one document, and different texts of one id
+    are different documents. A null id is near no other row and stays as often as it comes.
     """
-    found = cut(minhash.near_duplicates(docs, words=5, above=4, below=5))
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    (node,) = unused(docs, "_node")
+    named = docs.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = cut(minhash.near_duplicates(named, words=5, above=4, below=5, id_column=node))
+    groups = found.where("id <> component_id").select("component_id").distinct()
+    grouped = found.join(groups, "component_id").select("id", "component_id").distinct()
+    members = cut(grouped.join(named.select(column(node).alias("id"), "doc_id").distinct(), "id"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    gone = cut(members.join(first, "component_id").where(F.struct("doc_id", "id") != F.col("first")).select(
+        F.col("id").alias(node), "doc_id"))
+    kept = named.join(gone, [node, "doc_id"], "left_anti").select(*_columns(docs))
     if not found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        kept = once.unionByName(kept.where("doc_id IS NULL"))
     return kept
 
 
