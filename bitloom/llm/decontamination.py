@@ -85,24 +85,26 @@ class _Tokens(Features):
         return listed(found)
 
 
-def _windows(hashes: np.ndarray, length: int, view: int) -> np.ndarray:
-    count = len(hashes) - length + 1
-    total = np.full(count, length * VIEWS + view, np.uint64)
-    for k in range(length):
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total += hashes[k:k + count]
-    return mixed(total)
+def _windows(hashes: np.ndarray, lengths: list[int], view: int):
+    """(length, hashes of all windows of that length), lengths ascending; a window grows from the one a token shorter."""
+    total = np.zeros(len(hashes), np.uint64)
+    for length in range(1, min(lengths[-1], len(hashes)) + 1):
+        total = total[:len(hashes) - length + 1] * np.uint64(0x9E3779B97F4A7C15)
+        total += hashes[length - 1:]
+        if length in lengths:
+            yield length, mixed(total + np.uint64(length * VIEWS + view))
 
 
-def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole_only: bool):
+def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole_only: bool, literals: int = LITERALS):
     """Windows of every row (row, text): all of them, or those whose hash is among ``wanted``.
 
     ``shapes``: the lengths and views to make windows of.
     ``whole_only`` is for items: a length below ``WINDOW`` applies to items of just that length.
+    ``literals``: words that a window with slots holds at least.
     """
     views: dict[int, list[int]] = {}
-    for length, view in shapes:
-        views.setdefault(length, []).append(view)
+    for length, view in sorted(shapes):
+        views.setdefault(view, []).append(length)
     sieve = None
     if wanted is not None:
         sieve = np.zeros(1 << 22, bool)
@@ -121,18 +123,14 @@ def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole
                 if len(stream):
                     owner = np.repeat(np.arange(len(keys)), np.diff(border))
                     facts = tokens.table[stream]
-                    for length in views:
-                        if len(stream) < length:
-                            continue
-                        inside = owner[:len(owner) - length + 1] == owner[length - 1:]
-                        if whole_only and length < WINDOW:
-                            inside &= np.diff(border)[owner[:len(inside)]] == length
-                        for view in views[length]:
-                            hashes = _windows(facts[:, view], length, view)
-                            good = inside.copy()
+                    for view, lengths in views.items():
+                        literal = np.concatenate([[0], np.cumsum(facts[:, 3 + view] == 0)])
+                        for length, hashes in _windows(facts[:, view], lengths, view):
+                            good = owner[:len(hashes)] == owner[length - 1:]
+                            if whole_only and length < WINDOW:
+                                good &= np.diff(border)[owner[:len(good)]] == length
                             if view != EXACT:
-                                literal = np.concatenate([[0], np.cumsum(facts[:, 3 + view] == 0)])
-                                good &= literal[length:] - literal[:-length] >= LITERALS
+                                good &= literal[length:] - literal[:-length] >= literals
                             if sieve is not None:
                                 good &= sieve[(hashes >> np.uint64(42)).astype(np.int64)]
                             at = np.flatnonzero(good)
@@ -158,14 +156,15 @@ def _window_rows(shapes: list[tuple[int, int]], wanted: np.ndarray | None, whole
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               item_column: str = "item_id", item_text_column: str = "text", hashes_sent: int = HASHES_SENT) -> DataFrame:
+               item_column: str = "item_id", item_text_column: str = "text", hashes_sent: int = HASHES_SENT,
+               literals: int = LITERALS) -> DataFrame:
     """Which documents hold which benchmark items: row, id, item_id, windows, first, same_values.
 
     ``row`` is the hash of a document's id and text, ``windows`` counts its windows (13 canonical
     tokens; a shorter item in full) that occur in the item as they stand or with consistent slots, ``first`` is the
     least token position, ``same_values`` says whether a window agrees in its values too. Equal item
-    texts count as the item of least id. Windows with fewer than four words besides slots,
-    and items of fewer than four tokens, only match their exact copies (in any case; a letter of a
+    texts count as the item of least id. Windows with fewer than ``literals`` words besides slots,
+    and items of fewer tokens than that, only match their exact copies (in any case; a letter of a
     script without spaces is a token). Null texts on either side and items without tokens match nothing; null ids are reported as null. Empty tables give no rows;
     other columns are not read. Template hashes go to the tasks only up to ``hashes_sent``; beyond
     that all document windows are joined by shuffle, with the same result.
@@ -175,8 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         "text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("row", F.xxhash64("text"))
     items = cut(items)
     plain = items.select("row", F.col("text").cast("binary"))
-    shapes = [(n, view) for n in range(1, WINDOW + 1) for view in range(VIEWS) if view == EXACT or n >= LITERALS]
-    named = cut(plain.mapInArrow(_window_rows(shapes, None, True), ROWS).withColumnsRenamed(
+    shapes = [(n, view) for n in range(1, WINDOW + 1) for view in range(VIEWS) if view == EXACT or n >= literals]
+    named = cut(plain.mapInArrow(_window_rows(shapes, None, True, literals), ROWS).withColumnsRenamed(
         {"row": "item", "pos": "item_pos", "slots": "item_slots"}).distinct())
     used = sorted((r["length"], r["view"]) for r in named.select("length", "view").distinct().collect())
     wanted = None
@@ -186,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     keyed = docs.select(column(id_column).cast("long").alias("id"), column(text_column).cast("string").alias("text")).select(
         "id", F.xxhash64("id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
     rows = keyed.where("text IS NOT NULL").select("row", "text")
-    windows = rows.mapInArrow(_window_rows(used, wanted, False), ROWS)
+    windows = rows.mapInArrow(_window_rows(used, wanted, False, literals), ROWS)
     both = windows.join(named, ["hash", "view", "length"])
     pairs = F.size(F.array_distinct(F.arrays_zip("slots", "item_slots")))
     consistent = (pairs == F.size(F.array_distinct("slots"))) & (pairs == F.size(F.array_distinct("item_slots")))
