@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -242,13 +243,17 @@ class Features:
             self.forget()
         parts = [text.split() for text in texts]
         sizes = np.array([len(p) for p in parts], np.int64)
-        ids = numbered(self.words, [chunk for p in parts for chunk in p])
-        new = list(self.words)[len(self):] if len(self.words) > len(self) else []
-        if new:
-            flat, counts = self.derive(new)
+        return self.known([chunk for p in parts for chunk in p]), sizes
+
+    def known(self, chunks: list) -> np.ndarray:
+        """Numbers of ``chunks``, whose features are there from then on."""
+        ids = numbered(self.words, chunks)
+        fresh = len(self.words) - len(self)
+        if fresh:
+            flat, counts = self.derive(list(islice(reversed(self.words), fresh))[::-1])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.start = np.concatenate([self.start, np.cumsum(counts) + self.start[-1]])
-        return ids, sizes
+        return ids
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         """Features of the numbered chunks in turn."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 # How the tokenizer's file splits lower-cased text before it looks at pairs.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNKS_KEPT, _PIECES_KEPT = 700_000, 450_000
+_WORD_END = "</w>"
+_LINE = 1000  # words encoded as one text
 _PLAIN = 0x0300  # below the first combining mark, normalisation leaves text alone
 
 
@@ -29,7 +32,8 @@ class _Encoder:
     """Ids of chunks between ASCII white space, which no token spans.
 
     Chunks of plain letters are split as the tokenizer splits them, so that a word is encoded once,
-    whatever stands next to it; other chunks are encoded whole.
+    whatever stands next to it; other chunks are encoded whole. New words are encoded as lines of
+    many, which is cheaper than one by one, and told apart by their ids of word ends.
     """
 
     def __init__(self, path: str):
@@ -37,20 +41,65 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-        self.tokenizer, self.split, self.seen = Tokenizer.from_file(path), regex.compile(_PIECES).findall, {}
+        self.tokenizer, self.split = Tokenizer.from_file(path), regex.compile(_PIECES).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[n for word, n in vocabulary.items() if word.endswith(_WORD_END)]] = True
+        self.plain, self.other = Features(self._words), Features(self._apart)
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return listed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [words[k:k + _LINE] for k in range(0, len(words), _LINE)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        flat, counts = [], []
+        for line, found in zip(lines, encoded, strict=True):
+            ids = np.array(found.ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            sizes = np.diff(ends, prepend=0)
+            if len(ends) != len(line) or ends[-1] != len(ids):  # words that do not end as expected
+                ids, sizes = self._apart(line)
+            flat.append(ids)
+            counts.append(sizes)
+        return np.concatenate(flat), np.concatenate(counts)
 
     def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for chunk in chunks:
+        for part in (self.plain, self.other):
+            if len(part) > _PIECES_KEPT:
+                part.forget()
+        words, counts, whole, places = [], [], [], []
+        for place, chunk in enumerate(chunks):
             text = chunk.decode()
-            plain = text.isascii() or ord(max(text)) < _PLAIN
-            parts.append(self.split(text.lower()) if plain and "<|" not in text else [text])
-        if len(self.seen) > _PIECES_KEPT:
-            self.seen.clear()
-        new = list(dict.fromkeys(p for part in parts for p in part if p not in self.seen))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[piece] = found.ids
-        return listed([self.seen[part[0]] if len(part) == 1 else [x for p in part for x in self.seen[p]] for part in parts])
+            if text.isprintable() and (text.isascii() or ord(max(text)) < _PLAIN) and "<|" not in text:
+                low = text.lower()
+                if low.isalpha():
+                    words.append(low)
+                    counts.append(1)
+                else:
+                    parts = self.split(low)
+                    words += parts
+                    counts.append(len(parts))
+            else:
+                whole.append(text)
+                places.append(place)
+                counts.append(0)
+        numbers = self.plain.known(words)
+        flat, sizes = self.plain.of(numbers), self.plain.start[numbers + 1] - self.plain.start[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        lengths = np.diff(ends, prepend=0)
+        if whole:
+            numbers = self.other.known(whole)
+            sizes = self.other.start[numbers + 1] - self.other.start[numbers]
+            flat = np.insert(flat, np.repeat(ends[places], sizes), self.other.of(numbers))
+            lengths[places] = sizes
+        return flat, lengths
+
+
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a worker; it forgets its words when they become too many."""
+    return _Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,
@@ -62,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """
 
     def encode(batches):
-        features, end = Features(_Encoder(tokenizer_path), _CHUNKS_KEPT), np.array([end_id], "<u4")
+        features, end = Features(_encoder(tokenizer_path), _CHUNKS_KEPT), np.array([end_id], "<u4")
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 out = []

@@ -180,3 +180,17 @@ def test_shards_follow_whole_metadata(spark):
     assert sorted(map(len, sides.values())) == [1, 1] or sum(len({r["id"] % 2 for r in placed if r["shard"] == s}) for s in (0, 1)) <= 3
     sizes = [sum(r["size"] for r in placed if r["shard"] == s) for s in (0, 1)]
     assert abs(sizes[0] - sizes[1]) < 400
+
+
+def test_ids_of_words_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    from bitloom.llm import packing
+    from bitloom.llm.common import Features
+
+    path = tokenizer_path()
+    whole, features = Tokenizer.from_file(path), Features(packing._Encoder(path), 10)
+    for text in ["it's DON'T 12,5 ½ a² ªº", "İstanbul a\x1cb x\x85y p\xa0q so\xadft", "a<|b </w> c</w>d", "日本語 café é naïve—ok",
+                 "ß ẞ ŉ ​ ﻿x", "", " ", "word " * 2500 + " ".join(f"w{k}x" for k in range(2500))]:
+        chunks, _ = features.numbers([text.encode()])
+        assert features.of(chunks).tolist() == whole.encode(text, add_special_tokens=False).ids
