@@ -243,9 +243,9 @@ class Features:
             self.forget()
         parts = [text.split() for text in texts]
         sizes = np.array([len(p) for p in parts], np.int64)
-        return self.known([chunk for p in parts for chunk in p]), sizes
+        return self.numbers_of([chunk for p in parts for chunk in p]), sizes
 
-    def known(self, chunks: list) -> np.ndarray:
+    def numbers_of(self, chunks: list) -> np.ndarray:
         """Numbers of ``chunks``, whose features are there from then on."""
         ids = numbered(self.words, chunks)
         fresh = len(self.words) - len(self)

@@ -84,12 +84,12 @@ class _Encoder:
                 whole.append(text)
                 places.append(place)
                 counts.append(0)
-        numbers = self.plain.known(words)
+        numbers = self.plain.numbers_of(words)
         flat, sizes = self.plain.of(numbers), self.plain.start[numbers + 1] - self.plain.start[numbers]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         lengths = np.diff(ends, prepend=0)
         if whole:
-            numbers = self.other.known(whole)
+            numbers = self.other.numbers_of(whole)
             sizes = self.other.start[numbers + 1] - self.other.start[numbers]
             flat = np.insert(flat, np.repeat(ends[places], sizes), self.other.of(numbers))
             lengths[places] = sizes
