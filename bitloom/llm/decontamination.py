@@ -7,6 +7,8 @@ one to one onto the item's. Exact copies are also compared as they stand, token
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -14,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Features, column, cut, listed, mixed, prepare, slices, unused
+from bitloom.llm.common import Features, Words, column, cut, mixed, numbered, prepare, slices, unused
 
 WINDOW = 13  # canonical tokens; a shorter item is one window of its own length
 LITERALS = 4  # words that a window with slots must hold besides them
@@ -26,6 +28,9 @@ _LETTER = rf"(?:(?![{_DENSE}])\p{{L}})"
 _TOKEN = regex.compile(rf"\p{{N}}+(?:[.,]\p{{N}}+)*|(?:(?=[{_DENSE}])\p{{L}})\p{{M}}*"
                        rf"|{_LETTER}(?:{_LETTER}|\p{{M}})*(?:['’]{_LETTER}+)*|[%$€£°]")
 _NUMBER = regex.compile(r"\p{N}")
+_BESIDE = ".,;:!?()[]{}\"*-"  # around letters these are never part of a token
+_PLAIN_LETTERS = 0x0300  # below it no letter belongs to a script without spaces
+_NUMBERS, _UNITS, _NAMES = 1, 2, 3
 
 # Units that a question may swap.
 UNITS = frozenset("""
@@ -48,6 +53,14 @@ EXACT = 2  # the view without slots, in which windows need no words
 ROWS = "row long, view int, length int, pos int, hash long, slots array<long>"
 
 
+def _kind(token: str, low: str) -> int:
+    if not token[0].isalpha() and _NUMBER.match(token):
+        return _NUMBERS
+    if low in UNITS:
+        return _UNITS
+    return _NAMES if token[0].isupper() and low not in PLAIN else 0
+
+
 class _Tokens(Features):
     """Canonical tokens of chunks: per view a hash, and what a slot holds."""
 
@@ -56,33 +69,38 @@ class _Tokens(Features):
 
     def forget(self) -> None:
         super().forget()
-        self.known: dict[str, int] = {}
-        self.fresh: list[tuple] = []
+        self.known = Words()
         self.table = np.zeros((0, 6), np.uint64)
 
-    def _token(self, token: str) -> int:
-        if token not in self.known:
-            low = token.lower()
-            value = xxhash.xxh64_intdigest(low)
-            if _NUMBER.match(token):
-                kinds = ("<number>", "<number>")
-            elif low in UNITS:
-                kinds = ("<unit>", "<unit>")
-            elif token[0].isupper() and low not in PLAIN:
-                kinds = ("<name>", None)
-            else:
-                kinds = (None, None)
-            hashes = [xxhash.xxh64_intdigest(k if k else "word " + low) for k in kinds]
-            self.known[token] = len(self.table) + len(self.fresh)
-            self.fresh.append((*hashes, value, *(k is not None for k in kinds), False))
-        return self.known[token]
-
     def _derive(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[self._token(t) for t in _TOKEN.findall(c.decode("utf-8", "replace"))] for c in new]
-        if self.fresh:
-            self.table = np.concatenate([self.table, np.array(self.fresh, np.uint64).reshape(-1, 6)])
-            self.fresh = []
-        return listed(found)
+        found, counts = [], []
+        for chunk in new:
+            text = chunk.decode("utf-8", "replace")
+            bare = text.strip(_BESIDE)
+            if bare.isalpha() and (bare.isascii() or ord(max(bare)) < _PLAIN_LETTERS):
+                found.append(bare)
+                counts.append(1)
+            else:
+                parts = _TOKEN.findall(text)
+                found += parts
+                counts.append(len(parts))
+        ids = numbered(self.known, found)
+        self._describe(list(islice(reversed(self.known), len(self.known) - len(self.table)))[::-1])
+        return ids, np.array(counts, np.int64)
+
+    def _describe(self, tokens: list[str]) -> None:
+        """Rows of the table: a hash per view, the value's hash, and per view whether the token is a slot."""
+        if not tokens:
+            return
+        low = [t.lower() for t in tokens]
+        values = np.fromiter(map(xxhash.xxh64_intdigest, low), np.uint64, len(low))
+        kinds = np.fromiter(map(_kind, tokens, low), np.int64, len(low))
+        rows = np.zeros((len(low), 6), np.uint64)
+        rows[:, :3] = np.stack([mixed(values + np.uint64(1))] * 2 + [values], axis=1)
+        for view, slots in enumerate((kinds > 0, (kinds == _NUMBERS) | (kinds == _UNITS))):
+            rows[slots, view] = mixed(kinds[slots].astype(np.uint64))
+            rows[slots, 3 + view] = 1
+        self.table = np.concatenate([self.table, rows])
 
 
 def _windows(hashes: np.ndarray, lengths: list[int], view: int):
