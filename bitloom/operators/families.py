@@ -13,11 +13,12 @@ from bitloom.functions.numbers import gcd_by
 from bitloom.functions.pairs import pair_count
 from bitloom.functions.stats import melt, stat_columns, std_with_zeros
 from bitloom.operators.encoders import coloring_settings, overlapping_pairs
+from bitloom.operators.satisfaction import WORD_VARIABLES, search_cubes
 from bitloom.operators.terms import union
 from bitloom.operators.validation import _nonfinite, issues, ratio
 from bitloom.schemas import KEY, Batch
 
-# Fixed value: largest formula whose satisfiability is checked exactly.
+# Fixed value: largest formula whose assignments are tried one by one.
 SATISFIABLE_LIMIT = 16
 
 
@@ -455,9 +456,9 @@ def ancilla_issues(clauses: DataFrame, ancillas: DataFrame, params: DataFrame) -
 
 
 def satisfiable(literals: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Exact satisfiability of formulas with at most 16 variables: key, satisfiable (else NULL).
+    """Exact satisfiability: key, satisfiable, NULL beyond 62 variables or where ``search_cubes`` gives up.
 
-    A clause becomes two bit masks; equal clauses collapse before an instance's masks meet, so the
+    Up to 16 variables a clause becomes two bit masks; equal clauses collapse before an instance's masks meet, so the
     list is bounded by the clauses that 16 variables allow. The assignments are tried lazily
     inside the row and stop at the first that satisfies all.
     """
@@ -474,6 +475,9 @@ def satisfiable(literals: DataFrame, sizes: DataFrame) -> DataFrame:
         "forall(m, c -> (a & c.pos) <> 0 OR (a & c.neg) <> c.neg))")
     answers = small.join(masks, KEY, "left").select(
         *KEY, F.when(F.col("m").isNull(), True).otherwise(test).alias("satisfiable"))
+    larger = sizes.where((F.col("num_variables") > SATISFIABLE_LIMIT) & (F.col("num_variables") <= WORD_VARIABLES))
+    if not larger.isEmpty():
+        answers = union(answers, search_cubes(literals, larger))
     return sizes.select(*KEY).join(answers, KEY, "left")
 
 

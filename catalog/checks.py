@@ -563,6 +563,22 @@ def d20(v):
     return D.satisfiable(v.small_literals, v.small_clause_sizes)
 
 
+@query("d20_satisfiable_wide", """
+WITH m AS (SELECT DISTINCT instance_id, clause_id % 4 AS part,
+  CAST(CASE WHEN na THEN 0 ELSE 1 << a END + CASE WHEN nb THEN 0 ELSE 1 << b END + CASE WHEN nc THEN 0 ELSE 1 << c END AS BIGINT) AS pos,
+  CAST(CASE WHEN na THEN 1 << a ELSE 0 END + CASE WHEN nb THEN 1 << b ELSE 0 END + CASE WHEN nc THEN 1 << c ELSE 0 END AS BIGINT) AS neg
+  FROM {small_clauses}),
+s AS (SELECT m.instance_id, part, r.a, bool_or((r.a & pos) = 0 AND (r.a & neg) = neg) AS broken
+      FROM m, range(0, 1024) r(a) GROUP BY ALL),
+p AS (SELECT instance_id, part, bool_or(NOT broken) AS met FROM s GROUP BY ALL)
+SELECT 'small_sat' AS batch, instance_id, bool_and(met) AS satisfiable FROM p GROUP BY instance_id""")
+def d20_wide(v):
+    v.keep("small_clauses")
+    # 40 variables: clauses of different remainders share none, so SQL can try each remainder's by itself
+    literals = v.small_literals.withColumn("variable", F.expr("4 * variable + clause_id % 4"))
+    return D.satisfiable(literals, v.small_clause_sizes.withColumn("num_variables", F.lit(40).cast("bigint")))
+
+
 @query("d21_direct_stats", long_sql(f"""
 SELECT s.batch, s.instance_id, num_variables AS n, a.*, q.q, x.active FROM {{raw_sizes}} s
 JOIN (SELECT instance_id AS aid, {stat_aggs('v', 'c')}, count(*) FILTER (WHERE v > 0) AS p, count(*) FILTER (WHERE v < 0) AS m

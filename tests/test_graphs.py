@@ -3,13 +3,17 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bitloom.functions.numbers import gcd_by
 from bitloom.operators import families as D
 from bitloom.operators import graphs as G
 from bitloom.operators import validation as C
+from bitloom.operators import satisfaction
 from bitloom.operators.encoders import instances_of
+from bitloom.operators.satisfaction import search
 from bitloom.schemas import KEY, Batch
 
 A = ("a", "x")
@@ -190,9 +194,45 @@ def test_satisfiable_small_formulas(table):
                "no": [[(0, False), (1, False)], [(0, True), (1, False)], [(0, False), (1, True)], [(0, True), (1, True)]]}
     literals = table([("a", k, c, p, v, neg) for k, cs in clauses.items() for c, cl in enumerate(cs)
                       for p, (v, neg) in enumerate(cl)], "clause_id long, pos long, variable long, negated boolean")
-    sizes = table([("a", "yes", 2), ("a", "no", 2), ("a", "empty", 3), ("a", "big", 17)], "num_variables long")
+    sizes = table([("a", "yes", 2), ("a", "no", 2), ("a", "empty", 3), ("a", "free", 17), ("a", "big", 63)], "num_variables long")
     got = {r.instance_id: r.satisfiable for r in D.satisfiable(literals, sizes).collect()}
-    assert got == {"yes": True, "no": False, "empty": True, "big": None}
+    assert got == {"yes": True, "no": False, "empty": True, "free": True, "big": None}
+
+
+@pytest.mark.parametrize("first", [60, 1])
+def test_satisfiable_wide_formulas(table, monkeypatch, first):
+    """Against all assignments: random clauses of 17 variables, pigeons in holes, and a formula with few solutions."""
+    monkeypatch.setattr(satisfaction, "FIRST_STEPS", first)  # 1: nearly all are split into cubes
+    rng = np.random.default_rng(5)
+    formulas, truth = {}, {}
+    words = np.arange(1 << 17)
+    for k in range(12):
+        clauses = [[(int(v), bool(rng.random() < 0.5)) for v in rng.choice(17, 3, replace=False)] for _ in range(66 + k)]
+        ok = np.ones(len(words), bool)
+        for c in clauses:
+            ok &= np.any([(words >> v & 1 == 1) != neg for v, neg in c], axis=0)
+        formulas[f"r{k}"], truth[f"r{k}"] = (17, clauses), bool(ok.any())
+    for pigeons, holes in ((5, 5), (6, 5), (7, 6)):
+        name = f"p{pigeons}{holes}"
+        clauses = [[(p * holes + h, False) for h in range(holes)] for p in range(pigeons)]
+        clauses += [[(p * holes + h, True), (q * holes + h, True)] for h in range(holes) for p in range(pigeons) for q in range(p)]
+        formulas[name], truth[name] = (pigeons * holes, clauses), pigeons <= holes
+    chain = [[(k, True), (k + 1, False)] for k in range(61)] + [[(0, False)]]
+    formulas["chain"], truth["chain"] = (62, chain), True
+    formulas["broken"], truth["broken"] = (62, [*chain, [(61, True)]]), False
+    formulas["twisted"], truth["twisted"] = (62, [[(5, True), (5, False)]]), True
+    literals = table([("a", name, c, p, v, neg) for name, (_, cs) in formulas.items() for c, cl in enumerate(cs)
+                      for p, (v, neg) in enumerate(cl)], "clause_id long, pos long, variable long, negated boolean")
+    sizes = table([("a", name, n) for name, (n, _) in formulas.items()], "num_variables long")
+    assert {r.instance_id: r.satisfiable for r in D.satisfiable(literals, sizes).collect()} == truth
+    assert set(truth.values()) == {True, False} and sum(truth[f"r{k}"] for k in range(12)) not in (0, 12)
+
+
+def test_search_gives_up_but_never_guesses():
+    pairs = [(p * 4 + h, q * 4 + h) for h in range(4) for p in range(5) for q in range(p)]
+    pos = np.array([sum(1 << (p * 4 + h) for h in range(4)) for p in range(5)] + [0] * len(pairs))
+    neg = np.array([0] * 5 + [(1 << a) | (1 << b) for a, b in pairs])
+    assert search(pos, neg, 2) is None and search(pos, neg) is False and search(pos[:5], neg[:5]) is True
 
 
 def test_every_warning_code_has_one_rule(table, rows):
