@@ -53,3 +53,15 @@ def test_ranges_are_spread(spark):
     """Blocks of a few bytes, which turn into many rows, stay on many tasks."""
     rows = spread_range(spark.range(64).withColumn("n", F.lit(10)), "n", "i")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_probes_are_not_broadcast(spark):
+    """131 samples of a few huge models: the guess sees a row per model."""
+    from bitloom.operators import encoders as E
+    from bitloom.operators import energy as V
+    from bitloom.session import configure
+    configure(spark)
+    edges = spark.range(2).selectExpr("'b' AS batch", "'1' AS instance_id", "id AS u", "id + 1 AS v", "2.0D AS w")
+    sizes = spark.range(1).selectExpr("'b' AS batch", "'1' AS instance_id", "3L AS num_variables", "3L AS num_vertices")
+    samples = V.probe_samples(E.encode_max_cut(edges, sizes).instances)
+    assert _node(V.cut_energy(edges, samples), "BroadcastExchange") == 0
