@@ -205,9 +205,12 @@ def runs(batches, keys: int):
                 same = all(held[-1].column(k)[0] == part.column(k)[0] for k in range(keys))
                 if same:
                     held.append(part)
-                    continue
+                    if high == batch.num_rows:
+                        continue
                 yield _whole(held)
                 held = []
+                if same:
+                    continue
             if high == batch.num_rows:
                 held = [part]
             else:

@@ -253,7 +253,7 @@ def counts(placed: DataFrame) -> DataFrame:
         *[F.sum(n).alias(n) for n in ("blank", "duplicate", "truncated")],
         F.sum(F.col("illegal") + F.coalesce(illegal("before", "head"), F.lit(0))).alias("illegal"))
     turns = placed.where("turn IS NOT NULL").groupBy("key", "turn").agg(F.lit(1).alias("one")).groupBy("key").agg(
-        F.expr("try_subtract(try_add(try_subtract(max(turn), min(turn)), 1), count(1))").alias("gaps"))
+        F.expr("try_cast(CAST(max(turn) AS DECIMAL(38, 0)) - min(turn) + 1 - count(1) AS BIGINT)").alias("gaps"))
     return faults.join(turns.withColumn("known", F.lit(True)), "key", "left").select(
         "key", F.when(F.col("known"), F.col("gaps")).otherwise(F.lit(0).cast("long")).alias("gaps"),
         "blank", "duplicate", "truncated", "illegal")
@@ -288,7 +288,7 @@ def repair(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", r
 
     Rows are taken by turn, nulls first, then role and text. A null conversation is one of its own; null
     roles and texts count as one space. Only rows with characters beyond white space are no blanks; texts are
-    compared whole, however long. gaps is null where turns lie further apart than a long holds. An empty
+    compared whole, however long. gaps is null where a long does not hold it. An empty
     table gives two empty frames; other columns are not read.
     """
     prepare(rows.sparkSession)

@@ -6,8 +6,10 @@ import random
 import zlib
 from functools import cache
 
+import pyarrow as pa
 import pytest
 
+from bitloom.llm.common import runs
 from bitloom.llm.conversations import FINISH, START, Survivors, digests, moves, repair, repaired
 
 SPACE = " \t\n\x0b\f\r"
@@ -121,6 +123,25 @@ def test_decoder_agrees_with_exhaustive_search():
         assert (path.spent, "".join(item[2] for item in settled)) == (cost, audit)
 
 
+def test_groups_that_cross_batches():
+    """Groups that begin in one Arrow batch and end inside a later one are handed out whole."""
+    keys = [k for k, n in enumerate([3, 1, 9, 2, 4, 1, 7]) for _ in range(n)]
+    for size in range(1, len(keys) + 1):
+        batches = pa.table({"key": keys, "x": range(len(keys))}).to_batches(max_chunksize=size)
+        got = [(set(k.to_pylist()), x.to_pylist()) for k, x in runs(batches, 1)]
+        assert got == [({k}, [x for x, name in enumerate(keys) if name == k]) for k in range(7)]
+
+
+def test_conversations_that_cross_batches(spark):
+    rng = random.Random(3)
+    rows = [r for c in range(3000) for r in draw(rng, c, 3)] + [(-1, t, "user", "a.") for t in (0, 2**63 - 1)]
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[0], []).extend(damaged(*r))
+    table = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], SCHEMA)
+    assert {r["conv_id"]: tuple(r[n] for n in REPORT) for r in repaired(table).collect()} == {c: report(g) for c, g in groups.items()}
+
+
 def test_settled_edits_are_released():
     """A long orderly conversation leaves no tree behind."""
     path, settled = Survivors(), 0
