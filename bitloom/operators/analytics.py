@@ -56,7 +56,12 @@ def _with_best(results: DataFrame) -> DataFrame:
 
 def leaderboard(results: DataFrame) -> DataFrame:
     """Wins (ties all win), mean gap to the instance's best, mean time, rank."""
-    board = _with_best(labelled(results)).groupBy(*SET, "solver").agg(
+    return ranked(labelled(results))
+
+
+def ranked(runs: DataFrame) -> DataFrame:
+    """``leaderboard`` of runs that name their solver."""
+    board = _with_best(runs).groupBy(*SET, "solver").agg(
         F.count_if(F.abs("gap") < WIN_TOLERANCE).alias("wins"), F.avg("gap").alias("mean_gap"),
         F.avg("wall_seconds").alias("mean_time"))
     order = Window.partitionBy(*SET).orderBy(F.desc("wins"), F.asc_nulls_last("mean_gap"), "solver")

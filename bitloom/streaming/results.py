@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from bitloom.operators.analytics import CASE, SET, WIN_TOLERANCE
+from bitloom.operators.analytics import CASE, ranked
 from bitloom.schemas import KEY, RESULT
 from bitloom.sources.manifests import results_manifest, upsert_results_manifest
 
@@ -52,12 +50,16 @@ def _snapshot(spark: SparkSession, sink: str) -> tuple[int, DataFrame | None]:
 
 
 def _latest(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
-    """Latest row per key with the epoch it came in; folders of epochs before the newest snapshot are not opened."""
+    """Latest row per key with the epoch it came in, by ``version`` first where the log has one.
+
+    Folders of epochs before the newest snapshot are not opened.
+    """
     upto, old = _snapshot(spark, sink)
     log = spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("bigint")).where(F.col("epoch") > upto)
     rows = log if old is None else old.unionByName(log)
     payload = [c for c in log.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), "epoch").alias("r")).select(*keys, "r.*")
+    age = F.struct(*[c for c in ("version", "epoch") if c in payload])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), age).alias("r")).select(*keys, "r.*")
 
 
 def compact(spark: SparkSession, sink: str, keys: list[str]) -> int:
@@ -73,7 +75,7 @@ def compact(spark: SparkSession, sink: str, keys: list[str]) -> int:
 
 MANIFEST_KEYS = ["batch", "result_set", "run_id", "instance_id"]
 INCUMBENT_KEYS = [*KEY, "solver"]
-BOARD_KEYS = [*CASE, "solver"]
+BOARD_KEYS = [*CASE, "solver", "run_id"]
 
 
 def current_manifest(spark: SparkSession, sink: str) -> DataFrame:
@@ -109,60 +111,28 @@ def current_incumbents(spark: SparkSession, sink: str) -> DataFrame:
     return _latest(spark, sink, INCUMBENT_KEYS).drop("epoch")
 
 
-_TALLY = ("runs long, energies long, energy_sum double, times long, time_sum double, near array<double>, near_runs array<long>")
-_STATE = "run_id array<string>, version array<double>, energy array<double>, seconds array<double>"
-
-
-def _tally(key, frames, state: GroupState):
-    """Runs of one (case, solver) so far, newest version each, and their sums: what ``leaderboard`` needs of them."""
-    held = {}
-    if state.exists:
-        held = {run: row for run, *row in zip(*state.get, strict=True)}
-    for frame in frames:
-        for run, version, energy, seconds in zip(frame["run_id"], frame["version"], frame["energy"], frame["wall_seconds"], strict=True):
-            if run not in held or version >= held[run][0]:
-                held[run] = [float(version), None if pd.isna(energy) else float(energy), None if pd.isna(seconds) else float(seconds)]
-    columns = list(zip(*held.values(), strict=True))
-    state.update((list(held), *[list(c) for c in columns]))
-    energies, times = ([x for x in columns[k] if x is not None] for k in (1, 2))
-    near = {}
-    for e in energies:
-        if e - min(energies) < WIN_TOLERANCE:
-            near[e] = near.get(e, 0) + 1
-    yield pd.DataFrame([[*key, len(held), len(energies), float(sum(energies)), len(times), float(sum(times)), list(near), list(near.values())]],
-                       columns=[*BOARD_KEYS, "runs", "energies", "energy_sum", "times", "time_sum", "near", "near_runs"])
-
-
 def stream_leaderboard(runs: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """Keep the tallies behind a live leaderboard of a stream of runs.
+    """Keep the log behind a live leaderboard of a stream of runs.
 
     ``runs``: batch, result_set, instance_id, solver, run_id, version (number, such as a file's time), energy,
-    wall_seconds. State is one row per (case, solver) with the newest version of each of its runs; a run that comes again,
-    late or rewritten, counts once. Tallies that a micro-batch changed go to ``epoch=<id>`` of the sink, replaced on replay.
-    Missing energies (NULL or NaN) and times are left out of sums.
+    wall_seconds. Each micro-batch writes the newest version of each of its runs to ``epoch=<id>`` of the sink, replaced on
+    replay; the log is all the state there is. A run that comes again, late or rewritten, counts once. Missing energies (NULL
+    or NaN) and times are left out of means.
     """
-    keyed = runs.select(*BOARD_KEYS, "run_id", F.col("version").cast("double").alias("version"),
-                        F.col("energy").cast("double").alias("energy"), F.col("wall_seconds").cast("double").alias("wall_seconds"))
-    tallies = keyed.groupBy(*BOARD_KEYS).applyInPandasWithState(
-        _tally, ", ".join(f"{k} string" for k in BOARD_KEYS) + ", " + _TALLY, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def number(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value).alias(name)
+
+    keyed = runs.select(*BOARD_KEYS, F.col("version").cast("double").alias("version"), number("energy"), number("wall_seconds"))
 
     def append(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        newest = rows.groupBy(*BOARD_KEYS).agg(F.max_by(F.struct("version", "energy", "wall_seconds"), "version").alias("r"))
+        newest.select(*BOARD_KEYS, "r.*").write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
-    writer = tallies.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = keyed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def current_leaderboard(spark: SparkSession, sink: str) -> DataFrame:
-    """``analytics.leaderboard`` of the newest versions of all runs so far, from their tallies."""
-    tallies = _latest(spark, sink, BOARD_KEYS)
-    best = tallies.groupBy(*CASE).agg(F.min(F.array_min("near")).alias("best"))
-    joined = tallies.join(best, CASE)
-    wins = F.aggregate(F.arrays_zip("near", "near_runs"), F.lit(0).cast("bigint"), lambda n, r: n + F.when(
-        F.abs(r["near"] - F.col("best")) < WIN_TOLERANCE, r["near_runs"]).otherwise(0))
-    board = joined.groupBy(*SET, "solver").agg(
-        F.sum(wins).alias("wins"),
-        F.try_divide(F.sum(F.col("energy_sum") - F.col("energies") * F.col("best")), F.sum("energies")).alias("mean_gap"),
-        F.try_divide(F.sum("time_sum"), F.sum("times")).alias("mean_time"))
-    order = Window.partitionBy(*SET).orderBy(F.desc("wins"), F.asc_nulls_last("mean_gap"), "solver")
-    return board.withColumn("rank", F.row_number().over(order))
+    """``analytics.leaderboard`` of the newest versions of all runs so far."""
+    return ranked(_latest(spark, sink, BOARD_KEYS))

@@ -1,6 +1,7 @@
 """Planning, results, analytics, storage and streams on small cases."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,21 @@ def test_live_leaderboard(spark, tmp_path):
         assert {r["solver"]: (r["wins"], r["mean_time"], r["rank"]) for r in got} == {
             s: (r["wins"], r["mean_time"], r["rank"]) for s, r in want.items()}
         assert {r["solver"]: r["mean_gap"] for r in got} == pytest.approx({s: r["mean_gap"] for s, r in want.items()})
+
+
+def test_live_leaderboard_of_many_cases(spark, tmp_path):
+    """No case costs a call of Python: 40,000 cases in four micro-batches."""
+    n = F.col("id")
+    runs = spark.range(80_000).select(
+        F.lit("b").alias("batch"), F.lit("results").alias("result_set"), (n % 40_000).cast("string").alias("instance_id"),
+        F.concat(F.lit("s"), F.floor(n / 40_000).cast("string")).alias("solver"), n.cast("string").alias("run_id"),
+        F.lit(1).alias("version"), (-(n % 7)).cast("double").alias("energy"), F.lit(1.0).alias("wall_seconds"))
+    runs.repartition(4).write.parquet(str(tmp_path / "runs"))
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "runs"))
+    started = time.monotonic()
+    W.stream_leaderboard(stream, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    got = {r["solver"]: r["wins"] for r in W.current_leaderboard(spark, str(tmp_path / "log")).collect()}
+    took = time.monotonic() - started
+    energy = [[-(k % 7) for k in range(start, start + 40_000)] for start in (0, 40_000)]
+    assert got == {"s0": sum(a <= b for a, b in zip(*energy, strict=True)), "s1": sum(b <= a for a, b in zip(*energy, strict=True))}
+    assert took < 30
