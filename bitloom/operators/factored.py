@@ -45,6 +45,14 @@ def _nothing(like: DataFrame) -> tuple[DataFrame, DataFrame]:
         *KEY, zero.alias("i"), zero.alias("j"), none.alias("v"))
 
 
+def dealt(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows dealt to tasks by key and ``names``.
+
+    A join on the key alone brings an instance into one task, and grouping by more columns would leave it there.
+    """
+    return rows.repartition(*KEY, *names)
+
+
 def factor_partition(numbers: DataFrame, sizes: DataFrame | None = None) -> Factored:
     """``encode_partition`` without its pairs: the square of the difference of the two sums."""
     constraints, members = E.partition_square(numbers)
@@ -62,7 +70,7 @@ def factor_clique(vertices: DataFrame, edges: DataFrame, penalty=None, sizes: Da
         *KEY, F.col("u").alias("i"), (-F.col("value") - F.col("weight")).cast("double").alias("v"))
     present = edges.where("u <> v").select(
         *KEY, F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j")).distinct()
-    quadratic = present.join(price, KEY).select(*KEY, "i", "j", (-F.col("penalty")).alias("v"))
+    quadratic = dealt(present.join(price, KEY), "i", "j").select(*KEY, "i", "j", (-F.col("penalty")).alias("v"))
     return Factored(Batch(E.instances_of(sizes, "maximum_clique"), linear, drop_tiny(quadratic)),
                     half.withColumn("constant", F.lit(0.0)),
                     vertices.select(*KEY, F.col("u").alias("i"), F.lit(1.0).alias("a")))
@@ -118,9 +126,10 @@ def factored_ising(model: Factored) -> SpinForm:
     fields, couplings, constant = to_ising(model.sparse)
     loadings = model.members.select(*KEY, "i", (F.col("a") / 2.0).alias("b"))
     sums = loadings.groupBy(*KEY).agg(F.sum("b").alias("b1"), F.sum(F.col("b") * F.col("b")).alias("b2"))
-    middle = model.squares.join(sums, KEY, "left").fillna(0.0, ["b1", "b2"]).select(
-        *KEY, "weight", "b2", (F.col("constant") + F.col("b1")).alias("middle"))
-    more = loadings.join(middle, KEY).select(
+    # written, as adaptive execution broadcasts a shuffled table by its measured size but no join of two
+    middle = cut(model.squares.join(sums, KEY, "left").fillna(0.0, ["b1", "b2"]).select(
+        *KEY, "weight", "b2", (F.col("constant") + F.col("b1")).alias("middle")))
+    more = dealt(loadings.join(middle, KEY), "i").select(
         *KEY, "i", (2.0 * F.col("weight") * F.col("middle") * F.col("b")).alias("v"))
     return SpinForm(
         accumulate_linear(union(fields.withColumnRenamed("h", "v"), more)).withColumnRenamed("v", "h"), couplings,
@@ -159,16 +168,16 @@ def _extremes(ranked: DataFrame, tops: DataFrame, touched: DataFrame) -> DataFra
     """Least and greatest product of two members that no sparse term couples: key, low, high.
 
     A member's best partner is the first one, from either end of the order, that is not the member itself and
-    not coupled with it: one of as many as it has couplings, plus two. ``ranked``: key, i, a, rank (descending);
-    ``tops``: key, z, top0, top1, bottom0, bottom1; ``touched``: key, i, rank of a coupled member.
+    not coupled with it: one of as many as it has couplings, plus two. ``ranked``: key, i, a, rank (descending), z (members);
+    ``tops``: key, top0, top1, bottom0, bottom1; ``touched``: key, i, rank of a coupled member, z.
     """
     last = F.col("z") - 1
     free = ranked.join(touched.select(*KEY, "i").distinct(), [*KEY, "i"], "left_anti").join(tops, KEY).where("z > 1").select(
         *KEY, "a", F.explode(F.array(
             F.when(F.col("rank") == 0, F.col("top1")).otherwise(F.col("top0")),
             F.when(F.col("rank") == last, F.col("bottom1")).otherwise(F.col("bottom0")))).alias("b"))
-    own = ranked.select(*KEY, "i", "rank").join(touched.select(*KEY, "i").distinct(), [*KEY, "i"])
-    barred = union(own, touched).join(tops.select(*KEY, "z"), KEY)
+    own = ranked.select(*KEY, "i", "rank", "z").join(touched.select(*KEY, "i").distinct(), [*KEY, "i"])
+    barred = union(own, touched)
     of = [*KEY, "i"]
     sides = union(barred.select(*of, "z", F.lit(0).alias("side"), F.col("rank").alias("r")),
                   barred.select(*of, "z", F.lit(1).alias("side"), (last - F.col("rank")).alias("r"))).distinct()
@@ -202,17 +211,18 @@ def factored_facts(model: Factored) -> DataFrame:
         *KEY, "i", "j", (F.col("a_i") * F.col("a_j") != 0).alias("shared"),
         (2.0 * F.coalesce(w, F.lit(0.0)) * F.col("a_i") * F.col("a_j")).alias("alone"), "v").withColumn(
         "both", F.col("v") + F.col("alone")))
-    ranked = cut(index_variables(live.select(*KEY, "i", "a", (-a).alias("_down")), ["_down", "i"], name="rank").drop("_down"))
+    placed = index_variables(live.select(*KEY, "i", "a", (-a).alias("_down")), ["_down", "i"], name="rank").drop("_down")
+    ranked = cut(placed.join(sums.select(*KEY, "z"), KEY))
     last = F.col("z") - 1
 
     def at(rank: Column, name: str) -> Column:
         return F.max(F.when(F.col("rank") == rank, a)).alias(name)
 
-    tops = ranked.join(sums.select(*KEY, "z"), KEY).groupBy(*KEY, "z").agg(
+    tops = ranked.groupBy(*KEY).agg(
         at(F.lit(0), "top0"), at(F.lit(1), "top1"), at(last, "bottom0"), at(last - 1, "bottom1"))
     shared = pairs.where("shared").select(*KEY, "i", "j")
     ends = union(shared, shared.select(*KEY, F.col("j").alias("i"), F.col("i").alias("j")))
-    touched = ends.join(ranked.select(*KEY, F.col("i").alias("j"), "rank"), [*KEY, "j"]).select(*KEY, "i", "rank")
+    touched = ends.join(ranked.select(*KEY, F.col("i").alias("j"), "rank", "z"), [*KEY, "j"]).select(*KEY, "i", "rank", "z")
     extremes = _extremes(ranked, tops, touched)
     there = F.abs("both") > TINY
     listed = union(linear.select(*KEY, F.lit(0).alias("pair"), "v"),
@@ -224,7 +234,7 @@ def factored_facts(model: Factored) -> DataFrame:
     # partners left to a variable: all other members, less the coupled ones, plus coefficients that are there
     kept = F.when(there, 1).otherwise(0) - F.when(F.col("shared"), 1).otherwise(0)
     changes = pairs.select(*KEY, F.explode(F.array("i", "j")).alias("i"), kept.alias("n"))
-    degrees = union(live.join(sums.select(*KEY, "z"), KEY).select(*KEY, "i", last.alias("n")),
+    degrees = union(ranked.select(*KEY, "i", last.alias("n")),
                     changes.select(*KEY, "i", F.col("n").cast("bigint").alias("n"))).groupBy(*KEY, "i").agg(F.sum("n").alias("n"))
     active = union(degrees.where("n > 0").select(*KEY, "i"), linear.select(*KEY, "i")).distinct().groupBy(*KEY).agg(
         F.count("*").alias("active"))

@@ -144,3 +144,16 @@ def test_a_million_variables(spark):
     columns, rows, nonzeros, _ = Q.factored_linear(model)
     assert columns.count() == 3_000_000 and rows.count() == 5_000_000
     assert nonzeros.count() <= 13_000_000
+
+
+def test_statistics_deal_an_instance_over_tasks(spark, table):
+    """No step over couplings runs in one task per instance: its rows are dealt by variable, too."""
+    edges = table([("t", "a", u, u + 1, 1.0) for u in range(50)], "u long, v long, w double")
+    vertices = table([("t", "a", u, u % 7 + 1) for u in range(60)], "u long, value long")
+    plan = Q.factored_stats(Q.factor_clique(vertices, edges))._jdf.queryExecution().executedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    ranked = [k for k, line in enumerate(lines) if line.startswith("Window")]
+    assert ranked
+    for k in ranked:
+        below = next(line for line in lines[k:] if line.startswith("Exchange"))
+        assert ", i#" in below or ", side#" in below, below
