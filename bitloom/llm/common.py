@@ -21,6 +21,7 @@ WORDS_KEPT = 400_000  # distinct words whose derived values a task remembers
 # read as they were written, so Spark's own limit for a broadcast holds.
 SETTINGS = session.SETTINGS | {
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0.2",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

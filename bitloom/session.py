@@ -20,6 +20,8 @@ SETTINGS = {
     # nothing is broadcast on a guess: a table is once its measured size allows it.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Facts of a few huge instances fill few partitions, and yet their join must not bring an instance into one task.
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
     "spark.sql.session.timeZone": "UTC",
 }
 

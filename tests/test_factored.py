@@ -13,6 +13,7 @@ from bitloom.operators.ising import interaction_scale, to_ising
 from bitloom.operators.ranges import spread_range
 from bitloom.operators.validation import term_facts
 from bitloom.schemas import KEY, Batch
+from bitloom.session import configure
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +158,15 @@ def test_statistics_deal_an_instance_over_tasks(spark, table):
     for k in ranked:
         below = next(line for line in lines[k:] if line.startswith("Exchange"))
         assert ", i#" in below or ", side#" in below, below
+
+
+def test_facts_of_one_instance_are_broadcast(spark, table):
+    """A join with the facts of a few instances leaves their rows where they are."""
+    configure(spark)
+    rows = table([("t", "a", u, 1.0) for u in range(5000)], "i long, a double").repartition(8)
+    facts = rows.groupBy(*KEY).agg(F.sum("a").alias("total"))
+    joined = rows.join(facts, KEY)
+    assert joined.count() == 5000
+    final = joined.select(F.sum(F.col("a") * F.col("total")))
+    assert final.first()[0] == 25e6
+    assert "BroadcastHashJoin" in final._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
