@@ -168,5 +168,5 @@ def test_facts_of_one_instance_are_broadcast(spark, table):
     joined = rows.join(facts, KEY)
     assert joined.count() == 5000
     final = joined.select(F.sum(F.col("a") * F.col("total")))
-    assert final.first()[0] == 25e6
+    assert final.collect()[0][0] == 25e6
     assert "BroadcastHashJoin" in final._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
