@@ -382,10 +382,11 @@ def _energies(parts: list[tuple[DataFrame, Callable]]) -> Callable:
 
 
 def intended_samples(instances: DataFrame) -> DataFrame:
-    """All assignments of small instances, probes of the others: what an encoding check looks at."""
+    """All assignments of small instances, probes of the others, packed: what an encoding check looks at."""
     small = F.col("num_variables") <= V.EXHAUSTIVE_LIMIT
-    return union(V.all_samples(instances.where(small)).select(*KEY, "sample_id", "i", "x"),
-                 V.probe_samples(instances.where(~small)).select(*KEY, "sample_id", "i", "x"))
+    columns = [*KEY, "block", "i", "known", "mask"]
+    return union(V.all_words(instances.where(small)).select(*columns),
+                 V.pack_samples(V.probe_samples(instances.where(~small))).select(*columns))
 
 
 def validate(domain: Domain):
@@ -393,7 +394,7 @@ def validate(domain: Domain):
     parts, stats = [term_issues(domain.batch), *domain.issues], [term_stats(domain.batch), *domain.stats]
     encoding = None
     if domain.energy is not None:
-        samples = intended_samples(domain.batch.instances)
+        samples = cut(intended_samples(domain.batch.instances))
         encoding = cut(V.check_encoding(domain.batch, domain.energy(samples), samples))
         parts.append(issues(encoding, [
             ("encoding_mismatch", F.col("mismatches")),

@@ -184,3 +184,30 @@ def test_colorability_against_brute_force(table, rows):
         got = {r.instance_id: r.colorable for r in colorable(vt, et, k).collect()}
         assert got == {g: t for (g, kk), t in truth.items() if kk == k}
     assert set(KEY) <= set(colorable(vt, et, 2).columns)
+
+
+def test_encoding_checks_look_at_words(table, rows):
+    """What an encoding check looks at is a row per 64 samples and variable, and the same samples as row by row."""
+    from bitloom.plans.generation import intended_samples
+
+    sizes = table([("b", str(n), n) for n in (1, 3, 5, 6, 7, 9, 14)], "num_variables long")
+    words = intended_samples(sizes)
+    columns = ["instance_id", "block", "i", "known", "mask"]
+    small = V.pack_samples(V.all_samples(sizes))
+    assert sorted(rows(words.where("instance_id <> '14'"), *columns)) == sorted(rows(small, *columns))
+    large = V.pack_samples(V.probe_samples(sizes.where("num_variables = 14")))
+    assert sorted(rows(words.where("instance_id = '14'"), *columns)) == sorted(rows(large, *columns))
+    assert words.count() == 1 + 3 + 5 + 6 + 7 * 2 + 9 * 8 + 14 * 3
+
+
+def test_coloring_energy_of_words_and_of_samples(table, rows):
+    vertices = table([(*A, u) for u in range(3)], "u long")
+    edges = table([(*A, 0, 1, 1.0), (*A, 1, 2, 1.0)], "u long, v long, w double")
+    sizes = table([(*A, 9)], "num_variables long")
+    want = {}
+    for s in range(512):
+        x = [[s >> (3 * u + c) & 1 for c in range(3)] for u in range(3)]
+        want[s] = sum(1.5 * (sum(colors) - 1) ** 2 for colors in x) + 0.5 * sum(
+            x[u][c] * x[v][c] for u, v in ((0, 1), (1, 2)) for c in range(3))
+    for samples in (V.all_words(sizes), V.all_samples(sizes)):
+        assert dict(rows(V.coloring_energy(vertices, edges, samples, 3, 1.5, 0.5), "sample_id", "energy")) == want
