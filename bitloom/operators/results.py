@@ -9,6 +9,7 @@ from bitloom.operators.energy import energy
 from bitloom.operators.terms import index_variables
 from bitloom.operators.validation import _nonfinite
 from bitloom.schemas import KEY, RESULT, Batch
+from bitloom.session import cut
 
 # Tolerances of the result check and of the final checkpoint.
 RESULT_TOLERANCE = 1e-5
@@ -34,6 +35,12 @@ def unfold_samples(rows: DataFrame, sample: str = "sample") -> DataFrame:
         F.col("x").cast("bigint").alias("x"))
 
 
+def _numbered(rows: DataFrame, place: list[str]) -> DataFrame:
+    """Rows with a sample_id by their place. Both tables are written, as energies read the samples several times."""
+    rows = cut(rows)
+    return cut(rows.join(index_variables(rows.select(*place).distinct(), place[1:], name="sample_id"), place))
+
+
 def _recompute(rows: DataFrame, batch: Batch) -> DataFrame:
     """Add ``recomputed_energy`` to rows (key, sample_id, sample, ...)."""
     computed = energy(batch, unfold_samples(rows.where("sample IS NOT NULL")))
@@ -57,9 +64,7 @@ def verify_results(results: DataFrame, batch: Batch) -> DataFrame:
     ``results``: key, run_id, sample (array), reported_energy (NULL takes the recomputed one).
     """
     run = run_key(results)
-    numbered = results.join(
-        index_variables(results.select(*run).distinct(), run[1:], name="sample_id"), run)
-    checked = _recompute(numbered, batch).withColumn(
+    checked = _recompute(_numbered(results, run), batch).withColumn(
         "reported_energy", F.coalesce("reported_energy", "recomputed_energy"))
     return _graded(checked).drop("sample_id")
 
@@ -135,10 +140,7 @@ def verify_checkpoints(checkpoints: DataFrame, results: DataFrame, batch: Batch)
     ``results``: key, run_id, sample, energy. Returns (checkpoints with verdict, issue rows).
     """
     run = run_key(checkpoints)
-    place = [*run, "idx"]
-    numbered = checkpoints.join(
-        index_variables(checkpoints.select(*place).distinct(), place[1:], name="sample_id"), place)
-    checked = _graded(_recompute(numbered, batch)).drop("sample_id")
+    checked = _graded(_recompute(_numbered(checkpoints, [*run, "idx"]), batch)).drop("sample_id")
     last = checked.groupBy(*run).agg(F.max_by(
         F.struct("sample", "recomputed_energy"), "idx").alias("last"))
     compared = results.select(*run, "sample", "energy").join(last, run)

@@ -26,6 +26,8 @@ SETTINGS = {
     "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
     "spark.sql.session.timeZone": "UTC",
 }
+# Rows of a written file at most: files are what readers share out, and bits or ranges of many rows fill few bytes.
+FILE_ROWS = 250_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -60,12 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint, keeps column pruning and file statistics for the plans that follow.
     """
     configure(df.sparkSession)
-    return written(df)
+    return written(df, FILE_ROWS)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``cut`` under whatever settings the session has."""
+def written(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """``cut`` under whatever settings the session has; 0 leaves the rows of a file unbounded."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

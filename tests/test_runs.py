@@ -254,3 +254,11 @@ def test_live_leaderboard_of_many_cases(spark, tmp_path):
     energy = [[-(k % 7) for k in range(start, start + 40_000)] for start in (0, 40_000)]
     assert got == {"s0": sum(a <= b for a, b in zip(*energy, strict=True)), "s1": sum(b <= a for a, b in zip(*energy, strict=True))}
     assert took < 30
+
+
+def test_written_tables_are_dealt_by_rows(spark):
+    """Rows that fill few bytes are still shared out: one task wrote them, several read them."""
+    from bitloom.session import FILE_ROWS, cut
+
+    df = cut(spark.range(0, 2 * FILE_ROWS + 1, 1, 1).selectExpr("id % 2 AS x"))
+    assert len(df.inputFiles()) == 3 and df.count() == 2 * FILE_ROWS + 1
