@@ -251,3 +251,18 @@ def test_later_characteristics_win_and_errors_fail(table, rows):
     _, chars, status = C.merge_validation(kinds, issues, parts)
     assert rows(chars, "value") == [(2.0,)]
     assert rows(status, "status", "has_warnings") == [("passed", True)]
+
+
+def test_gcd_is_folded_by_batches_not_by_groups(spark, table, rows):
+    """Groups that run over several Arrow batches, nulls and negative values; no Python call per group."""
+    values = {"p": [12, 18, None, -30, 48, 6], "q": [None, None], "r": [-4], "s": [0, 0], "t": [2 ** 62, 2 ** 61, 3 * 2 ** 60]}
+    numbers = table([("a", k, v) for n in range(6) for k, vs in values.items() for v in vs[n:n + 1]], "value long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = gcd_by(numbers, KEY, "value")
+        assert sorted(rows(found, "instance_id", "gcd")) == [("p", 6), ("q", 0), ("r", 4), ("s", 0), ("t", 2 ** 60)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    plan = found._jdf.queryExecution().toString()
+    assert "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan
