@@ -87,8 +87,9 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, texts: di
         "id", "k", "pos", "col.*")
     hits = grams.join(known, F.xxhash64("w0", "w1", "w2") == F.xxhash64("t0", "t1", "t2")).where(
         "w0 = t0 AND w1 = t1 AND w2 = t2")
-    diagonals = hits.groupBy("id", "k", "template", "label", "is_base", "grams", "length", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.collect_set("tpos").alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    # written, as several steps below read the few hits, and each would scan all words again
+    diagonals = cut(hits.groupBy("id", "k", "template", "label", "is_base", "grams", "length", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        F.collect_set("tpos").alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high")))
     # "k" stands for id and text, so a null id needs no special care here
     beside = Window.partitionBy("k", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(beside) > DRIFT
