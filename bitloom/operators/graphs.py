@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -304,11 +305,10 @@ def coloring_widths(vertices: DataFrame, edges: DataFrame, colors: int) -> DataF
         F.when(F.coalesce("unseen", F.lit(0)) == 0, F.coalesce("width", F.lit(0))).alias("width"))
 
 
-def _reaches_half(group: pd.DataFrame) -> pd.DataFrame:
-    """Is half the total a sum of some values? Bit s of an integer says whether s can be reached."""
-    half = int(group["total"].iloc[0]) // 2
+def _reaches_half(half: int, values: list[int], counts: list[int]) -> bool:
+    """Is ``half`` a sum of some values? Bit s of an integer says whether s can be reached."""
     reached, mask = 1, (1 << (half + 1)) - 1
-    for value, count in sorted(zip(group["value"].tolist(), group["c"].tolist(), strict=True)):
+    for value, count in sorted(zip(values, counts, strict=True)):
         step = 1
         while count:  # count copies as 1, 2, 4, ... and the rest of them
             step = min(step, count)
@@ -316,9 +316,15 @@ def _reaches_half(group: pd.DataFrame) -> pd.DataFrame:
             count, step = count - step, 2 * step
         if reached >> half & 1:
             break
-    out = group.iloc[:1][list(KEY)].copy()
-    out["found"] = bool(reached >> half & 1)
-    return out
+    return bool(reached >> half & 1)
+
+
+def _halved(batches):
+    """Instances, one row each, with the answer of ``_reaches_half``."""
+    for batch in batches:
+        total, values, counts = (batch.column(n).to_pylist() for n in ("total", "values", "counts"))
+        found = [_reaches_half(t // 2, v, c) for t, v, c in zip(total, values, counts, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(found, pa.bool_())], names=[*KEY, "found"])
 
 
 def _sums(numbers: str) -> str:
@@ -361,8 +367,10 @@ def perfect_partition(numbers: DataFrame) -> DataFrame:
     open_ = facts.where(~impossible)
     types = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
     small = counted.where("value > 0").join(open_.where(F.col("total") <= 2 * SUM_BITS).select(*KEY, "total"), KEY)
-    by_bits = small.groupBy(*KEY).applyInPandas(
-        _reaches_half, ", ".join(f"{k} {types[k]}" for k in KEY) + ", found boolean")
+    # distinct values of a bounded total are few, so an instance is a row and Arrow batches hold many
+    by_bits = small.groupBy(*KEY, "total").agg(F.collect_list(F.struct("value", "c")).alias("a")).select(
+        *KEY, "total", F.col("a.value").alias("values"), F.col("a.c").alias("counts")).mapInArrow(
+        _halved, ", ".join(f"{k} {types[k]}" for k in KEY) + ", found boolean")
     few = open_.where((F.col("total") > 2 * SUM_BITS) & (F.col("n") <= HALVES_LIMIT)).select(
         *KEY, F.expr("total DIV 2").alias("half"))
     listed = cut(counted.join(few, KEY).groupBy(*KEY, "half").agg(

@@ -142,6 +142,15 @@ def test_perfect_partition_of_any_count(table, rows):
     assert sum(groups["long"]) > 5e7 and got == want
 
 
+def test_small_totals_take_no_python_call_per_instance(table, rows):
+    numbers = table([("a", str(g), i, v) for g in range(40) for i, v in enumerate((g, 2, 2, g % 3))], "i long, value long")
+    found = G.perfect_partition(numbers)
+    assert {k: v for _, k, v in rows(found, "perfect_partition_exists", key=True)} == {
+        str(g): any(2 * sum(v for v, b in zip(n, bits) if b) == sum(n) for bits in itertools.product((0, 1), repeat=4))
+        for g in range(40) for n in [(g, 2, 2, g % 3)]}
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_colours_of_sparse_graphs_of_any_size(table):
     import random
 
