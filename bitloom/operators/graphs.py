@@ -20,43 +20,12 @@ SUM_BITS = 1 << 28  # half sums that fit the bit set of one instance (32 MB)
 HALVES_LIMIT = 40  # numbers whose sums are listed by halves, a million rows each
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """Are the (a, b) edges stars: every ``b`` has one edge and is nobody's centre?"""
-    roles = union(
-        edges.select(*KEY, F.col("b").alias("u"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
-        edges.select(*KEY, F.col("a").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-    return roles.groupBy(*KEY, "u").agg(
-        F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where(
-        "leaf > 1 OR (leaf = 1 AND centre = 1)").isEmpty()
-
-
 def component_labels(edges: DataFrame) -> DataFrame:
-    """Label of every vertex that has an edge (its component's lowest vertex): key, u, label.
-
-    Alternates large-star and small-star contraction until the edge table is a set of stars, which
-    takes a logarithmic number of rounds even on long paths. Every round is written to the
-    checkpoint folder; the minimum per vertex is partially aggregated, so hubs stay cheap.
-    """
-    current = cut(edges.where("u <> v").select(
-        *KEY, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    for _ in range(MAX_ROUNDS):
-        if _is_settled(current):
-            leaves = current.select(*KEY, F.col("b").alias("u"), F.col("a").alias("label"))
-            roots = current.select(*KEY, F.col("a").alias("u"), F.col("a").alias("label")).distinct()
-            return union(leaves, roots)
-        both = union(current.select(*KEY, F.col("b").alias("u"), F.col("a").alias("n")),
-                     current.select(*KEY, F.col("a").alias("u"), F.col("b").alias("n")))
-        lowest = both.groupBy(*KEY, "u").agg(
-            F.least(F.col("u"), F.min("n")).alias("m"))
-        large = both.where("n > u").join(lowest, [*KEY, "u"]).where("n <> m").select(
-            *KEY, F.col("m").alias("a"), F.col("n").alias("b"))
-        down = large.groupBy(*KEY, "b").agg(F.min("a").alias("m"))
-        small = union(
-            large.join(down, [*KEY, "b"]).where("a <> m").select(
-                *KEY, F.col("m").alias("a"), F.col("a").alias("b")),
-            down.select(*KEY, F.col("m").alias("a"), "b")).distinct()
-        current = cut(small)
-    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
+    """Label of every vertex that has an edge (its component's lowest vertex): key, u, label."""
+    roots = _forest_roots(cut(edges.where("u <> v").select(
+        *KEY, F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), F.lit(1).alias("s"))))
+    lowest = roots.groupBy(*KEY, "p").agg(F.min("c").alias("label"))
+    return roots.select(*KEY, F.col("c").alias("u"), "p").join(lowest, [*KEY, "p"]).select(*KEY, "u", "label")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,63 +43,81 @@ def component_counts(labels: DataFrame) -> DataFrame:
 def spanning_gauge(couplings: DataFrame) -> DataFrame:
     """Component and gauge sign of every touched spin, from the minimum spanning forest.
 
-    An edge wants ``s_i s_j = -1`` when its coupling is positive and ``+1`` otherwise. Components
-    repeatedly choose their lowest outgoing edge (by ``(i, j)``) and merge along it, so the forest
-    is the unique one that takes edges in index order; the number of merging rounds is
-    logarithmic. Returns key, u, label, sign with all forest edges satisfied.
+    An edge wants ``s_i s_j = -1`` when its coupling is positive and ``+1`` otherwise. The forest is
+    the unique one that takes edges in index order. Returns key, u, label, sign with all forest
+    edges satisfied.
     """
     wanted = cut(couplings.select(
         *KEY, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"),
-        F.when(F.col("coupling") > 0, -1).otherwise(1).alias("d")))
-    spins = union(wanted.select(*KEY, F.col("i").alias("u")),
-                  wanted.select(*KEY, F.col("j").alias("u"))).distinct()
-    state = cut(spins.select(*KEY, "u", F.col("u").alias("label"), F.lit(1).alias("sign")))
-    open_edges = wanted
+        F.when(F.col("coupling") > 0, -1).otherwise(1).alias("s")))
+    roots = _forest_roots(wanted.where("i <> j")).select(
+        *KEY, F.col("c").alias("u"), F.col("p").alias("label"), F.col("s").alias("sign"))
+    alone = wanted.where("i = j").select(*KEY, F.col("i").alias("u")).distinct().join(
+        roots, [*KEY, "u"], "left_anti")
+    return union(roots, alone.select(*KEY, "u", F.col("u").alias("label"), F.lit(1).alias("sign")))
+
+
+def _forest_roots(edges: DataFrame) -> DataFrame:
+    """Root of every vertex's tree and the sign of the path to it: key, c, p, s, from edges i < j with a sign s, a written table.
+
+    Components choose their lowest outgoing edge (by ``(i, j)``) and merge along it, which at least
+    halves their number. Then a component is a vertex, of its edges to another one the lowest goes
+    on, so a round's work shrinks with the components; the rounds are joined from the last back.
+    """
+    open_edges = edges.select(*KEY, F.col("i").alias("ci"), F.col("j").alias("cj"), "i", "j", "s")
+    levels: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        left = state.select(*KEY, F.col("u").alias("i"), F.col("label").alias("ci"),
-                            F.col("sign").alias("si"))
-        right = state.select(*KEY, F.col("u").alias("j"), F.col("label").alias("cj"),
-                             F.col("sign").alias("sj"))
-        open_edges = cut(
-            open_edges.join(left, [*KEY, "i"]).join(right, [*KEY, "j"]).where("ci <> cj")
-            .select(*KEY, "i", "j", "d", "ci", "cj",
-                    (F.col("si") * F.col("d") * F.col("sj")).alias("s")))
-        if open_edges.isEmpty():
-            return state
-        pick = F.min(F.struct("i", "j", "other", "s")).alias("e")
-        hooks = union(
+        if levels and open_edges.isEmpty():
+            roots = levels.pop()
+            while levels:
+                above = roots.select(*KEY, F.col("c").alias("p"), F.col("p").alias("pp"), F.col("s").alias("ps"))
+                roots = cut(levels.pop().join(above, [*KEY, "p"], "left").select(
+                    *KEY, "c", F.coalesce("pp", "p").alias("p"), (F.col("s") * F.coalesce("ps", F.lit(1))).alias("s")))
+            return roots
+        both = union(
             open_edges.select(*KEY, F.col("ci").alias("c"), F.col("cj").alias("other"), "i", "j", "s"),
-            open_edges.select(*KEY, F.col("cj").alias("c"), F.col("ci").alias("other"), "i", "j", "s"),
-        ).groupBy(*KEY, "c").agg(pick).select(*KEY, "c", "e.*")
+            open_edges.select(*KEY, F.col("cj").alias("c"), F.col("ci").alias("other"), "i", "j", "s"))
+        if levels:
+            hooks = both.groupBy(*KEY, "c").agg(F.min(F.struct("i", "j", "other", "s")).alias("e")).select(
+                *KEY, "c", "e.other", "e.s")
+        else:  # the lowest edge of a single vertex is the one to its lowest neighbour
+            least = both.groupBy(*KEY, "c").agg(F.min("other").alias("other"), F.min(
+                F.when(F.col("s") < 0, F.col("other"))).alias("unlike"))
+            hooks = least.select(*KEY, "c", "other", F.when(F.col("unlike") == F.col("other"), -1).otherwise(1).alias("s"))
+        hooks = cut(hooks)
+        mate = hooks.select(*KEY, F.col("c").alias("other"), F.col("other").alias("back"))
         # two components that chose the same edge: the lower one becomes the root
-        mate = hooks.select(*KEY, F.col("c").alias("other"), F.col("i").alias("i2"),
-                            F.col("j").alias("j2"))
-        root = (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("c") < F.col("other"))
-        parents = cut(hooks.join(mate, [*KEY, "other"]).select(
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("other"))
+        parents = _jump(cut(hooks.join(mate, [*KEY, "other"]).select(
             *KEY, "c", F.when(root, F.col("c")).otherwise(F.col("other")).alias("p"),
-            F.when(root, 1).otherwise(F.col("s")).alias("s")))
-        parents = _jump(parents)
-        open_edges = open_edges.select(*KEY, "i", "j", "d")
-        state = cut(
-            state.join(parents.withColumnRenamed("c", "label"), [*KEY, "label"], "left").select(
-                *KEY, "u", F.coalesce("p", "label").alias("label"),
-                (F.col("sign") * F.coalesce("s", F.lit(1))).alias("sign")))
+            F.when(root, 1).otherwise(F.col("s")).alias("s"))))
+        left = parents.select(*KEY, F.col("c").alias("ci"), F.col("p").alias("pi"), F.col("s").alias("si"))
+        right = parents.select(*KEY, F.col("c").alias("cj"), F.col("p").alias("pj"), F.col("s").alias("sj"))
+        open_edges = cut(open_edges.join(left, [*KEY, "ci"]).join(right, [*KEY, "cj"]).where("pi <> pj").groupBy(
+            *KEY, F.least("pi", "pj").alias("ci"), F.greatest("pi", "pj").alias("cj")).agg(
+            F.min(F.struct("i", "j", (F.col("si") * F.col("s") * F.col("sj")).alias("s"))).alias("e")).select(
+            *KEY, "ci", "cj", "e.*"))
+        levels.append(parents)
     raise RuntimeError(f"forest did not settle within {MAX_ROUNDS} rounds")
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """Double every parent pointer until all point at a root, multiplying signs on the way."""
+    """Double every parent pointer until all point at a root, multiplying signs on the way.
+
+    Pointers at a root are left out of later rounds.
+    """
+    moving, settled = parents, []
     for _ in range(MAX_ROUNDS):
-        above = parents.select(*KEY, F.col("c").alias("p"), F.col("p").alias("pp"),
-                               F.col("s").alias("ps"))
-        nxt = cut(parents.join(above, [*KEY, "p"]).select(
+        above = union(moving, *settled).select(
+            *KEY, F.col("c").alias("p"), F.col("p").alias("pp"), F.col("s").alias("ps"))
+        nxt = cut(moving.join(above, [*KEY, "p"]).select(
             *KEY, "c", F.col("pp").alias("p"),
             F.when(F.col("p") == F.col("c"), F.col("s")).otherwise(F.col("s") * F.col("ps"))
             .alias("s"), (F.col("pp") != F.col("p")).alias("moved")))
-        done = nxt.where("moved").isEmpty()
-        parents = nxt.drop("moved")
-        if done:
-            return parents
+        settled.append(nxt.where("NOT moved").drop("moved"))
+        moving = nxt.where("moved").drop("moved")
+        if moving.isEmpty():
+            return union(*settled)
     raise RuntimeError(f"pointers did not settle within {MAX_ROUNDS} rounds")
 
 
@@ -165,7 +152,7 @@ def colorable(vertices: DataFrame, edges: DataFrame, colors: int) -> DataFrame:
     coloured. Beyond, two colours are decided by the signed forest and more by ``coloring_widths``,
     NULL where a component is too dense for it.
     """
-    counted = vertices.groupBy(*KEY).agg(F.count("*").alias("n"))
+    counted = cut(vertices.groupBy(*KEY).agg(F.count("*").alias("n")))
     small = counted.where(F.col("n") <= COLORING_LIMIT)
     order = Window.partitionBy(*KEY).orderBy("u")
     placed = vertices.join(small.select(*KEY), KEY, "left_semi").select(

@@ -73,6 +73,25 @@ def test_frustration_against_union_find(table):
     assert got == truth
 
 
+def test_forest_keeps_one_edge_between_two_components(table, monkeypatch):
+    sides = [(0, range(2, 12)), (1, range(12, 22))]
+    pairs = [(hub, leaf) for hub, leaves in sides for leaf in leaves] + list(itertools.product(sides[0][1], sides[1][1]))
+    written, cut = [], G.cut
+
+    def watched(df):
+        done = cut(df)
+        if "ci" in done.columns:
+            written.append(done.count())
+        return done
+
+    monkeypatch.setattr(G, "cut", watched)
+    gauge = G.spanning_gauge(table([(*A, i, j, 1.0) for i, j in pairs], "i long, j long, coupling double")).collect()
+    signs = {r.u: r.sign for r in gauge}
+    assert written == [1, 0]  # of a hundred edges between the stars the lowest one goes on
+    assert len(signs) == 22 and len({r.label for r in gauge}) == 1
+    assert all(signs[i] != signs[j] for i, j in [*pairs[:20], (2, 12)])
+
+
 def test_two_vertex_cycle_is_one_edge(table, rows):
     edges = table([(*A, 0, 1)], "u long, v long")
     sizes = table([(*A, 2)], "num_vertices long")
