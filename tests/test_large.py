@@ -65,3 +65,26 @@ def test_probes_are_not_broadcast(spark):
     sizes = spark.range(1).selectExpr("'b' AS batch", "'1' AS instance_id", "3L AS num_variables", "3L AS num_vertices")
     samples = V.probe_samples(E.encode_max_cut(edges, sizes).instances)
     assert _node(V.cut_energy(edges, samples), "BroadcastExchange") == 0
+
+
+def test_a_union_is_not_taken_as_partitioned(spark):
+    """Children planned anew at run time need not stay partitioned alike, so what groups a union shuffles it."""
+    from bitloom.session import configure
+    configure(spark)
+    key = F.col("id") % 3
+    counts = [spark.range(n).groupBy(key.alias("k")).count() for n in (4, 5)]
+    df = counts[0].union(counts[1]).groupBy("k").agg(F.sum("count"))
+    assert _node(df, "Exchange hashpartitioning") == 3
+    assert sorted(r[1] for r in df.collect()) == [2, 3, 4]
+
+
+def test_stored_families_are_checked_where_some_do_not_occur(spark, tmp_path):
+    """Ten suppliers stand for one family, so nothing was stored for the others."""
+    spark.range(90, 100).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    queries, oracles = load()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    found = queries["d24_revalidate_families"](spark, str(tmp_path))
+    cursor = con.execute(oracles["d24_revalidate_families"])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(map(str, map(tuple, found.select(*columns).collect()))) == sorted(map(str, cursor.fetchall()))
