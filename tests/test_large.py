@@ -88,3 +88,42 @@ def test_stored_families_are_checked_where_some_do_not_occur(spark, tmp_path):
     cursor = con.execute(oracles["d24_revalidate_families"])
     columns = [c[0] for c in cursor.description]
     assert sorted(map(str, map(tuple, found.select(*columns).collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_probes_are_computed_and_not_shuffled(spark):
+    """131 samples of every variable of a huge model are more than its terms; a term finds out about them by itself."""
+    from bitloom.operators import encoders as E
+    from bitloom.operators import energy as V
+    from bitloom.session import configure
+    configure(spark)
+    edges = spark.range(40).selectExpr("'b' AS batch", "CAST(id % 2 AS STRING) AS instance_id", "id AS u", "id + 1 + id % 5 AS v",
+                                       "CAST(id AS DOUBLE) AS w")
+    vertices = spark.range(60).selectExpr("'b' AS batch", "CAST(id % 2 AS STRING) AS instance_id", "id AS u", "id % 7 AS value")
+    sizes = spark.range(3).selectExpr("'b' AS batch", "CAST(id AS STRING) AS instance_id", "44L - 22 * id AS num_variables", "id * 5 AS seed")
+    price = sizes.selectExpr("batch", "instance_id", "3.0D AS penalty")
+    batch = E.encode_max_cut(edges, sizes)
+    rule, rows = V.Probes(sizes), V.probe_samples(sizes)
+    for energy in (lambda s: V.cut_energy(edges, s), lambda s: V.energy(batch, s), lambda s: V.independent_set_energy(vertices, edges, price, s),
+                   lambda s: V.coloring_energy(vertices, edges, s, 2)):
+        found, expected = (sorted(map(tuple, energy(s).select("instance_id", "sample_id", "energy").collect())) for s in (rule, rows))
+        assert found == expected and len(found) == 2 * 131
+    assert _node(V.cut_energy(edges, rule), "Exchange hashpartitioning") == 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Disk holds the shuffles of one step, not of all steps before it."""
+    import time
+
+    from bitloom.session import cut
+
+    def files() -> set[str]:
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.startswith("shuffle_")}
+
+    before = files()
+    assert cut(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()).count() == 3
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
