@@ -127,3 +127,26 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_clauses_in_slices(spark, monkeypatch):
+    """Slices of clauses add up to the energies of all of them."""
+    from bitloom import session
+    from bitloom.operators import encoders as E
+    from bitloom.operators import energy as V
+    literals = spark.range(30).selectExpr("'b' AS batch", "'1' AS instance_id", "id DIV 3 AS clause_id", "id % 3 AS pos",
+                                          "(id * 7) % 11 AS variable", "id % 2 = 0 AS negated")
+    clauses = spark.range(10).selectExpr("'b' AS batch", "'1' AS instance_id", "id AS clause_id", "id % 4 + 1 AS weight")
+    sizes = spark.range(1).selectExpr("'b' AS batch", "'1' AS instance_id", "11L AS num_variables")
+    batch, ancillas = E.encode_max_sat(literals, clauses, 3, sizes=sizes)
+    samples = V.probe_samples(batch.instances)
+    made = []
+    monkeypatch.setattr(session, "cut", lambda df, old=session.cut: made.append(df) or old(df))
+
+    def energies(df):
+        return {r.sample_id: r.energy for r in df.collect()}
+
+    whole = energies(V.sat3_energy(literals, clauses, ancillas, samples))
+    monkeypatch.setattr(session, "SLICE_ROWS", 4)
+    sliced = energies(V.sat3_energy(literals, clauses, ancillas, samples))
+    assert len(made) == 3 and sliced == whole == energies(V.energy(batch, samples)) and len(whole) == 131
