@@ -150,3 +150,25 @@ def test_clauses_in_slices(spark, monkeypatch):
     monkeypatch.setattr(session, "SLICE_ROWS", 4)
     sliced = energies(V.sat3_energy(literals, clauses, ancillas, samples))
     assert len(made) == 3 and sliced == whole == energies(V.energy(batch, samples)) and len(whole) == 131
+
+
+def test_packings_in_slices(spark, monkeypatch):
+    """Overlaps and issues of slices of instances are those of all instances."""
+    from bitloom import session
+    from bitloom.operators import encoders as E
+    from bitloom.operators import families as D
+    members = spark.range(120).selectExpr("'b' AS batch", "CAST(id % 9 AS STRING) AS instance_id", "(id * 5) % 7 AS set_id", "(id * id) % 13 AS element")
+    key = members.select("batch", "instance_id").distinct()
+    values = members.select("batch", "instance_id", "set_id", (F.col("set_id") - 1).alias("value")).distinct()
+    params = key.select("*", F.lit(7).alias("num_sets"), F.lit(9).alias("universe_size"))
+
+    def results():
+        stored = E.set_overlaps(members).where("a % 5 <> 0")
+        return [sorted(map(str, df.select(*sorted(f"`{c}`" for c in df.columns)).collect())) for df in (
+            E.set_overlaps(members), D.packing_issues(members, values, stored, params))]
+
+    whole = results()
+    made = []
+    monkeypatch.setattr(session, "cut", lambda df, old=session.cut: made.append(df) or old(df))
+    monkeypatch.setattr(session, "SLICE_ROWS", 30)
+    assert results() == whole and all(whole) and len(made) == 3 * 5
