@@ -269,7 +269,11 @@ def duplicate_set_count(members: DataFrame) -> DataFrame:
 
 def packing_facts(members: DataFrame, set_values: DataFrame, universe: DataFrame,
                   penalty: DataFrame) -> DataFrame:
-    """``universe``: key, universe_size."""
+    """``universe``: key, universe_size. All groups lie within an instance, so many members go in slices of instances."""
+    return in_slices(_packing_facts, [members, set_values, universe, penalty], KEY, members.count())
+
+
+def _packing_facts(members, set_values, universe, penalty) -> DataFrame:
     sizes = members.groupBy(*KEY, "set_id").agg(F.count("*").alias("size")).groupBy(*KEY).agg(
         *stat_columns("size", "set_size_statistics"))
     values = set_values.groupBy(*KEY).agg(

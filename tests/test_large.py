@@ -153,7 +153,7 @@ def test_clauses_in_slices(spark, monkeypatch):
 
 
 def test_packings_in_slices(spark, monkeypatch):
-    """Overlaps and issues of slices of instances are those of all instances."""
+    """Statistics, overlaps and issues of slices of instances are those of all instances."""
     from bitloom import session
     from bitloom.operators import encoders as E
     from bitloom.operators import families as D
@@ -161,14 +161,15 @@ def test_packings_in_slices(spark, monkeypatch):
     key = members.select("batch", "instance_id").distinct()
     values = members.select("batch", "instance_id", "set_id", (F.col("set_id") - 1).alias("value")).distinct()
     params = key.select("*", F.lit(7).alias("num_sets"), F.lit(9).alias("universe_size"))
+    price = key.withColumn("penalty", F.lit(5.0))
 
     def results():
         stored = E.set_overlaps(members).where("a % 5 <> 0")
         return [sorted(map(str, df.select(*sorted(f"`{c}`" for c in df.columns)).collect())) for df in (
-            E.set_overlaps(members), D.packing_issues(members, values, stored, params))]
+            E.set_overlaps(members), D.packing_issues(members, values, stored, params), D.packing_stats(members, values, params, price))]
 
     whole = results()
     made = []
     monkeypatch.setattr(session, "cut", lambda df, old=session.cut: made.append(df) or old(df))
     monkeypatch.setattr(session, "SLICE_ROWS", 30)
-    assert results() == whole and all(whole) and len(made) == 3 * 5
+    assert results() == whole and all(whole) and len(made) == 4 * 5
